@@ -156,9 +156,9 @@ def top_matrix(
                     lambda x: x["c"]))
     kept = cells.join(kept_cols, col, "left_semi").groupBy(row).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(col), F.col(n)))).alias("_cells"))
-    return row_totals.join(kept, row, "left").select(
+    return row_totals.join(kept, row, "left").withColumn("_header", header.scalar()).select(
         row, "row_total",
-        F.transform(header.scalar(), lambda c: F.coalesce(F.col("_cells")[c], F.lit(0))).alias("values"))
+        F.transform("_header", lambda c: F.coalesce(F.col("_cells")[c], F.lit(0))).alias("values"))
 
 
 def two_ended(df: DataFrame, value: str, key: str, k: int) -> DataFrame:

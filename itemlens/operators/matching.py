@@ -109,8 +109,8 @@ def _rare_first(df: DataFrame, words: str, hot: DataFrame, keep: list[str]) -> D
     """Sort each token list by (count of a hot token, else 0; token)."""
     counts = hot.agg(F.map_from_entries(F.collect_list(F.struct("t", "n")))).scalar()
     ordered = F.array_sort(F.transform(
-        F.col(words), lambda w: F.struct(F.coalesce(counts[w], F.lit(0)).alias("n"), w.alias("w"))))
-    return df.select(*keep, F.transform(ordered, lambda x: x["w"]).alias(words))
+        F.col(words), lambda w: F.struct(F.coalesce(F.col("_hot")[w], F.lit(0)).alias("n"), w.alias("w"))))
+    return df.withColumn("_hot", counts).select(*keep, F.transform(ordered, lambda x: x["w"]).alias(words))
 
 
 def resolve_names(names: DataFrame, index: DataFrame, name: str, threshold: float = K.FUZZY_THRESHOLD) -> DataFrame:

@@ -43,7 +43,8 @@ def _count_hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: l
     lowered = F.lower(F.col(text))
     texts = corpus.filter(F.col(text).isNotNull()).select(
         lowered.alias("raw"), F.regexp_replace(lowered, r"(?U)\s+", " ").alias("flat"))
-    found = texts.select(F.explode(F.filter(listed, lambda x: hit(F.col("raw"), F.col("flat"), x))).alias("x"))
+    texts = texts.withColumn("needles", listed)
+    found = texts.select(F.explode(F.filter("needles", lambda x: hit(F.col("raw"), F.col("flat"), x))).alias("x"))
     return found.groupBy(F.col("x.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 

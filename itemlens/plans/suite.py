@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from itemlens.plans import cleaning
+from itemlens.plans import cleaning, counting, texts
 
-SUITES = [cleaning.suite]
+SUITES = [counting.suite, cleaning.suite, texts.suite]
 
 
 def queries():
