@@ -27,9 +27,9 @@ def roster_index(roster: DataFrame, names: list[str], order: str) -> DataFrame:
     normalised name, the later row by ``order`` wins. ``first_order`` is the
     earliest row that used the name and settles fuzzy ties.
     """
-    record = [c for c in roster.columns if c not in names]
+    record = [c for c in roster.columns if c not in names and c != order]
     keyed = roster.select(
-        *record,
+        *record, order,
         F.posexplode(F.array(*[normalize_name(nullif_blank(F.col(n))) for n in names])).alias("_pos", "name"),
     ).filter(F.col("name").isNotNull())
     at = F.struct(F.col(order), F.col("_pos"))

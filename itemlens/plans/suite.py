@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from itemlens.plans import cleaning, counting, texts
+from itemlens.plans import cleaning, counting, outside, people, texts
 
-SUITES = [counting.suite, cleaning.suite, texts.suite]
+SUITES = [counting.suite, cleaning.suite, texts.suite, people.suite, outside.suite]
 
 
 def queries():
