@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from itemlens.plans import cleaning, counting, network, outside, people, results, texts
+from itemlens.plans import cleaning, counting, files, network, outside, people, results, texts
 
-SUITES = [counting.suite, cleaning.suite, texts.suite, people.suite, outside.suite, network.suite, results.suite]
+SUITES = [counting.suite, cleaning.suite, texts.suite, people.suite, outside.suite, network.suite, results.suite, files.suite]
 
 
 def queries():

@@ -54,14 +54,14 @@ def read_items_b(spark: SparkSession, path: str, multiline: bool = True) -> Data
     return read_json(spark, path, ITEMS_B, multiline)
 
 
-def read_roster_a(spark: SparkSession, path: str) -> DataFrame:
-    return with_row_order(read_json(spark, path, ROSTER_A), "roster_order")
+def read_roster_a(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return with_row_order(read_json(spark, path, ROSTER_A, multiline), "roster_order")
 
 
-def read_roster_b(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_roster_b(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
     """Current and former rosters; absent files are skipped, ``file_order`` tells which file is later."""
     parts = [
-        with_row_order(read_json(spark, p, ROSTER_B), "roster_order").withColumn("file_order", F.lit(i))
+        with_row_order(read_json(spark, p, ROSTER_B, multiline), "roster_order").withColumn("file_order", F.lit(i))
         for i, p in enumerate(paths) if path_exists(spark, p)
     ]
     if not parts:
@@ -92,8 +92,8 @@ def read_contacts(spark: SparkSession, path: str) -> DataFrame:
     return with_row_order(read_table(spark, path, CONTACTS, missing_ok=True), "contact_order")
 
 
-def read_report_card(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, CARD).select(
+def read_report_card(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return read_json(spark, path, CARD, multiline).select(
         "retrieved", "method", "grade_criteria", F.inline("disbursal_report_card"))
 
 
@@ -123,20 +123,22 @@ def catalogue_post(raw: DataFrame, target: str, site: str) -> DataFrame:
         _intro("acf_data").alias("intro"), page.alias("page"))
 
 
-def read_catalogue(spark: SparkSession, core: dict[str, str], post: dict[str, tuple[str, str]]) -> DataFrame:
+def read_catalogue(spark: SparkSession, core: dict[str, str], post: dict[str, tuple[str, str]],
+                   multiline: bool = True) -> DataFrame:
     """Landed catalogues as one table. ``core``: {target: path}; ``post``: {target: (path, site)}."""
-    parts = [catalogue_core(read_json(spark, p, CORE), t) for t, p in core.items()]
-    parts += [catalogue_post(read_json(spark, p, POST), t, site) for t, (p, site) in post.items()]
+    parts = [catalogue_core(read_json(spark, p, CORE, multiline), t) for t, p in core.items()]
+    parts += [catalogue_post(read_json(spark, p, POST, multiline), t, site) for t, (p, site) in post.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_proposals(spark: SparkSession, path: str, envelope: bool = False) -> DataFrame:
+def read_proposals(spark: SparkSession, path: str, envelope: bool = False, multiline: bool = True) -> DataFrame:
     """Landed proposals, plain or inside ``{status, data}``; ``load_order`` follows the file."""
     if envelope:
-        rows = read_json(spark, path, f"status INT, message STRING, data ARRAY<STRUCT<{PROPOSAL_FIELDS}>>")
+        rows = read_json(spark, path, f"status INT, message STRING, data ARRAY<STRUCT<{PROPOSAL_FIELDS}>>",
+                         multiline)
         rows = rows.select(F.posexplode("data").alias("load_order", "p")).select("p.*", "load_order")
         return rows.withColumn("load_order", F.col("load_order").cast("long"))
-    return with_row_order(read_json(spark, path, PROPOSAL), "load_order")
+    return with_row_order(read_json(spark, path, PROPOSAL, multiline), "load_order")
 
 
 PROPOSAL_FIELDS = ", ".join(":".join(f.strip().split(" ")) for f in PROPOSAL.split(","))
