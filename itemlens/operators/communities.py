@@ -6,12 +6,16 @@ as long as modularity rises. All steps are joins and sums over edge rows; the
 driver reads one modularity value per round.
 """
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlens.session import checkpointed
+from itemlens.session import checkpointed, planned_once
 
 GAIN = 1e-9
+# edge rows one task can well hold; a graph within it is kept in one part and never shuffled
+EDGES_PER_TASK = 1_000_000
 
 
 def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20, max_levels: int = 10,
@@ -25,11 +29,14 @@ def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20, max_le
     links = checkpointed(
         one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
         .groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    size, whole = links.agg(F.count(F.lit(1)), F.sum("w")).first()
+    small = size <= EDGES_PER_TASK
+    if small:
+        links = checkpointed(links.repartition(1))
     member = ids.select("id", F.col("id").alias("comm"))
-    whole = links.agg(F.sum("w")).first()[0]
-    if whole:
-        best = None
-        for _ in range(max_levels):
+    best = None
+    with planned_once(ids.sparkSession) if small else nullcontext():
+        for _ in range(max_levels if whole else 0):
             moved, q = _move_nodes(links, float(whole), max_rounds, patience)
             if best is not None and q <= best + GAIN:
                 break

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from itemlens import constants as K
 from itemlens.functions.labels import normalize_type
+from itemlens.session import checkpointed
 
 
 def count_by(df: DataFrame, *keys, out: str = "n") -> DataFrame:
@@ -69,6 +70,7 @@ def global_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     distinct values is ordered as a whole. Totals of N items have at most
     sqrt(2N) distinct values, whatever the number of ranked rows.
     """
+    df = checkpointed(df)
     above = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
         count_by(df, value, out="_rows")
@@ -118,6 +120,7 @@ def lift(items: DataFrame, group: str = "party", target: str = "ministry", n: st
 
 
 def lift_of_cells(cells: DataFrame, group: str, target: str, n: str) -> DataFrame:
+    cells = checkpointed(cells)  # four uses, one pass over the items
     by_group = cells.groupBy(group).agg(F.sum(n).alias(f"{group}_total"))
     by_target = cells.groupBy(target).agg(F.sum(n).alias(f"{target}_total"))
     total = cells.agg(F.sum(n)).scalar()
@@ -131,7 +134,7 @@ def lift_of_cells(cells: DataFrame, group: str, target: str, n: str) -> DataFram
 
 
 def group_shares(items: DataFrame, group: str, n: str = "n") -> DataFrame:
-    per_group = count_by(items, group, out=n)
+    per_group = checkpointed(count_by(items, group, out=n))
     total = per_group.agg(F.sum(n)).scalar()
     return per_group.select(group, n, total.alias("total"), (F.col(n) / total).alias("share"))
 
@@ -145,6 +148,7 @@ def top_matrix(
     ``values`` follow the kept columns by total descending, ties by name; the row
     total counts all columns, as the cut is for display only.
     """
+    cells = checkpointed(cells)  # row totals, column totals, header and values all come from it
     row_totals = cells.groupBy(row).agg(F.sum(n).alias("row_total"))
     col_totals = cells.groupBy(col).agg(F.sum(n).alias("_col_total"))
     if top_rows:
@@ -163,7 +167,7 @@ def top_matrix(
 
 def two_ended(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
     """The k highest and k lowest rows by ``value``, with their end and position."""
-    present = df.filter(F.col(value).isNotNull() & (F.col(value) != 0))
+    present = checkpointed(df.filter(F.col(value).isNotNull() & (F.col(value) != 0)))
 
     def end(name, order):
         top = present.orderBy(order, F.col(key)).limit(k)

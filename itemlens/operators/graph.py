@@ -8,6 +8,7 @@ from itemlens.functions.labels import or_unknown
 from itemlens.functions.values import node_id
 from itemlens.operators.counting import count_by, first_by, last_by, lift_of_cells, ranked
 from itemlens.operators.pairs import block_pairs, pair_counts, with_key_size
+from itemlens.session import checkpointed
 
 # node kinds and the prefix of their ids
 KINDS = {"party": "Party", "ministry": "Ministry", "state": "State", "mp": "MP", "topic": "Topic"}
@@ -18,7 +19,17 @@ def asker_profile(items: DataFrame, order: list[str], asker: str = "member") ->
     return last_by(items, asker, ["party", "state", "chamber"], order)
 
 
-def graph_nodes(items: DataFrame, topics: DataFrame, order: list[str]) -> DataFrame:
+def graph_cells(items: DataFrame, order: list[str]) -> DataFrame:
+    """(member, party, state, ministry, n, first): all that nodes and edges need from the items.
+
+    Checkpointed, so the items are read once for the whole graph; ``first`` is the
+    place and chamber of the earliest item of the cell.
+    """
+    first = F.min(F.struct(F.struct(*order).alias("at"), F.col("chamber").alias("chamber"))).alias("first")
+    return checkpointed(items.groupBy("member", "party", "state", "ministry").agg(F.count(F.lit(1)).alias("n"), first))
+
+
+def graph_nodes(cells: DataFrame, topics: DataFrame) -> DataFrame:
     """(id, type, label, party, state, chamber); asker attributes come from the first item."""
     blank = [F.lit(None).cast("string").alias(c) for c in ("party", "state", "chamber")]
 
@@ -26,25 +37,19 @@ def graph_nodes(items: DataFrame, topics: DataFrame, order: list[str]) -> DataFr
         return df.select(col).distinct().select(
             node_id(prefix, F.col(col)).alias("id"), F.lit(KINDS[prefix]).alias("type"), F.col(col).alias("label"), *blank)
 
-    askers = first_by(items, "member", ["party", "state", "chamber"], order).select(
+    seen = cells.withColumn("chamber", F.col("first.chamber"))
+    askers = first_by(seen, "member", ["party", "state", "chamber"], ["first"]).select(
         node_id("mp", F.col("member")).alias("id"), F.lit(KINDS["mp"]).alias("type"), F.col("member").alias("label"),
         "party", "state", "chamber")
     return (
-        plain(items, "party", "party").unionByName(plain(items, "ministry", "ministry"))
-        .unionByName(plain(items, "state", "state")).unionByName(askers).unionByName(plain(topics, "topic", "term"))
+        plain(cells, "party", "party").unionByName(plain(cells, "ministry", "ministry"))
+        .unionByName(plain(cells, "state", "state")).unionByName(askers).unionByName(plain(topics, "topic", "term"))
     )
 
 
-def graph_edges(items: DataFrame, topics: DataFrame) -> DataFrame:
-    """(src, dst, type, weight): membership and region edges unweighted, the rest counted.
-
-    All four item edges come from one count over (asker, group, region, target),
-    so the items are read and shuffled once.
-    """
-    cells = count_by(items, "member", "party", "state", "ministry", out="n")
-
+def graph_edges(cells: DataFrame, topics: DataFrame) -> DataFrame:
+    """(src, dst, type, weight): membership and region edges unweighted, the rest counted."""
     def edges(a, a_col, b, b_col, kind, weighted=True):
-        weight = F.sum("n") if weighted else F.lit(None).cast("long")
         counted = cells.groupBy(a_col, b_col).agg(F.sum("n").alias("n"))
         weight = F.col("n") if weighted else F.lit(None).cast("long")
         return counted.select(node_id(a, F.col(a_col)).alias("src"), node_id(b, F.col(b_col)).alias("dst"),
@@ -112,9 +117,10 @@ def cosine_similarity(vectors: DataFrame, group: str, key: str, value: str,
     Values are scaled to unit length first, so the dot product of a pair needs no
     second look at the norms. A key most groups share is cut into blocks.
     """
+    vectors = checkpointed(vectors.select(group, key, value))
     norms = vectors.groupBy(group).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
     unit = vectors.join(norms.filter("_norm > 0"), group).select(group, key, (F.col(value) / F.col("_norm")).alias("v"))
-    pairs = block_pairs(with_key_size(unit, key), key, group, ["v"])
+    pairs = block_pairs(checkpointed(with_key_size(unit, key)), key, group, ["v"])
     return pairs.groupBy("a", "b").agg(F.sum(F.col("v_a") * F.col("v_b")).alias("similarity")).filter(
         F.col("similarity") > threshold)
 

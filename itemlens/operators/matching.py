@@ -15,6 +15,7 @@ from itemlens.functions.labels import (
 from itemlens.functions.text import strip_html
 from itemlens.functions.values import join_askers, lead_asker
 from itemlens.operators.counting import dedupe_last
+from itemlens.session import checkpointed
 
 # a token in more than 1/HOT_SHARE of all name tokens is hot; at most HOT_SHARE tokens can be
 HOT_SHARE = 1000
@@ -61,7 +62,8 @@ def match_fuzzy_name(names: DataFrame, index: DataFrame, name: str = "norm",
     known = index.select(F.col("name").alias("r"), "first_order").withColumn("r_all", name_tokens(F.col("r")))
     known = known.withColumn("r_words", _long_tokens(F.col("r_all")))
 
-    hot = _hot_tokens(known, "r_words")
+    known = checkpointed(known)
+    hot = checkpointed(_hot_tokens(known, "r_words"))
     asked = _rare_first(asked, "q_words", hot, ["q"])
     known = _rare_first(known, "r_words", hot, ["r", "first_order", "r_all"])
 
@@ -116,10 +118,13 @@ def _rare_first(df: DataFrame, words: str, hot: DataFrame, keep: list[str]) -> D
 def resolve_names(names: DataFrame, index: DataFrame, name: str, threshold: float = K.FUZZY_THRESHOLD) -> DataFrame:
     """Exact match, then fuzzy for what is left: (name, matched_name, record columns).
 
-    ``names`` may repeat; the result has each distinct raw name once.
+    ``names`` may repeat; the result has each distinct raw name once. The distinct
+    names and the index are used several times over, so both are checkpointed:
+    the items themselves are read once.
     """
-    distinct = names.select(name).filter(F.col(name).isNotNull()).distinct().withColumn(
-        "norm", normalize_name(F.col(name)))
+    distinct = checkpointed(names.select(name).filter(F.col(name).isNotNull()).distinct().withColumn(
+        "norm", normalize_name(F.col(name))))
+    index = checkpointed(index)
     exact = distinct.join(index.select(F.col("name").alias("norm")), "norm", "left_semi")
     rest = distinct.join(index.select(F.col("name").alias("norm")), "norm", "left_anti")
     fuzzy = rest.join(match_fuzzy_name(rest, index, "norm", threshold).drop("score"), "norm")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.functions.text import title_probe
+from itemlens.session import checkpointed
 
 NEEDLES_PER_PASS = 1000
 
@@ -50,6 +51,7 @@ def _count_hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: l
 
 def count_title_mentions(corpus: DataFrame, text: str, terms: DataFrame, term: str, out: str) -> DataFrame:
     """Per term of a short list (a top-k result): texts that contain it, any case; 0 when none."""
+    terms = checkpointed(terms)
     needles = terms.select(F.col(term).alias("id"), F.lower(F.col(term)).alias("needle")).distinct()
     hits = _count_hits(corpus, text, needles, lambda raw, flat, x: F.contains(raw, x["needle"]), ["needle"])
     return terms.join(hits.withColumnRenamed("id", term), term, "left").withColumn(
@@ -58,6 +60,7 @@ def count_title_mentions(corpus: DataFrame, text: str, terms: DataFrame, term: s
 
 def flag_mentioned(names: DataFrame, name: str, corpus: DataFrame, text: str, out: str = "mentioned") -> DataFrame:
     """Does any text contain the name, any case; null when there is no name. For short name lists."""
+    names = checkpointed(names)
     needles = names.filter(F.col(name).isNotNull()).select(
         F.col(name).alias("id"), F.lower(F.col(name)).alias("needle")).distinct()
     hits = _count_hits(corpus, text, needles, lambda raw, flat, x: F.contains(raw, x["needle"]), ["needle"])
@@ -76,6 +79,7 @@ def count_catalogue_mentions(corpus: DataFrame, text: str, titles: DataFrame, ti
     """
     probes = titles.select(F.col(title).alias("id")).distinct().withColumn("probe", title_probe(F.col("id"))).select(
         "id", "probe.*")
+    probes = checkpointed(probes)
     size = probes.count()
     passes = max(1, -(-size // per_pass))
 

@@ -9,6 +9,8 @@ big key is spread over many tasks and no list of it is ever built.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemlens.session import checkpointed
+
 SHORT_LIST = 64
 BLOCK = 512
 
@@ -17,7 +19,7 @@ def pair_counts(df: DataFrame, key: str, item: str, out: str = "n",
                 a: str = "a", b: str = "b", short: int = SHORT_LIST) -> DataFrame:
     """(a, b, n) with a < b: the number of keys both items occur under."""
     members = df.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct()
-    sized = with_key_size(members, "k")
+    sized = checkpointed(with_key_size(members, "k"))  # read by both ways below
     lists = (
         sized.filter((F.col("_size") > 1) & (F.col("_size") <= short))
         .groupBy("k").agg(F.sort_array(F.collect_list("i")).alias("items"))

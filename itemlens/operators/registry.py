@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from itemlens import constants as K
 from itemlens.functions.labels import canonical_target, lookup, normalize_label, nullif_blank, trim_blanks
 from itemlens.functions.values import safe_ratio
+from itemlens.session import checkpointed
 
 
 def press_items_since(press: DataFrame, since, date: str = "date", kind: str = "kind",
@@ -55,6 +56,7 @@ def resolve_generic_labels(targets: DataFrame, counts: DataFrame, target: str) -
 
 def resolve_press_labels(targets: DataFrame, counts: DataFrame, target: str,
                          aliases: dict[str, list[str]] = K.PRESS_LABEL_ALIASES) -> DataFrame:
+    counts = checkpointed(counts)  # one row per label; the press items are read once
     by_alias = resolve_alias_labels(targets, counts, target, aliases)
     rest = targets.select(target).join(by_alias, target, "left_anti")
     return by_alias.unionByName(resolve_generic_labels(rest, counts, target))
@@ -80,6 +82,7 @@ def build_registry(
     proposal_targets: list = K.PROPOSAL_TARGETS, dashboards: dict = K.DASHBOARD_PATHS, ranks: dict = K.CONTACT_RANKS,
 ) -> DataFrame:
     """One row per target of ``volumes`` with defaults where a source is silent."""
+    volumes = checkpointed(volumes)
     press = resolve_press_labels(volumes, counts, target, aliases)
     people = best_contact(contacts, order, ranks=ranks)
     t = F.col(target)

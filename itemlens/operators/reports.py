@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from itemlens import constants as K
 from itemlens.functions.values import in_crore, starred_share
 from itemlens.operators.counting import ranked, top_k_per_group, two_ended
+from itemlens.session import checkpointed
 
 
 def _listed(df: DataFrame, key: str, rank: str, fields: list[str], out: str) -> DataFrame:
@@ -80,6 +81,7 @@ def overview_external(ratios: DataFrame, named: DataFrame, catalogue: DataFrame,
         return top_k_per_group(one, "section", order, k, "position").select(
             "section", "position", "name", F.col("value").cast("double").alias("value"))
 
+    named, catalogue = checkpointed(named), checkpointed(catalogue)  # small results, each used twice
     desc = [F.col("value").desc(), F.col("name")]
     ends = two_ended(ratios, "value", "name", 8).select(
         F.concat(F.lit("ratio_"), F.col("end")).alias("section"), "position", "name", "value")

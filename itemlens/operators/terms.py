@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from itemlens import constants as K
 from itemlens.functions.text import bigrams, collapse_suffix, extract_named_terms, tokenize
 from itemlens.operators.counting import ranked, top_k_per_group
+from itemlens.session import checkpointed
 
 ALL = "ALL"
 
@@ -20,16 +21,18 @@ def term_counts(items: DataFrame, group: str, subject: str, order: str, min_bigr
 
     Containment is an equi-join: each distinct word lists its own substrings with
     the earliest place that rules them out, and a word looks itself up there.
+    Texts are tokenised and counted once, words and pairs together; what follows
+    works on the vocabulary, which is checkpointed.
     """
     toks = items.select(F.col(group).alias("g"), F.col(order).alias("o"), tokenize(F.col(subject), stopwords).alias("t"))
-    words = (
-        toks.select("g", "o", F.posexplode("t").alias("p", "w"))
-        .groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "p")).alias("first"))
-    )
-    pairs = (
-        toks.select("g", F.explode(bigrams(F.col("t"))).alias("w"))
-        .groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_bigram)
-    )
+    terms = F.concat(
+        F.transform("t", lambda w, i: F.struct(F.lit(False).alias("pair"), w.alias("w"), i.alias("p"))),
+        F.transform(bigrams(F.col("t")), lambda w, i: F.struct(F.lit(True).alias("pair"), w.alias("w"), i.alias("p"))))
+    counted = toks.select("g", "o", F.inline(terms)).groupBy("g", "pair", "w").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "p")).alias("first"))
+    counted = checkpointed(counted.filter(~F.col("pair") | (F.col("n") >= min_bigram)))
+    words = counted.filter(~F.col("pair")).select("g", "w", "n", "first")
+    pairs = counted.filter("pair").select("g", "w", "n")
     # rank 0 beats every place in the text: words of kept bigrams rule out at once
     in_pair = pairs.select("g", F.explode(F.split("w", " ")).alias("w"), F.lit(0).alias("late"),
                            F.lit(None).cast(words.schema["first"].dataType).alias("first"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.session import table
+from itemlens.session import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,9 +38,13 @@ TYPES = ["A", "N", "R"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
-def items(spark: SparkSession, d: str, who: bool = True, what: bool = True) -> DataFrame:
-    """Items with (who) group and region and (what) target and subject; joins only what is asked for."""
-    out = table(spark, d, "lineitem").select(
+def items(spark: SparkSession, d: str, who: bool = True, what: bool = True, spread: bool = False) -> DataFrame:
+    """Items with (who) group and region and (what) target and subject; joins only what is asked for.
+
+    ``spread`` deals a small table out over the cores, for work on its texts.
+    """
+    lines = texts(spark, d, "lineitem") if spread else table(spark, d, "lineitem")
+    out = lines.select(
         F.col("l_linestatus").alias("chamber"), F.col("l_orderkey").alias("ques_no"),
         F.col("l_linenumber").alias("session_no"), F.col("l_shipdate").alias("date"),
         F.col("l_returnflag").alias("type"), F.col("l_suppkey").alias("member"), F.col("l_partkey").alias("part"))

@@ -7,7 +7,7 @@ from itemlens.functions import labels as L
 from itemlens.functions import text as T
 from itemlens.functions import values as V
 from itemlens.plans.base import Suite, sql_ascii, sql_flat, sql_trim
-from itemlens.session import table
+from itemlens.session import table, texts
 
 suite = Suite()
 
@@ -52,14 +52,14 @@ SELECT page_id, nullif({sql_trim(sql_flat(
 FROM pages
 """)
 def strip_html(spark, d):
-    return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
+    return texts(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
 
 
 @suite.add(rf"""
 SELECT page_id, {sql_trim(sql_flat("regexp_replace(html, '<[^>]+>', ' ', 'g')"))} AS plain FROM pages
 """)
 def strip_html_keep_empty(spark, d):
-    return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html"), False).alias("plain"))
+    return texts(spark, d, "pages").select("page_id", T.strip_html(F.col("html"), False).alias("plain"))
 
 
 @suite.add("""
@@ -85,7 +85,7 @@ SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, {SQL_TOKENS} AS t FROM documents)
 """)
 def tokenize(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select(
+    return texts(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select(
         "doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -94,7 +94,7 @@ SELECT doc_id, coalesce(array_to_string(list_transform(range(1, len(t)), lambda
 FROM (SELECT doc_id, {SQL_TOKENS} AS t FROM documents)
 """)
 def bigrams(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select(
+    return texts(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select(
         "doc_id", F.array_join(T.bigrams(F.col("t")), ";").alias("pairs"))
 
 
@@ -141,7 +141,7 @@ FROM (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda
 """)
 def split_askers(spark, d):
     askers = V.split_askers(F.replace("text", F.lit(" "), F.lit(";")))
-    return table(spark, d, "documents").select("doc_id", askers.alias("a")).select(
+    return texts(spark, d, "documents").select("doc_id", askers.alias("a")).select(
         "doc_id", F.size("a").cast("long").alias("n_askers"), V.lead_asker(F.col("a")).alias("lead"),
         V.join_askers(F.col("a")).alias("joined"))
 
@@ -188,14 +188,14 @@ WHERE length({sql_trim(sql_flat('term'))}) >= 6 AND lower({sql_trim(sql_flat('te
 @suite.add(f"SELECT doc_id, term, count(*) AS n FROM ({SQL_TERMS}) GROUP BY ALL")
 def extract_named_terms(spark, d):
     terms = T.extract_named_terms(F.col("text"), TEXT_TERMS, TEXT_STOP)
-    return table(spark, d, "documents").select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(
+    return texts(spark, d, "documents").select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("n"))
 
 
 @suite.add(f"SELECT DISTINCT term, lower(regexp_replace(term, '(?i)\\s+(License|Public)$', '')) AS base FROM ({SQL_TERMS})")
 def collapse_suffix(spark, d):
     terms = T.extract_named_terms(F.col("text"), TEXT_TERMS, TEXT_STOP)
-    return table(spark, d, "documents").select(F.explode(terms).alias("term")).distinct().select(
+    return texts(spark, d, "documents").select(F.explode(terms).alias("term")).distinct().select(
         "term", T.collapse_suffix(F.col("term"), TEXT_SUFFIXES).alias("base"))
 
 
@@ -326,7 +326,7 @@ def date_prefix(spark, d):
 
 @suite.add("SELECT page_id, split_part(url, ':', 1) AS type, substr(url, instr(url, ':') + 1) AS label FROM pages")
 def split_node_id(spark, d):
-    return table(spark, d, "pages").select("page_id", V.split_node_id(F.col("url")).alias("s")).select("page_id", "s.*")
+    return texts(spark, d, "pages").select("page_id", V.split_node_id(F.col("url")).alias("s")).select("page_id", "s.*")
 
 
 @suite.add("""

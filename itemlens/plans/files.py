@@ -8,11 +8,11 @@ from itemlens import constants as K
 from itemlens.operators import graph as G
 from itemlens.operators import matching as M
 from itemlens.plans.base import ITEMS, Suite, items
-from itemlens.plans.network import ORDER, SQL_EDGES, SQL_NODES, SQL_TOPICS, named_items, topics
+from itemlens.plans.network import SQL_EDGES, SQL_NODES, SQL_TOPICS, cells, topics
 from itemlens.plans.outside import SQL_CATALOGUE, SQL_PROPOSALS, card, entries, proposals
 from itemlens.plans.people import SQL_REGISTRY, contacts
 from itemlens.plans.results import brief
-from itemlens.session import ensure_checkpoint_dir, table
+from itemlens.session import checkpointed, ensure_checkpoint_dir, table
 from itemlens.sources import readers as R
 from itemlens.sources import writers as W
 
@@ -201,8 +201,8 @@ def write_payload(spark, d):
 @suite.add(f"WITH {ITEMS}, {SQL_TOPICS}, e AS ({SQL_EDGES}), n AS ({SQL_NODES}) SELECT type, count(*) AS n FROM (SELECT type FROM e UNION ALL SELECT type FROM n) GROUP BY type")
 def write_graph(spark, d):
     path = landing(spark)
-    rows, terms = named_items(spark, d), topics(spark, d)
-    W.write_graph(G.graph_nodes(rows, terms, ORDER), G.graph_edges(rows, terms), path)
+    rows, terms = cells(spark, d), checkpointed(topics(spark, d))
+    W.write_graph(G.graph_nodes(rows, terms), G.graph_edges(rows, terms), path)
     both = spark.read.parquet(f"{path}/nodes").select("type").unionByName(spark.read.parquet(f"{path}/edges").select("type"))
     return both.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 

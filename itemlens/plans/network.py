@@ -11,7 +11,7 @@ from itemlens.operators.pagerank import pagerank_report
 from itemlens.operators.terms import top_terms_by_group
 from itemlens.plans.base import ITEMS, Suite, askers, items
 from itemlens.plans.counting import SQL_LIFT
-from itemlens.session import table
+from itemlens.session import checkpointed, table, texts
 
 suite = Suite()
 
@@ -23,9 +23,13 @@ def named_items(spark, d):
     return items(spark, d).withColumn("member", F.col("member").cast("string"))
 
 
+def cells(spark, d):
+    return G.graph_cells(named_items(spark, d), ORDER)
+
+
 def topics(spark, d):
     """The most frequent subject words and pairs of every group."""
-    return top_terms_by_group(items(spark, d), "party", "subject", "ques_no", 5).drop("rank")
+    return top_terms_by_group(items(spark, d, spread=True), "party", "subject", "ques_no", 5).drop("rank")
 
 
 # part names are two words, none inside another; so a word goes only where a kept pair has it
@@ -62,12 +66,12 @@ def group_topics(spark, d):
 
 @suite.add(f"WITH {ITEMS}, {SQL_TOPICS} {SQL_NODES}")
 def graph_nodes(spark, d):
-    return G.graph_nodes(named_items(spark, d), topics(spark, d), ORDER)
+    return G.graph_nodes(cells(spark, d), topics(spark, d))
 
 
 @suite.add(f"WITH {ITEMS}, {SQL_TOPICS} {SQL_EDGES}")
 def graph_edges(spark, d):
-    return G.graph_edges(named_items(spark, d), topics(spark, d))
+    return G.graph_edges(cells(spark, d), topics(spark, d))
 
 
 SQL_PAIRS = f"""
@@ -206,7 +210,7 @@ def communities(spark, d):
 @suite.add()
 def communities_by_text(spark, d):
     """Sources grouped by the languages they publish in more than others do."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("party"), F.col("lang").alias("ministry"))
+    docs = texts(spark, d, "documents", "source", "lang").select(F.col("source").alias("party"), F.col("lang").alias("ministry"))
     nodes, edges = G.similarity_graph(docs, least=1, threshold=0.9)
     return community_table(find_communities(nodes, edges), nodes)
 
@@ -219,6 +223,6 @@ SELECT (SELECT count(*) FROM ({SQL_NODES})) AS nodes, (SELECT count(*) FROM ({SQ
   (SELECT count(*) FROM ({SQL_BRIDGES})) AS bridge_pairs
 """)
 def graph_stats(spark, d):
-    rows, terms = named_items(spark, d), topics(spark, d)
-    big = C.count_by(rows, "party").filter("n >= 30")
-    return G.graph_stats(G.graph_nodes(rows, terms, ORDER), G.graph_edges(rows, terms), bridges(spark, d), big)
+    rows, terms = cells(spark, d), checkpointed(topics(spark, d))
+    big = rows.groupBy("party").agg(F.sum("n").alias("n")).filter("n >= 30")
+    return G.graph_stats(G.graph_nodes(rows, terms), G.graph_edges(rows, terms), bridges(spark, d), big)

@@ -10,7 +10,7 @@ from itemlens.plans.cleaning import SQL_COMPANY, SQL_PROJECT, project_name, sql_
 from itemlens.plans.counting import LAST
 from itemlens.plans.people import SQL_REGISTRY, registry
 from itemlens.plans.texts import ENTRIES, SQL_ENTRIES, corpus
-from itemlens.session import table
+from itemlens.session import table, texts
 
 suite = Suite()
 
@@ -85,7 +85,7 @@ FROM titles LEFT JOIN hits USING (item_id)
 
 
 def scrutiny(spark, d):
-    return O.catalogue_scrutiny(entries(spark, d), table(spark, d, "documents"), "text", "2025-07-01")
+    return O.catalogue_scrutiny(entries(spark, d), texts(spark, d, "documents"), "text", "2025-07-01")
 
 
 @suite.add(SQL_CATALOGUE)

@@ -8,7 +8,7 @@ from itemlens.operators import matching as M
 from itemlens.operators import registry as R
 from itemlens.functions.labels import normalize_name
 from itemlens.plans.base import Suite, sql_flat, sql_trim
-from itemlens.session import table
+from itemlens.session import table, texts
 
 suite = Suite()
 
@@ -17,7 +17,7 @@ suite = Suite()
 
 def named_docs(spark, d):
     words = F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), 1, 4)
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         "doc_id", F.col("lang").alias("party"), F.col("source").alias("state"),
         F.array_join(words, " ").alias("name"), F.array_join(F.reverse(words), " ").alias("reversed"))
 

@@ -8,7 +8,7 @@ from itemlens.plans.base import Suite
 from itemlens.plans.cleaning import (
     SQL_TERMS, SQL_TOKENS, TEXT_STOP, TEXT_SUFFIXES, TEXT_TERMS, sql_title_words,
 )
-from itemlens.session import table
+from itemlens.session import table, texts
 
 suite = Suite()
 
@@ -32,7 +32,7 @@ def sql_term_counts(group: str) -> str:
 
 @suite.add(f"SELECT term, count FROM ({sql_term_counts(chr(39) + 'ALL' + chr(39))}) ORDER BY count DESC, term LIMIT 30")
 def top_terms(spark, d):
-    return T.top_terms(table(spark, d, "documents"), "text", "doc_id").select("term", "count")
+    return T.top_terms(texts(spark, d, "documents"), "text", "doc_id").select("term", "count")
 
 
 @suite.add(f"""
@@ -40,7 +40,7 @@ SELECT g AS source, term, count, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY g ORDER BY count DESC, term) AS rank FROM ({sql_term_counts('source')})) WHERE rank <= 12
 """)
 def top_terms_by_group(spark, d):
-    return T.top_terms_by_group(table(spark, d, "documents"), "source", "text", "doc_id")
+    return T.top_terms_by_group(texts(spark, d, "documents"), "source", "text", "doc_id")
 
 
 SQL_PAIRS = f"""
@@ -54,7 +54,7 @@ GROUP BY pair HAVING count(*) >= 3
 def frequent_bigrams(spark, d):
     from itemlens.functions.text import bigrams, tokenize
 
-    pairs = table(spark, d, "documents").select(F.explode(bigrams(tokenize(F.col("text")))).alias("pair"))
+    pairs = texts(spark, d, "documents").select(F.explode(bigrams(tokenize(F.col("text")))).alias("pair"))
     return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
 
 
@@ -68,7 +68,7 @@ GROUP BY base
 
 
 def named(spark, d):
-    return T.named_term_counts(table(spark, d, "documents"), "text", ["doc_id"], TEXT_TERMS, TEXT_SUFFIXES, TEXT_STOP)
+    return T.named_term_counts(texts(spark, d, "documents"), "text", ["doc_id"], TEXT_TERMS, TEXT_SUFFIXES, TEXT_STOP)
 
 
 @suite.add(SQL_NAMED)
@@ -91,13 +91,13 @@ SELECT w AS term, count(*) AS count FROM (SELECT unnest({SQL_TOKENS}) AS w FROM
 
 
 def page_titles(spark, d):
-    return table(spark, d, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return texts(spark, d, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
 def frequent_words(spark, d, k=80):
     from itemlens.functions.text import tokenize
 
-    words = table(spark, d, "documents").select(F.explode(tokenize(F.col("text"))).alias("term"))
+    words = texts(spark, d, "documents").select(F.explode(tokenize(F.col("text"))).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "term").limit(k)
 
 
@@ -148,7 +148,7 @@ SQL_CORPUS = "SELECT text FROM documents UNION ALL SELECT text FROM conversation
 
 
 def corpus(spark, d):
-    return M.build_corpus(*[table(spark, d, t).select("text") for t in ("documents", "conversations", "benchmark")])
+    return M.build_corpus(*[texts(spark, d, t, "text") for t in ("documents", "conversations", "benchmark")])
 
 
 @suite.add(f"SELECT length(text) AS n_chars, count(*) AS n FROM ({SQL_CORPUS}) GROUP BY ALL")
@@ -182,7 +182,7 @@ SELECT title, any_value(pattern) AS pattern, count(text) AS mentions FROM titles
 """)
 def count_catalogue_mentions(spark, d):
     titles = table(spark, d, "benchmark").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("title"))
-    return M.count_catalogue_mentions(table(spark, d, "documents"), "text", titles, "title")
+    return M.count_catalogue_mentions(texts(spark, d, "documents"), "text", titles, "title")
 
 
 @suite.add(f"""

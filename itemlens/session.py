@@ -10,6 +10,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *cols: str) -> DataFrame:
+    """A table whose rows are costly to work on (long texts), spread over the cores if it is small.
+
+    A file of one row group is read by one task however long its texts are. An
+    input with fewer splits than twice the cores is dealt out again; a bigger one
+    keeps all cores busy as it lies and is never shuffled for this.
+    """
+    df = table(spark, folder, name)
+    df = df.select(*cols) if cols else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder checkpoints go to: the one the session names, if any.
 
