@@ -38,32 +38,51 @@ def count_pattern_mentions(corpus: DataFrame, text: str, entries: list[tuple[str
     return one_row.select(F.inline(pairs))
 
 
-def _count_hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str]) -> DataFrame:
-    """(id, n) for needles with hits; ``hit(text_columns, needle)`` says whether a text has it."""
-    listed = needles.agg(F.collect_list(F.struct("id", *fields))).scalar()
+def _count_hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str], per_pass: int) -> DataFrame:
+    """(id, n) for needles with hits; ``hit(raw, flat, needle)`` says whether a text has it.
+
+    ``needles`` (id, fields) must be cheap to read again. Lists are short as a
+    rule; one of more than ``per_pass`` is split by hash and the corpus read once
+    per part, so no task ever holds more than a part.
+    """
+    passes = max(1, -(-needles.count() // per_pass))
+    part = F.pmod(F.xxhash64("id"), F.lit(passes))
     lowered = F.lower(F.col(text))
     texts = corpus.filter(F.col(text).isNotNull()).select(
         lowered.alias("raw"), F.regexp_replace(lowered, r"(?U)\s+", " ").alias("flat"))
-    texts = texts.withColumn("needles", listed)
-    found = texts.select(F.explode(F.filter("needles", lambda x: hit(F.col("raw"), F.col("flat"), x))).alias("x"))
-    return found.groupBy(F.col("x.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = []
+    for i in range(passes):
+        mine = needles if passes == 1 else needles.filter(part == i)
+        listed = mine.agg(F.collect_list(F.struct("id", *fields))).scalar()
+        found = texts.withColumn("needles", listed).select(
+            F.explode(F.filter("needles", lambda x: hit(F.col("raw"), F.col("flat"), x))).alias("x"))
+        counts.append(found.groupBy(F.col("x.id").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _holds(raw: Column, flat: Column, x: Column) -> Column:
+    return F.contains(raw, x["needle"])
 
 
-def count_title_mentions(corpus: DataFrame, text: str, terms: DataFrame, term: str, out: str) -> DataFrame:
-    """Per term of a short list (a top-k result): texts that contain it, any case; 0 when none."""
+def _plain_needles(df: DataFrame, name: str) -> DataFrame:
+    return df.filter(F.col(name).isNotNull()).select(
+        F.col(name).alias("id"), F.lower(F.col(name)).alias("needle")).distinct()
+
+
+def count_title_mentions(corpus: DataFrame, text: str, terms: DataFrame, term: str, out: str,
+                         per_pass: int = NEEDLES_PER_PASS) -> DataFrame:
+    """Per term: texts that contain it, any case; 0 when none."""
     terms = checkpointed(terms)
-    needles = terms.select(F.col(term).alias("id"), F.lower(F.col(term)).alias("needle")).distinct()
-    hits = _count_hits(corpus, text, needles, lambda raw, flat, x: F.contains(raw, x["needle"]), ["needle"])
+    hits = _count_hits(corpus, text, _plain_needles(terms, term), _holds, ["needle"], per_pass)
     return terms.join(hits.withColumnRenamed("id", term), term, "left").withColumn(
         out, F.coalesce("n", F.lit(0))).drop("n")
 
 
-def flag_mentioned(names: DataFrame, name: str, corpus: DataFrame, text: str, out: str = "mentioned") -> DataFrame:
-    """Does any text contain the name, any case; null when there is no name. For short name lists."""
+def flag_mentioned(names: DataFrame, name: str, corpus: DataFrame, text: str, out: str = "mentioned",
+                   per_pass: int = NEEDLES_PER_PASS) -> DataFrame:
+    """Does any text contain the name, any case; null when there is no name."""
     names = checkpointed(names)
-    needles = names.filter(F.col(name).isNotNull()).select(
-        F.col(name).alias("id"), F.lower(F.col(name)).alias("needle")).distinct()
-    hits = _count_hits(corpus, text, needles, lambda raw, flat, x: F.contains(raw, x["needle"]), ["needle"])
+    hits = _count_hits(corpus, text, _plain_needles(names, name), _holds, ["needle"], per_pass)
     return names.join(hits.withColumnRenamed("id", name), name, "left").withColumn(
         out, F.when(F.col(name).isNotNull(), F.col("n").isNotNull())).drop("n")
 
@@ -74,14 +93,10 @@ def count_catalogue_mentions(corpus: DataFrame, text: str, titles: DataFrame, ti
 
     A phrase pattern allows any blanks between its words, so it is a plain search
     in the text with blanks collapsed; an acronym is searched first and its word
-    edges checked on the few hits. Catalogues are small; one with more than
-    ``per_pass`` titles is split by hash and the corpus read once per part.
+    edges checked on the few hits.
     """
-    probes = titles.select(F.col(title).alias("id")).distinct().withColumn("probe", title_probe(F.col("id"))).select(
-        "id", "probe.*")
-    probes = checkpointed(probes)
-    size = probes.count()
-    passes = max(1, -(-size // per_pass))
+    probes = titles.select(F.col(title).alias("id")).distinct().withColumn("probe", title_probe(F.col("id")))
+    probes = checkpointed(probes.select("id", "probe.*"))
 
     def hit(raw: Column, flat: Column, x: Column) -> Column:
         return (
@@ -90,12 +105,6 @@ def count_catalogue_mentions(corpus: DataFrame, text: str, titles: DataFrame, ti
             .otherwise(F.contains(raw, x["needle"]) & F.rlike(raw, F.concat(F.lit("(?iU)"), x["pattern"])))
         )
 
-    fields = ["kind", "needle", "pattern"]
-    if passes == 1:
-        hits = _count_hits(corpus, text, probes, hit, fields)
-    else:
-        part = F.pmod(F.xxhash64("id"), F.lit(passes))
-        hits = reduce(DataFrame.unionByName, [
-            _count_hits(corpus, text, probes.filter(part == i), hit, fields) for i in range(passes)])
+    hits = _count_hits(corpus, text, probes, hit, ["kind", "needle", "pattern"], per_pass)
     return probes.select("id", "pattern").join(hits, "id", "left").select(
         F.col("id").alias(title), "pattern", F.coalesce("n", F.lit(0)).alias(out))

@@ -58,10 +58,11 @@ def overview(groups: DataFrame, targets: DataFrame, regions: DataFrame, bridges:
         return top_k_per_group(cut, "section", [F.col("n").desc(), F.col("name")], k, "position").select(
             "section", "position", "name", "detail", F.col("n").cast("long").alias("n"))
 
-    blocs = members.groupBy("community").agg(
-        F.array_join(F.sort_array(F.collect_list("group")), ", ").alias("detail"), F.count(F.lit(1)).alias("n"))
-    blocs = blocs.select(F.lit("communities").alias("section"), F.lit(None).cast("int").alias("position"),
-                         F.col("community").alias("name"), "detail", "n")
+    # a row per member, not a list per community: a community has no size limit
+    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    blocs = members.join(sizes, "community").select(
+        F.lit("communities").alias("section"), F.lit(None).cast("int").alias("position"),
+        F.col("community").alias("name"), F.col("group").alias("detail"), "n")
     return (
         top(groups, "groups", 15).unionByName(top(targets, "targets", 15)).unionByName(top(regions, "regions", 15))
         .unionByName(top(bridges, "bridges", 10, "detail")).unionByName(blocs)

@@ -39,12 +39,13 @@ def term_counts(items: DataFrame, group: str, subject: str, order: str, min_bigr
     holders = words.select("g", "w", F.lit(1).alias("late"), "first").unionByName(in_pair)
     # the earliest holder counts, so each holder word is needed once per group
     holders = holders.groupBy("g", "w").agg(F.min(F.struct("late", "first")).alias("at"))
-    length = F.length("w")
-    starts = F.sequence(F.lit(1), length - 2)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(3), length - i + 1), lambda k: F.substring(F.col("w"), i, k))))
-    ruled = holders.select("g", F.explode(F.array_distinct(parts)).alias("w"), "at").groupBy("g", "w").agg(
-        F.min("at").alias("at"))
+    # only substrings as long as some word can be a word; that keeps even a run of thousands of letters cheap
+    lengths = words.agg(F.collect_set(F.length("w"))).scalar()
+    sized = holders.withColumn("_lengths", lengths).select(
+        "g", "w", "at", F.explode(F.filter("_lengths", lambda k: k <= F.length("w"))).alias("k"))
+    starts = F.sequence(F.lit(1), F.length("w") - F.col("k") + 1)
+    parts = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("w"), i, F.col("k"))))
+    ruled = sized.select("g", F.explode(parts).alias("w"), "at").groupBy("g", "w").agg(F.min("at").alias("at"))
     singles = words.join(ruled, ["g", "w"]).filter(
         ~((F.col("at.late") == 0) | (F.col("at.first") < F.col("first")))).select("g", "w", "n")
     return pairs.unionByName(singles).select(F.col("g").alias(group), F.col("w").alias("term"), F.col("n").alias("count"))

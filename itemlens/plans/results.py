@@ -58,7 +58,7 @@ def sql_top(section: str, src: str, k: int, name: str, n: str, detail: str = "NU
 WITH {ITEMS}, g AS (SELECT party AS name, count(*) AS n FROM items GROUP BY 1), t AS (SELECT ministry AS name, count(*) AS n FROM items GROUP BY 1),
 r AS (SELECT state AS name, count(*) AS n FROM items GROUP BY 1),
 b AS (SELECT asker_a || ' / ' || asker_b AS name, group_a || ' / ' || group_b AS detail, joint_items AS n FROM ({SQL_BRIDGES})),
-c AS (SELECT state, string_agg(party, ', ' ORDER BY party) AS detail, count(*) AS n FROM (SELECT DISTINCT state, party FROM items) GROUP BY state)
+c AS (SELECT state, party AS detail, count(*) OVER (PARTITION BY state) AS n FROM (SELECT DISTINCT state, party FROM items))
 {sql_top('groups', 'g', 15, 'name', 'n')} UNION ALL {sql_top('targets', 't', 15, 'name', 'n')}
 UNION ALL {sql_top('regions', 'r', 15, 'name', 'n')} UNION ALL {sql_top('bridges', 'b', 10, 'name', 'n', 'detail')}
 UNION ALL SELECT 'communities', NULL, state, detail, n FROM c
