@@ -65,8 +65,9 @@ def scheme_scrutiny(spark, d):
 # --- catalogue: benchmark texts as entry titles, looked for in the documents ---
 def entries(spark, d):
     i = F.col("item_id")
+    size_class = F.least(F.floor(F.length("text") / 80), F.lit(4))
     return table(spark, d, "benchmark").select(
-        F.concat(F.lit("NATION_"), (i % 5).cast("string")).alias("target"),
+        F.concat(F.lit("NATION_"), size_class.cast("string")).alias("target"),
         F.replace("text", F.lit("\n"), F.lit(" ")).alias("title"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i * 20).cast("int")), "yyyy-MM-dd'T'00:00:00").alias("modified"),
         F.concat(F.lit("<p>Outlay of Rs. "), i.cast("string"), F.lit(",000.5 Crore</p>")).alias("intro"),
@@ -77,7 +78,7 @@ SQL_CATALOGUE = rf"""
 WITH titles AS (SELECT item_id, title, lower(array_to_string(words, ' ')) AS needle FROM ({sql_title_words()})),
 flat AS (SELECT regexp_replace(lower(text), '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g') AS text FROM documents),
 hits AS (SELECT item_id, count(*) AS n FROM titles JOIN flat ON contains(text, needle) GROUP BY item_id)
-SELECT 'NATION_' || (item_id % 5) AS target, title, strftime(DATE '2024-01-01' + (item_id * 20)::INT, '%Y-%m-%d') AS last_modified,
+SELECT 'NATION_' || least(length(title) // 80, 4) AS target, title, strftime(DATE '2024-01-01' + (item_id * 20)::INT, '%Y-%m-%d') AS last_modified,
   round(date_diff('day', DATE '2024-01-01' + (item_id * 20)::INT, DATE '2025-07-01') / 30.44, 1)::DOUBLE AS months_since_update,
   item_id * 1000 + 0.5::DOUBLE AS outlay_rs_cr, coalesce(n, 0) AS mentions, 'page/' || item_id AS page
 FROM titles LEFT JOIN hits USING (item_id)
