@@ -15,7 +15,7 @@ from itemlens.session import checkpointed, planned_once
 
 GAIN = 1e-9
 # edge rows one task can well hold; a graph within it is kept in one part and never shuffled
-EDGES_PER_TASK = 1_000_000
+EDGES_PER_TASK = 250_000
 
 
 def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 20, max_levels: int = 10,

@@ -13,7 +13,7 @@ SLOT_EDGES = 100_000
 # ranks of up to this many nodes (some 50 MB) are sent to every task instead of joined by shuffle
 BROADCAST_NODES = 1_000_000
 # edge rows worth a task of their own
-EDGES_PER_TASK = 1_000_000
+EDGES_PER_TASK = 250_000
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, max_iter: int = 200,
@@ -34,11 +34,14 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
     n_linked = linked.count()
     everywhere = n_linked <= broadcast_nodes
     tasks = _tasks(links, everywhere)
-    links = checkpointed(links.repartition(tasks) if everywhere else links.repartition(tasks, "src", "slot"))
+    laid_out = links.repartition(tasks) if everywhere else links.repartition(tasks, "src", "slot")
+    # kept in memory for the steps; what a lost executor held is read again from the checkpoint
+    links = checkpointed(laid_out).persist()
     lone = nodes.select("id").distinct().join(linked, "id", "left_anti") if nodes is not None else None
     n_lone = lone.count() if lone is not None else 0
     n = n_linked + n_lone
     if n == 0:
+        links.unpersist()
         return linked.select("id", F.lit(None).cast("double").alias("rank"))
 
     ranks = linked.select("id", "slots", F.lit(1.0 / n).alias("rank"))
@@ -56,6 +59,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
             moved = ranks.agg(F.expr("sum(abs(rank - old))")).first()[0]
             if moved + n_lone * abs(lone_rank - lone_before) < tol:
                 break
+    links.unpersist()
     out = ranks.select("id", "rank")
     return out.unionByName(lone.select("id", F.lit(lone_rank).alias("rank"))) if n_lone else out
 
