@@ -28,7 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in blocks of about ``size`` bytes of their second column (a text or binary).
 
     Keeps what a task holds at a time independent of how many rows a batch has. A row is never cut.

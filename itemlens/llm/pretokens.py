@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -161,14 +162,14 @@ class Pieces(dict):
     Holds at most ``limit`` entries (checked between blocks): beyond it the table starts anew.
     """
 
-    def __init__(self, encode, limit: int = 1_000_000):
+    def __init__(self, encode, limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.reset()
 
     def reset(self):
         self.clear()
-        self.ids: list[int] = []
-        self.starts: list[int] = []
+        self.ids = array("i")
+        self.starts = array("q")
         self.known = 0
 
     def __missing__(self, piece: str) -> int:
