@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, lists, strings
+from itemlens.llm.common import blocks, documents, kept, lists, strings
 from itemlens.llm.pretokens import Encoder
 
 
@@ -63,7 +63,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         sizes = np.zeros(max(ranks.values()) + 1, np.int32)
         for token, rank in ranks.items():
             sizes[rank] = len(token)
-        encoder = Encoder.kept(ranks_path, lambda: Encoder(lambda piece: merged(piece.encode(), ranks)))
+        encoder = kept(f"bpe {ranks_path}", lambda: Encoder(lambda piece: merged(piece.encode(), ranks)))
         for batch in blocks(batches):
             ids, counts = encoder.block(strings(batch.column(1)))
             ends = np.cumsum(sizes[ids], dtype=np.int64)

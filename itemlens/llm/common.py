@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -44,6 +45,14 @@ def blocks(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[p
             at = end
 
 
+def kept(key: str, make):
+    """What ``make`` gives, made once in a Python worker and kept there for its next tasks."""
+    held = sys.__dict__.setdefault("_itemlens_kept", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of a column, null as empty."""
     return [x or "" for x in column.to_pylist()]

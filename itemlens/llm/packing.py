@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, stored, strings
+from itemlens.llm.common import blocks, documents, kept, stored, strings
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,7 +42,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = encoding(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = kept(f"packing {path}", lambda: encoding(path)), TaskContext.get().partitionId(), 0
         for batch in blocks(batches):
             ids = [np.array(encoder.encode_ordinary(x) + [end_id], "<u4") for x in strings(batch.column(1))]
             n = np.fromiter(map(len, ids), np.int64, len(ids))

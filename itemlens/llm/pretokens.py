@@ -194,14 +194,6 @@ class Encoder:
         self.pre = PreTokenizer()
         self.pieces = Pieces(encode)
 
-    @staticmethod
-    def kept(key: str, make):
-        """An encoder that stays in the Python worker for its next tasks, so that these find the cache warm."""
-        held = sys.__dict__.setdefault("_itemlens_encoders", {})
-        if key not in held:
-            held[key] = make()
-        return held[key]
-
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, ids per text)"""
         parts, owner = [], []

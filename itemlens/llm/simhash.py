@@ -57,7 +57,8 @@ def segment_counts(fp: Column, bits: int) -> Column:
     """The bit counts of all segments of ``bits`` (1, 2 or 4) bits, each in the place of its segment."""
     both = lambda x, mask: x.bitwiseAND(F.lit(mask))
     if bits >= 2:
-        fp = both(fp, 0x5555555555555555) + both(F.shiftrightunsigned(fp, 1), 0x5555555555555555)
+        a, b = both(fp, 0x5555555555555555), both(F.shiftrightunsigned(fp, 1), 0x5555555555555555)
+        fp = a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))  # their sum, which could overflow
     if bits == 4:
         fp = both(fp, 0x3333333333333333) + both(F.shiftrightunsigned(fp, 2), 0x3333333333333333)
     return fp
@@ -68,31 +69,26 @@ def grid_cells(counts: Column, bits: int, groups: int) -> Column:
     name, and the cells one step away (``change``: the segment changed, -1 none; ``up``: by plus one)."""
     total = 64 // bits
     edges = [round(g * total / groups) for g in range(groups + 1)]
+    return F.concat(*[_cells_of_run(counts, bits, g, range(edges[g], edges[g + 1])) for g in range(groups)])
+
+
+def _cells_of_run(counts: Column, bits: int, run: int, inside: range) -> Column:
     field = (1 << bits) - 1
-    out = []
-    for g in range(groups):
-        inside = range(edges[g], edges[g + 1])
-        mask = sum(field << (bits * i) for i in inside)
-        mask -= 1 << 64 if mask >> 63 else 0
-        own = counts.bitwiseAND(F.lit(mask).cast("long"))
-        segs = F.array(*[F.lit(i) for i in inside])
-
-        def moved(i: Column, up: bool, own=own) -> Column:
-            value = F.call_function("shiftrightunsigned", own, i * F.lit(bits)).bitwiseAND(F.lit(field))
-            one = F.call_function("shiftleft", F.lit(1).cast("long"), i * F.lit(bits))
-            # the field stays within 0 to bits, so neither step carries; xor instead of a sum that may overflow
-            rest = own.bitwiseXOR(F.call_function("shiftleft", value, i * F.lit(bits)))
-            new = F.call_function("shiftleft", value + F.lit(1 if up else -1).cast("long"), i * F.lit(bits))
-            cell = rest.bitwiseOR(new)
-            fits = value < F.lit(bits) if up else value > F.lit(0)
-            return F.when(fits, F.struct(F.lit(g).alias("part"), cell.alias("cell"), i.alias("change"), F.lit(up).alias("up")))
-
-        del own
-        steps = F.flatten(F.transform(segs, lambda i, moved=moved: F.array(moved(i, True), moved(i, False))))
-        home = F.array(F.struct(F.lit(g).alias("part"), counts.bitwiseAND(F.lit(mask).cast("long")).alias("cell"),
-                                F.lit(-1).alias("change"), F.lit(False).alias("up")))
-        out.append(F.concat(home, F.filter(steps, lambda x: x.isNotNull())))
-    return F.concat(*out)
+    mask = sum(field << (bits * i) for i in inside)
+    own = counts.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+
+    def cell(value: Column, change: Column, up: bool) -> Column:
+        return F.struct(F.lit(run).alias("part"), value.alias("cell"), change.alias("change"), F.lit(up).alias("up"))
+
+    def steps(i: Column) -> Column:
+        at = i * F.lit(bits)
+        value = F.call_function("shiftrightunsigned", own, at).bitwiseAND(F.lit(field))
+        rest = own.bitwiseXOR(F.call_function("shiftleft", value, at))  # of a field that stays within 0 to bits none carries
+        moved = lambda by: rest.bitwiseOR(F.call_function("shiftleft", value + F.lit(by).cast("long"), at))
+        return F.array(F.when(value < F.lit(bits), cell(moved(1), i, True)), F.when(value > F.lit(0), cell(moved(-1), i, False)))
+
+    found = F.flatten(F.transform(F.array(*[F.lit(i) for i in inside]), steps))
+    return F.concat(F.array(cell(own, F.lit(-1), False)), F.filter(found, lambda x: x.isNotNull()))
 
 
 def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2) -> DataFrame:
