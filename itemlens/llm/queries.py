@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL that some of them must agree with."""
 
-from itemlens.llm import bpe, packing, shards, simhash
+from itemlens.llm import bpe, packing, shards, simhash, substrings
 
-QUERIES = {f.__name__: f for f in (bpe.op1_bpe, simhash.op2_simhash, shards.op5_jump_shards, packing.op10_pack)}
+QUERIES = {f.__name__: f for f in (bpe.op1_bpe, simhash.op2_simhash, substrings.op4_repeats, shards.op5_jump_shards, packing.op10_pack)}
 SQL: dict[str, str] = {}
