@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL that some of them must agree with."""
 
-from itemlens.llm import bpe, multiset, packing, shards, simhash, substrings
+from itemlens.llm import bpe, html_text, multiset, packing, shards, simhash, substrings
 
-QUERIES = {f.__name__: f for f in (bpe.op1_bpe, simhash.op2_simhash, multiset.op3_multiset, substrings.op4_repeats, shards.op5_jump_shards, packing.op10_pack)}
+QUERIES = {f.__name__: f for f in (bpe.op1_bpe, simhash.op2_simhash, multiset.op3_multiset, substrings.op4_repeats, shards.op5_jump_shards, html_text.op7_page_text, packing.op10_pack)}
 SQL: dict[str, str] = {}
