@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,12 +105,12 @@ def merged(parts: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack, at, counts = zstandard.ZstdDecompressor(), None, None
+        pack, unpack, at, counts = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), None, None
 
         def done():
             return pa.RecordBatch.from_arrays(
                 [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()),
-                 pa.array([np.packbits(counts >= 2, bitorder="little").tobytes()], pa.binary())], names=["line", "block", "bitmap"])
+                 pa.array([pack.compress(np.packbits(counts >= 2, bitorder="little").tobytes())], pa.binary())], names=["line", "block", "bitmap"])
 
         for batch in batches:
             for line, block, weight, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -128,13 +129,27 @@ def merged(parts: DataFrame, bits: int) -> DataFrame:
         run, "line int, block int, bitmap binary")
 
 
-def estimate(docs: DataFrame, words: int, bits: int) -> np.ndarray:
-    """The merged sketch, LINES x 2^bits bits whatever the input: is a cell counted twice or more?"""
-    out = np.zeros((LINES, BLOCKS, (1 << (bits - 8)) // 8), np.uint8)
-    for batch in merged(sketches(docs, words, bits), bits).toArrow().to_batches():
-        for line, block, bitmap in zip(*batch.columns):
-            out[line.as_py(), block.as_py()] = np.frombuffer(bitmap.as_buffer(), np.uint8)
-    return out.reshape(LINES, -1)
+def estimate(docs: DataFrame, words: int, bits: int) -> tuple[str, dict[tuple[int, int], bytes]]:
+    """The merged sketch, under a name of its own: is a cell counted twice or more? LINES x 2^bits bits at most,
+    whatever the input, and less as they are kept and sent compressed."""
+    found = merged(sketches(docs, words, bits), bits).collect()
+    return uuid.uuid4().hex, {(line, block): bytes(bitmap) for line, block, bitmap in found}
+
+
+def unpacked(sketch: tuple[str, dict[tuple[int, int], bytes]], bits: int) -> np.ndarray:
+    """The sketch as bitmaps, kept in the Python worker for its next tasks; one at a time."""
+    import zstandard
+
+    name, data = sketch
+    held = kept("sketch", dict)
+    if name not in held:
+        held.clear()
+        out = np.zeros((LINES, BLOCKS, (1 << (bits - 8)) // 8), np.uint8)
+        unpack = zstandard.ZstdDecompressor()
+        for at, bitmap in data.items():
+            out[at] = np.frombuffer(unpack.decompress(bitmap), np.uint8)
+        held[name] = out.reshape(LINES, -1)
+    return held[name]
 
 
 def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
@@ -145,7 +160,7 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
     often it occurs, has more rows than there are parts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = sketch.value, [], 0
+        seen, held, size = unpacked(sketch.value, bits), [], 0
 
         def flush():
             row, doc, h, v, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
