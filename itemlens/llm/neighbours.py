@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 
-def in_order(df: DataFrame, key: Column, before: bool = False, ring: bool = False) -> DataFrame:
+def in_order(df: DataFrame, key: Column, before: bool = False, ring: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """``df`` dealt out by ranges of ``key`` and sorted in each partition, with columns ``#key``, ``#bucket``, ``#ghost``.
 
     Partitions hold buckets one after another. A bucket's rows (ghost 0) are followed by the first row of the next
@@ -18,13 +18,13 @@ def in_order(df: DataFrame, key: Column, before: bool = False, ring: bool = Fals
     bucket (ghost -1) stands ahead. With ``ring`` the first row of all follows the last. Bounds are keys that occur,
     drawn from 20 keys a bucket in the order of a hash, so they and the buckets are the same in every run of a job; at
     100,000 buckets the driver sees two million keys. Keys are whole numbers or strings without nulls; rows of equal
-    keys stay in one bucket, in no fixed order.
+    keys stay in one bucket, in no fixed order. ``keys`` may give the keys alone from a cheaper plan.
     """
     spark = df.sparkSession
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = df.withColumn("#key", key)
     number = isinstance(keyed.schema["#key"].dataType, LongType)
-    keys = keyed.select("#key")
+    keys = keyed.select("#key") if keys is None else keys.toDF("#key")
     drawn = [r[0] for r in keys.distinct().orderBy(F.xxhash64("#key"), "#key").limit(20 * count).collect()]
     ranked = sorted(drawn, key=(lambda x: x) if number else (lambda x: x.encode()))
     least = keys.agg(F.min("#key")).first()[0]
