@@ -158,10 +158,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = df.columns
     rest = [c for c in names if c != text_col]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double, rejected boolean"
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # k vectors of WIDTH a language
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # k vectors of WIDTH a language; plain values need no import
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = Model(**sent.value)
         for batch in parts(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             rows, has = unit_vectors(texts, known.idf)
