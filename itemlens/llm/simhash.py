@@ -16,6 +16,9 @@ from itemlens.llm.components import components
 from itemlens.session import checkpointed
 
 
+SCREEN = 24  # bits that a number of a document id has in the screen of those wanted
+
+
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """XXH64 (UTF-8, seed 42) of each run of ``words`` words, A-Z lower-cased, joined by one space; repeats stay."""
     import xxhash
@@ -92,8 +95,9 @@ def _cells_of_run(counts: Column, bits: int, run: int, inside: range) -> Column:
     return F.concat(F.array(cell(own, F.lit(-1), False)), F.filter(found, lambda x: x.isNotNull()))
 
 
-def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2) -> DataFrame:
-    """(a, b), a < b: the distinct fingerprints of ``fps`` (fp) that differ in at most ``max_bits`` bits.
+def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2, apart: str | None = None) -> DataFrame:
+    """(a, b), a < b: the distinct fingerprints of ``fps`` (fp) that differ in at most ``max_bits`` bits, and in the
+    column ``apart`` if one is given (which must follow from fp).
 
     Each fingerprint becomes the vector of its segments' bit counts. The Manhattan distance of two vectors is at most
     the number of differing bits, so of ``max_bits // 3 + 1`` runs of segments one at least is within distance 2. In a run, vectors within 2
@@ -101,13 +105,17 @@ def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2) -> DataFram
     once a run. The join's condition verifies the bits themselves.
     """
     groups = max_bits // 3 + 1
-    cells = fps.select("fp").distinct().select(
-        "fp", F.inline(grid_cells(segment_counts(F.col("fp"), segment_bits), segment_bits, groups)))
-    a = cells.select("part", "cell", F.col("fp").alias("a"), F.col("change").alias("ca"), F.col("up").alias("ua"))
-    b = cells.select("part", "cell", F.col("fp").alias("b"), F.col("change").alias("cb"), F.col("up").alias("ub"))
+    kept_cols = ["fp", apart] if apart else ["fp"]
+    cells = fps.select(*kept_cols).distinct().select(
+        *kept_cols, F.inline(grid_cells(segment_counts(F.col("fp"), segment_bits), segment_bits, groups)))
+    side = lambda s: cells.select("part", "cell", F.col("fp").alias(s), F.col("change").alias(f"c{s}"), F.col("up").alias(f"u{s}"),
+                                  *([F.col(apart).alias(f"of_{s}")] if apart else []))
+    a, b = side("a"), side("b")
     once = (F.col("ca") == -1) | ((F.col("cb") >= 0) & (
         (F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("ua") != F.col("ub")))))
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    if apart:
+        exact = exact & (F.col("of_a") != F.col("of_b"))
     return a.join(b, ["part", "cell"]).where((F.col("a") < F.col("b")) & exact & once).select("a", "b").distinct()
 
 
@@ -135,46 +143,62 @@ def with_components(fps: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col:
     return fps.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 11, segment_bits: int = 1,
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rounds: tuple[int, ...] = (5, 8, 11),
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): like ``near_duplicates``, but a link is a Jaccard similarity of word shingles.
+    """(id, fp, component_id): like ``near_duplicates``, but a link is a Jaccard similarity of sets of word shingles.
 
-    Fingerprints of ``max_bits`` or fewer differing bits are candidates; texts whose sets of ``words``-word shingles share
-    ``similarity`` of their union are linked. Equal shingle sequences have equal fingerprints, so one text stands for all
-    rows of a fingerprint. Similar texts differ in few bits, not surely in so few: at a similarity of 0.8 and 11 bits some
-    in a hundred pairs are missed, far fewer groups. Sets are compared as sorted 64-bit hashes, computed once for a text that is in
-    any pair; texts without words are alike.
+    Fingerprints that differ in few bits are candidates, and the texts' sets decide. Bits grow in rounds, and a round looks
+    only at fingerprints that no link has brought together yet, so a large group of near copies is joined by its
+    closest pairs and never compared all with all. Equal shingle sequences have equal fingerprints: one text stands for
+    all rows of a fingerprint. Similar texts differ in few bits, not surely in at most the last round's: of pairs at a
+    similarity of 0.8 some are missed, of closer ones hardly any. Nulls and repeats as in ``near_duplicates``.
     """
     fps = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     nodes = checkpointed(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
-    pairs = checkpointed(near_pairs(nodes, max_bits, segment_bits))
+    links, now = None, nodes.withColumn("of", F.col("fp"))
+    for bits in rounds:
+        pairs = checkpointed(near_pairs(now, bits, 1, "of"))
+        new = checkpointed(alike(docs, nodes, pairs, words, similarity, id_col, text_col))
+        links = new if links is None else links.union(new)
+        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        now = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("of"))
+    return with_components(fps, nodes, links, id_col)
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts' sets of shingles have the similarity."""
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = ends.join(nodes, "fp").select("fp", F.col("least").alias("id")).where("id IS NOT NULL")
+    wanted = checkpointed(ends.join(nodes, "fp").select("fp", F.col("least").alias("id")).where("id IS NOT NULL"))
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << SCREEN))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 63).cast("int"))
+    screen = np.zeros((1 << SCREEN) // 63 + 1, np.int64)  # a fixed number of words, the bound of collect and closure
+    for word, some in wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 63).alias("word")).agg(F.bit_or(one)).collect():
+        screen[word] = some
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sets = stored(shingle_sets(texts.join(wanted, "id").select("fp", "text"), words).groupBy("fp").agg(F.first("set").alias("set")), "shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, 1 << 22):
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((screen[at // 63] >> (at % 63)) & 1 == 1))  # few documents are in any pair
+            found = [np.unique(shingle_hashes(x, words)).tobytes() for x in strings(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+
+    found = texts.withColumn("bit", bit).mapInArrow(sets, f"id {kind}, set binary")
+    found = stored(found.join(wanted, "id").groupBy("fp").agg(F.first("set").alias("set")), "shingles")
+    both = pairs.join(found.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a").join(
+        found.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            out.append(both / max(len(p) + len(q) - both, 1))
+            union = len(np.union1d(p, q))
+            out.append((len(p) + len(q) - union) / max(union, 1))
         return pd.Series(out, dtype=float)
 
-    return with_components(fps, nodes, both.where(jaccard("set_a", "set_b") >= similarity).select("a", "b"), id_col)
-
-
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(fp, set binary): the sorted distinct shingle hashes of (fp, text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 1 << 22):
-            sets = [np.unique(shingle_hashes(x, words)).tobytes() for x in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "set"])
-
-    return texts.mapInArrow(run, "fp long, set binary")
+    return both.where(jaccard("set_a", "set_b") >= similarity).select("a", "b")
 
 
 def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
