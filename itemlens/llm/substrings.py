@@ -62,7 +62,7 @@ def cells(h: np.ndarray, line: int, bits: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """(line, block, weight, data): sketches of parts of each partition, sparse. A cell that a part counts once has
-    weight 1, one that it counts more often weight 2; ``data`` are the steps between the block's cells."""
+    weight 1, one that it counts more often weight 2; ``data`` are the steps between the block's cells, byte by byte of all."""
     df = docs.select(F.lit(0).alias("none"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, words: int, bits: int) -> DataFrame:
                         part = own[edges[b]:edges[b + 1]]
                         if len(part):
                             steps = np.diff(part, prepend=np.uint32(b << (bits - 8)))
-                            rows.append((line, b, weight, packer.compress(steps.tobytes())))
+                            rows.append((line, b, weight, packer.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                 names=["line", "block", "weight", "data"])
@@ -118,8 +118,8 @@ def merged(parts: DataFrame, bits: int) -> DataFrame:
                     if at:
                         yield done()
                     at, counts = (line, block), np.zeros(width, np.uint8)
-                steps = np.frombuffer(unpack.decompress(data), np.uint32)
-                own = np.cumsum(steps)
+                planes = np.frombuffer(unpack.decompress(data), np.uint8).reshape(4, -1)
+                own = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
                 counts[own] = np.minimum(counts[own] + weight, 2)
         if at:
             yield done()
@@ -153,7 +153,7 @@ def unpacked(sketch: tuple[str, dict[tuple[int, int], bytes]], bits: int) -> np.
 
 
 def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
-    """(row, id, h, v, pos): windows that the sketch estimates repeated.
+    """(row, id, h, tail): windows that the sketch estimates repeated; ``tail`` has v above and the position below 32 bits.
 
     A part of a partition settles what it can: where it sees a window in several documents, all but the least one's are
     surely to go and come with v = -1 (and any h); so a part sends one document for each window, and no window, however
@@ -165,16 +165,17 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
         def flush():
             row, doc, h, v, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
             held.clear()
-            order = np.lexsort((doc, v, h))
-            row, doc, h, v, pos = (x[order] for x in (row, doc, h, v, pos))
-            new = np.append(True, (h[1:] != h[:-1]) | (v[1:] != v[:-1]))[: len(h)]
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else doc
-            later = doc > least
+            order = np.argsort(h, kind="stable")
+            hs, vs, ds = h[order], v[order], doc[order]
+            new = np.flatnonzero(np.append(True, (hs[1:] != hs[:-1]) | (vs[1:] != vs[:-1]))[: len(hs)])
+            later = np.zeros(len(h), bool)
+            if len(h):
+                later[order] = ds > np.repeat(np.minimum.reduceat(ds, new), np.diff(np.append(new, len(hs))))
             h = np.where(later, row.view(np.uint64) + pos.astype(np.uint64) * np.uint64(ODD[0]), h)
-            v = np.where(later, np.int32(-1), v)
+            tail = np.where(later, np.int64(-1) << 32, v.astype(np.int64) << 32) | pos
+            # in the texts' order, which leaves ids next to each other and the shuffled blocks small
             return pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(doc), pa.array(h.view(np.int64)), pa.array(v, pa.int32()), pa.array(pos.astype(np.int32))],
-                names=["row", "id", "h", "v", "pos"])
+                [pa.array(row), pa.array(doc), pa.array(h.view(np.int64)), pa.array(tail)], names=["row", "id", "h", "tail"])
 
         for batch in blocks(batches, 1 << 22):
             h, v, owner, pos = window_hashes(strings(batch.column(1)), words)
@@ -191,7 +192,7 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("row", "text", "id").mapInArrow(run, "row long, id long, h long, v int, pos int")
+    return docs.select("row", "text", "id").mapInArrow(run, "row long, id long, h long, tail long")
 
 
 def cut(text: str, starts: list[int], words: int) -> tuple[str, int, int]:
@@ -239,9 +240,9 @@ def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 29, id_col: str
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"))
     sketch = spark.sparkContext.broadcast(estimate(plain, words, bits))
     sent = candidates(plain, words, bits, sketch)
-    first = F.min("id").over(Window.partitionBy("h", "v"))
-    starts = sent.withColumn("first", first).where((F.col("v") == -1) | (F.col("id") > F.col("first"))).groupBy("row", "id").agg(
-        F.collect_list("pos").alias("#starts"))
+    first = F.min("id").over(Window.partitionBy("h", F.shiftright("tail", 32)))
+    starts = sent.withColumn("first", first).where((F.col("tail") < 0) | (F.col("id") > F.col("first"))).groupBy("row", "id").agg(
+        F.collect_list(F.col("tail").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("#starts"))
     held = keyed.withColumn("#id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)))
     joined = held.join(starts, (held["#row"] == starts["row"]) & (held["#id"] == starts["id"]), "left").drop("row", "id", "#row", "#id")
     names = [c for c in joined.columns if c != "#starts"]
