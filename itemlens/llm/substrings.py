@@ -15,17 +15,17 @@ from itemlens.llm.common import BLANKS, blocks, documents, kept, strings
 
 LINES = 2  # rows of the sketch
 BLOCKS = 256  # parts that each row is merged in
-HELD = 4_000_000  # windows that a task holds at a time
+HELD = 1_500_000  # windows that a task holds at a time
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, those of the last million kept."""
+    """64-bit hash of each word, a bounded number of them kept."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                 names=["line", "block", "weight", "data"])
 
-        for batch in blocks(batches, 1 << 22):
+        for batch in blocks(batches, 1 << 21):
             held.append(window_hashes(strings(batch.column(1)), words)[0])
             if sum(map(len, held)) >= HELD:
                 yield flush()
@@ -177,7 +177,7 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array(row), pa.array(doc), pa.array(h.view(np.int64)), pa.array(tail)], names=["row", "id", "h", "tail"])
 
-        for batch in blocks(batches, 1 << 22):
+        for batch in blocks(batches, 1 << 21):
             h, v, owner, pos = window_hashes(strings(batch.column(1)), words)
             hit = np.arange(len(h))
             for line in range(LINES):
@@ -241,10 +241,10 @@ def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 29, id_col: str
     sketch = spark.sparkContext.broadcast(estimate(plain, words, bits))
     sent = candidates(plain, words, bits, sketch)
     first = F.min("id").over(Window.partitionBy("h", F.shiftright("tail", 32)))
-    starts = sent.withColumn("first", first).where((F.col("tail") < 0) | (F.col("id") > F.col("first"))).groupBy("row", "id").agg(
-        F.collect_list(F.col("tail").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("#starts"))
+    starts = sent.withColumn("first", first).where((F.col("tail") < 0) | (F.col("id") > F.col("first"))).groupBy(
+        F.col("row").alias("#r"), F.col("id").alias("#i")).agg(F.collect_list(F.col("tail").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("#starts"))
     held = keyed.withColumn("#id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)))
-    joined = held.join(starts, (held["#row"] == starts["row"]) & (held["#id"] == starts["id"]), "left").drop("row", "id", "#row", "#id")
+    joined = held.join(starts, (F.col("#row") == F.col("#r")) & (F.col("#id") == F.col("#i")), "left").drop("#r", "#i", "#row", "#id")
     names = [c for c in joined.columns if c != "#starts"]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names) + ", n_words long, n_removed long"
     place = names.index(text_col)
