@@ -66,9 +66,9 @@ def unit_vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, has
 
 
-def parts(batches, docs: int = 256) -> Iterator[pa.RecordBatch]:
+def parts(batches, docs: int = 64) -> Iterator[pa.RecordBatch]:
     """Rows in blocks of bounded bytes and number, the text second."""
-    for block in blocks(batches, 1 << 20):
+    for block in blocks(batches, 1 << 18):
         for at in range(0, len(block), docs):
             yield block.slice(at, docs)
 

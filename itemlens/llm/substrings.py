@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from itemlens.llm.common import BLANKS, blocks, documents, kept, strings
 
 LINES = 2  # rows of the sketch
 BLOCKS = 256  # parts that each row is merged in
-HELD = 1_500_000  # windows that a task holds at a time
+HELD = 1_000_000  # windows that a task holds at a time
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -88,7 +87,7 @@ def sketches(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                 names=["line", "block", "weight", "data"])
 
-        for batch in blocks(batches, 1 << 21):
+        for batch in blocks(batches, 1 << 20):
             held.append(window_hashes(strings(batch.column(1)), words)[0])
             if sum(map(len, held)) >= HELD:
                 yield flush()
@@ -129,27 +128,22 @@ def merged(parts: DataFrame, bits: int) -> DataFrame:
         run, "line int, block int, bitmap binary")
 
 
-def estimate(docs: DataFrame, words: int, bits: int) -> tuple[str, dict[tuple[int, int], bytes]]:
-    """The merged sketch, under a name of its own: is a cell counted twice or more? LINES x 2^bits bits at most,
-    whatever the input, and less as they are kept and sent compressed."""
+def estimate(docs: DataFrame, words: int, bits: int) -> dict[tuple[int, int], bytes]:
+    """The merged sketch by (line, block): is a cell counted twice or more? LINES x 2^bits bits at most, whatever the
+    input, and less as they are kept and sent compressed."""
     found = merged(sketches(docs, words, bits), bits).collect()
-    return uuid.uuid4().hex, {(line, block): bytes(bitmap) for line, block, bitmap in found}
+    return {(line, block): bytes(bitmap) for line, block, bitmap in found}
 
 
-def unpacked(sketch: tuple[str, dict[tuple[int, int], bytes]], bits: int) -> np.ndarray:
-    """The sketch as bitmaps, kept in the Python worker for its next tasks; one at a time."""
+def unpacked(data: dict[tuple[int, int], bytes], bits: int) -> np.ndarray:
+    """The sketch as bitmaps."""
     import zstandard
 
-    name, data = sketch
-    held = kept("sketch", dict)
-    if name not in held:
-        held.clear()
-        out = np.zeros((LINES, BLOCKS, (1 << (bits - 8)) // 8), np.uint8)
-        unpack = zstandard.ZstdDecompressor()
-        for at, bitmap in data.items():
-            out[at] = np.frombuffer(unpack.decompress(bitmap), np.uint8)
-        held[name] = out.reshape(LINES, -1)
-    return held[name]
+    out = np.zeros((LINES, BLOCKS, (1 << (bits - 8)) // 8), np.uint8)
+    unpack = zstandard.ZstdDecompressor()
+    for at, bitmap in data.items():
+        out[at] = np.frombuffer(unpack.decompress(bitmap), np.uint8)
+    return out.reshape(LINES, -1)
 
 
 def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
@@ -177,7 +171,7 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array(row), pa.array(doc), pa.array(h.view(np.int64)), pa.array(tail)], names=["row", "id", "h", "tail"])
 
-        for batch in blocks(batches, 1 << 21):
+        for batch in blocks(batches, 1 << 20):
             h, v, owner, pos = window_hashes(strings(batch.column(1)), words)
             hit = np.arange(len(h))
             for line in range(LINES):
