@@ -6,8 +6,10 @@ import sys
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from itemlens.session import ensure_checkpoint_dir, table
 
@@ -45,6 +47,28 @@ def blocks(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[p
             at = end
 
 
+SCREEN = 24  # bits of a number in a screen
+
+
+def number(*cols) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << SCREEN))
+
+
+def screen(numbers: DataFrame) -> np.ndarray:
+    """Which of 2^SCREEN ``number`` values the only column has, as words of 63 bits: a fixed size, so it may be collected
+    and sent to all tasks. It lets through every value it was made of, and others by chance."""
+    at = F.col(numbers.columns[0])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 63).cast("int"))
+    out = np.zeros((1 << SCREEN) // 63 + 1, np.int64)
+    for word, some in numbers.groupBy(F.floor(at / 63).alias("word")).agg(F.bit_or(one)).collect():
+        out[word] = some
+    return out
+
+
+def passes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (words[at // 63] >> (at % 63)) & 1 == 1
+
+
 def kept(key: str, make):
     """What ``make`` gives, made once in a Python worker and kept there for its next tasks."""
     held = sys.__dict__.setdefault("_itemlens_kept", {})
@@ -60,8 +84,6 @@ def strings(column: pa.Array) -> list[str]:
 
 def lists(values: pa.Array, lengths) -> pa.ListArray:
     """One list per length out of consecutive values."""
-    import numpy as np
-
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)

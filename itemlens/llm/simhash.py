@@ -11,14 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, stored, strings
+from itemlens.llm.common import blocks, documents, number, passes, screen, stored, strings
 from itemlens.llm.components import components
 from itemlens.session import checkpointed
 
 
-SCREEN = 24  # bits that a number of a document id has in the screen of those wanted
-
-
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """XXH64 (UTF-8, seed 42) of each run of ``words`` words, A-Z lower-cased, joined by one space; repeats stay."""
     import xxhash
@@ -169,22 +166,17 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, simil
     """The pairs (a, b) of fingerprints whose texts' sets of shingles have the similarity."""
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     wanted = checkpointed(ends.join(nodes, "fp").select("fp", F.col("least").alias("id")).where("id IS NOT NULL"))
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << SCREEN))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 63).cast("int"))
-    screen = np.zeros((1 << SCREEN) // 63 + 1, np.int64)  # a fixed number of words, the bound of collect and closure
-    for word, some in wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 63).alias("word")).agg(F.bit_or(one)).collect():
-        screen[word] = some
+    wanted_numbers = screen(wanted.select(number("id").alias("at")))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1 << 21):
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((screen[at // 63] >> (at % 63)) & 1 == 1))  # few documents are in any pair
+            batch = batch.filter(pa.array(passes(wanted_numbers, batch.column(2).to_numpy())))  # few documents are in any pair
             found = [np.unique(shingle_hashes(x, words)).tobytes() for x in strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
 
-    found = texts.withColumn("bit", bit).mapInArrow(sets, f"id {kind}, set binary")
+    found = texts.withColumn("at", number("id")).mapInArrow(sets, f"id {kind}, set binary")
     found = stored(found.join(wanted, "id").groupBy("fp").agg(F.first("set").alias("set")), "shingles")
     both = pairs.join(found.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a").join(
         found.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")

@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import BLANKS, blocks, documents, kept, strings
+from itemlens.llm.common import BLANKS, blocks, documents, kept, number, passes, screen, stored, strings
 
 LINES = 2  # rows of the sketch
 BLOCKS = 256  # parts that each row is merged in
@@ -235,18 +236,28 @@ def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 29, id_col: str
     sketch = spark.sparkContext.broadcast(estimate(plain, words, bits))
     sent = candidates(plain, words, bits, sketch)
     first = F.min("id").over(Window.partitionBy("h", F.shiftright("tail", 32)))
-    starts = sent.withColumn("first", first).where((F.col("tail") < 0) | (F.col("id") > F.col("first"))).groupBy(
-        F.col("row").alias("#r"), F.col("id").alias("#i")).agg(F.collect_list(F.col("tail").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("#starts"))
+    starts = stored(sent.withColumn("first", first).where((F.col("tail") < 0) | (F.col("id") > F.col("first"))).groupBy(
+        F.col("row").alias("#r"), F.col("id").alias("#i")).agg(F.sort_array(F.collect_list(
+            F.col("tail").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias("#starts")), "repeats")
+    # most documents lose nothing: only those that may are dealt out to meet their windows
+    touched = screen(starts.select(number("#r").alias("at")))
+
+    @F.pandas_udf("boolean")
+    def may_lose(at: pd.Series) -> pd.Series:
+        return pd.Series(passes(touched, at.to_numpy()))
+
     held = keyed.withColumn("#id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)))
-    joined = held.join(starts, (F.col("#row") == F.col("#r")) & (F.col("#id") == F.col("#i")), "left").drop("#r", "#i", "#row", "#id")
+    joined = held.where(may_lose(number("#row"))).join(
+        starts, (F.col("#row") == F.col("#r")) & (F.col("#id") == F.col("#i")), "left").drop("#r", "#i", "#row", "#id")
+    whole = held.where(~may_lose(number("#row"))).drop("#row", "#id").withColumn("#starts", F.lit(None).cast("array<int>"))
     names = [c for c in joined.columns if c != "#starts"]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names) + ", n_words long, n_removed long"
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, len(whole), 128):
+                batch = whole.slice(at, 128)
                 texts, lists_ = batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()
                 done = [cut(t or "", s or [], words) if s else (t, len(t.encode().split()) if t else 0, 0)
                         for t, s in zip(texts, lists_)]
@@ -256,7 +267,7 @@ def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 29, id_col: str
                     [*columns, pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())],
                     names=[*names, "n_words", "n_removed"])
 
-    return joined.select(*[f"`{c}`" for c in names], "`#starts`").mapInArrow(run, schema)
+    return joined.unionByName(whole).select(*[f"`{c}`" for c in names], "`#starts`").mapInArrow(run, schema)
 
 
 def op4_repeats(spark: SparkSession, d: str) -> DataFrame:
