@@ -166,8 +166,8 @@ def top_matrix(
 
 
 def two_ended(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
-    """The k highest and k lowest rows by ``value``, with their end and position."""
-    present = checkpointed(df.filter(F.col(value).isNotNull() & (F.col(value) != 0)))
+    """The k highest and k lowest rows by ``value``, with their end and position; rows without a value are left out."""
+    present = checkpointed(df.filter(F.col(value).isNotNull()))
 
     def end(name, order):
         top = present.orderBy(order, F.col(key)).limit(k)

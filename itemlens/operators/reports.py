@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from itemlens import constants as K
 from itemlens.functions.values import in_crore, starred_share
@@ -75,13 +76,17 @@ def overview_external(ratios: DataFrame, named: DataFrame, catalogue: DataFrame,
 
     ``ratios`` (name, value), ``named`` (name, item_mentions, press_mentions),
     ``catalogue`` (name, target, mentions, months), ``regions`` (name, n),
-    ``spotcheck`` (name, value), ``graded`` (name, order, value).
+    ``spotcheck`` (name, value), ``graded`` (name, order, value): all of it is listed, a row per entry of the fixed table
+    of graded schemes. Proposals are ordered by cost and rounded after the cut.
     """
-    def cut(df, section, order, k):
-        one = df.orderBy(*order).limit(k).withColumn("section", F.lit(section))
-        return top_k_per_group(one, "section", order, k, "position").select(
+    def placed(df, section, order):
+        at = F.row_number().over(Window.partitionBy("section").orderBy(*order))
+        return df.withColumn("section", F.lit(section)).withColumn("position", at).select(
             "section", "position", "name", F.col("value").cast("double").alias("value"))
 
+    def cut(df, section, order, k):
+        return placed(df.orderBy(*order).limit(k), section, order)
+
     named, catalogue = checkpointed(named), checkpointed(catalogue)  # small results, each used twice
     desc = [F.col("value").desc(), F.col("name")]
     ends = two_ended(ratios, "value", "name", 8).select(
@@ -93,10 +98,10 @@ def overview_external(ratios: DataFrame, named: DataFrame, catalogue: DataFrame,
     return (
         ends.unionByName(cut(terms.filter("press_mentions = 0"), "terms_one_side", desc, 12))
         .unionByName(cut(terms.filter("press_mentions > 0"), "terms_both_sides", desc, 12))
-        .unionByName(cut(graded, "graded", [F.col("order"), F.col("name")], 1000))
+        .unionByName(placed(graded, "graded", [F.col("order"), F.col("name")]))
         .unionByName(cut(entries, "catalogue", desc, 15))
         .unionByName(stale.select(F.lit("stale").alias("section"), F.lit(None).cast("int").alias("position"),
                                   "name", F.col("value").cast("double").alias("value")))
         .unionByName(cut(regions.withColumnRenamed("n", "value"), "regions", desc, 10))
-        .unionByName(cut(spotcheck.withColumn("value", in_crore(F.col("value"))), "proposals", desc, 10))
+        .unionByName(cut(spotcheck, "proposals", desc, 10).withColumn("value", in_crore(F.col("value"))))
     )

@@ -9,8 +9,6 @@ from itemlens.operators.counting import ranked, top_k_per_group
 from itemlens.session import checkpointed
 
 ALL = "ALL"
-# a vocabulary of up to this many words (some 60 MB) is sent to every task
-BROADCAST_WORDS = 1_000_000
 
 
 def term_counts(items: DataFrame, group: str, subject: str, order: str, min_bigram: int = K.MIN_BIGRAM,
@@ -48,9 +46,6 @@ def term_counts(items: DataFrame, group: str, subject: str, order: str, min_bigr
     starts = F.sequence(F.lit(1), F.length("w") - F.col("k") + 1)
     parts = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("w"), i, F.col("k"))))
     inside = sized.select("g", F.explode(parts).alias("w"), "at")
-    if words.count() <= BROADCAST_WORDS:
-        # few substrings are words themselves; the rest go before the shuffle
-        inside = inside.join(F.broadcast(words.select("g", "w")), ["g", "w"], "left_semi")
     ruled = inside.groupBy("g", "w").agg(F.min("at").alias("at"))
     singles = words.join(ruled, ["g", "w"]).filter(
         ~((F.col("at.late") == 0) | (F.col("at.first") < F.col("first")))).select("g", "w", "n")

@@ -180,10 +180,11 @@ def asker_first_seen(spark, d):
     return C.first_by(items(spark, d, what=False), "member", ["party", "state", "chamber"], [*ORDER, "chamber"])
 
 
-@suite.add("SELECT count(*) AS n_rows, count(nullif(regexp_extract(html, '<h1>([^<]+)', 1), '')) AS n_with_text FROM pages")
+# the quality of a document stands for a text that only some items have
+@suite.add("SELECT count(*) AS n_rows, count(quality) AS n_with_text FROM documents LEFT JOIN labels USING (doc_id)")
 def text_coverage(spark, d):
-    head = F.nullif(F.regexp_extract("html", "<h1>([^<]+)", 1), F.lit(""))
-    return C.text_coverage(table(spark, d, "pages").select(head.alias("head")), "head")
+    marks = table(spark, d, "labels").select("doc_id", "quality")
+    return C.text_coverage(table(spark, d, "documents").select("doc_id").join(marks, "doc_id", "left"), "quality")
 
 
 # a line without discount stands for an item whose asker is not on the roster

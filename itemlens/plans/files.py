@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from itemlens import constants as K
 from itemlens.operators import graph as G
 from itemlens.operators import matching as M
+from itemlens.operators.comparison import distinct_proposals
 from itemlens.plans.base import ITEMS, Suite, items
 from itemlens.plans.network import SQL_EDGES, SQL_NODES, SQL_TOPICS, cells, topics
-from itemlens.plans.outside import SQL_CATALOGUE, SQL_PROPOSALS, card, entries, proposals
+from itemlens.plans.counting import LAST
+from itemlens.plans.outside import SQL_CATALOGUE, card, entries
 from itemlens.plans.people import SQL_REGISTRY, contacts
 from itemlens.plans.results import brief
 from itemlens.session import checkpointed, ensure_checkpoint_dir, table
@@ -48,12 +50,13 @@ SELECT ques_no::INT AS "quesNo", session_no AS "sessionNo", strftime(date, '%Y-%
 """)
 def read_items_a(spark, d):
     path = landed_json(spark, raw_items_a(spark, d))
-    return R.read_items_a(spark, path, multiline=False).withColumn("lead", F.col("member")[0]).drop("member")
+    return R.read_items_a(spark, path).withColumn("lead", F.col("member")[0]).drop("member")
 
 
 def roster_a(spark, d):
-    p = table(spark, d, "part").filter("p_type <> 'PROMO'").groupBy("p_name").agg(
-        F.min("p_brand").alias("b"), F.min("p_type").alias("t"))
+    # some are listed under a name that nobody asks by
+    p = table(spark, d, "part").groupBy("p_name").agg(F.min("p_brand").alias("b"), F.min("p_type").alias("t")).withColumn(
+        "p_name", F.when(F.length("p_name") % 7 == 0, F.reverse("p_name")).otherwise(F.col("p_name")))
     words = F.split("p_name", " ")
     return p.select(F.initcap("p_name").alias("mpFirstLastName"), F.concat_ws(" ", words[1], words[0]).alias("mpLastFirstName"),
                     F.when(F.col("t") != "ECONOMY", F.col("b")).otherwise(F.lit("")).alias("partySname"),
@@ -66,13 +69,13 @@ SELECT 'Lok Sabha' AS chamber, ques_no::INT AS ques_no, session_no, strftime(dat
   subject, 'Dr. ' || subject AS member, 'Dr. ' || subject || '; Second Person' AS all_members,
   CASE WHEN b IS NULL THEN 'Unknown' WHEN t <> 'ECONOMY' THEN b ELSE 'Full ' || b END AS party, 'Full ' || b AS party_full,
   CASE WHEN b IS NULL THEN 'Unknown' ELSE 'Delhi' END AS state, b IS NOT NULL AS matched
-FROM ({SQL_RAW_A}) LEFT JOIN (SELECT p_name, min(p_brand) AS b, min(p_type) AS t FROM part WHERE p_type <> 'PROMO' GROUP BY p_name) ON p_name = subject
+FROM ({SQL_RAW_A}) LEFT JOIN (SELECT p_name, min(p_brand) AS b, min(p_type) AS t FROM part WHERE length(p_name) % 7 <> 0 GROUP BY p_name) ON p_name = subject
 """
 
 
 def enriched_a(spark, d):
-    raw = R.read_items_a(spark, landed_json(spark, raw_items_a(spark, d)), multiline=False)
-    people = M.canonical_roster_a(R.read_roster_a(spark, landed_json(spark, roster_a(spark, d).coalesce(1)), multiline=False))
+    raw = R.read_items_a(spark, landed_json(spark, raw_items_a(spark, d)))
+    people = M.canonical_roster_a(R.read_roster_a(spark, landed_json(spark, roster_a(spark, d))))
     return M.enrich_items_a(raw, M.roster_index(people, ["mpFirstLastName", "mpLastFirstName"], "roster_order"))
 
 
@@ -102,12 +105,12 @@ WITH {ITEMS} SELECT 'Rajya Sabha' AS chamber, ques_no::INT AS ques_no, session_n
 FROM items JOIN supplier ON s_suppkey = member WHERE chamber = 'F'
 """)
 def enrich_items_b(spark, d):
-    raw = R.read_items_b(spark, landed_json(spark, raw_items_b(spark, d)), multiline=False)
+    raw = R.read_items_b(spark, landed_json(spark, raw_items_b(spark, d)))
     now = table(spark, d, "supplier").filter("s_acctbal >= 1000").select(
         F.col("s_suppkey").cast("int").alias("mpsno"), F.col("s_name").alias("partyCode"),
         F.concat(F.lit("Full "), "s_name").alias("party"), F.lit("Keralam").alias("state"), F.lit(None).cast("string").alias("name"))
-    path = landed_json(spark, now.coalesce(1))
-    roster = M.canonical_roster_b(R.read_roster_b(spark, [path, path + "-absent"], multiline=False))
+    path = landed_json(spark, now)
+    roster = M.canonical_roster_b(R.read_roster_b(spark, [path, path + "-absent"]))
     return M.enrich_items_b(raw, roster).drop("raw_name")
 
 
@@ -150,12 +153,12 @@ def read_contacts(spark, d):
 
 
 @suite.add("""
-SELECT CASE p_type WHEN 'PROMO' THEN 'licence' WHEN 'SMALL' THEN 'person' WHEN 'LARGE' THEN 'the of' ELSE 'tion end' END AS scheme,
-  sum(p_size)::DOUBLE AS outlay_rs_cr FROM part WHERE p_type NOT IN ('ECONOMY', 'STANDARD') GROUP BY p_type
+SELECT CASE p_type WHEN 'PROMO' THEN 'licence' WHEN 'SMALL' THEN 'person' WHEN 'LARGE' THEN 'the of' WHEN 'MEDIUM' THEN 'tion end'
+  WHEN 'ECONOMY' THEN 'not asked' ELSE 'nor this' END AS scheme, sum(p_size)::DOUBLE AS outlay_rs_cr FROM part GROUP BY p_type
 """)
 def read_report_card(spark, d):
     rows = card(spark, d).agg(F.collect_list(F.struct("scheme", "outlay_rs_cr", "grade")).alias("disbursal_report_card"))
-    return R.read_report_card(spark, landed_json(spark, rows), multiline=False).select("scheme", "outlay_rs_cr")
+    return R.read_report_card(spark, landed_json(spark, rows)).select("scheme", "outlay_rs_cr")
 
 
 @suite.add(f"SELECT target, title, 'Outlay of Rs. ' || (page[6:]) || ',000.5 Crore' AS intro FROM ({SQL_CATALOGUE})")
@@ -171,15 +174,28 @@ def read_catalogue(spark, d):
             F.col("title").alias("post_title"), F.col("modified").alias("post_modified"), acf.alias("acf_data"),
             F.col("page").alias("post_slug")).alias("p"))
         post[f"NATION_{i}"] = (landed_json(spark, one.select(F.array("p").alias("posts"))), f"n{i}.example")
-    return R.read_catalogue(spark, paths, post, multiline=False).select("target", "title", "intro")
+    return R.read_catalogue(spark, paths, post).select("target", "title", "intro")
 
 
-@suite.add(f"WITH {SQL_PROPOSALS} SELECT proposal_no::VARCHAR AS proposal_no, project_name, investment_cost, status FROM proposals")
+@suite.add(f"""
+SELECT l_orderkey::VARCHAR AS proposal_no, 'project ' || l_partkey AS project_name, l_extendedprice AS investment_cost, l_returnflag AS status
+FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in LAST)}, l_returnflag DESC) = 1
+""")
 def read_proposals(spark, d):
-    rows = proposals(spark, d).withColumn("proposal_no", F.col("proposal_no").cast("string"))
-    paged = rows.select(F.lit(200).alias("status"), F.lit("ok").alias("message"), F.array(F.struct(*rows.columns)).alias("data"))
-    return R.read_proposals(spark, landed_json(spark, paged), envelope=True, multiline=False).select(
-        "proposal_no", "project_name", "investment_cost", "status")
+    """Pages by ship date and line number with every line of an order as a payload of its proposal; the last page and place win."""
+    line = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("proposal_no"), *LAST, F.col("l_returnflag"))
+    payload = F.struct(
+        *LAST, "proposal_no", F.concat(F.lit("project "), F.col("l_partkey").cast("string")).alias("project_name"),
+        F.col("l_extendedprice").alias("investment_cost"), F.col("l_returnflag").alias("status"))
+    # parts in millions: a page holds what a day has of these, however many parts there are
+    key = ["l_shipdate", "l_linenumber", F.floor(F.col("l_partkey") / 1_000_000)]
+    pages = line.groupBy(*key).agg(F.sort_array(F.collect_list(payload)).alias("rows")).orderBy(*key)
+    pages = pages.select(F.lit(200).alias("status"), F.lit("ok").alias("message"), F.transform("rows", lambda r: F.struct(
+        r["proposal_no"].alias("proposal_no"), r["project_name"].alias("project_name"), r["investment_cost"].alias("investment_cost"),
+        r["status"].alias("status"))).alias("data"))
+    raw = R.read_proposals(spark, landed_json(spark, pages), envelope=True)
+    return distinct_proposals(raw, ["load_order"]).select("proposal_no", "project_name", "investment_cost", "status")
 
 
 @suite.add(f"WITH {ITEMS}, {SQL_TOPICS} SELECT party, term, count::INT AS count FROM topics")

@@ -29,7 +29,7 @@ def cells(spark, d):
 
 def topics(spark, d):
     """The most frequent subject words and pairs of every group."""
-    return top_terms_by_group(items(spark, d, spread=True), "party", "subject", "ques_no", 5).drop("rank")
+    return top_terms_by_group(items(spark, d, spread=True), "party", "subject", "ques_no").drop("rank")
 
 
 # part names are two words, none inside another; so a word goes only where a kept pair has it
@@ -40,7 +40,7 @@ topics AS (
   words AS (SELECT g, unnest(t) AS w FROM toks),
   singles AS (SELECT g, w, count(*) AS n FROM words WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.g = words.g AND contains(p.w, words.w)) GROUP BY ALL)
   SELECT g AS party, w AS term, n AS count FROM (SELECT * FROM pairs UNION ALL SELECT * FROM singles)
-  QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, w) <= 5)
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, w) <= 12)
 """
 SQL_NODES = f"""
 SELECT DISTINCT 'party:' || party AS id, 'Party' AS type, party AS label, NULL::VARCHAR AS party, NULL::VARCHAR AS state, NULL::VARCHAR AS chamber FROM items
@@ -144,12 +144,12 @@ def top_bridges(spark, d):
 
 @suite.add("""
 WITH j AS (SELECT DISTINCT l_orderkey, l_linestatus, l_suppkey FROM lineitem WHERE l_linestatus = 'O')
-SELECT least(n, 4) AS n_askers, count(*) AS n_items FROM (SELECT l_orderkey, count(*) AS n FROM j GROUP BY l_orderkey) WHERE n > 1 GROUP BY ALL
+SELECT n AS n_askers, count(*) AS n_items FROM (SELECT l_orderkey, count(*) AS n FROM j GROUP BY l_orderkey) WHERE n > 1 GROUP BY ALL
 """)
 def joint_items(spark, d):
     j = table(spark, d, "lineitem").filter("l_linestatus = 'O'").select("l_orderkey", "l_suppkey").distinct()
     n = j.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return n.groupBy(F.least("n", F.lit(4)).alias("n_askers")).agg(F.count(F.lit(1)).alias("n_items"))
+    return n.groupBy(F.col("n").alias("n_askers")).agg(F.count(F.lit(1)).alias("n_items"))
 
 
 @suite.add(f"""
@@ -195,10 +195,10 @@ def pagerank(spark, d):
 
 
 @suite.add(f"""
-SELECT party AS id, any_value(party_total) AS items FROM ({SQL_LIFT}) WHERE party_total >= 2400 GROUP BY party
+SELECT party AS id, any_value(party_total) AS items FROM ({SQL_LIFT}) WHERE party_total >= 30 GROUP BY party
 """)
 def similarity_nodes(spark, d):
-    return G.similarity_graph(items(spark, d), least=2400)[0]
+    return G.similarity_graph(items(spark, d))[0]
 
 
 @suite.add()

@@ -15,16 +15,16 @@ from itemlens.session import table, texts
 suite = Suite()
 
 # --- graded schemes: the fixed text entries, graded by part type ---
-SCHEME_OF = {"PROMO": "licence", "SMALL": "person", "LARGE": "the of", "MEDIUM": "tion end"}
-GRADE_OF = {"PROMO": "B-", "SMALL": "A", "LARGE": "F", "MEDIUM": "D+"}
+SCHEME_OF = {"PROMO": "licence", "SMALL": "person", "LARGE": "the of", "MEDIUM": "tion end", "ECONOMY": "not asked", "STANDARD": "nor this"}
+GRADE_OF = {"PROMO": "B-", "SMALL": "A", "LARGE": "F", "MEDIUM": "D+", "ECONOMY": "C", "STANDARD": "B"}
 TARGET_OF = {"licence": "NATION_1", "person": "NATION_2", "the of": "NATION_3", "tion end": "NOWHERE", "absent": "NATION_4"}
 
 
 def card(spark, d):
     pick = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col("p_type")]
-    paid = F.sum(F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), F.col("p_size")))
+    paid = F.sum(F.when(F.col("p_type") != "MEDIUM", F.col("p_size") - 1))
     return (
-        table(spark, d, "part").filter(pick(SCHEME_OF).isNotNull()).groupBy("p_type")
+        table(spark, d, "part").groupBy("p_type")
         .agg(F.sum("p_size").cast("double").alias("outlay_rs_cr"), paid.cast("double").alias("disbursed_rs_cr"))
         .select(pick(SCHEME_OF).alias("scheme"), "outlay_rs_cr", "disbursed_rs_cr", pick(GRADE_OF).alias("grade"),
                 F.col("p_type").alias("evidence"))
@@ -43,10 +43,10 @@ def sql_case(x: str, table_: dict, other: str = "NULL") -> str:
 SQL_GRADED = f"""
 WITH ent AS ({SQL_ENTRIES}), reg AS ({SQL_REGISTRY}),
 card AS (SELECT {sql_case('p_type', SCHEME_OF)} AS scheme, sum(p_size)::DOUBLE AS outlay_rs_cr,
-  sum(p_size) FILTER (WHERE p_brand IN ('Brand#1', 'Brand#2'))::DOUBLE AS disbursed_rs_cr, {sql_case('p_type', GRADE_OF)} AS grade,
-  p_type AS evidence FROM part WHERE p_type <> 'ECONOMY' AND p_type <> 'STANDARD' GROUP BY p_type)
+  sum(CASE WHEN p_type <> 'MEDIUM' THEN p_size - 1 END)::DOUBLE AS disbursed_rs_cr, {sql_case('p_type', GRADE_OF)} AS grade,
+  p_type AS evidence FROM part GROUP BY p_type)
 SELECT name AS scheme, t.ministry, coalesce(contact_name, '') AS contact_name, coalesce(total_items, 0) AS total_items, mentions,
-  outlay_rs_cr, disbursed_rs_cr, round(100 * disbursed_rs_cr / outlay_rs_cr, 2) AS disbursed_pct, grade, evidence,
+  outlay_rs_cr, disbursed_rs_cr, coalesce(round(100 * disbursed_rs_cr / outlay_rs_cr, 2), CASE WHEN outlay_rs_cr > 0 THEN 0.0 END) AS disbursed_pct, grade, evidence,
   CASE grade WHEN 'A' THEN 0 WHEN 'B-' THEN 3 WHEN 'D+' THEN 5 WHEN 'F' THEN 7 ELSE 99 END AS grade_order
 FROM (SELECT *, {sql_case('name', TARGET_OF)} AS ministry FROM ent) t LEFT JOIN card ON scheme = name
 LEFT JOIN reg ON reg.ministry = t.ministry
@@ -134,7 +134,7 @@ def proposals(spark, d):
         F.lit('[{"label":"Activity","value":"'), "p_type", F.lit('"}]'))).otherwise(F.lit("[]"))
     return last.join(part, "l_partkey").join(home, "l_suppkey").select(
         "proposal_no", F.when(F.col("r_name") != "EUROPE", F.concat(F.lit(" "), F.lower("r_name"))).alias("state_name"),
-        status.alias("status"), F.when(flag != "R", F.col("l_extendedprice")).alias("investment_cost"),
+        status.alias("status"), F.when(flag != "R", F.col("l_extendedprice") * 10000).alias("investment_cost"),
         project_name().alias("project_name"), activity.alias("other_property"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm").alias("start_date"))
 
@@ -144,7 +144,7 @@ proposals AS (
   SELECT l_orderkey AS proposal_no, CASE WHEN r_name = 'EUROPE' THEN 'Unknown' WHEN r_name = 'MIDDLE EAST' THEN 'Middle East'
     ELSE upper(r_name[1]) || lower(r_name[2:]) END AS region,
     CASE l_returnflag WHEN 'A' THEN 'EC Granted' WHEN 'N' THEN 'Under Examination' END AS status,
-    CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END AS investment_cost, {SQL_PROJECT} AS project_name,
+    CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * 10000 END AS investment_cost, {SQL_PROJECT} AS project_name,
     {SQL_COMPANY} AS company, CASE WHEN p_type <> 'MEDIUM' THEN p_type END AS activity, strftime(l_shipdate, '%Y-%m-%d') AS start_date
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in LAST)}) AS rn FROM lineitem)
   JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
@@ -170,13 +170,15 @@ def proposals_by_region(spark, d):
 
 
 def region_volumes(spark, d):
-    rows = items(spark, d).filter((F.col("ministry") == "Brand#7") & (F.col("state") != "ASIA"))
-    return C.count_by(rows.select(F.col("state").alias("region")), "region", out="items")
+    # one region goes by a name that the proposals do not have
+    name = F.when(F.col("state") == "ASIA", F.lit("FAR EAST")).otherwise(F.col("state"))
+    rows = items(spark, d).filter(F.col("ministry") == "Brand#7")
+    return C.count_by(rows.select(name.alias("region")), "region", out="items")
 
 
 SQL_REGIONS = f"""
 WITH {ITEMS}, {SQL_PROPOSALS},
-v AS (SELECT state AS region, count(*) AS items FROM items WHERE ministry = 'Brand#7' AND state <> 'ASIA' GROUP BY state),
+v AS (SELECT CASE state WHEN 'ASIA' THEN 'FAR EAST' ELSE state END AS region, count(*) AS items FROM items WHERE ministry = 'Brand#7' GROUP BY ALL),
 p AS (SELECT region, count(*) AS proposals FROM proposals GROUP BY region)
 SELECT coalesce(v.region, p.region) AS region, coalesce(items, 0) AS items, coalesce(proposals, 0) AS proposals,
   CASE WHEN items IS NULL THEN 0.0 ELSE round(items / proposals, 3) END::DOUBLE AS items_per_proposal
@@ -203,12 +205,14 @@ def top_by_value(spark, d):
 
 
 # companies are looked for in the part names, written with the legal form now and then
-SQL_PART_TEXTS = "SELECT CASE WHEN p_size > 20 THEN 'about ' || p_name || ' ltd sites' ELSE p_name END AS text FROM part WHERE p_type <> 'PROMO'"
+SQL_PART_TEXTS = """SELECT CASE WHEN p_type = 'PROMO' THEN 'a text that names nobody' WHEN p_size > 20 THEN 'about ' || p_name || ' ltd sites'
+  ELSE p_name END AS text FROM part"""
 
 
 def part_texts(spark, d):
-    text = F.when(F.col("p_size") > 20, F.concat(F.lit("about "), "p_name", F.lit(" ltd sites"))).otherwise(F.col("p_name"))
-    return table(spark, d, "part").filter("p_type <> 'PROMO'").select(text.alias("text"))
+    text = F.when(F.col("p_type") == "PROMO", F.lit("a text that names nobody")).when(
+        F.col("p_size") > 20, F.concat(F.lit("about "), "p_name", F.lit(" ltd sites"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select(text.alias("text"))
 
 
 SQL_SPOT = f"""

@@ -8,30 +8,34 @@ from itemlens.operators import matching as M
 from itemlens.operators import registry as R
 from itemlens.functions.labels import normalize_name
 from itemlens.plans.base import Suite, sql_flat, sql_trim
-from itemlens.session import table, texts
+from itemlens.session import table
 
 suite = Suite()
 
-# --- names: the first four words of a document; the roster holds the labelled documents ---
+# --- names: a part's name, type and brand; each part is on the roster, and asked for under a spelling of its own ---
 
 
-def named_docs(spark, d):
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), 1, 4)
-    return texts(spark, d, "documents").select(
-        "doc_id", F.col("lang").alias("party"), F.col("source").alias("state"),
-        F.array_join(words, " ").alias("name"), F.array_join(F.reverse(words), " ").alias("reversed"))
-
-
-def roster(spark, d):
-    return named_docs(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+def people(spark, d):
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    words = F.concat(F.split("p_name", " "), F.array(F.lower("p_type"), brand))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_type").alias("party"), F.col("p_brand").alias("state"), (F.col("p_size") % 5).alias("way"),
+        words.alias("w"), F.array_join(words, " ").alias("name"), F.array_join(F.reverse(words), " ").alias("reversed"))
 
 
 def index(spark, d):
-    return M.roster_index(roster(spark, d), ["name", "reversed"], "doc_id")
+    return M.roster_index(people(spark, d).drop("way", "w"), ["name", "reversed"], "id")
 
 
 def asked_names(spark, d):
-    return named_docs(spark, d).select("doc_id", F.concat(F.lit("Dr. "), "name").alias("asker"))
+    """As listed, in reverse, with a word left out, in another order, and somebody nobody knows."""
+    w, way = F.col("w"), F.col("way")
+    dropped = F.array_join(F.filter(w, lambda x, i: i != 2), " ")
+    turned = F.array_join(F.concat(F.slice(w, 3, 2), F.slice(w, 1, 2)), " ")
+    asker = (F.when(way == 0, F.concat(F.lit("Dr. "), "name")).when(way == 1, F.concat(F.lit("Smt. "), "reversed"))
+             .when(way == 2, F.concat(F.lit("Dr. "), dropped)).when(way == 3, turned)
+             .otherwise(F.concat(F.lit("Somebody Unknown "), F.col("id").cast("string"))))
+    return people(spark, d).select("id", asker.alias("asker"))
 
 
 def sql_norm(x: str) -> str:
@@ -39,14 +43,15 @@ def sql_norm(x: str) -> str:
 
 
 SQL_NAMES = rf"""
-words AS (SELECT doc_id, lang, source, regexp_extract_all(text, '\p{{L}}+')[1:4] AS w FROM documents),
-named AS (SELECT doc_id, lang AS party, source AS state, array_to_string(w, ' ') AS name,
-                 array_to_string(list_reverse(w), ' ') AS reversed FROM words),
-keyed AS (SELECT n.*, 0 AS pos, {sql_norm('name')} AS norm FROM named n SEMI JOIN labels USING (doc_id) WHERE name <> ''
-          UNION ALL SELECT n.*, 1, {sql_norm('reversed')} FROM named n SEMI JOIN labels USING (doc_id) WHERE reversed <> ''),
-idx AS (SELECT norm, min((doc_id, pos)) AS first_order, arg_max(party, (doc_id, pos)) AS party,
-               arg_max(state, (doc_id, pos)) AS state FROM keyed GROUP BY norm),
-asked AS (SELECT doc_id, 'Dr. ' || name AS asker, {sql_norm("'Dr. ' || name")} AS norm FROM named),
+words AS (SELECT p_partkey AS id, p_type AS party, p_brand AS state, p_size % 5 AS way,
+                 list_concat(string_split(p_name, ' '), [lower(p_type), lower(replace(p_brand, '#', ''))]) AS w FROM part),
+named AS (SELECT *, array_to_string(w, ' ') AS name, array_to_string(list_reverse(w), ' ') AS reversed FROM words),
+keyed AS (SELECT n.*, 0 AS pos, {sql_norm('name')} AS norm FROM named n UNION ALL SELECT n.*, 1, {sql_norm('reversed')} FROM named n),
+idx AS (SELECT norm, min((id, pos)) AS first_order, arg_max(party, (id, pos)) AS party,
+               arg_max(state, (id, pos)) AS state FROM keyed GROUP BY norm),
+called AS (SELECT id, CASE way WHEN 0 THEN 'Dr. ' || name WHEN 1 THEN 'Smt. ' || reversed WHEN 2 THEN 'Dr. ' || array_to_string(w[1:2] || w[4:4], ' ')
+  WHEN 3 THEN array_to_string(w[3:4] || w[1:2], ' ') ELSE 'Somebody Unknown ' || id END AS asker FROM named),
+asked AS (SELECT id, asker, {sql_norm("asker")} AS norm FROM called),
 rest AS (SELECT DISTINCT norm FROM asked WHERE norm NOT IN (SELECT norm FROM idx)),
 qw AS (SELECT norm AS q, list_distinct(list_filter(string_split(norm, ' '), lambda x: length(x) > 2)) AS qw FROM rest),
 rw AS (SELECT norm AS r, first_order, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS rw FROM idx),
@@ -57,17 +62,16 @@ fuzzy AS (SELECT q AS norm, r AS matched_name, score FROM scored WHERE score >=
 """
 
 
-@suite.add(f"WITH {SQL_NAMES} SELECT norm AS name, first_order.doc_id AS first_doc, party, state FROM idx".replace(
-    "first_order.doc_id", "struct_extract(first_order, 1)"))
+@suite.add(f"WITH {SQL_NAMES} SELECT norm AS name, struct_extract(first_order, 1) AS first_row, party, state FROM idx")
 def roster_index(spark, d):
-    return index(spark, d).select("name", F.col("first_order.doc_id").alias("first_doc"), "party", "state")
+    return index(spark, d).select("name", F.col("first_order.id").alias("first_row"), "party", "state")
 
 
-@suite.add(f"WITH {SQL_NAMES} SELECT doc_id, coalesce(party, 'Unknown') AS party, coalesce(state, 'Unknown') AS state FROM asked LEFT JOIN idx USING (norm)")
+@suite.add(f"WITH {SQL_NAMES} SELECT id, coalesce(party, 'Unknown') AS party, coalesce(state, 'Unknown') AS state FROM asked LEFT JOIN idx USING (norm)")
 def match_exact_name(spark, d):
     names = asked_names(spark, d).withColumn("norm", normalize_name(F.col("asker")))
     hit = M.match_exact_name(names, index(spark, d))
-    return M.fill_unknown(hit.select("doc_id", "party", "state"), ["party", "state"])
+    return M.fill_unknown(hit.select("id", "party", "state"), ["party", "state"])
 
 
 @suite.add(f"WITH {SQL_NAMES} SELECT norm, matched_name, score FROM fuzzy")
@@ -81,7 +85,7 @@ def match_fuzzy_name(spark, d):
 SQL_RESOLVED = f"""
 WITH {SQL_NAMES},
 who AS (SELECT norm, norm AS matched_name FROM idx UNION ALL SELECT norm, matched_name FROM fuzzy)
-SELECT asked.doc_id, asker, w.matched_name, i.party, i.state
+SELECT asked.id, asker, w.matched_name, i.party, i.state
 FROM asked LEFT JOIN who w ON w.norm = asked.norm LEFT JOIN idx i ON i.norm = w.matched_name
 """
 
@@ -92,9 +96,9 @@ def resolved(spark, d):
     return names.join(who, "asker", "left")
 
 
-@suite.add(f"SELECT doc_id, matched_name, coalesce(party, 'Unknown') AS party, coalesce(state, 'Unknown') AS state FROM ({SQL_RESOLVED})")
+@suite.add(f"SELECT id, matched_name, coalesce(party, 'Unknown') AS party, coalesce(state, 'Unknown') AS state FROM ({SQL_RESOLVED})")
 def resolve_names(spark, d):
-    rows = resolved(spark, d).select("doc_id", "matched_name", "party", "state")
+    rows = resolved(spark, d).select("id", "matched_name", "party", "state")
     return M.fill_unknown(rows, ["party", "state"])
 
 
@@ -259,9 +263,9 @@ def release_comparison(spark, d):
 
 @suite.add(f"""
 SELECT 'high' AS "end", row_number() OVER (ORDER BY items_per_press_item DESC, ministry) AS position, ministry, items_per_press_item
-FROM ({SQL_RATIO}) WHERE items_per_press_item > 0 QUALIFY position <= 8 UNION ALL
+FROM ({SQL_RATIO}) WHERE items_per_press_item IS NOT NULL QUALIFY position <= 8 UNION ALL
 SELECT 'low', row_number() OVER (ORDER BY items_per_press_item, ministry) AS position, ministry, items_per_press_item
-FROM ({SQL_RATIO}) WHERE items_per_press_item > 0 QUALIFY position <= 8
+FROM ({SQL_RATIO}) WHERE items_per_press_item IS NOT NULL QUALIFY position <= 8
 """)
 def two_ended_ratio(spark, d):
     rows = R.release_comparison(registry(spark, d)).select("ministry", "items_per_press_item")

@@ -79,18 +79,18 @@ def sql_cut(section: str, src: str, k: int, name: str, value: str, order: str) -
 
 
 @suite.add(f"""
-WITH ratios AS (SELECT * FROM ({SQL_RATIO}) WHERE items_per_press_item > 0), one AS ({sql_side('= 0')}), two AS ({sql_side('> 0')}),
+WITH ratios AS (SELECT * FROM ({SQL_RATIO}) WHERE items_per_press_item IS NOT NULL), one AS ({sql_side('= 0')}), two AS ({sql_side('> 0')}),
 graded AS (SELECT *, coalesce(disbursed_pct, 0) AS v FROM ({SQL_GRADED})), cat AS ({SQL_CATALOGUE}), reg AS ({SQL_REGIONS}), spot AS ({SQL_SPOT}),
 stale AS (SELECT target, count(*) FILTER (WHERE months_since_update > 12) AS n FROM cat GROUP BY target)
 {sql_cut('ratio_high', 'ratios', 8, 'ministry', 'items_per_press_item', 'items_per_press_item DESC')}
 UNION ALL {sql_cut('ratio_low', 'ratios', 8, 'ministry', 'items_per_press_item', 'items_per_press_item')}
 UNION ALL {sql_cut('terms_one_side', 'one', 12, 'term', 'item_mentions', 'item_mentions DESC')}
 UNION ALL {sql_cut('terms_both_sides', 'two', 12, 'term', 'item_mentions', 'item_mentions DESC')}
-UNION ALL {sql_cut('graded', 'graded', 1000, 'scheme', 'v', 'grade_order')}
+UNION ALL SELECT 'graded', (row_number() OVER (ORDER BY grade_order, scheme))::INT, scheme, v::DOUBLE FROM graded
 UNION ALL {sql_cut('catalogue', 'cat', 15, 'title', 'mentions', 'mentions DESC')}
 UNION ALL SELECT 'stale', NULL, target, n::DOUBLE FROM stale
 UNION ALL {sql_cut('regions', 'reg', 10, 'region', 'proposals', 'proposals DESC')}
-UNION ALL SELECT 'proposals', (row_number() OVER (ORDER BY round(investment_cost / 1e7, 0) DESC, proposal_no::VARCHAR))::INT AS position, proposal_no::VARCHAR,
+UNION ALL SELECT 'proposals', (row_number() OVER (ORDER BY investment_cost DESC, proposal_no::VARCHAR))::INT AS position, proposal_no::VARCHAR,
   round(investment_cost / 1e7, 0) FROM spot QUALIFY position <= 10
 """)
 def overview_external(spark, d):

@@ -76,43 +76,37 @@ def named_term_counts(spark, d):
     return named(spark, d)
 
 
-SQL_FREQUENT = f"SELECT * FROM (SELECT * FROM ({SQL_NAMED}) ORDER BY count DESC, term LIMIT 20) WHERE count >= 2"
+SQL_FREQUENT = f"SELECT * FROM (SELECT * FROM ({SQL_NAMED}) ORDER BY count DESC, term LIMIT 80) WHERE count >= 8"
 
 
 @suite.add(SQL_FREQUENT)
 def frequent_named_terms(spark, d):
-    return T.frequent_named_terms(named(spark, d), 20, 2)
+    return T.frequent_named_terms(named(spark, d))
 
 
-SQL_TITLES = "SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"
-SQL_WORDS = f"""
-SELECT w AS term, count(*) AS count FROM (SELECT unnest({SQL_TOKENS}) AS w FROM documents) GROUP BY w ORDER BY count DESC, term LIMIT 80
-"""
-
-
-def page_titles(spark, d):
-    return texts(spark, d, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
+# press titles: each turn of a conversation, each benchmark text, and the last line of each document
+SQL_TITLES = "SELECT text AS title FROM conversations UNION ALL SELECT text FROM benchmark UNION ALL SELECT string_split(text, chr(10))[-1] FROM documents"
 
-def frequent_words(spark, d, k=80):
-    from itemlens.functions.text import tokenize
 
-    words = texts(spark, d, "documents").select(F.explode(tokenize(F.col("text"))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "term").limit(k)
+def press_titles(spark, d):
+    last = F.element_at(F.split("text", "\n"), -1)
+    return (table(spark, d, "conversations").select(F.col("text").alias("title")).union(table(spark, d, "benchmark").select("text"))
+            .union(table(spark, d, "documents").select(last)))
 
 
 @suite.add(f"""
-WITH terms AS ({SQL_WORDS}), titles AS ({SQL_TITLES})
+WITH terms AS ({SQL_FREQUENT}), titles AS ({SQL_TITLES})
 SELECT term, any_value(count) AS count, count(title) AS press_mentions
 FROM terms LEFT JOIN titles ON contains(lower(title), lower(term)) GROUP BY term
 """)
 def count_title_mentions(spark, d):
-    return M.count_title_mentions(page_titles(spark, d), "title", frequent_words(spark, d), "term", "press_mentions")
+    return M.count_title_mentions(
+        press_titles(spark, d), "title", T.frequent_named_terms(named(spark, d)), "term", "press_mentions")
 
 
 def sql_side(cond: str) -> str:
     return f"""
-    WITH terms AS ({SQL_WORDS}), titles AS ({SQL_TITLES}),
+    WITH terms AS ({SQL_FREQUENT}), titles AS ({SQL_TITLES}),
     n AS (SELECT term, any_value(count) AS item_mentions, count(title) AS press_mentions
           FROM terms LEFT JOIN titles ON contains(lower(title), lower(term)) GROUP BY term)
     SELECT * FROM n WHERE press_mentions {cond}
@@ -122,7 +116,7 @@ def sql_side(cond: str) -> str:
 def press_comparison(spark, d):
     from itemlens.operators.comparison import scheme_press_comparison
 
-    return scheme_press_comparison(frequent_words(spark, d), page_titles(spark, d), "title", 80, 8)
+    return scheme_press_comparison(named(spark, d), press_titles(spark, d), "title")
 
 
 @suite.add(sql_side(">= 0 AND item_mentions >= 8"))
@@ -186,11 +180,12 @@ def count_catalogue_mentions(spark, d):
 
 
 @suite.add(f"""
-WITH terms AS (SELECT term FROM ({SQL_WORDS}) UNION ALL SELECT 'zzqx' UNION ALL SELECT NULL)
+WITH terms AS (SELECT DISTINCT p_name AS term FROM part UNION ALL SELECT DISTINCT lang FROM documents UNION ALL SELECT 'zzqx' UNION ALL SELECT NULL)
 SELECT term, CASE WHEN term IS NOT NULL THEN EXISTS (SELECT 1 FROM ({SQL_TITLES}) WHERE contains(lower(title), lower(term))) END AS mentioned
 FROM terms
 """)
 def flag_mentioned(spark, d):
     extra = spark.createDataFrame([("zzqx",), (None,)], "term STRING")
-    names = frequent_words(spark, d).select("term").unionByName(extra)
-    return M.flag_mentioned(names, "term", page_titles(spark, d), "title")
+    names = table(spark, d, "part").select(F.col("p_name").alias("term")).distinct().union(
+        table(spark, d, "documents").select("lang").distinct()).union(extra)
+    return M.flag_mentioned(names, "term", press_titles(spark, d), "title")

@@ -36,51 +36,59 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
-    """``multiline`` reads a file holding one JSON array; big landings are one object per line, which splits."""
+def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
+    """One object per line, which splits; ``multiline`` reads files that hold one JSON array each, a task a file."""
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
 def with_row_order(df: DataFrame, name: str) -> DataFrame:
-    """Order of rows as they lie in the files, for the "first/last row wins" rules of small rosters."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Order of rows as they lie in the files, for the "first/last row wins" rules: by file path, block of the file, place.
 
+    Spark packs files into tasks as it likes, so the place alone would not do; inside a block it rises with the rows.
+    """
+    at = F.col("_metadata")
+    return df.withColumn(name, F.struct(
+        at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place")))
 
-def read_items_a(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+
+ROW_ORDER = "STRUCT<file:STRING, block:BIGINT, place:BIGINT>"
+
+
+def read_items_a(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     return read_json(spark, path, ITEMS_A, multiline)
 
 
-def read_items_b(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_items_b(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     return read_json(spark, path, ITEMS_B, multiline)
 
 
-def read_roster_a(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_roster_a(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     return with_row_order(read_json(spark, path, ROSTER_A, multiline), "roster_order")
 
 
-def read_roster_b(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
+def read_roster_b(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
     """Current and former rosters; absent files are skipped, ``file_order`` tells which file is later."""
     parts = [
         with_row_order(read_json(spark, p, ROSTER_B, multiline), "roster_order").withColumn("file_order", F.lit(i))
         for i, p in enumerate(paths) if path_exists(spark, p)
     ]
     if not parts:
-        return spark.createDataFrame([], ROSTER_B + ", roster_order BIGINT, file_order INT")
+        return spark.createDataFrame([], f"{ROSTER_B}, roster_order {ROW_ORDER}, file_order INT")
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_table(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
-    """Header CSV with a stated schema; quotes as other tools write them."""
+def read_table(spark: SparkSession, path: str, schema: str, missing_ok: bool = False, multiline: bool = False) -> DataFrame:
+    """Header CSV with a stated schema; quotes as other tools write them. ``multiline`` lets values hold line breaks."""
     if missing_ok and not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
+    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=multiline)
 
 
-def read_table_inferred(spark: SparkSession, path: str) -> DataFrame | None:
+def read_table_inferred(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame | None:
     """Header CSV with types taken from all of its rows; None when the file is missing."""
     if not path_exists(spark, path):
         return None
-    return spark.read.csv(path, header=True, inferSchema=True, escape='"', multiLine=True)
+    return spark.read.csv(path, header=True, inferSchema=True, escape='"', multiLine=multiline)
 
 
 def read_press_items(spark: SparkSession, path: str, since: str, kind: str = "release") -> DataFrame:
@@ -89,10 +97,12 @@ def read_press_items(spark: SparkSession, path: str, since: str, kind: str = "re
 
 
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
-    return with_row_order(read_table(spark, path, CONTACTS, missing_ok=True), "contact_order")
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], f"{CONTACTS}, contact_order {ROW_ORDER}")
+    return with_row_order(read_table(spark, path, CONTACTS), "contact_order")
 
 
-def read_report_card(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_report_card(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     return read_json(spark, path, CARD, multiline).select(
         "retrieved", "method", "grade_criteria", F.inline("disbursal_report_card"))
 
@@ -124,20 +134,20 @@ def catalogue_post(raw: DataFrame, target: str, site: str) -> DataFrame:
 
 
 def read_catalogue(spark: SparkSession, core: dict[str, str], post: dict[str, tuple[str, str]],
-                   multiline: bool = True) -> DataFrame:
+                   multiline: bool = False) -> DataFrame:
     """Landed catalogues as one table. ``core``: {target: path}; ``post``: {target: (path, site)}."""
     parts = [catalogue_core(read_json(spark, p, CORE, multiline), t) for t, p in core.items()]
     parts += [catalogue_post(read_json(spark, p, POST, multiline), t, site) for t, (p, site) in post.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_proposals(spark: SparkSession, path: str, envelope: bool = False, multiline: bool = True) -> DataFrame:
-    """Landed proposals, plain or inside ``{status, data}``; ``load_order`` follows the file."""
+def read_proposals(spark: SparkSession, path: str, envelope: bool = False, multiline: bool = False) -> DataFrame:
+    """Landed proposals, plain or in pages ``{status, data}``; ``load_order`` is that of the file, the page and the place in it."""
     if envelope:
         rows = read_json(spark, path, f"status INT, message STRING, data ARRAY<STRUCT<{PROPOSAL_FIELDS}>>",
                          multiline)
-        rows = rows.select(F.posexplode("data").alias("load_order", "p")).select("p.*", "load_order")
-        return rows.withColumn("load_order", F.col("load_order").cast("long"))
+        rows = with_row_order(rows, "page").select("page", F.posexplode("data").alias("place", "p"))
+        return rows.select("p.*", F.struct("page", "place").alias("load_order"))
     return with_row_order(read_json(spark, path, PROPOSAL, multiline), "load_order")
 
 
