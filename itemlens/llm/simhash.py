@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, number, passes, screen, stored, strings
+from itemlens.llm.common import blocks, documents, lists, number, passes, screen, stored, strings
 from itemlens.llm.components import components
 from itemlens.session import checkpointed
 
@@ -173,24 +172,17 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, simil
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1 << 21):
             batch = batch.filter(pa.array(passes(wanted_numbers, batch.column(2).to_numpy())))  # few documents are in any pair
-            found = [np.unique(shingle_hashes(x, words)).tobytes() for x in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+            found = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in strings(batch.column(1))]
+            values = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(pa.array(values), [len(x) for x in found])], names=["id", "set"])
 
-    found = texts.withColumn("at", number("id")).mapInArrow(sets, f"id {kind}, set binary")
+    found = texts.withColumn("at", number("id")).mapInArrow(sets, f"id {kind}, set array<long>")
     found = stored(found.join(wanted, "id").groupBy("fp").agg(F.first("set").alias("set")), "shingles")
     both = pairs.join(found.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a").join(
         found.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
 
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            union = len(np.union1d(p, q))
-            out.append((len(p) + len(q) - union) / max(union, 1))
-        return pd.Series(out, dtype=float)
-
-    return both.where(jaccard("set_a", "set_b") >= similarity).select("a", "b")
+    same = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(same >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - same)).select("a", "b")
 
 
 def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
