@@ -213,7 +213,7 @@ def cut(text: str, starts: list[int], words: int) -> tuple[str, int, int]:
     return "".join(out), len(found), int(len(found) - keep.sum())
 
 
-def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(all columns of ``docs``, the text without repeats; n_words long, n_removed long).
 
     A window is ``words`` consecutive words of one text. Every word goes that a window covers whose word sequence also
