@@ -85,7 +85,7 @@ def compare_by_region(volumes: DataFrame, proposals: DataFrame, region: str = "r
     Regions meet on their lower-cased name, so two spellings of a connecting word
     do not split one region in two. No proposals: null ratio; no items: 0 and 0.0.
     """
-    left = volumes.select(F.lower(region).alias("k"), F.col(region).alias("lr"), n)
+    left = volumes.groupBy(F.lower(region).alias("k")).agg(F.min(region).alias("lr"), F.sum(n).alias(n))
     right = proposals.groupBy(F.lower("region").alias("k")).agg(
         F.min("region").alias("rr"), F.sum("proposals").alias("proposals"))
     ratio = F.when(F.col(n).isNull(), 0.0).otherwise(safe_ratio(F.col(n), F.col("proposals")))

@@ -41,6 +41,8 @@ def cross_tab(cells: DataFrame, row: str, col: str, n: str = "n", values: list |
     Takes the aggregated cells, so the pass over the pivot handles one row per
     cell. Without ``values`` Spark reads the column headers from the data.
     """
+    if not values:
+        cells = checkpointed(cells)  # read for the headers and again for the counts
     pivoted = cells.groupBy(row).pivot(col, values) if values else cells.groupBy(row).pivot(col)
     return pivoted.agg(F.sum(n)).na.fill(0)
 
@@ -141,28 +143,29 @@ def group_shares(items: DataFrame, group: str, n: str = "n") -> DataFrame:
 
 def top_matrix(
     cells: DataFrame, row: str, col: str, n: str = "n",
-    top_cols: int | None = None, top_rows: int | None = None,
+    top_cols: int = K.TOP_MATRIX_COLS, top_rows: int | None = None,
 ) -> DataFrame:
-    """Cross-tab cut to the biggest columns and rows: (row, row_total, values).
+    """Cross-tab cut to the biggest columns and rows: (row, row_total, columns, values), biggest rows first.
 
-    ``values`` follow the kept columns by total descending, ties by name; the row
-    total counts all columns, as the cut is for display only.
+    ``columns`` are the kept ones by total descending, ties by name, and ``values`` follow them; the row total counts
+    all columns, as the cut is for display only.
     """
     cells = checkpointed(cells)  # row totals, column totals, header and values all come from it
     row_totals = cells.groupBy(row).agg(F.sum(n).alias("row_total"))
     col_totals = cells.groupBy(col).agg(F.sum(n).alias("_col_total"))
     if top_rows:
         row_totals = ranked(row_totals, "row_total", row, limit=top_rows)
-    kept_cols = ranked(col_totals, "_col_total", col, limit=top_cols) if top_cols else col_totals
+    kept_cols = ranked(col_totals, "_col_total", col, limit=top_cols)
     # one row: the header, at most top_cols long
     header = kept_cols.agg(
         F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_col_total")).alias("o"), F.col(col).alias("c")))),
                     lambda x: x["c"]))
     kept = cells.join(kept_cols, col, "left_semi").groupBy(row).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(col), F.col(n)))).alias("_cells"))
-    return row_totals.join(kept, row, "left").withColumn("_header", header.scalar()).select(
-        row, "row_total",
-        F.transform("_header", lambda c: F.coalesce(F.col("_cells")[c], F.lit(0))).alias("values"))
+    return row_totals.join(kept, row, "left").withColumn("columns", header.scalar()).select(
+        row, "row_total", "columns",
+        F.transform("columns", lambda c: F.coalesce(F.col("_cells")[c], F.lit(0))).alias("values"),
+    ).orderBy(F.col("row_total").desc(), row)
 
 
 def two_ended(df: DataFrame, value: str, key: str, k: int) -> DataFrame:

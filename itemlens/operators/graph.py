@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlens import constants as K
-from itemlens.functions.labels import or_unknown
 from itemlens.functions.values import node_id
 from itemlens.operators.counting import count_by, first_by, last_by, lift_of_cells, ranked
 from itemlens.operators.pairs import block_pairs, pair_counts, with_key_size
@@ -120,7 +119,7 @@ def cosine_similarity(vectors: DataFrame, group: str, key: str, value: str,
     vectors = checkpointed(vectors.select(group, key, value))
     norms = vectors.groupBy(group).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
     unit = vectors.join(norms.filter("_norm > 0"), group).select(group, key, (F.col(value) / F.col("_norm")).alias("v"))
-    pairs = block_pairs(checkpointed(with_key_size(unit, key)), key, group, ["v"])
+    pairs = block_pairs(checkpointed(with_key_size(unit, key, group)), key, group, ["v"])
     return pairs.groupBy("a", "b").agg(F.sum(F.col("v_a") * F.col("v_b")).alias("similarity")).filter(
         F.col("similarity") > threshold)
 
@@ -144,7 +143,3 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, min_grou
     size = lambda df: df.agg(F.count(F.lit(1))).scalar()
     return kinds.select("nodes", size(edges).alias("edges"), size(min_groups).alias("groups"), "targets", "askers",
                         size(bridges).alias("bridge_pairs"))
-
-
-def fill_blank_keys(items: DataFrame) -> DataFrame:
-    return items.withColumns({c: or_unknown(F.col(c)) for c in ("party", "ministry", "state", "member")})

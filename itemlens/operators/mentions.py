@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemlens import constants as K
 from itemlens.functions.text import title_probe
 from itemlens.session import checkpointed
 
@@ -26,9 +27,12 @@ def any_pattern(patterns: list[str]) -> str:
     return "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def count_pattern_mentions(corpus: DataFrame, text: str, entries: list[tuple[str, list[str]]],
+GRADED = [(name, patterns) for name, _, patterns in K.GRADED_SCHEMES]
+
+
+def count_pattern_mentions(corpus: DataFrame, text: str, entries: list[tuple[str, list[str]]] = GRADED,
                            name: str = "name", out: str = "mentions") -> DataFrame:
-    """Texts with at least one hit per entry of a fixed table, in one pass.
+    """Texts with at least one hit per entry of a fixed table (the graded schemes), in one pass.
 
     ``entries`` is [(name, patterns)]; one aggregate column each, then unpivoted.
     """

@@ -13,6 +13,7 @@ from itemlens.session import checkpointed
 
 SHORT_LIST = 64
 BLOCK = 512
+SLOTS = 16
 
 
 def pair_counts(df: DataFrame, key: str, item: str, out: str = "n",
@@ -34,9 +35,13 @@ def pair_counts(df: DataFrame, key: str, item: str, out: str = "n",
     )
 
 
-def with_key_size(members: DataFrame, key: str) -> DataFrame:
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    return members.join(sizes, key)
+def with_key_size(members: DataFrame, key: str, item: str = "i", slots: int = SLOTS) -> DataFrame:
+    """Members with the size of their key. Counts come per slot of a key, and members meet them slot by slot, so a key
+    with very many members is never in one task."""
+    placed = members.withColumn("_slot", F.pmod(F.xxhash64(item), F.lit(slots)).cast("int"))
+    per_slot = placed.groupBy(key, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = per_slot.groupBy(key).agg(F.sum("_n").alias("_size"))
+    return placed.join(per_slot.join(sizes, key).drop("_n"), [key, "_slot"]).drop("_slot")
 
 
 def list_pairs(items: Column) -> Column:

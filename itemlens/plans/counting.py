@@ -85,13 +85,14 @@ def sql_top_matrix(row: str, col: str, cols: int, rows: int | None) -> str:
     heads AS (SELECT {col}, row_number() OVER (ORDER BY sum(n) DESC, {col}) AS pos FROM cells GROUP BY {col}
               QUALIFY pos <= {cols}),
     tops AS (SELECT {row}, sum(n)::BIGINT AS row_total FROM cells GROUP BY {row} {cut})
-    SELECT {row}, row_total, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY pos) AS vals
+    SELECT {row}, row_total, string_agg({col}, ',' ORDER BY pos) AS cols, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY pos) AS vals
     FROM tops CROSS JOIN heads LEFT JOIN cells USING ({row}, {col}) GROUP BY {row}, row_total
     """
 
 
 def as_text(df):
-    return df.withColumn("vals", F.array_join(F.transform("values", lambda v: v.cast("string")), ",")).drop("values")
+    return df.withColumn("vals", F.array_join(F.transform("values", lambda v: v.cast("string")), ",")).withColumn(
+        "cols", F.array_join("columns", ",")).drop("values", "columns")
 
 
 @suite.add(sql_top_matrix("party", "ministry", 10, None))

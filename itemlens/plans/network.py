@@ -11,7 +11,7 @@ from itemlens.operators.pagerank import pagerank_report
 from itemlens.operators.terms import top_terms_by_group
 from itemlens.plans.base import ITEMS, Suite, askers, items
 from itemlens.plans.counting import SQL_LIFT
-from itemlens.session import checkpointed, table, texts
+from itemlens.session import checkpointed, table
 
 suite = Suite()
 
@@ -29,7 +29,7 @@ def cells(spark, d):
 
 def topics(spark, d):
     """The most frequent subject words and pairs of every group."""
-    return top_terms_by_group(items(spark, d, spread=True), "party", "subject", "ques_no").drop("rank")
+    return top_terms_by_group(items(spark, d), "party", "subject", "ques_no").drop("rank")
 
 
 # part names are two words, none inside another; so a word goes only where a kept pair has it
@@ -104,6 +104,35 @@ def joint_pairs(spark, d):
     return G.joint_asker_pairs(signed, ["ques_no"], "asker")
 
 
+# an order is signed once a day by all suppliers of that day's lines; the last day with more than one counts
+SQL_SIGNED = """
+days AS (SELECT l_orderkey AS ques_no, l_shipdate AS day, list_sort(list_distinct(list(l_suppkey))) AS askers
+         FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) > 1),
+signed AS (SELECT ques_no, arg_max(askers, day) AS askers FROM days GROUP BY ques_no)
+"""
+
+
+def last_signed(spark, d):
+    days = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ques_no"), F.col("l_shipdate").alias("day")).agg(
+        F.sort_array(F.collect_set("l_suppkey")).alias("askers"))
+    return G.last_joint_item(days, ["ques_no"], ["day"])
+
+
+@suite.add(f"WITH {SQL_SIGNED} SELECT ques_no, list_aggregate(askers, 'string_agg', ',') AS askers FROM signed")
+def last_joint_item(spark, d):
+    return last_signed(spark, d).select("ques_no", F.array_join(F.col("askers").cast("array<string>"), ",").alias("askers"))
+
+
+@suite.add(f"""
+WITH {SQL_SIGNED}, s AS (SELECT ques_no, unnest(askers) AS asker FROM signed)
+SELECT a.asker AS asker_a, b.asker AS asker_b, count(*) AS joint_items FROM s a JOIN s b ON a.ques_no = b.ques_no AND a.asker < b.asker GROUP BY ALL
+""")
+def joint_pairs_of_last_items(spark, d):
+    """Pairs of askers where of an item signed more than once only the last counts."""
+    signed = last_signed(spark, d).select("ques_no", F.explode("askers").alias("asker"))
+    return G.joint_asker_pairs(signed, ["ques_no"], "asker")
+
+
 @suite.add(f"WITH {SQL_JOINT} SELECT * FROM joint")
 def joint_asker_pairs(spark, d):
     return joint_pairs(spark, d)
@@ -201,20 +230,45 @@ def similarity_nodes(spark, d):
     return G.similarity_graph(items(spark, d))[0]
 
 
-@suite.add()
+# nations ask about their own region only, so the nations of a region are alike and no others are: the blocs are forced
+SQL_BLOCS = """
+SELECT min(party) OVER (PARTITION BY state) AS community, party AS "group", items, count(*) OVER (PARTITION BY state) AS community_size
+FROM (SELECT party, state, count(*) AS items FROM items GROUP BY ALL)
+"""
+
+
+def blocs(spark, d):
+    """(nodes, their communities) of the nations by the regions they ask about."""
+    rows = items(spark, d, what=False).withColumn("ministry", F.col("state"))
+    nodes, edges = G.similarity_graph(rows)
+    nodes = checkpointed(nodes)
+    return nodes, find_communities(nodes, edges)
+
+
+@suite.add(f"WITH {ITEMS} {SQL_BLOCS}")
 def communities(spark, d):
-    nodes, edges = G.similarity_graph(items(spark, d))
-    return community_table(find_communities(nodes, edges), nodes)
+    nodes, member = blocs(spark, d)
+    return community_table(member, nodes)
 
 
-@suite.add()
+@suite.add("""
+WITH s AS (SELECT source, substr(source, 4)::INT % 4 AS bloc, count(*) AS items FROM documents GROUP BY ALL)
+SELECT min(source) OVER (PARTITION BY bloc) AS community, source AS "group", items, count(*) OVER (PARTITION BY bloc) AS community_size FROM s
+""")
 def communities_by_text(spark, d):
-    """Sources grouped by the languages they publish in more than others do."""
-    docs = texts(spark, d, "documents", "source", "lang").select(F.col("source").alias("party"), F.col("lang").alias("ministry"))
+    """Sources grouped by the topics they publish on, a topic for every fourth source."""
+    topic = (F.substring("source", 4, 9).cast("int") % 4).cast("string")
+    docs = table(spark, d, "documents").select(F.col("source").alias("party"), topic.alias("ministry"))
     nodes, edges = G.similarity_graph(docs, least=1, threshold=0.9)
     return community_table(find_communities(nodes, edges), nodes)
 
 
+@suite.add(f"SELECT * FROM ({SQL_RANKS}) ORDER BY pagerank DESC, node LIMIT 40")
+def top_pagerank(spark, d):
+    edges = G.focus_edges(items(spark, d), topics(spark, d))
+    return C.ranked(pagerank_report(rank_nodes(edges)), "pagerank", "node", limit=40)
+
+
 @suite.add(f"""
 WITH {ITEMS}, {SQL_TOPICS}
 SELECT (SELECT count(*) FROM ({SQL_NODES})) AS nodes, (SELECT count(*) FROM ({SQL_EDGES})) AS edges,

@@ -8,7 +8,7 @@ from itemlens.operators import comparison as O
 from itemlens.operators.registry import release_comparison
 from itemlens.plans.base import CHAMBERS, ITEMS, Suite, items
 from itemlens.plans.counting import SQL_LIFT
-from itemlens.plans.network import SQL_BRIDGES, SQL_TOPICS, bridges, topics
+from itemlens.plans.network import SQL_BLOCS, SQL_BRIDGES, SQL_TOPICS, blocs, bridges, topics
 from itemlens.plans.outside import (
     SQL_CATALOGUE, SQL_GRADED, SQL_REGIONS, SQL_SPOT, graded, proposals, region_volumes, scrutiny, spotcheck,
 )
@@ -18,12 +18,11 @@ from itemlens.plans.texts import press_comparison, sql_side
 suite = Suite()
 
 
-# the community of a group is its region here, so that SQL can follow
 SQL_BRIEF = f"""
 WITH {ITEMS}, {SQL_TOPICS},
 s AS (SELECT party, count(*) FILTER (WHERE chamber = 'O') AS chamber_a, count(*) FILTER (WHERE chamber = 'F') AS chamber_b, count(*) AS total,
-        count(*) FILTER (WHERE type = 'A') AS starred, count(*) FILTER (WHERE type = 'N') AS unstarred, any_value(state) AS community
-      FROM items GROUP BY party HAVING count(*) >= 50),
+        count(*) FILTER (WHERE type = 'A') AS starred, count(*) FILTER (WHERE type = 'N') AS unstarred, any_value(community) AS community
+      FROM items JOIN (SELECT community, "group" FROM ({SQL_BLOCS})) ON "group" = party GROUP BY party HAVING count(*) >= 50),
 sig AS (SELECT party, string_agg(ministry || '=' || questions, ',' ORDER BY lift DESC, questions DESC, ministry) AS signature FROM (
   SELECT * FROM ({SQL_LIFT}) WHERE questions >= 10 QUALIFY row_number() OVER (PARTITION BY party ORDER BY lift DESC, questions DESC, ministry) <= 8)
   GROUP BY party),
@@ -38,7 +37,7 @@ def brief(spark, d):
     rows = items(spark, d)
     return R.group_brief(
         C.group_summary(rows, chambers=CHAMBERS, total="total"), C.type_cells(rows), C.lift(rows), topics(spark, d),
-        rows.groupBy("party").agg(F.min("state").alias("community")), total="total", starred="A", unstarred="N")
+        blocs(spark, d)[1].select(F.col("id").alias("party"), "community"), total="total", starred="A", unstarred="N")
 
 
 @suite.add(SQL_BRIEF)
@@ -58,10 +57,10 @@ def sql_top(section: str, src: str, k: int, name: str, n: str, detail: str = "NU
 WITH {ITEMS}, g AS (SELECT party AS name, count(*) AS n FROM items GROUP BY 1), t AS (SELECT ministry AS name, count(*) AS n FROM items GROUP BY 1),
 r AS (SELECT state AS name, count(*) AS n FROM items GROUP BY 1),
 b AS (SELECT asker_a || ' / ' || asker_b AS name, group_a || ' / ' || group_b AS detail, joint_items AS n FROM ({SQL_BRIDGES})),
-c AS (SELECT state, party AS detail, count(*) OVER (PARTITION BY state) AS n FROM (SELECT DISTINCT state, party FROM items))
+c AS ({SQL_BLOCS})
 {sql_top('groups', 'g', 15, 'name', 'n')} UNION ALL {sql_top('targets', 't', 15, 'name', 'n')}
 UNION ALL {sql_top('regions', 'r', 15, 'name', 'n')} UNION ALL {sql_top('bridges', 'b', 10, 'name', 'n', 'detail')}
-UNION ALL SELECT 'communities', NULL, state, detail, n FROM c
+UNION ALL SELECT 'communities', NULL, community, "group", community_size FROM c
 """)
 def overview(spark, d):
     rows = items(spark, d)
@@ -69,7 +68,7 @@ def overview(spark, d):
     pairs = bridges(spark, d).select(
         F.concat_ws(" / ", F.col("asker_a").cast("string"), F.col("asker_b").cast("string")).alias("name"),
         F.concat_ws(" / ", "group_a", "group_b").alias("detail"), F.col("joint_items").alias("n"))
-    members = rows.select(F.col("state").alias("community"), F.col("party").alias("group")).distinct()
+    members = blocs(spark, d)[1].select("community", F.col("id").alias("group"))
     return R.overview(by("party"), by("ministry"), by("state"), pairs, members)
 
 

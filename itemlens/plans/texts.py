@@ -189,3 +189,23 @@ def flag_mentioned(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("term")).distinct().union(
         table(spark, d, "documents").select("lang").distinct()).union(extra)
     return M.flag_mentioned(names, "term", press_titles(spark, d), "title")
+
+
+# each part text names a graded scheme by one of its plain words
+SQL_NAMING = """
+SELECT CASE p_size % 4 WHEN 0 THEN 'about IT hardware and ' || p_name WHEN 1 THEN p_name || ' made of speciality or Specialty  steel'
+  WHEN 2 THEN 'Bulk Drug park, white GOODS' ELSE p_name END AS text FROM part
+"""
+
+
+@suite.add(f"""
+SELECT name, (SELECT count(*) FROM ({SQL_NAMING}) WHERE regexp_matches(text, '(?i)' || pattern)) AS mentions FROM (VALUES
+  {', '.join("('" + n.replace("'", "''") + "', '" + '|'.join(f'(?:{p})' for p in ps).replace("'", "''") + "')" for n, ps in M.GRADED)}) v(name, pattern)
+""")
+def graded_mentions(spark, d):
+    """The fixed table of graded schemes against texts, some of which name one."""
+    way = F.col("p_size") % 4
+    text = (F.when(way == 0, F.concat(F.lit("about IT hardware and "), "p_name"))
+            .when(way == 1, F.concat("p_name", F.lit(" made of speciality or Specialty  steel")))
+            .when(way == 2, F.lit("Bulk Drug park, white GOODS")).otherwise(F.col("p_name")))
+    return M.count_pattern_mentions(table(spark, d, "part").select(text.alias("text")), "text")

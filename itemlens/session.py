@@ -1,7 +1,6 @@
 """Reading the input tables and cutting lineage."""
 
 import tempfile
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,16 +10,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str, *cols: str) -> DataFrame:
-    """A table whose rows are costly to work on (long texts), spread over the cores if it is small.
-
-    A file of one row group is read by one task however long its texts are. An
-    input with fewer splits than twice the cores is dealt out again; a bigger one
-    keeps all cores busy as it lies and is never shuffled for this.
-    """
+    """Columns of a table; how its files are split is left to spark.sql.files.maxPartitionBytes."""
     df = table(spark, folder, name)
-    df = df.select(*cols) if cols else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.select(*cols) if cols else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -46,15 +38,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back, lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-@contextmanager
-def planned_once(spark: SparkSession):
-    """Adaptive re-planning off for a loop of one-task steps, where it costs more than the steps."""
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
