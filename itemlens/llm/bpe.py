@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, kept, lists, strings
+from itemlens.llm.common import blocks, bounded, documents, kept, lists, strings
 from itemlens.llm.pretokens import Encoder
 
 
@@ -75,7 +75,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
                 [batch.column(0), pa.array(counts), lists(pa.array(ids), counts), lists(pa.array(offsets), counts)],
                 names=[id_col, "n_tokens", "ids", "offsets"])
 
-    return df.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, n_tokens long, ids array<int>, offsets array<int>")
+    return bounded(df).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, n_tokens long, ids array<int>, offsets array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, keep: list[str]) -> DataFrame:
@@ -116,7 +116,7 @@ def decode(encoded: DataFrame, ranks_path: str, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns[2:], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, d: str) -> DataFrame:

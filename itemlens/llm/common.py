@@ -20,6 +20,20 @@ def documents(spark: SparkSession, folder: str, *cols: str) -> DataFrame:
     return table(spark, folder, "documents").select(*(cols or ("doc_id", "text")))
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded to 4 MB unless the user has set another bound than Spark's 64 MB.
+
+    Texts may be long, and several batches, in Java and in Python, are in memory for each core.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == "67108864b":
+        conf.set(BATCH_BYTES, "4m")
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table below the shared checkpoint folder and read it back, lineage cut.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, kept
+from itemlens.llm.common import blocks, bounded, documents, kept
 
 WIDTH = 1 << 13  # hashed n-grams of 1 to 3 code points
 UNKNOWN = "und"
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, per_language: int = 600, k: int = 4, slack: float = 0.5
             n += int(has.sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH + 1)), pa.array(np.append(seen, n))], names=["gram", "n"])
 
-    df = known.select("id", "text").mapInArrow(frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    df = bounded(known).select("id", "text").mapInArrow(frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     seen = np.zeros(WIDTH + 1)
     for gram, n in df.collect():  # WIDTH + 1 rows
         seen[gram] = n
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     far from it, and those without letters (null or empty ones too), which are ``und`` with score 0; so is all where
     nothing was learned. Columns of these names are replaced; repeated rows give a row each, an empty table an empty one.
     """
-    df = docs.drop("lang_pred", "score", "rejected")
+    df = bounded(docs).drop("lang_pred", "score", "rejected")
     names = df.columns
     rest = [c for c in names if c != text_col]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double, rejected boolean"

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, kept
+from itemlens.llm.common import blocks, bounded, documents, kept
 from itemlens.llm.neighbours import in_order
 from itemlens.llm.substrings import WordHashes
 
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([text_of(w, s) for w, s in zip(wide, signs)])], names=[id_col, "fingerprint"])
 
-    return df.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
+    return bounded(df).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +159,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 list(zip(names, [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]))))
 
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, "
+    return bounded(rows).mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, "
                                 "edited_fingerprint string, near_edited double, near_next double")
 
 

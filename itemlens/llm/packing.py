@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, kept, stored, strings
+from itemlens.llm.common import blocks, bounded, documents, kept, stored, strings
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,7 +52,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
                  pa.array([x.tobytes() for x in ids], pa.binary())], names=[id_col, "part", "before", "n", "ids"])
             before = int(ends[-1])
 
-    return df.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, part long, before long, n long, ids binary")
+    return bounded(df).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, part long, before long, n long, ids binary")
 
 
 def starts(totals: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ class Pieces(dict):
         self.clear()
         self.ids = array("i")
         self.starts = array("q")
-        self.known = 0
+        self.known = -1
 
     def __missing__(self, piece: str) -> int:
         self.starts.append(len(self.ids))

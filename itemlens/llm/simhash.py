@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, documents, lists, number, passes, screen, stored, strings
+from itemlens.llm.common import blocks, bounded, documents, lists, number, passes, screen, stored, strings
 from itemlens.llm.components import components
 from itemlens.session import checkpointed
 
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             fps = [simhash(shingle_hashes(x, words)) for x in strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
-    return df.mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
 def segment_counts(fp: Column, bits: int) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import BLANKS, blocks, documents, kept, number, passes, screen, stored, strings
+from itemlens.llm.common import BLANKS, blocks, bounded, documents, kept, number, passes, screen, stored, strings
 
 LINES = 2  # rows of the sketch
 BLOCKS = 256  # parts that each row is merged in
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, words: int, bits: int) -> DataFrame:
         if sum(map(len, held)):
             yield flush()
 
-    return df.mapInArrow(run, "line int, block int, weight int, data binary")
+    return bounded(df).mapInArrow(run, "line int, block int, weight int, data binary")
 
 
 def merged(parts: DataFrame, bits: int) -> DataFrame:
