@@ -275,3 +275,19 @@ def op4_repeats(spark: SparkSession, d: str) -> DataFrame:
     kept_words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     return remove_repeats(documents(spark, d)).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.array_join(kept_words, " ").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL_REPEATS = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS passage FROM places),
+own AS (SELECT passage, min(doc_id) AS least FROM win GROUP BY passage),
+late AS (SELECT doc_id, p FROM win JOIN own USING (passage) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, p + k AS pos, true AS g FROM late, range(13) r(k)),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+marked AS (SELECT word.doc_id, word, word.pos, coalesce(g, false) AS g FROM word LEFT JOIN gone USING (doc_id, pos)),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE g) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT g) AS t
+         FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
