@@ -45,6 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, share: int = 16) -> DataFrame:
+    """``df``, the small result of a shuffle, in one partition for every ``share`` that was shuffled: fewer files."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // share))
+
+
 def blocks(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in blocks of about ``size`` bytes of their second column (a text or binary).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemlens.llm.common import few
 from itemlens.session import checkpointed
 
 
@@ -20,8 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     the shuffle) joined back, never a list. The driver sees three numbers a round. Null ends, loops and repeated links
     are ignored.
     """
-    now = checkpointed(links.where("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = checkpointed(few(links.where("u <> v").select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = checkpointed(few(small.union(least.select("u", F.col("m").alias("v"))).distinct()))
         before, state = state, _state(now)
         if state == before:
             break

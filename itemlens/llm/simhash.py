@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, bounded, documents, lists, number, passes, screen, stored, strings
+from itemlens.llm.common import blocks, bounded, documents, few, lists, number, passes, screen, stored, strings
 from itemlens.llm.components import components
 from itemlens.session import checkpointed
 
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, segment_
     other columns are left out.
     """
     fps = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+    nodes = checkpointed(few(fps.groupBy("fp").agg(F.min(id_col).alias("least"))))
     pairs = near_pairs(nodes, max_bits, segment_bits)
     return with_components(fps, nodes, pairs, id_col)
 
@@ -150,11 +150,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     similarity of 0.8 some are missed, of closer ones hardly any. Nulls and repeats as in ``near_duplicates``.
     """
     fps = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+    nodes = checkpointed(few(fps.groupBy("fp").agg(F.min(id_col).alias("least"))))
     links, now = None, nodes.withColumn("of", F.col("fp"))
     for bits in rounds:
-        pairs = checkpointed(near_pairs(now, bits, 1, "of"))
-        new = checkpointed(alike(docs, nodes, pairs, words, similarity, id_col, text_col))
+        pairs = checkpointed(few(near_pairs(now, bits, 1, "of")))
+        new = checkpointed(few(alike(docs, nodes, pairs, words, similarity, id_col, text_col).distinct()))
         links = new if links is None else links.union(new)
         roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         now = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("of"))
@@ -164,7 +164,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of fingerprints whose texts' sets of shingles have the similarity."""
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = checkpointed(ends.join(nodes, "fp").select("fp", F.col("least").alias("id")).where("id IS NOT NULL"))
+    wanted = checkpointed(few(ends.join(nodes, "fp").select("fp", F.col("least").alias("id")).where("id IS NOT NULL")))
     wanted_numbers = screen(wanted.select(number("id").alias("at")))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()

@@ -136,15 +136,17 @@ def estimate(docs: DataFrame, words: int, bits: int) -> dict[tuple[int, int], by
     return {(line, block): bytes(bitmap) for line, block, bitmap in found}
 
 
-def unpacked(data: dict[tuple[int, int], bytes], bits: int) -> np.ndarray:
-    """The sketch as bitmaps."""
+def unpack(data: dict[tuple[int, int], bytes], line: int, into: np.ndarray) -> np.ndarray:
+    """One row of the sketch as a bitmap."""
     import zstandard
 
-    out = np.zeros((LINES, BLOCKS, (1 << (bits - 8)) // 8), np.uint8)
-    unpack = zstandard.ZstdDecompressor()
-    for at, bitmap in data.items():
-        out[at] = np.frombuffer(unpack.decompress(bitmap), np.uint8)
-    return out.reshape(LINES, -1)
+    blocks_ = into.reshape(BLOCKS, -1)
+    blocks_[:] = 0
+    reader = zstandard.ZstdDecompressor()
+    for b in range(BLOCKS):
+        if (line, b) in data:
+            blocks_[b] = np.frombuffer(reader.decompress(data[line, b]), np.uint8)
+    return into
 
 
 def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
@@ -155,11 +157,15 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
     often it occurs, has more rows than there are parts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = unpacked(sketch.value, bits), [], 0
+        bitmap, held = np.zeros((1 << bits) // 8, np.uint8), []
 
         def flush():
             row, doc, h, v, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
             held.clear()
+            for line in range(LINES):  # one row of the sketch in memory at a time
+                seen, c = unpack(sketch.value, line, bitmap), cells(h, line, bits)
+                hit = (seen[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1
+                row, doc, h, v, pos = (x[hit] for x in (row, doc, h, v, pos))
             order = np.argsort(h, kind="stable")
             hs, vs, ds = h[order], v[order], doc[order]
             new = np.flatnonzero(np.append(True, (hs[1:] != hs[:-1]) | (vs[1:] != vs[:-1]))[: len(hs)])
@@ -174,15 +180,8 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
 
         for batch in blocks(batches, 1 << 20):
             h, v, owner, pos = window_hashes(strings(batch.column(1)), words)
-            hit = np.arange(len(h))
-            for line in range(LINES):
-                c = cells(h[hit], line, bits)
-                hit = hit[(seen[line][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1]
-            own = owner[hit]
-            held.append((batch.column(0).to_numpy()[own], batch.column(2).to_numpy()[own], h[hit], v[hit], pos[hit]))
-            size += len(h)
-            if size >= HELD:
-                size = 0
+            held.append((batch.column(0).to_numpy()[owner], batch.column(2).to_numpy()[owner], h, v, pos.astype(np.int32)))
+            if sum(len(x[2]) for x in held) >= HELD:
                 yield flush()
         if held:
             yield flush()
@@ -213,7 +212,7 @@ def cut(text: str, starts: list[int], words: int) -> tuple[str, int, int]:
     return "".join(out), len(found), int(len(found) - keep.sum())
 
 
-def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(all columns of ``docs``, the text without repeats; n_words long, n_removed long).
 
     A window is ``words`` consecutive words of one text. Every word goes that a window covers whose word sequence also
