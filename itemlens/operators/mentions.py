@@ -1,8 +1,8 @@
 """Counting texts that mention patterns, titles or names.
 
-Each text is read once and compared with the whole, bounded list of needles in
-place; only (needle, 1) pairs are shuffled, added up in each task first. The
-needle list arrives as one array value from a scalar subquery.
+Needles and texts meet on short runs of characters (grams): each needle is known by the rarest of its own, a text gives
+all of its distinct ones, and only pairs that share one are compared in full. The corpus is read alike for one needle or
+for millions, and no text is compared with all of them.
 """
 
 from functools import reduce
@@ -14,7 +14,8 @@ from itemlens import constants as K
 from itemlens.functions.text import title_probe
 from itemlens.session import checkpointed
 
-NEEDLES_PER_PASS = 1000
+# characters of a gram; a shorter needle is its own
+GRAM = 4
 
 
 def build_corpus(*parts: DataFrame) -> DataFrame:
@@ -42,26 +43,42 @@ def count_pattern_mentions(corpus: DataFrame, text: str, entries: list[tuple[str
     return one_row.select(F.inline(pairs))
 
 
-def _count_hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str], per_pass: int) -> DataFrame:
-    """(id, n) for needles with hits; ``hit(raw, flat, needle)`` says whether a text has it.
+def _runs(text: Column, k: int) -> Column:
+    """The distinct runs of ``k`` characters of a text, in one scan of it; none if it is shorter."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
-    ``needles`` (id, fields) must be cheap to read again. Lists are short as a
-    rule; one of more than ``per_pass`` is split by hash and the corpus read once
-    per part, so no task ever holds more than a part.
+
+def _hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str]) -> DataFrame:
+    """(id, t1, t2) once for each needle and distinct text that has it; ``hit(raw, flat, needle)`` says so.
+
+    ``needles`` (id, fields with ``needle``) must be cheap to read again. Equal texts are looked at once and known by
+    two hashes; ``_texts`` counts them.
     """
-    passes = max(1, -(-needles.count() // per_pass))
-    part = F.pmod(F.xxhash64("id"), F.lit(passes))
+    grams = needles.withColumn("gram", F.explode(
+        F.when(F.length("needle") >= GRAM, _runs(F.col("needle"), GRAM)).otherwise(F.array("needle"))))
+    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    keys = grams.join(seen, "gram").groupBy("id", *fields).agg(F.min(F.struct("_n", F.xxhash64("gram"), "gram")).alias("k"))
+    keys = checkpointed(keys.select("id", F.struct("id", *fields).alias("x"), F.col("k.gram").alias("gram")))
+    sizes = sorted(r[0] for r in keys.select(F.length("gram")).distinct().collect())  # GRAM + 1 at most
+    texts = _texts(corpus, text)
+    flat_too = F.when(F.col("raw") == F.col("flat"), F.col("raw")).otherwise(F.concat_ws("\n", "raw", "flat"))
+    runs = [_runs(flat_too, k) for k in sizes] or [F.array().cast("array<string>")]
+    found = texts.select("t1", "t2", F.explode(F.concat(*runs)).alias("gram")).join(keys, "gram").select("t1", "t2", "x").distinct()
+    whole = texts.groupBy("t1", "t2").agg(F.first("raw").alias("raw"), F.first("flat").alias("flat"))
+    return found.join(whole, ["t1", "t2"]).where(hit(F.col("raw"), F.col("flat"), F.col("x"))).select(F.col("x.id").alias("id"), "t1", "t2")
+
+
+def _texts(corpus: DataFrame, text: str) -> DataFrame:
     lowered = F.lower(F.col(text))
-    texts = corpus.filter(F.col(text).isNotNull()).select(
-        lowered.alias("raw"), F.regexp_replace(lowered, r"(?U)\s+", " ").alias("flat"))
-    counts = []
-    for i in range(passes):
-        mine = needles if passes == 1 else needles.filter(part == i)
-        listed = mine.agg(F.collect_list(F.struct("id", *fields))).scalar()
-        found = texts.withColumn("needles", listed).select(
-            F.explode(F.filter("needles", lambda x: hit(F.col("raw"), F.col("flat"), x))).alias("x"))
-        counts.append(found.groupBy(F.col("x.id").alias("id")).agg(F.count(F.lit(1)).alias("n")))
-    return reduce(DataFrame.unionByName, counts)
+    return corpus.filter(F.col(text).isNotNull()).select(
+        lowered.alias("raw"), F.regexp_replace(lowered, r"(?U)\s+", " ").alias("flat"),
+        F.xxhash64(lowered).alias("t1"), F.xxhash64(F.lit(1), lowered).alias("t2"))
+
+
+def _count_hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str]) -> DataFrame:
+    """(id, n): the texts that have each needle; needles without any are left out."""
+    copies = _texts(corpus, text).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("m"))
+    return _hits(corpus, text, needles, hit, fields).join(copies, ["t1", "t2"]).groupBy("id").agg(F.sum("m").alias("n"))
 
 
 def _holds(raw: Column, flat: Column, x: Column) -> Column:
@@ -73,26 +90,23 @@ def _plain_needles(df: DataFrame, name: str) -> DataFrame:
         F.col(name).alias("id"), F.lower(F.col(name)).alias("needle")).distinct()
 
 
-def count_title_mentions(corpus: DataFrame, text: str, terms: DataFrame, term: str, out: str,
-                         per_pass: int = NEEDLES_PER_PASS) -> DataFrame:
+def count_title_mentions(corpus: DataFrame, text: str, terms: DataFrame, term: str, out: str) -> DataFrame:
     """Per term: texts that contain it, any case; 0 when none."""
     terms = checkpointed(terms)
-    hits = _count_hits(corpus, text, _plain_needles(terms, term), _holds, ["needle"], per_pass)
+    hits = _count_hits(corpus, text, _plain_needles(terms, term), _holds, ["needle"])
     return terms.join(hits.withColumnRenamed("id", term), term, "left").withColumn(
         out, F.coalesce("n", F.lit(0))).drop("n")
 
 
-def flag_mentioned(names: DataFrame, name: str, corpus: DataFrame, text: str, out: str = "mentioned",
-                   per_pass: int = NEEDLES_PER_PASS) -> DataFrame:
+def flag_mentioned(names: DataFrame, name: str, corpus: DataFrame, text: str, out: str = "mentioned") -> DataFrame:
     """Does any text contain the name, any case; null when there is no name."""
     names = checkpointed(names)
-    hits = _count_hits(corpus, text, _plain_needles(names, name), _holds, ["needle"], per_pass)
-    return names.join(hits.withColumnRenamed("id", name), name, "left").withColumn(
-        out, F.when(F.col(name).isNotNull(), F.col("n").isNotNull())).drop("n")
+    hits = _hits(corpus, text, _plain_needles(names, name), _holds, ["needle"]).select("id").distinct()  # one hit is enough
+    return names.join(hits.select(F.col("id").alias(name), F.lit(True).alias("_hit")), name, "left").withColumn(
+        out, F.when(F.col(name).isNotNull(), F.col("_hit").isNotNull())).drop("_hit")
 
 
-def count_catalogue_mentions(corpus: DataFrame, text: str, titles: DataFrame, title: str, out: str = "mentions",
-                             per_pass: int = NEEDLES_PER_PASS) -> DataFrame:
+def count_catalogue_mentions(corpus: DataFrame, text: str, titles: DataFrame, title: str, out: str = "mentions") -> DataFrame:
     """Per distinct title: texts hit by its derived pattern; 0 when none.
 
     A phrase pattern allows any blanks between its words, so it is a plain search
@@ -109,6 +123,6 @@ def count_catalogue_mentions(corpus: DataFrame, text: str, titles: DataFrame, ti
             .otherwise(F.contains(raw, x["needle"]) & F.rlike(raw, F.concat(F.lit("(?iU)"), x["pattern"])))
         )
 
-    hits = _count_hits(corpus, text, probes, hit, ["kind", "needle", "pattern"], per_pass)
+    hits = _count_hits(corpus, text, probes, hit, ["kind", "needle", "pattern"])
     return probes.select("id", "pattern").join(hits, "id", "left").select(
         F.col("id").alias(title), "pattern", F.coalesce("n", F.lit(0)).alias(out))
