@@ -13,8 +13,9 @@ from itemlens.functions.labels import normalize_type
 from itemlens.session import checkpointed
 
 
-def count_by(df: DataFrame, *keys, out: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+def count_by(df: DataFrame, *keys, out: str = "n", weight: str | None = None) -> DataFrame:
+    """Rows per key; where a row stands for several, ``weight`` names their number."""
+    return df.groupBy(*keys).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias(out))
 
 
 def group_summary(
@@ -23,16 +24,18 @@ def group_summary(
     chamber: str = "chamber",
     chambers: dict | None = None,
     total: str = "total_questions",
+    weight: str | None = None,
 ) -> DataFrame:
     """Items per group: one column per chamber and the total."""
     chambers = chambers or {K.CHAMBER_A: "lok_sabha_questions", K.CHAMBER_B: "rajya_sabha_questions"}
-    per_chamber = [F.count_if(F.col(chamber) == value).alias(out) for value, out in chambers.items()]
-    return items.groupBy(group).agg(*per_chamber, F.count(F.lit(1)).alias(total))
+    n = F.col(weight) if weight else F.lit(1).cast("long")
+    per_chamber = [F.sum(F.when(F.col(chamber) == value, n).otherwise(F.lit(0).cast("long"))).alias(out) for value, out in chambers.items()]
+    return items.groupBy(group).agg(*per_chamber, F.sum(n).alias(total))
 
 
-def cell_counts(df: DataFrame, row: str, col: str, out: str = "n") -> DataFrame:
+def cell_counts(df: DataFrame, row: str, col: str, out: str = "n", weight: str | None = None) -> DataFrame:
     """Long form of a cross-tab: (row, col, n)."""
-    return count_by(df, row, col, out=out)
+    return count_by(df, row, col, out=out, weight=weight)
 
 
 def cross_tab(cells: DataFrame, row: str, col: str, n: str = "n", values: list | None = None) -> DataFrame:
@@ -47,8 +50,8 @@ def cross_tab(cells: DataFrame, row: str, col: str, n: str = "n", values: list |
     return pivoted.agg(F.sum(n)).na.fill(0)
 
 
-def type_cells(items: DataFrame, group: str = "party", kind: str = "type", out: str = "n") -> DataFrame:
-    return cell_counts(items.withColumn(kind, normalize_type(F.col(kind))), group, kind, out)
+def type_cells(items: DataFrame, group: str = "party", kind: str = "type", out: str = "n", weight: str | None = None) -> DataFrame:
+    return cell_counts(items.withColumn(kind, normalize_type(F.col(kind))), group, kind, out, weight)
 
 
 def corpus_totals(items: DataFrame, chamber: str = "chamber", chambers: dict | None = None,
@@ -111,13 +114,13 @@ def first_by(df: DataFrame, key: str, cols: list[str], order: list[str]) -> Data
     return df.groupBy(key).agg(*[F.min_by(c, o).alias(c) for c in cols])
 
 
-def lift(items: DataFrame, group: str = "party", target: str = "ministry", n: str = "questions") -> DataFrame:
+def lift(items: DataFrame, group: str = "party", target: str = "ministry", n: str = "questions", weight: str | None = None) -> DataFrame:
     """n / (target total x group total / all items), three decimals.
 
     Totals are added up from the cells and joined back, not taken over a window:
     a group with very many targets is then never held in one task.
     """
-    cells = cell_counts(items, group, target, n)
+    cells = cell_counts(items, group, target, n, weight)
     return lift_of_cells(cells, group, target, n)
 
 
@@ -135,8 +138,8 @@ def lift_of_cells(cells: DataFrame, group: str, target: str, n: str) -> DataFram
     )
 
 
-def group_shares(items: DataFrame, group: str, n: str = "n") -> DataFrame:
-    per_group = checkpointed(count_by(items, group, out=n))
+def group_shares(items: DataFrame, group: str, n: str = "n", weight: str | None = None) -> DataFrame:
+    per_group = checkpointed(count_by(items, group, out=n, weight=weight))
     total = per_group.agg(F.sum(n)).scalar()
     return per_group.select(group, n, total.alias("total"), (F.col(n) / total).alias("share"))
 

@@ -125,9 +125,9 @@ def cosine_similarity(vectors: DataFrame, group: str, key: str, value: str,
 
 
 def similarity_graph(items: DataFrame, group: str = "party", target: str = "ministry",
-                     least: int = K.MIN_COMMUNITY_ITEMS, threshold: float = K.MIN_SIMILARITY):
+                     least: int = K.MIN_COMMUNITY_ITEMS, threshold: float = K.MIN_SIMILARITY, weight: str | None = None):
     """(nodes, edges) over groups with enough items, joined by the cosine of their lift vectors."""
-    cells = count_by(items, group, target, out="n")
+    cells = count_by(items, group, target, out="n", weight=weight)
     lifts = lift_of_cells(cells, group, target, "n")
     kept = lifts.filter(F.col(f"{group}_total") >= least)
     nodes = kept.groupBy(F.col(group).alias("id")).agg(F.max(f"{group}_total").alias("items"))

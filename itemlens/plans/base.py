@@ -53,6 +53,23 @@ def items(spark: SparkSession, d: str, who: bool = True, what: bool = True) -> D
     return out
 
 
+def item_cells(spark: SparkSession, d: str, who: bool = True, what: bool = True) -> DataFrame:
+    """Counts of items (n_items) by chamber, type and (who) party, state, (what) ministry.
+
+    Lines are counted by their keys first, so only counts are joined, and named counts added up again.
+    """
+    keys = {"chamber": "l_linestatus", "type": "l_returnflag"} | ({"member": "l_suppkey"} if who else {}) | ({"part": "l_partkey"} if what else {})
+    out = table(spark, d, "lineitem").groupBy(*[F.col(c).alias(k) for k, c in keys.items()]).agg(F.count(F.lit(1)).alias("n_items"))
+    names = ["chamber", "type"]
+    if who:
+        out = out.join(askers(spark, d), "member")
+        names += ["party", "state"]
+    if what:
+        out = out.join(table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("ministry")), "part")
+        names += ["ministry"]
+    return out.groupBy(*names).agg(F.sum("n_items").alias("n_items"))
+
+
 def askers(spark: SparkSession, d: str) -> DataFrame:
     """(member, party, state): each supplier with nation and region."""
     nation = table(spark, d, "nation").join(

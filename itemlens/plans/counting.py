@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from itemlens.operators import counting as C
-from itemlens.plans.base import BRANDS, CHAMBERS, ITEMS, TYPES, Suite, items
+from itemlens.plans.base import BRANDS, CHAMBERS, ITEMS, TYPES, Suite, item_cells, items
 from itemlens.session import table
 
 suite = Suite()
@@ -16,7 +16,7 @@ SELECT party, count(*) FILTER (WHERE chamber = 'O') AS chamber_a, count(*) FILTE
 
 
 def summary(spark, d):
-    return C.group_summary(items(spark, d, what=False), chambers=CHAMBERS, total="total")
+    return C.group_summary(item_cells(spark, d, what=False), chambers=CHAMBERS, total="total", weight="n_items")
 
 
 @suite.add(f"SELECT *, rank() OVER (ORDER BY total DESC) AS rank FROM ({SQL_GROUPS})")
@@ -39,12 +39,12 @@ def asker_ranking(spark, d):
 
 @suite.add(f"WITH {ITEMS} SELECT ministry, count(*) AS questions FROM items GROUP BY ministry")
 def target_summary(spark, d):
-    return C.count_by(items(spark, d, who=False), "ministry", out="questions")
+    return C.count_by(item_cells(spark, d, who=False), "ministry", out="questions", weight="n_items")
 
 
 @suite.add(f"WITH {ITEMS} SELECT state, count(*) AS questions FROM items GROUP BY state")
 def region_summary(spark, d):
-    return C.count_by(items(spark, d, what=False), "state", out="questions")
+    return C.count_by(item_cells(spark, d, what=False), "state", out="questions", weight="n_items")
 
 
 def sql_cross(row: str, col: str, values: list[str]) -> str:
@@ -54,27 +54,27 @@ def sql_cross(row: str, col: str, values: list[str]) -> str:
 
 @suite.add(sql_cross("party", "ministry", BRANDS))
 def group_target_matrix(spark, d):
-    return C.cross_tab(C.cell_counts(items(spark, d), "party", "ministry"), "party", "ministry")
+    return C.cross_tab(C.cell_counts(item_cells(spark, d), "party", "ministry", weight="n_items"), "party", "ministry")
 
 
 @suite.add(sql_cross("state", "party", [f"NATION_{i}" for i in range(25)]))
 def region_group_matrix(spark, d):
-    return C.cross_tab(C.cell_counts(items(spark, d, what=False), "state", "party"), "state", "party")
+    return C.cross_tab(C.cell_counts(item_cells(spark, d, what=False), "state", "party", weight="n_items"), "state", "party")
 
 
 @suite.add(sql_cross("state", "ministry", BRANDS))
 def region_target_matrix(spark, d):
-    return C.cross_tab(C.cell_counts(items(spark, d), "state", "ministry"), "state", "ministry")
+    return C.cross_tab(C.cell_counts(item_cells(spark, d), "state", "ministry", weight="n_items"), "state", "ministry")
 
 
 @suite.add(sql_cross("party", "type", TYPES))
 def group_type_matrix(spark, d):
-    return C.cross_tab(C.type_cells(items(spark, d, what=False)), "party", "type")
+    return C.cross_tab(C.type_cells(item_cells(spark, d, what=False), weight="n_items"), "party", "type")
 
 
 @suite.add(f"WITH {ITEMS} SELECT party, ministry, count(*) AS n FROM items GROUP BY ALL")
 def group_target_cells(spark, d):
-    return C.cell_counts(items(spark, d), "party", "ministry")
+    return C.cell_counts(item_cells(spark, d), "party", "ministry", weight="n_items")
 
 
 # values of the cut matrix as text, so that rows compare cell by cell
@@ -97,13 +97,13 @@ def as_text(df):
 
 @suite.add(sql_top_matrix("party", "ministry", 10, None))
 def top_matrix_group_target(spark, d):
-    cells = C.cell_counts(items(spark, d), "party", "ministry")
+    cells = C.cell_counts(item_cells(spark, d), "party", "ministry", weight="n_items")
     return as_text(C.top_matrix(cells, "party", "ministry", top_cols=10))
 
 
 @suite.add(sql_top_matrix("state", "ministry", 10, 3))
 def top_matrix_region_target(spark, d):
-    cells = C.cell_counts(items(spark, d), "state", "ministry")
+    cells = C.cell_counts(item_cells(spark, d), "state", "ministry", weight="n_items")
     return as_text(C.top_matrix(cells, "state", "ministry", top_cols=10, top_rows=3))
 
 
@@ -118,12 +118,12 @@ SELECT party, ministry, questions, mt::BIGINT AS ministry_total, pt::BIGINT AS p
 
 @suite.add(SQL_LIFT)
 def lift(spark, d):
-    return C.lift(items(spark, d))
+    return C.lift(item_cells(spark, d), weight="n_items")
 
 
 @suite.add(f"SELECT * FROM ({SQL_LIFT}) WHERE questions >= 15 ORDER BY lift DESC, questions DESC, party, ministry LIMIT 60")
 def signature_targets(spark, d):
-    rows = C.lift(items(spark, d)).filter(F.col("questions") >= 15)
+    rows = C.lift(item_cells(spark, d), weight="n_items").filter(F.col("questions") >= 15)
     return rows.orderBy(F.col("lift").desc(), F.col("questions").desc(), "party", "ministry").limit(60)
 
 
@@ -132,12 +132,12 @@ WITH {ITEMS} SELECT party, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total
 FROM items GROUP BY party
 """)
 def group_shares(spark, d):
-    return C.group_shares(items(spark, d, what=False), "party")
+    return C.group_shares(item_cells(spark, d, what=False), "party", weight="n_items")
 
 
 @suite.add(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY party ORDER BY lift DESC, questions DESC, ministry) AS rank FROM ({SQL_LIFT}) WHERE questions >= 10) WHERE rank <= 8")
 def top_lift_per_group(spark, d):
-    rows = C.lift(items(spark, d)).filter(F.col("questions") >= 10)
+    rows = C.lift(item_cells(spark, d), weight="n_items").filter(F.col("questions") >= 10)
     return C.top_k_per_group(rows, "party", [F.col("lift").desc(), F.col("questions").desc(), F.col("ministry")], 8)
 
 

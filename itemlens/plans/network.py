@@ -9,7 +9,7 @@ from itemlens.operators.communities import community_table
 from itemlens.operators.pagerank import pagerank as rank_nodes
 from itemlens.operators.pagerank import pagerank_report
 from itemlens.operators.terms import top_terms_by_group
-from itemlens.plans.base import ITEMS, Suite, askers, items
+from itemlens.plans.base import ITEMS, Suite, askers, item_cells, items
 from itemlens.plans.counting import SQL_LIFT
 from itemlens.session import checkpointed, table
 
@@ -188,7 +188,7 @@ FROM l a JOIN l b ON a.ministry = b.ministry AND a.party < b.party GROUP BY a.pa
 HAVING sum(a.lift * b.lift) / any_value(a.norm) / any_value(b.norm) > 0.15
 """)
 def cosine_similarity(spark, d):
-    rows = G.cosine_similarity(C.lift(items(spark, d)), "party", "ministry", "lift")
+    rows = G.cosine_similarity(C.lift(item_cells(spark, d), weight="n_items"), "party", "ministry", "lift")
     return rows.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -239,8 +239,8 @@ FROM (SELECT party, state, count(*) AS items FROM items GROUP BY ALL)
 
 def blocs(spark, d):
     """(nodes, their communities) of the nations by the regions they ask about."""
-    rows = items(spark, d, what=False).withColumn("ministry", F.col("state"))
-    nodes, edges = G.similarity_graph(rows)
+    rows = item_cells(spark, d, what=False).withColumn("ministry", F.col("state"))
+    nodes, edges = G.similarity_graph(rows, weight="n_items")
     nodes = checkpointed(nodes)
     return nodes, find_communities(nodes, edges)
 

@@ -6,7 +6,7 @@ from itemlens.operators import counting as C
 from itemlens.operators import reports as R
 from itemlens.operators import comparison as O
 from itemlens.operators.registry import release_comparison
-from itemlens.plans.base import CHAMBERS, ITEMS, Suite, items
+from itemlens.plans.base import CHAMBERS, ITEMS, Suite, item_cells
 from itemlens.plans.counting import SQL_LIFT
 from itemlens.plans.network import SQL_BLOCS, SQL_BRIDGES, SQL_TOPICS, blocs, bridges, topics
 from itemlens.plans.outside import (
@@ -14,6 +14,7 @@ from itemlens.plans.outside import (
 )
 from itemlens.plans.people import SQL_RATIO, registry
 from itemlens.plans.texts import press_comparison, sql_side
+from itemlens.session import checkpointed
 
 suite = Suite()
 
@@ -34,9 +35,9 @@ FROM s LEFT JOIN sig USING (party) LEFT JOIN top USING (party)
 
 
 def brief(spark, d):
-    rows = items(spark, d)
+    rows, n = checkpointed(item_cells(spark, d)), "n_items"  # one pass over the items for all counts
     return R.group_brief(
-        C.group_summary(rows, chambers=CHAMBERS, total="total"), C.type_cells(rows), C.lift(rows), topics(spark, d),
+        C.group_summary(rows, chambers=CHAMBERS, total="total", weight=n), C.type_cells(rows, weight=n), C.lift(rows, weight=n), topics(spark, d),
         blocs(spark, d)[1].select(F.col("id").alias("party"), "community"), total="total", starred="A", unstarred="N")
 
 
@@ -63,8 +64,8 @@ UNION ALL {sql_top('regions', 'r', 15, 'name', 'n')} UNION ALL {sql_top('bridges
 UNION ALL SELECT 'communities', NULL, community, "group", community_size FROM c
 """)
 def overview(spark, d):
-    rows = items(spark, d)
-    by = lambda c: C.count_by(rows.select(F.col(c).alias("name")), "name")
+    rows = checkpointed(item_cells(spark, d))
+    by = lambda c: C.count_by(rows.select(F.col(c).alias("name"), "n_items"), "name", weight="n_items")
     pairs = bridges(spark, d).select(
         F.concat_ws(" / ", F.col("asker_a").cast("string"), F.col("asker_b").cast("string")).alias("name"),
         F.concat_ws(" / ", "group_a", "group_b").alias("detail"), F.col("joint_items").alias("n"))
