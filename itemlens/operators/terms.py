@@ -12,24 +12,26 @@ ALL = "ALL"
 
 
 def term_counts(items: DataFrame, group: str, subject: str, order: str, min_bigram: int = K.MIN_BIGRAM,
-                stopwords: list = K.SUBJECT_STOPWORDS) -> DataFrame:
+                stopwords: list = K.SUBJECT_STOPWORDS, weight: str | None = None) -> DataFrame:
     """(group, term, count) of the terms that stand for a group.
 
     Bigrams seen ``min_bigram`` times or more all stay. A single word goes when a
     kept bigram contains it, or a word seen earlier in the group does; "contains"
-    means as a substring. ``order`` says which item comes first.
+    means as a substring. ``order`` says which item comes first; where a row stands for
+    several items, ``weight`` names their number and ``order`` is the least.
 
     Containment is an equi-join: each distinct word lists its own substrings with
     the earliest place that rules them out, and a word looks itself up there.
     Texts are tokenised and counted once, words and pairs together; what follows
     works on the vocabulary, which is checkpointed.
     """
-    toks = items.select(F.col(group).alias("g"), F.col(order).alias("o"), tokenize(F.col(subject), stopwords).alias("t"))
+    toks = items.select(F.col(group).alias("g"), F.col(order).alias("o"), tokenize(F.col(subject), stopwords).alias("t"),
+                        (F.col(weight) if weight else F.lit(1).cast("long")).alias("m"))
     terms = F.concat(
         F.transform("t", lambda w, i: F.struct(F.lit(False).alias("pair"), w.alias("w"), i.alias("p"))),
         F.transform(bigrams(F.col("t")), lambda w, i: F.struct(F.lit(True).alias("pair"), w.alias("w"), i.alias("p"))))
-    counted = toks.select("g", "o", F.inline(terms)).groupBy("g", "pair", "w").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "p")).alias("first"))
+    counted = toks.select("g", "o", "m", F.inline(terms)).groupBy("g", "pair", "w").agg(
+        F.sum("m").alias("n"), F.min(F.struct("o", "p")).alias("first"))
     counted = checkpointed(counted.filter(~F.col("pair") | (F.col("n") >= min_bigram)))
     words = counted.filter(~F.col("pair")).select("g", "w", "n", "first")
     pairs = counted.filter("pair").select("g", "w", "n")
@@ -57,8 +59,8 @@ def top_terms(items: DataFrame, subject: str, order: str, n: int = 30) -> DataFr
     return ranked(term_counts(whole, "group", subject, order), "count", "term", limit=n)
 
 
-def top_terms_by_group(items: DataFrame, group: str, subject: str, order: str, n: int = 12) -> DataFrame:
-    counts = term_counts(items, group, subject, order)
+def top_terms_by_group(items: DataFrame, group: str, subject: str, order: str, n: int = 12, weight: str | None = None) -> DataFrame:
+    counts = term_counts(items, group, subject, order, weight=weight)
     return top_k_per_group(counts, group, [F.col("count").desc(), F.col("term")], n)
 
 

@@ -29,7 +29,8 @@ def cells(spark, d):
 
 def topics(spark, d):
     """The most frequent subject words and pairs of every group."""
-    return top_terms_by_group(items(spark, d), "party", "subject", "ques_no").drop("rank")
+    same = items(spark, d).groupBy("party", "subject").agg(F.count(F.lit(1)).alias("m"), F.min("ques_no").alias("ques_no"))
+    return top_terms_by_group(same, "party", "subject", "ques_no", weight="m").drop("rank")
 
 
 # part names are two words, none inside another; so a word goes only where a kept pair has it
