@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from itemlens import constants as K
+from itemlens import pipelines as P
 from itemlens.operators import graph as G
 from itemlens.operators import matching as M
 from itemlens.operators.comparison import distinct_proposals
@@ -96,24 +97,30 @@ def raw_items_b(spark, d):
         F.lit("<br/>").alias("ans_text"), F.concat(F.lit("f/"), "subject").alias("files"))
 
 
-@suite.add(f"""
+SQL_ENRICHED_B = f"""
 WITH {ITEMS} SELECT 'Rajya Sabha' AS chamber, ques_no::INT AS ques_no, session_no, strftime(date, '%Y-%m-%d') AS date, type, upper(ministry) AS ministry, subject,
   'Asker ' || member AS member, 'Asker ' || member AS all_members,
   CASE WHEN s_acctbal >= 1000 THEN s_name ELSE 'Unknown' END AS party, CASE WHEN s_acctbal >= 1000 THEN 'Full ' || s_name END AS party_full,
   CASE WHEN s_acctbal >= 1000 THEN 'Kerala' ELSE 'Unknown' END AS state, subject || ' ' || state || ' & co' AS question_text,
   NULL::VARCHAR AS answer_text, 'f/' || subject AS answer_pdf_url, s_acctbal >= 1000 AS matched
 FROM items JOIN supplier ON s_suppkey = member WHERE chamber = 'F'
-""")
+"""
+
+
+@suite.add(SQL_ENRICHED_B)
 def enrich_items_b(spark, d):
     raw = R.read_items_b(spark, landed_json(spark, raw_items_b(spark, d)))
-    now = table(spark, d, "supplier").filter("s_acctbal >= 1000").select(
-        F.col("s_suppkey").cast("int").alias("mpsno"), F.col("s_name").alias("partyCode"),
-        F.concat(F.lit("Full "), "s_name").alias("party"), F.lit("Keralam").alias("state"), F.lit(None).cast("string").alias("name"))
-    path = landed_json(spark, now)
+    path = landed_json(spark, roster_b(spark, d))
     roster = M.canonical_roster_b(R.read_roster_b(spark, [path, path + "-absent"]))
     return M.enrich_items_b(raw, roster).drop("raw_name")
 
 
+def roster_b(spark, d):
+    return table(spark, d, "supplier").filter("s_acctbal >= 1000").select(
+        F.col("s_suppkey").cast("int").alias("mpsno"), F.col("s_name").alias("partyCode"),
+        F.concat(F.lit("Full "), "s_name").alias("party"), F.lit("Keralam").alias("state"), F.lit(None).cast("string").alias("name"))
+
+
 @suite.add("""
 SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment || ', "' || c_name || '"' AS quoted FROM customer
 """)
@@ -248,3 +255,22 @@ def enriched_volumes(spark, d):
     fixed = M.all_items(enriched_a(spark, d))
     assert fixed.columns == K.ITEM_COLUMNS
     return fixed.groupBy("chamber", "party").agg(F.count(F.lit(1)).alias("n"))
+
+
+@suite.add(f"""
+WITH e AS (SELECT chamber, party, state, ministry, member, matched FROM ({SQL_ENRICHED_A})
+           UNION ALL SELECT chamber, party, state, ministry, member, matched FROM ({SQL_ENRICHED_B}))
+SELECT 'group' AS section, party AS name, count(*)::BIGINT AS n FROM e GROUP BY ALL UNION ALL SELECT 'target', ministry, count(*) FROM e GROUP BY ALL
+UNION ALL SELECT 'region', state, count(*) FROM e GROUP BY ALL UNION ALL SELECT chamber, member, count(*) FROM e WHERE NOT matched GROUP BY ALL
+""")
+def results_of_landed_files(spark, d):
+    """Landed items and rosters to result tables, read back as views."""
+    folder = landing(spark)
+    files = P.Landed(landed_json(spark, raw_items_a(spark, d)), landed_json(spark, roster_a(spark, d)),
+                     landed_json(spark, raw_items_b(spark, d)), [landed_json(spark, roster_b(spark, d))])
+    P.run(spark, files, folder, graph=False)
+    return spark.sql("""
+        SELECT 'group' AS section, party AS name, CAST(total_questions AS BIGINT) AS n FROM party_summary
+        UNION ALL SELECT 'target', ministry, CAST(questions AS BIGINT) FROM ministry_summary
+        UNION ALL SELECT 'region', state, CAST(questions AS BIGINT) FROM state_summary
+        UNION ALL SELECT chamber, name, CAST(count AS BIGINT) FROM unmatched_members""")
