@@ -91,14 +91,35 @@ def _cells_of_run(counts: Column, bits: int, run: int, inside: range) -> Column:
     return F.concat(F.array(cell(own, F.lit(-1), False)), F.filter(found, lambda x: x.isNotNull()))
 
 
+def _run_mask(bits: int, groups: int, run: int) -> int:
+    total, field = 64 // bits, (1 << bits) - 1
+    mask = sum(field << (bits * i) for i in range(round(run * total / groups), round((run + 1) * total / groups)))
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def first_run(a: Column, b: Column, part: Column, bits: int, groups: int) -> Column:
+    """Is ``part`` the first run in which the counts of two fingerprints are within a distance of 2?
+
+    Counts of one or two bits are written in unary, where their distance is the number of differing bits.
+    """
+    if bits > 2:
+        return F.lit(True)
+    unary = lambda c: c if bits == 1 else c.bitwiseOR(F.shiftrightunsigned(c, 1).bitwiseAND(F.lit(0x5555555555555555)))
+    x = unary(segment_counts(a, bits)).bitwiseXOR(unary(segment_counts(b, bits)))
+    out = F.lit(True)
+    for g in range(groups - 1):
+        out = out & ((part <= g) | (F.bit_count(x.bitwiseAND(F.lit(_run_mask(bits, groups, g)).cast("long"))) > 2))
+    return out
+
+
 def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2, apart: str | None = None) -> DataFrame:
     """(a, b), a < b: the distinct fingerprints of ``fps`` (fp) that differ in at most ``max_bits`` bits, and in the
     column ``apart`` if one is given (which must follow from fp).
 
     Each fingerprint becomes the vector of its segments' bit counts. The Manhattan distance of two vectors is at most
     the number of differing bits, so of ``max_bits // 3 + 1`` runs of segments one at least is within distance 2. In a run, vectors within 2
-    meet in a grid cell that is at most one step from each; which of their common cells counts is fixed, so a pair comes
-    once a run. The join's condition verifies the bits themselves.
+    meet in a grid cell that is at most one step from each; which of their common cells counts is fixed, and so is the
+    run, so a pair comes once. The join's condition verifies the bits themselves.
     """
     groups = max_bits // 3 + 1
     kept_cols = ["fp", apart] if apart else ["fp"]
@@ -112,6 +133,7 @@ def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2, apart: str
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     if apart:
         exact = exact & (F.col("of_a") != F.col("of_b"))
+    exact = exact & first_run(F.col("a"), F.col("b"), F.col("part"), segment_bits, groups)
     return a.join(b, ["part", "cell"]).where((F.col("a") < F.col("b")) & exact & once).select("a", "b").distinct()
 
 
