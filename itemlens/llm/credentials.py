@@ -143,3 +143,40 @@ def op6_secrets(spark: SparkSession, d: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("found").alias("spans"))
+
+
+def _sql_places(kind: str, pattern: str, group: int, least: int) -> str:
+    """SQL for (doc_id, kind, s, e): pieces between matches and the matches give the places, as in ``matches``."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, s, s + length(hits[i]) AS e FROM (
+      SELECT doc_id, hits, parts, i, (list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+        SELECT doc_id, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {group}) AS parts FROM d
+        WHERE regexp_matches(t, '{p}'))))
+    WHERE length(parts[i]) >= {least}"""
+
+
+SQL_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({' UNION ALL '.join(_sql_places(*x) for x in BASE)}),
+runs AS ({_sql_places('key', '[A-Za-z0-9+/_-]{20,}={0,2}', 0, 20)}),
+keys AS (SELECT runs.* FROM runs JOIN d USING (doc_id)
+  WHERE (s = 0 OR substr(t, s, 1) <> '=') AND regexp_matches(substr(t, s + 1, e - s), '[0-9]') AND regexp_matches(substr(t, s + 1, e - s), '[A-Z]')
+    AND regexp_matches(substr(t, s + 1, e - s), '[a-z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = runs.doc_id AND b.s < runs.e AND runs.s < b.e)),
+ends AS ({_sql_places(*PARTS[1])}),
+access AS (SELECT * FROM base WHERE kind = 'access'),
+near_keys AS (SELECT * FROM keys k WHERE EXISTS (SELECT 1 FROM (SELECT * FROM access UNION ALL SELECT * FROM ends) x
+  WHERE x.doc_id = k.doc_id AND k.s <= x.e + 200 AND k.e >= x.s - 200)),
+near_ends AS (SELECT * FROM ends k WHERE EXISTS (SELECT 1 FROM access x WHERE x.doc_id = k.doc_id AND k.s <= x.e + 200 AND k.e >= x.s - 200)
+  AND EXISTS (SELECT 1 FROM (SELECT * FROM base WHERE kind <> 'access' UNION ALL SELECT * FROM keys) x
+              WHERE x.doc_id = k.doc_id AND k.s <= x.e + 200 AND k.e >= x.s - 200)),
+every AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM near_keys UNION ALL SELECT *, false FROM near_ends),
+ranked AS (SELECT *, list_position({ORDER!r}, kind) AS rank FROM every),
+found AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+  count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (WHERE is_base) AS b,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM ranked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN found USING (doc_id)
+"""

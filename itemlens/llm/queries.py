@@ -5,4 +5,5 @@ from itemlens.llm import bpe, credentials, hamming, html_text, language, multise
 QUERIES = {f.__name__: f for f in (
     bpe.op1_bpe, simhash.op2_simhash, multiset.op3_multiset, substrings.op4_repeats, shards.op5_jump_shards,
     credentials.op6_secrets, html_text.op7_page_text, hamming.op8_nearest_codes, language.op9_language, packing.op10_pack)}
-SQL: dict[str, str] = {"op4_repeats": substrings.SQL_REPEATS, "op8_nearest_codes": hamming.SQL_NEAREST}
+SQL: dict[str, str] = {
+    "op4_repeats": substrings.SQL_REPEATS, "op5_jump_shards": shards.SQL_SHARDS, "op6_secrets": credentials.SQL_SECRETS, "op8_nearest_codes": hamming.SQL_NEAREST}

@@ -88,3 +88,22 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 def op5_jump_shards(spark: SparkSession, d: str) -> DataFrame:
     """All ``documents`` into 24 shards."""
     return assign(documents(spark, d), 24)
+
+
+# the CRC by its table of bytes, the jumps with 128-bit numbers
+SQL_SHARDS = """
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, length(h) // 2 + 8 AS size, list_transform(range(1, length(h) // 2 + 1), lambda i:
+    (instr('0123456789ABCDEF', substr(h, 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i, 1)) - 1) AS b FROM d),
+summed AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+           FROM bytes, crc),
+jumped AS (SELECT *, list_reduce(list_transform(range(25), lambda i: {'k': 0::HUGEINT, 'a': 0::BIGINT, 's': 0::BIGINT, 'g': 0::BIGINT}),
+  lambda x, i: CASE WHEN x.a > 24 THEN x ELSE list_transform([(x.k * 2862933555777941757 + 1) % 18446744073709551616], lambda k:
+    list_transform([floor((x.a + 1)::DOUBLE * (2147483648::DOUBLE / (k // 8589934592 + 1)::DOUBLE))::BIGINT], lambda a:
+      {'k': k, 'a': a, 's': CASE WHEN a < 24 THEN a ELSE x.s END, 'g': CASE WHEN a <= 24 THEN a ELSE x.g END})[1])[1] END,
+  {'k': coalesce(doc_id, 0)::HUGEINT, 'a': 0::BIGINT, 's': 0::BIGINT, 'g': 0::BIGINT}) AS j FROM summed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, j.s::INTEGER AS shard,
+  row_number() OVER (PARTITION BY j.s ORDER BY coalesce(doc_id % 251, -1), doc_id, text_crc32, size) - 1 AS slot, j.g::INTEGER AS grown_shard FROM jumped
+"""
