@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, bounded, documents, few, lists, number, passes, screen, stored, strings
+from itemlens.llm.common import blocks, bounded, documents, few, kept, lists, number, passes, screen, stored, strings
 from itemlens.llm.components import components
 from itemlens.session import checkpointed
 
@@ -152,56 +152,110 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, segment_
     return with_components(fps, nodes, pairs, id_col)
 
 
-def with_components(fps: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
+def with_components(fps: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, key: str = "fp") -> DataFrame:
     roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"])
+    linked = nodes.join(roots, nodes[key] == roots["node"])
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
-    classes = nodes.join(linked.select("fp", "root").join(names, "root").select("fp", "name"), "fp", "left").select(
-        "fp", F.coalesce("name", "least").alias("component_id"))
-    return fps.join(classes, "fp").select(id_col, "fp", "component_id")
+    classes = nodes.join(linked.select(key, "root").join(names, "root").select(key, "name"), key, "left").select(
+        key, F.coalesce("name", "least").alias("component_id"))
+    return fps.join(classes, key).select(id_col, "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rounds: tuple[int, ...] = (5, 8, 11),
+BANDS, ROWS = 40, 8  # sets of similarity s share no band with probability (1 - s**ROWS)**BANDS: 0.0006 at 0.8
+
+
+def set_name(found: np.ndarray) -> bytes:
+    """128 bits of hash that stand for a sorted set of shingles."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def set_bands(found: np.ndarray) -> np.ndarray:
+    """For each band a hash of the set's least values under ``ROWS`` hash functions of its own; an empty set has none."""
+    import xxhash
+
+    if not len(found):
+        return np.zeros(0, np.int64)
+    by, plus = kept("simhash bands", lambda: [np.array(
+        [xxhash.xxh64_intdigest(str(k), seed) | 1 for k in range(BANDS * ROWS)], np.uint64)[:, None] for seed in (1, 2)])
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(found), 256):
+        some = found[None, at:at + 256] * by
+        some += plus
+        np.minimum(least, some.min(axis=1), out=least)
+    raw = least.tobytes()
+    return np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * k:8 * ROWS * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp long, set binary, n int, bands array<long>): the SimHash, name, size and bands of the set of each whole text's shingles."""
+    df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, 1 << 21):
+            found = [np.unique(shingle_hashes(x, words)) for x in strings(batch.column(1))]
+            bands = [set_bands(x) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([simhash(x) for x in found], pa.int64()), pa.array([set_name(x) for x in found], pa.binary()),
+                 pa.array([len(x) for x in found], pa.int32()), lists(pa.array(np.concatenate(bands)), [len(x) for x in bands])],
+                names=[id_col, "fp", "set", "n", "bands"])
+
+    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, fp long, set binary, n int, bands array<long>")
+
+
+def sets_that_meet(nodes: DataFrame, first: int, last: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: sets of ``nodes`` (set, n, bands, of) that share a band of ``first`` to ``last - 1``, differ in ``of``, and
+    whose sizes allow the similarity."""
+    cells = nodes.select("set", "n", "of", F.explode(F.slice("bands", first + 1, last - first)).alias("band"))
+    side = lambda s: cells.select("band", F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("of").alias(f"of_{s}"))
+    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
+    return side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits).select("a", "b").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rounds: tuple[int, ...] = (4, 16, BANDS),
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): like ``near_duplicates``, but a link is a Jaccard similarity of sets of word shingles.
 
-    Fingerprints that differ in few bits are candidates, and the texts' sets decide. Bits grow in rounds, and a round looks
-    only at fingerprints that no link has brought together yet, so a large group of near copies is joined by its
-    closest pairs and never compared all with all. Equal shingle sequences have equal fingerprints: one text stands for
-    all rows of a fingerprint. Similar texts differ in few bits, not surely in at most the last round's: of pairs at a
-    similarity of 0.8 some are missed, of closer ones hardly any. Nulls and repeats as in ``near_duplicates``.
+    A node is a set of shingles, named by 128 bits of hash: rows of one set are one node, and whatever else two texts have in
+    common, their sets are compared before they are linked. ``fp`` is the SimHash of the set, each shingle once. Sets that
+    share a band of least hash values are candidates, and the sets themselves decide. Rounds take in bands up to the number given,
+    and a round looks only at sets that no link has brought together yet. At a similarity of 0.8 a pair is missed with a probability of
+    0.0006, at 0.85 of less than 0.00001; raise ``BANDS`` for less. Nulls and repeats as in ``near_duplicates``.
     """
-    fps = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = checkpointed(few(fps.groupBy("fp").agg(F.min(id_col).alias("least"))))
-    links, now = None, nodes.withColumn("of", F.col("fp"))
-    for bits in rounds:
-        pairs = checkpointed(few(near_pairs(now, bits, 1, "of")))
-        new = checkpointed(few(alike(docs, nodes, pairs, words, similarity, id_col, text_col).distinct()))
-        links = new if links is None else links.union(new)
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        now = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("of"))
-    return with_components(fps, nodes, links, id_col)
+    sets = stored(shingle_sets(docs, words, id_col, text_col), "sets")
+    nodes = stored(few(sets.groupBy("set").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))), "nodes")
+    links, now, first = None, nodes.withColumn("of", F.col("set")), 0
+    for last in rounds:
+        pairs = checkpointed(few(sets_that_meet(now, first, last, similarity)))
+        new = checkpointed(few(alike(docs, nodes, pairs, words, similarity, id_col, text_col)))
+        links, first = new if links is None else links.union(new), last
+        if last != rounds[-1]:
+            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            now = nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "n", "bands", F.coalesce("root", "set").alias("of"))
+    return with_components(sets, nodes, links, id_col, "set")
 
 
 def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts' sets of shingles have the similarity."""
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = checkpointed(few(ends.join(nodes, "fp").select("fp", F.col("least").alias("id")).where("id IS NOT NULL")))
-    wanted_numbers = screen(wanted.select(number("id").alias("at")))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
+    """The pairs (a, b) of names of sets that have the similarity. Sets are read again from the texts and known by name."""
+    ends = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+    wanted = checkpointed(few(ends.join(nodes, "set").select("set", "least")))
+    wanted_numbers = screen(wanted.select(number("least").alias("at")))
+    texts = docs.select(number(id_col).alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1 << 21):
-            batch = batch.filter(pa.array(passes(wanted_numbers, batch.column(2).to_numpy())))  # few documents are in any pair
-            found = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in strings(batch.column(1))]
-            values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(pa.array(values), [len(x) for x in found])], names=["id", "set"])
-
-    found = texts.withColumn("at", number("id")).mapInArrow(sets, f"id {kind}, set array<long>")
-    found = stored(found.join(wanted, "id").groupBy("fp").agg(F.first("set").alias("set")), "shingles")
-    both = pairs.join(found.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a").join(
-        found.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
+            batch = batch.filter(pa.array(passes(wanted_numbers, batch.column(0).to_numpy())))  # few documents are in any pair
+            found = [np.unique(shingle_hashes(x, words)) for x in strings(batch.column(1))]
+            values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in found], pa.binary()), lists(pa.array(values), [len(x) for x in found])],
+                                             names=["set", "hashes"])
+
+    found = texts.mapInArrow(sets, "set binary, hashes array<long>")
+    found = stored(found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), "shingles")
+    both = pairs.join(found.select(F.col("set").alias("a"), F.col("hashes").alias("set_a")), "a").join(
+        found.select(F.col("set").alias("b"), F.col("hashes").alias("set_b")), "b")
 
     same = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(same >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - same)).select("a", "b")

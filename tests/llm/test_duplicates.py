@@ -90,6 +90,17 @@ def test_similar_documents_by_shingles(spark, docs_of):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6, None: None}
 
 
+def test_a_repeated_line_makes_no_duplicates(spark, docs_of):
+    r = random.Random(7)
+    line = " ".join(f"line{k}" for k in range(9)) + "\n"
+    texts = [line * 180 + " ".join(f"w{r.randrange(10**6)}" for _ in range(400)) for _ in range(6)]
+    assert len({simhash.simhash(simhash.shingle_hashes(t, 5)) for t in texts}) < 6  # counted with repeats, they look alike
+    copy = texts[0] + "\n" + line * 60  # the same set but for a few shingles at the seam
+    pairs = [*((k + 1, t) for k, t in enumerate(texts)), (7, copy), (None, texts[1]), (7, texts[2])]  # one id, two texts
+    got = sorted((x.doc_id or -1, x.component_id or -1) for x in simhash.similar_documents(docs_of(pairs)).collect())
+    assert got == sorted([(-1, 2), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1), (7, 3)])
+
+
 def plain_repeats(pairs, n):
     own, top = {}, 1 << 62
     for i, t in pairs:
