@@ -67,8 +67,8 @@ def linked(found: DataFrame, scope: int = 200) -> DataFrame:
     """(row, kind, start, end): weak candidates near which their complements stand.
 
     A scope is ``scope`` code points to either side of an access identifier or an endpoint. A key counts if an access identifier or an
-    endpoint with it is in reach; an endpoint counts if an access identifier and a secret (base or key) are. Intervals meet on the
-    cells of ``scope`` code points that they touch, so no text's parts are compared all with all; the joins only ask
+    endpoint with it is in reach; an endpoint counts if an access identifier and a secret (base or key) are. Intervals meet on any of
+    the cells of ``scope`` code points that they touch, however long they are, so no text's parts are compared all with all; the joins only ask
     whether there is a partner, and send places, no text.
     """
     def part(kind: str) -> DataFrame:
@@ -80,10 +80,10 @@ def linked(found: DataFrame, scope: int = 200) -> DataFrame:
                          F.col("start").alias("s"), F.col("end").alias("e")).distinct()
 
     def near(weak: DataFrame, strong: DataFrame) -> DataFrame:
-        weak = weak.withColumn("cell", F.floor(F.col("start") / scope))
+        weak = weak.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
         strong = reach(strong)
         return weak.join(strong, (weak["row"] == strong["row"]) & (weak["cell"] == strong["cell"])
-                         & (weak["start"] <= strong["e"] + scope) & (weak["end"] >= strong["s"] - scope), "left_semi").drop("cell")
+                         & (weak["start"] <= strong["e"] + scope) & (weak["end"] >= strong["s"] - scope), "left_semi").drop("cell").distinct()
 
     access, key, endpoint = part("access"), part("key"), part("endpoint")
     keys = near(key, access.union(endpoint))
