@@ -21,30 +21,30 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def encoding(path: str):
-    """The byte-level vocabulary of a tokenizer file, ready to encode. Its special tokens are left out, so that their
-    strings in a text are ordinary text."""
+def encoding(path: str, special: bool = False):
+    """The byte-level vocabulary of a tokenizer file, ready to encode. The strings of its special tokens in a text are these
+    tokens with ``special``, as they are for the ``tokenizers`` library by default, and ordinary text without."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
     alphabet = byte_alphabet()
-    special = {x["content"] for x in data.get("added_tokens", []) if x["special"]}
-    ranks = {bytes(alphabet[c] for c in token): k for token, k in data["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {x["content"]: x["id"] for x in data.get("added_tokens", []) if x["special"]}
+    ranks = {bytes(alphabet[c] for c in token): k for token, k in data["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {})
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, special: bool = False) -> DataFrame:
     """(id, part, before, n, ids): the first pass. ``ids`` are little-endian unsigned 32-bit, ``before`` the ids of the
     same partition ahead of the row."""
     kind = docs.schema[id_col].dataType
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = kept(f"packing {path}", lambda: encoding(path)), TaskContext.get().partitionId(), 0
+        encoder, part, before = kept(f"packing {path} {special}", lambda: encoding(path, special)), TaskContext.get().partitionId(), 0
         for batch in blocks(batches):
-            ids = [np.array(encoder.encode_ordinary(x) + [end_id], "<u4") for x in strings(batch.column(1))]
+            ids = [np.array(encoder.encode(x, allowed_special="all") + [end_id], "<u4") for x in strings(batch.column(1))]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             ends = before + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
@@ -66,7 +66,7 @@ def starts(totals: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
-         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = False) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): every document's pieces in the stream.
 
     A document is its token ids and then ``end_id``. All documents stand one after another, in the order of partitions
@@ -74,10 +74,11 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
     sequence but the last is full, and only that one is padded. The first pass tokenizes and writes the ids with their
     offsets inside the partition; prefix sums over the partitions' totals (one row per input partition, the bound of
     the broadcast) make these global; the second pass cuts what was written, so a lost executor changes nothing.
+    With ``special`` the string of a special token in a text is that token, as by the ``tokenizers`` library's defaults.
     A null or empty text is the end id alone. Repeated rows are packed each; null ids pass through; an empty table
     gives no pieces; other columns are left out.
     """
-    ids = stored(tokenized(docs, path, end_id, id_col, text_col), "packing")
+    ids = stored(tokenized(docs, path, end_id, id_col, text_col, special), "packing")
     firsts = starts(ids.groupBy("part").agg(F.sum("n").alias("total")))
     placed = ids.join(F.broadcast(firsts), "part").withColumn("at", F.col("first") + F.col("before"))
     size = F.lit(length).cast("long")
@@ -98,4 +99,4 @@ def op10_pack(spark: SparkSession, d: str) -> DataFrame:
     """All ``documents`` in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return pack(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"), special=True)

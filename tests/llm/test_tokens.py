@@ -114,3 +114,20 @@ def test_query_digests(spark, library):
         ids = library.encode_ordinary(texts[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_special_tokens_as_the_library_reads_them(spark, docs_of, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    texts = ["<|endoftext|> and more", "a<|endoftext|><|endoftext|>\n b ", "<|endoftext|>", "<|endoftext|", "plain  text", ""]
+    pairs = list(enumerate(texts))
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in pairs}
+    assert want[0] == [50256, 290, 517, 1]
+    rows = packing.pack(docs_of(pairs), JSON, with_ids=True, special=True).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(x) for i, x in want.items()}
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in rows} == want
+    docs_of(pairs).write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (packing.op10_pack(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs_of(pairs), "")):
+        assert {r.doc_id: r.doc_tokens for r in rows.collect()} == {i: len(x) for i, x in want.items()}
