@@ -206,6 +206,30 @@ def test_lines_shared_with_the_next_page_go(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_short_articles_lose_a_large_template(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # copies are passed over inside a task
+    menu = "".join(f"<p>Template line {j} of the site with some words</p>" for j in range(20))
+    page = lambda own: f"<div>{menu}<p>{own}</p></div>"
+    story = lambda k: f"A short story of its own, the {k} of all"
+    rows = [(k, f"http://h.example/a/{k:02d}", page(story(k))) for k in range(10)]
+    # copies of one page side by side: the next different page of the host tells the template
+    rows += [(20 + k, f"http://c.example/b/{k}", page(f"Copied story of the host</p><p>Views: {k}")) for k in range(4)]
+    rows += [(30, "http://c.example/a", page(story(30))), (31, "http://c.example/c", page(story(31)))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = {k: story(k) for k in (*range(10), 30, 31)} | {20 + k: f"Copied story of the host\nViews: {k}" for k in range(4)}
+    assert got == want
+
+
+@pytest.mark.parametrize("others", [["c", "d", "d"], ["d", "c"], ["c", "c", "c", "d"]])
+def test_copies_are_passed_over(others):
+    lines = {"c": ["menu", "a story that was copied", "foot"], "d": ["menu", "another story altogether", "foot"]}
+    row = lambda k: (k, lines[k], [html_text.OPEN] * 3, "", "h\t", 0, 0)
+    got = list(html_text.told_apart(map(row, ["c", *others])))
+    assert [(r[0], [o[0] for o in near]) for r, near in got][0] == ("c", ["d"])
+    assert all("menu" not in html_text.deleted(r[1], r[2], [o[1:3] for o in near]) for r, near in got)
+
+
 # --- nearest codes
 
 @pytest.mark.parametrize("n,k", [(3, 5), (400, 10), (6000, 4)])
