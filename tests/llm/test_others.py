@@ -230,6 +230,18 @@ def test_copies_are_passed_over(others):
     assert all("menu" not in html_text.deleted(r[1], r[2], [o[1:3] for o in near]) for r, near in got)
 
 
+def test_names_around_and_in_the_article():
+    def kept(page):
+        return [x for x, m in html_text.text_lines(page) if m == html_text.KEPT]
+
+    body = '<article><header class="entry-header"><h1>Head</h1></header><div class="header">Sub</div><p>Text</p></article>'
+    for wrapper in ('class="layout has-sidebar"', 'class="sticky-header"', 'class="widget"', 'id="sidebar"'):
+        assert kept(f"<div {wrapper}>{body}<p>outside</p></div>") == ["Head", "Sub", "Text"]
+    assert kept(f'<nav><article>no</article></nav><div hidden>{body}</div><div class="comments"><article class="comment">no</article></div>') == []
+    assert kept('<main><p>a</p><div class="comments"><article>no</article></div><div class="cookie-notice">no</div><p class="ad">no</p></main>') == ["a"]
+    assert kept('<article><p>a<svg viewBox="0 0 1 1"/></p><math/><p>b</p><svg><text>no</text></svg><p>c</p></article>') == ["a", "b", "c"]
+
+
 # --- nearest codes
 
 @pytest.mark.parametrize("n,k", [(3, 5), (400, 10), (6000, 4)])
