@@ -101,6 +101,17 @@ def test_a_repeated_line_makes_no_duplicates(spark, docs_of):
     assert got == sorted([(-1, 2), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1), (7, 3)])
 
 
+@pytest.mark.parametrize("same", [178, 182, 190])  # similarities of 0.802, 0.835 and 0.905 of 200 shingles each
+def test_isolated_similar_pairs_are_candidates(same):
+    r = np.random.default_rng(same)
+    met = 0
+    for _ in range(300):
+        x = r.integers(0, 2**64, 400 - same, dtype=np.uint64)
+        a, b = np.unique(x[:200]), np.unique(np.append(x[:same], x[200:]))
+        met += bool((simhash.set_bands(a) == simhash.set_bands(b)).any())
+    assert met >= 298
+
+
 def plain_repeats(pairs, n):
     own, top = {}, 1 << 62
     for i, t in pairs:
