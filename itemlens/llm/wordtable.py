@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.llm.common import blocks, bounded, documents, kept, stored, strings
+from itemlens.llm.common import blocks, bounded, documents, kept, strings
 from itemlens.llm.packing import byte_alphabet
 from itemlens.llm.pretokens import PreTokenizer, segments
+from itemlens.session import ensure_checkpoint_dir
 
-BLOCK = 8 << 20  # bytes of text that share a table of words
+BLOCK = 16 << 20  # bytes of text that share a table of words
 
 
 def library(path: str):
@@ -114,17 +116,15 @@ def split(docs: DataFrame, path: str, id_col: str, text_col: str, size: int = BL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer, splitter = zstandard.ZstdCompressor(level=1), kept(f"word splitter {path}", lambda: Splitter(path))
+        packer, splitter = zstandard.ZstdCompressor(level=3), kept(f"word splitter {path}", lambda: Splitter(path))
         base, k = TaskContext.get().partitionId() << 32, 0
         table, ids, counts, places, held = Numbers(), [], [], [], 0
 
         def done():
-            at = np.concatenate(places)
-            planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T)
             return pa.RecordBatch.from_arrays([
                 pa.array([base + k], pa.int64()), pa.array([list(table)], pa.list_(pa.string())),
                 pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids)),
-                pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([packer.compress(planes.tobytes())], pa.binary())],
+                pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([packer.compress(planes(np.concatenate(places)))], pa.binary())],
                 names=["block", "words", "ids", "counts", "places"])
 
         for batch in blocks(batches, min(size, 1 << 19)):
@@ -144,49 +144,95 @@ def split(docs: DataFrame, path: str, id_col: str, text_col: str, size: int = BL
     return bounded(df).mapInArrow(run, f"block long, words array<string>, ids array<{kind}>, counts array<long>, places binary")
 
 
-SHORT, RUN = 32, 1024  # longest word that is its own key, most tokens in a row
+SHORT = 32  # longest word that is its own key
+HELD = 1 << 19  # words of blocks that a task gathers before it sends them on
 
 
 def keyed(word: Column) -> list[Column]:
-    """A key of bounded length for each word, and the word itself where that is another: rows of a word's tokens carry the key."""
+    """A key of bounded length for each word, and the word itself where that is another."""
     is_long = F.length(word) > SHORT
     return [F.when(is_long, F.concat(F.lit("#"), F.sha2(word, 256))).otherwise(word).alias("key"), F.when(is_long, word).alias("long")]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as their lowest bytes, then their second ones and so on, which compresses well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(key string, run int, tokens array<int>) for each row of ``words`` (key, long), by the tokenizer's own library; tokens
-    beyond ``RUN`` go on in the next run."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = kept(f"word tokenizer {path}", lambda: library(path))
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                some = batch.slice(at, 4096)
-                keys = some.column(0).to_pylist()
-                found = tokenizer.encode_batch_fast([b or a for a, b in zip(keys, some.column(1).to_pylist())], add_special_tokens=False)
-                rows = [(k, i // RUN, ids[i:i + RUN]) for k, ids in zip(keys, (x.ids for x in found)) for i in range(0, len(ids), RUN)]
-                for k in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
-                        zip(*rows[k:k + 4096]), (pa.string(), pa.int32(), pa.list_(pa.int32())))], names=["key", "run", "tokens"])
+    """(block long, n int, data binary) from ``words`` (block, no, key, long): the ids of words, each distinct one encoded once.
 
-    return words.select("key", "long").mapInArrow(run, "key string, run int, tokens array<int>")
+    Equal words come one after another. What belongs to one block is sent on together: ``n`` words' numbers, their counts of ids and
+    these ids, compressed.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        packer, tokenizer = zstandard.ZstdCompressor(level=3), kept(f"word tokenizer {path}", lambda: library(path))
+        held, rows, last, last_ids = [], 0, None, None
+
+        def packs():
+            block, no, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            flat = np.concatenate([x[3] for x in held])
+            held.clear()
+            order = np.lexsort((no, block))
+            first, block, no = (np.cumsum(n) - n)[order], block[order], no[order]
+            edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            out = []
+            for a, b in zip(edges, np.append(edges[1:], len(block))):
+                ids, sizes = gathered(flat, first[a:b], n[order[a:b]], np.arange(b - a))
+                out.append((int(block[a]), int(b - a), packer.compress(planes(np.diff(no[a:b], prepend=0)) + planes(sizes) + planes(ids))))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "n", "data"])
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(token int, piece string): the bytes of every id of a tokenizer file in hexadecimal; as many rows as its vocabulary."""
+        for batch in batches:
+            for start in range(0, len(batch), 1 << 14):
+                some = batch.slice(start, 1 << 14)
+                coded = some.column(2).dictionary_encode()
+                keys, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                full, longs = list(keys), some.column(3)
+                for k in np.flatnonzero(longs.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    full[at[k]] = longs[k].as_py()
+                known = 1 if keys and keys[0] == last else 0  # a word that the last rows had, too
+                ids = [last_ids] * known + [x.ids for x in tokenizer.encode_batch_fast(full[known:], add_special_tokens=False)]
+                last, last_ids = keys[-1], ids[-1]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat, n = gathered(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes, at)
+                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), n, flat))
+                rows += len(some) + len(flat) // 8
+                if rows >= HELD:
+                    yield packs()
+                    rows = 0
+        if held:
+            yield packs()
+
+    return words.repartition("key").sortWithinPartitions("key").select("block", "no", "key", "long").mapInArrow(run, "block long, n int, data binary")
+
+
+def pieces(path: str) -> list[bytes]:
+    """The bytes of every id of a tokenizer file."""
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
     alphabet = byte_alphabet()
     added = {x["id"]: x["content"].encode() for x in data.get("added_tokens", [])}
-    rows = {k: bytes(alphabet[c] for c in token) for token, k in data["model"]["vocab"].items() if k not in added} | added
-    return spark.createDataFrame([(k, b.hex()) for k, b in rows.items()], "token int, piece string")
+    found = {k: bytes(alphabet[c] for c in token) for token, k in data["model"]["vocab"].items() if k not in added} | added
+    return [found.get(k, b"") for k in range(max(found) + 1)]
+
+
+class Pieces:
+    """The id-to-piece table, joined to ids by their number."""
 
+    def __init__(self, path: str):
+        every = pieces(path)
+        self.size = np.fromiter(map(len, every), np.int64, len(every))
+        self.first, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(every), np.uint8)
 
-def spelled(words: DataFrame, table: DataFrame) -> DataFrame:
-    """``words`` (key, run, tokens) with ``bytes`` binary: what the tokens stand for, by a join with ``table`` (token, piece)."""
-    each = words.select("key", "run", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(table), "token")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
-    return each.groupBy("key", "run").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"), F.unhex(text).alias("bytes"))
+    def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all pieces one after another, bytes of each)"""
+        return gathered(self.flat, self.first, self.size, ids)
 
 
 def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,76 +243,70 @@ def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarr
     return flat[np.arange(total) + np.repeat(first[at] - (ends - n), n)], n
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written below the shared checkpoint folder in as many buckets of ``key`` as a shuffle has partitions: what is joined to it by
+    ``key`` is shuffled to the buckets, and the table itself is not."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{ensure_checkpoint_dir(spark)}/{name}").bucketBy(count, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
     """(id, n_tokens long, ids binary, decoded binary): token ids of each whole text and the bytes that they stand for.
 
-    Tasks split their texts into words and replace these by numbers in a table of each block's distinct words; these tables
-    alone are shuffled. Every distinct word of all blocks is encoded once and its ids are joined with the id-to-piece
-    table (as large as the vocabulary, hence broadcast); both are joined to the blocks' words, which come back in order of
-    their numbers, and each text is put together by position. A word has at most one row a block, however frequent it is.
+    Tasks split their texts into words and replace these by numbers in a table of each block's distinct words; the numbers stay where they are
+    written, and the tables alone are shuffled, by word. Every distinct word of all blocks is encoded once, its ids go back to the
+    blocks that have it, are joined with the id-to-piece table (as large as the vocabulary), and each text is put together
+    by position. A word has at most one row a block, however frequent it is.
     ``ids`` are little-endian unsigned 32-bit. The strings of added tokens in a text are these tokens, as for the library. A null
     or empty text has no tokens. Repeated rows give a row each; null ids pass through; other columns are left out; an empty
     table gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = stored(split(docs, path, id_col, text_col, size), "words")
+    parts = bucketed(split(docs, path, id_col, text_col, size), "block", "words")
     words = parts.select("block", F.posexplode("words").alias("no", "word")).select("block", "no", *keyed(F.col("word")))
-    coded = spelled(encode_words(words.select("key", "long").distinct(), path), pieces(docs.sparkSession, path))
-    none = lambda t: F.lit(None).cast(t)
-    sent = words.join(coded, "key").select(
-        "block", "no", "run", "tokens", "bytes", none(f"array<{kind}>").alias("ids"), none("array<long>").alias("counts"), none("binary").alias("places"))
-    last = parts.select("block", F.lit((1 << 31) - 1).alias("no"), F.lit(0).alias("run"), none("array<int>").alias("tokens"), none("binary").alias("bytes"),
-                        "ids", "counts", "places")
+    packs = encode_words(words, path).groupBy("block").agg(F.collect_list(F.struct("n", "data")).alias("packs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        reader, tokens, raw, n_tokens, n_bytes, number = zstandard.ZstdDecompressor(), [], [], [], [], []
-
-        def table(batch: pa.RecordBatch):
-            own, text = batch.column(1), batch.column(2)
-            number.append(batch.column(0).to_numpy())
-            tokens.append(own.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
-            n_tokens.append(own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            raw.append(np.frombuffer(b"".join(text.to_pylist()), np.uint8))
-            n_bytes.append(pa.compute.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
-
-        def texts(row: dict):
-            one = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            flat, chars, no = one(tokens, "<u4"), one(raw, np.uint8), one(number, np.int32)
-            sizes, lengths = (np.bincount(no, one(x, np.int64)).astype(np.int64) for x in (n_tokens, n_bytes))
-            for x in (tokens, n_tokens, raw, n_bytes, number):
-                x.clear()
-            first, begin = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
-            planes = np.frombuffer(reader.decompress(row["places"].as_py()), np.uint8).reshape(4, -1)
-            at = np.ascontiguousarray(planes.T).view("<u4").ravel()
-            counts = row["counts"].values.to_numpy(zero_copy_only=False)
-            edges, names, k = np.append(0, np.cumsum(counts)), row["ids"].values, 0
-            while k < len(counts):  # some texts at a time
-                end = max(k + 1, int(np.searchsorted(edges, edges[k] + (1 << 17), "right")) - 1)
-                own = at[edges[k]:edges[end]]
-                ids, n = gathered(flat, first, sizes, own)
-                text, m = gathered(chars, begin, lengths, own)
-                inner = edges[k:end + 1] - edges[k]
-                cuts, ends = np.append(0, np.cumsum(n))[inner], np.append(0, np.cumsum(m))[inner]
-                yield pa.RecordBatch.from_arrays([
-                    names.slice(k, end - k), pa.array(np.diff(cuts)),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                    pa.array([text[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
-                k = end
-
+        reader, table = zstandard.ZstdDecompressor(), kept(f"word pieces {path}", lambda: Pieces(path))
         for batch in batches:
-            is_last = np.flatnonzero(batch.column(5).is_valid().to_numpy(zero_copy_only=False))
-            at = 0
-            for stop in is_last.tolist():
-                table(batch.slice(at, stop - at))
-                yield from texts({k: batch.column(i)[stop] for k, i in (("ids", 3), ("counts", 4), ("places", 5))})
-                at = stop + 1
-            table(batch.slice(at))
-
-    # a block's words come in order, then its texts
-    return bounded(sent.unionByName(last)).repartition("block").sortWithinPartitions("block", "no", "run").select(
-        "no", "tokens", "bytes", "ids", "counts", "places").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
+            for row in range(len(batch)):
+                names, counts, places, found = (batch.column(i)[row] for i in range(4))
+                names, counts = names.values, counts.values.to_numpy(zero_copy_only=False)
+                at = numbers(reader.decompress(places.as_py()))
+                no, sizes, ids = [], [], []
+                for pack in found.as_py() or []:
+                    n, data = pack["n"], reader.decompress(pack["data"])
+                    no.append(np.cumsum(numbers(data[:4 * n])))
+                    sizes.append(numbers(data[4 * n:8 * n]).astype(np.int64))
+                    ids.append(numbers(data[8 * n:]))
+                one = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+                no, own, flat = one(no, np.int64), one(sizes, np.int64), one(ids, np.uint32)
+                first, size = np.zeros(len(no), np.int64), np.zeros(len(no), np.int64)
+                first[no], size[no] = np.cumsum(own) - own, own
+                chars, lengths = table.join(flat)
+                begins = np.append(0, np.cumsum(lengths))
+                begin, length = begins[first], begins[first + size] - begins[first]
+                edges, k = np.append(0, np.cumsum(counts)), 0
+                while k < len(counts):  # some texts at a time
+                    end = max(k + 1, int(np.searchsorted(edges, edges[k] + (1 << 17), "right")) - 1)
+                    words = at[edges[k]:edges[end]]
+                    tokens, n = gathered(flat, first, size, words)
+                    text, m = gathered(chars, begin, length, words)
+                    inner = edges[k:end + 1] - edges[k]
+                    cuts, ends = np.append(0, np.cumsum(n))[inner], np.append(0, np.cumsum(m))[inner]
+                    yield pa.RecordBatch.from_arrays([
+                        names.slice(k, end - k), pa.array(np.diff(cuts)),
+                        pa.array([tokens[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                        pa.array([text[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
+                    k = end
+
+    return bounded(parts.join(packs, "block", "left")).select("ids", "counts", "places", "packs").mapInArrow(
+        run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
 
 
 def op13_word_table(spark: SparkSession, d: str) -> DataFrame:

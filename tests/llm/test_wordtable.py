@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from itemlens.llm import wordtable
 from tests.llm.conftest import ODD
@@ -54,14 +55,27 @@ def test_every_code_point(library):
             assert own == [texts[k][a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(texts[k])]
 
 
-def test_a_word_is_encoded_once(spark, docs_of):
+def test_a_word_is_encoded_once(spark, docs_of, monkeypatch):
     docs = docs_of([(k, f"the same words and {k}") for k in range(50)])
     parts = wordtable.split(docs, JSON, "doc_id", "text", 100)
     assert parts.count() > 5
     words = [w for r in parts.collect() for w in r.words]
-    table = spark.createDataFrame([(w,) for w in words], "word string")
-    distinct = wordtable.encode_words(table.select(*wordtable.keyed(table["word"])).distinct(), JSON).collect()
-    assert len({r.key for r in distinct}) == len(distinct) == len(set(words)) < len(words)
+    rows = parts.select("block", F.posexplode("words").alias("no", "word")).select("block", "no", *wordtable.keyed(F.col("word")))
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, words, **how):
+            seen.add(len(words))
+            return self.tokenizer.encode_batch_fast(words, **how)
+
+    library = wordtable.library
+    monkeypatch.setattr(wordtable, "library", lambda path: Counted(library(path)))
+    monkeypatch.setattr(wordtable, "kept", lambda _, make: make())
+    assert sum(r.n for r in wordtable.encode_words(rows, JSON).collect()) == len(words)
+    assert seen.value == len(set(words)) < len(words)
 
 
 def test_query_digests(spark, library):
