@@ -425,3 +425,40 @@ def op12_dialogue(spark: SparkSession, d: str) -> DataFrame:
     return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(F.col("id").alias("conv_id"), *[
         F.coalesce(F.col(c), none.get(c, F.lit(0).cast("long"))).alias(c)
         for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")])
+
+
+# one recursion step a row: the cheapest way to each of the states (n)one, (s)ystem, (u)ser, (a)ssistant
+SQL_DIALOGUE = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)) AS b FROM conversations),
+hit AS (SELECT *, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS k FROM keyed, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE k <> 0),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM hurt),
+seen AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(role[1]) OVER (PARTITION BY c ORDER BY pos) || role[1] AS pair FROM rows_),
+facts AS (SELECT c, any_value(conv_id) AS conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM seen GROUP BY c),
+put AS (SELECT q, g, x, l, replace(replace(t, 'U', chr(10) || 'user:'), 'A', chr(10) || 'assistant:') AS t FROM (VALUES
+    ('n', 'n', 0, '', ''), ('n', 'u', 2, 'I', 'U'), ('n', 'a', 4, 'II', 'UA'), ('s', 's', 0, '', ''), ('s', 'u', 2, 'I', 'U'), ('s', 'a', 4, 'II', 'UA'),
+    ('u', 'u', 0, '', ''), ('u', 'a', 2, 'I', 'A'), ('u', 'u', 4, 'II', 'AU'), ('a', 'a', 0, '', ''), ('a', 'u', 2, 'I', 'U'), ('a', 'a', 4, 'II', 'UA')) v(q, g, x, l, t)),
+moves AS (SELECT * FROM (VALUES ('n', 'K', 's', 's'), ('n', 'K', 'u', 'u'), ('s', 'K', 'u', 'u'), ('u', 'K', 'a', 'a'), ('a', 'K', 'u', 'u'),
+    ('n', 'R', '', 'u'), ('s', 'R', '', 'u'), ('u', 'R', '', 'a'), ('a', 'R', '', 'u'), ('n', 'D', '', 'n'), ('s', 'D', '', 's'), ('u', 'D', '', 'u'), ('a', 'D', '', 'a')) v(g, e, initial, z)),
+w AS (SELECT c, 0::BIGINT AS pos, 'n' AS q, {'x': 0, 'a': '', 't': ''} AS best FROM facts
+  UNION ALL
+  SELECT w.c, any_value(s.pos), z, min({'x': best.x + put.x + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN fault = 'truncated' AND e <> 'D' THEN 1 ELSE 0 END,
+      'a': best.a || l || e, 't': best.t || put.t || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text
+        ELSE chr(10) || CASE z WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text END})
+  FROM w JOIN seen s ON s.c = w.c AND s.pos = w.pos + 1 JOIN put ON put.q = w.q JOIN moves m ON m.g = put.g
+  WHERE e = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR initial = role[1])) GROUP BY w.c, z),
+ends AS (SELECT w.c, min({'x': best.x + put.x, 'a': best.a || l, 't': best.t || put.t}) AS best
+  FROM w JOIN facts f ON f.c = w.c AND f.n = w.pos JOIN put ON put.q = w.q WHERE g = 'a' OR (g = 'n') GROUP BY w.c),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.x, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+FROM every e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ends USING (c)
+"""

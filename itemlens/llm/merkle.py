@@ -222,3 +222,31 @@ def op11_merkle(spark: SparkSession, d: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     return manifest(documents(spark, d, "doc_id", "source", "lang", "n_chars", "text"), ["doc_id", "source", "lang", "n_chars", "text"],
                     tampered={"text": F.when(hit, lowered).otherwise(F.col("text"))})
+
+
+# the CRC by its table of bytes; one recursion folds the leaves of each group, the other the subroots
+SQL_MERKLE = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab),
+hit AS (SELECT *, coalesce(xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 3 = 0, false) AS hit FROM documents, crc),
+fields AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+    coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+    CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM hit),
+leafs AS (SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS now FROM fields),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leafs),
+up AS (SELECT tree, 0 AS level, idx, n, leaf AS h FROM ranked
+  UNION ALL SELECT tree, any_value(level) + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY tree, idx // 8),
+sub AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, idx, n, subroot AS h FROM sub
+  UNION ALL SELECT any_value(level) + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY idx // 8),
+runs AS (SELECT tree, level, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM up WHERE n > 1 GROUP BY ALL),
+top_runs AS (SELECT level, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM top WHERE n > 1 GROUP BY ALL),
+steps AS (SELECT r.tree, r.idx, level, hs, (r.idx // pow(8, level)::BIGINT) % 8 AS spot FROM ranked r JOIN runs ON runs.tree = r.tree AND run = r.idx // pow(8, level + 1)::BIGINT
+  UNION ALL SELECT r.tree, r.idx, 100 + level, hs, (s.idx // pow(8, level)::BIGINT) % 8 FROM ranked r JOIN sub s USING (tree) JOIN top_runs ON run = s.idx // pow(8, level + 1)::BIGINT),
+paths AS (SELECT tree, idx, list({'l': array_to_string(hs[1:spot], ''), 'r': array_to_string(hs[spot + 2:], ''), 'h': ''} ORDER BY level) AS path FROM steps GROUP BY ALL),
+done AS (SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda s: s.l || s.r), ''), '')) AS proof_sha256,
+    coalesce(list_reduce(path, lambda a, s: {'l': '', 'r': '', 'h': sha256(s.l || a.h || s.r)}, {'l': '', 'r': '', 'h': now}).h, now) AS folded_root
+  FROM ranked LEFT JOIN paths USING (tree, idx) JOIN sub USING (tree))
+SELECT *, folded_root = root AS verified FROM done
+"""
