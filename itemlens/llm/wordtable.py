@@ -19,7 +19,7 @@ from itemlens.llm.packing import byte_alphabet
 from itemlens.llm.pretokens import PreTokenizer, segments
 from itemlens.session import ensure_checkpoint_dir
 
-BLOCK = 16 << 20  # bytes of text that share a table of words
+BLOCK = 32 << 20  # bytes of text that share a table of words
 
 
 def library(path: str):
