@@ -1,6 +1,6 @@
 """Property graph, co-occurrence, joint askers and similarity."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemlens import constants as K
@@ -111,17 +111,36 @@ def cross_group_bridges(pairs: DataFrame, groups: DataFrame, asker: str, group:
 
 def cosine_similarity(vectors: DataFrame, group: str, key: str, value: str,
                       threshold: float = K.MIN_SIMILARITY) -> DataFrame:
-    """(a, b, similarity) of sparse vectors given as (group, key, value) rows, above ``threshold``.
+    """(a, b, similarity) of sparse vectors given as (group, key, value) rows, above ``threshold``, which is not negative.
 
-    Values are scaled to unit length first, so the dot product of a pair needs no
-    second look at the norms. A key most groups share is cut into blocks.
+    Values are scaled to unit length. Keys have one order, those of most groups first, and a vector's first keys are left out of the search as
+    long as all of them together cannot bring any partner over the threshold: each is at most the key's greatest value there. The last key
+    that two similar vectors share is then a key of both that is left in, and what comes up to it bounds their product: by the lengths of
+    both beginnings and by the greatest values. Pairs that these rule out are not made. A key most groups share is cut into blocks.
     """
-    vectors = checkpointed(vectors.select(group, key, value))
-    norms = vectors.groupBy(group).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
-    unit = vectors.join(norms.filter("_norm > 0"), group).select(group, key, (F.col(value) / F.col("_norm")).alias("v"))
-    pairs = block_pairs(checkpointed(with_key_size(unit, key, group)), key, group, ["v"])
-    return pairs.groupBy("a", "b").agg(F.sum(F.col("v_a") * F.col("v_b")).alias("similarity")).filter(
-        F.col("similarity") > threshold)
+    pairs = candidate_pairs(unit := checkpointed(unit_vectors(vectors, group, key, value)), threshold)
+    side = lambda s: unit.select(F.col("g").alias(s), "k", F.col("v").alias(f"v_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), ["b", "k"]).groupBy("a", "b").agg(
+        F.sum(F.col("v_a") * F.col("v_b")).alias("similarity")).filter(F.col("similarity") > threshold)
+
+
+def unit_vectors(vectors: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """(g, k, v): the vectors scaled to unit length, zero ones left out."""
+    norm = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(group)))
+    return vectors.withColumn("_norm", norm).filter("_norm > 0").select(
+        F.col(group).alias("g"), F.col(key).alias("k"), (F.col(value) / F.col("_norm")).alias("v"))
+
+
+def candidate_pairs(unit: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: the pairs of unit vectors (g, k, v) that may have a product above ``threshold``; none that has is missing."""
+    least = threshold * (1 - 1e-9)  # so that rounding can only add pairs
+    keys = unit.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max(F.abs("v")).alias("_max"))
+    so_far = Window.partitionBy("g").orderBy(F.col("_n").desc(), "k")
+    placed = unit.join(keys, "k").select("g", "k", F.sum(F.abs("v") * F.col("_max")).over(so_far).alias("most"),
+                                         F.sqrt(F.sum(F.col("v") * F.col("v")).over(so_far)).alias("length"))
+    pairs = block_pairs(with_key_size(placed.filter(F.col("most") > least), "k", "g"), "k", "g", ["most", "length"])
+    possible = (F.least("most_a", "most_b") > least) & (F.col("length_a") * F.col("length_b") > least)
+    return pairs.filter(possible).select("a", "b").distinct()
 
 
 def similarity_graph(items: DataFrame, group: str = "party", target: str = "ministry",

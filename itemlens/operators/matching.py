@@ -19,6 +19,8 @@ from itemlens.session import checkpointed
 
 # a token in more than 1/HOT_SHARE of all name tokens is hot; at most HOT_SHARE tokens can be
 HOT_SHARE = 1000
+# names that may share so few of their tokens that more first ones than this come into question meet on single tokens
+MOST_FIRST = 8
 
 
 def roster_index(roster: DataFrame, names: list[str], order: str) -> DataFrame:
@@ -51,42 +53,60 @@ def match_fuzzy_name(names: DataFrame, index: DataFrame, name: str = "norm",
     score = shared tokens of 3+ letters / union of the name's such tokens and all
     tokens of the index name; kept at >= threshold, ties to the earliest roster row.
 
-    Two names of a and b tokens can only reach the threshold with
-    o = ceil(threshold (a + b) / (1 + threshold)) shared tokens, so it is enough
-    to look up the first (count - o + 1) tokens of either, in one common order.
-    That order puts hot tokens last: names then meet on their rare tokens, and a
-    word that half of all names share is looked up only where it must be.
+    Names of the same tokens are one, however many they are. Two names of a and b tokens can only reach the threshold with
+    o = ceil(threshold (a + b) / (1 + threshold)) shared tokens. In one common order, which puts hot tokens last, two such names then share
+    one of the first (count - o + 1) tokens of either, and, if o is two or more, two of the first (count - o + 2): they meet on pairs of
+    tokens where they can, so a word that half of all names share brings few of them together. Before lists are compared, the
+    places of the tokens met and a bitmap of all tokens bound what two names can share.
     """
     asked = names.select(F.col(name).alias("q")).filter("q is not null").distinct()
-    asked = asked.withColumn("q_words", _long_tokens(name_tokens(F.col("q"))))
-    known = index.select(F.col("name").alias("r"), "first_order").withColumn("r_all", name_tokens(F.col("r")))
-    known = known.withColumn("r_words", _long_tokens(F.col("r_all")))
-
-    known = checkpointed(known)
-    hot = checkpointed(_hot_tokens(known, "r_words"))
-    asked = _rare_first(asked, "q_words", hot, ["q"])
-    known = _rare_first(known, "r_words", hot, ["r", "first_order", "r_all"])
+    asked = asked.withColumn("q_words", F.array_sort(_long_tokens(name_tokens(F.col("q")))))
+    known = index.select(F.col("name").alias("r"), "first_order").withColumn("r_all", F.array_sort(name_tokens(F.col("r"))))
+    best_of = F.min(F.struct("first_order", "r"))
+    known = checkpointed(known.filter(F.size("r_all") > 0).groupBy("r_all").agg(best_of.alias("r")).withColumn("r_words", _long_tokens(F.col("r_all"))))
+    asked = checkpointed(asked.filter(F.size("q_words") > 0))
+    hot = _hot_tokens(known, "r_words")
 
     def need(a: Column, b: Column) -> Column:
         # a hair below the product, so that rounding can only add candidates
-        return F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)).cast("int")
+        return F.greatest(F.lit(1), F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)).cast("int"))
+
+    def side(df: DataFrame, words: str, keep: list[str], own: str, other: str) -> DataFrame:
+        """A row for each partner size and each token or pair of tokens to meet on: (keep, qa, rb, key, left)."""
+        sized = _rare_first(df, words, hot, [*keep, own]).withColumn("bits", _bitmap(F.col(words))).withColumn(
+            other, F.explode(_sizes(F.col(own), threshold)))
+        count, o = F.size(words), need(F.col("qa"), F.col("rb"))
+        singles = F.transform(F.slice(words, F.lit(1), F.greatest(F.lit(0), count - o + 1)), lambda t, i: F.struct(t.alias("key"), (count - i).alias("left")))
+        pairs = _pairs(F.slice(words, F.lit(1), F.greatest(F.lit(0), count - o + 2)), count)
+        return sized.select(*keep, words, "bits", "qa", "rb", F.inline(
+            F.when((o >= 2) & (F.greatest("qa", "rb") - o <= MOST_FIRST), pairs).otherwise(singles)))
+
+    q = side(asked.select("q_words").distinct().withColumn("qa", F.size("q_words")), "q_words", [], "qa", "rb")
+    r = side(known.withColumn("rb", F.size("r_all")), "r_words", ["r", "r_all"], "rb", "qa")
+    q, r = q.withColumnsRenamed({"bits": "q_bits", "left": "q_left"}), r.withColumnsRenamed({"bits": "r_bits", "left": "r_left"})
+    least = need(F.col("qa"), F.col("rb"))
+    # tokens that fall on one bit may hide as many shared ones
+    hidden = F.least(F.col("qa") - F.bit_count("q_bits"), F.size("r_words") - F.bit_count("r_bits"))
+    bound = (F.least("q_left", "r_left") >= least) & (F.bit_count(F.col("q_bits").bitwiseAND(F.col("r_bits"))) + hidden >= least)
+    met = q.join(r, ["key", "qa", "rb"]).filter(bound)
+    shared = F.size(F.array_intersect("q_words", "r_all"))
+    scored = met.withColumn("o", shared).select("q_words", "r", (F.col("o") / (F.col("qa") + F.col("rb") - F.col("o"))).alias("score")).filter(F.col("score") >= threshold)
+    best = F.min_by(F.struct("r.r", "score"), F.struct((-F.col("score")).alias("s"), "r"))
+    found = scored.groupBy(F.array_sort("q_words").alias("q_words")).agg(best.alias("m"))
+    return asked.join(found, "q_words").select(F.col("q").alias(name), F.col("m.r").alias("matched_name"), F.col("m.score").alias("score"))
 
-    q = asked.withColumn("qa", F.size("q_words")).filter("qa > 0").withColumn(
-        "rb", F.explode(_sizes(F.col("qa"), threshold)))
-    q = q.select("q", "q_words", "qa", "rb", F.explode(
-        F.slice("q_words", F.lit(1), F.greatest(F.lit(0), F.col("qa") - need(F.col("qa"), F.col("rb")) + 1))).alias("t"))
-    r = known.withColumn("rb", F.size("r_all")).filter("rb > 0").withColumn(
-        "qa", F.explode(_sizes(F.col("rb"), threshold)))
-    r = r.select("r", "first_order", "r_all", "qa", "rb", F.explode(
-        F.slice("r_words", F.lit(1), F.greatest(F.lit(0), F.size("r_words") - need(F.col("qa"), F.col("rb")) + 1))).alias("t"))
 
-    shared = F.size(F.array_intersect("q_words", "r_all"))
-    union = F.size(F.array_union("q_words", "r_all"))
-    scored = q.join(r, ["t", "qa", "rb"]).select(
-        "q", "r", "first_order", (shared / union).alias("score")).filter(F.col("score") >= threshold)
-    best = F.min_by(F.struct("r", "score"), F.struct((-F.col("score")).alias("s"), "first_order", "r"))
-    return scored.groupBy("q").agg(best.alias("m")).select(
-        F.col("q").alias(name), F.col("m.r").alias("matched_name"), F.col("m.score").alias("score"))
+def _pairs(words: Column, count: Column) -> Column:
+    """array<struct(key, left)>: pairs of a list's tokens, and how many of all ``count`` tokens are not before the second, plus one."""
+    def after(x, i):
+        return F.transform(F.slice(words, i + 2, F.size(words)), lambda y, j: F.struct(F.concat_ws(" ", x, y).alias("key"), (count - i - j).alias("left")))
+
+    return F.flatten(F.transform(words, after))
+
+
+def _bitmap(words: Column) -> Column:
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(one(t)))
 
 
 def _long_tokens(tokens: Column) -> Column:

@@ -1,8 +1,9 @@
 """Counting texts that mention patterns, titles or names.
 
-Needles and texts meet on short runs of characters (grams): each needle is known by the rarest of its own, a text gives
-all of its distinct ones, and only pairs that share one are compared in full. The corpus is read alike for one needle or
-for millions, and no text is compared with all of them.
+Needles and texts meet on short runs of characters (grams). Each needle is known by the one of its own that a sample of the
+corpus has least often. Equal texts become one row, dealt out by their hashes; there a regular expression and a bitmap,
+both of a fixed size, let through the grams that needles are known by, so that little is exploded but what is a
+candidate. The corpus is read alike for one needle or for millions, and no text is compared with all of them.
 """
 
 from functools import reduce
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 from itemlens import constants as K
 from itemlens.functions.text import title_probe
-from itemlens.session import checkpointed
+from itemlens.session import checkpointed, dealt, stored
 
-# characters of a gram; a shorter needle is its own
-GRAM = 4
+GRAMS = (4, 8, 16)  # characters of a gram: the most of these that a needle has; a needle of fewer is its own
+PART = 1 << 16  # characters of a text that are looked at in one go
+CLASS = 200  # most characters that a place of the regular expression names
+SAMPLE, SAMPLE_CHARS = 256, 4096  # texts, and characters of each, that tell common grams from rare ones: this changes times only
+SLOTS = 8  # a gram that very many texts have is met in so many tasks
 
 
 def build_corpus(*parts: DataFrame) -> DataFrame:
@@ -37,48 +41,110 @@ def count_pattern_mentions(corpus: DataFrame, text: str, entries: list[tuple[str
 
     ``entries`` is [(name, patterns)]; one aggregate column each, then unpivoted.
     """
-    one_row = corpus.agg(*[
+    one_row = dealt(corpus.select(text), text).agg(*[
         F.count_if(F.col(text).rlike(any_pattern(patterns))).alias(f"e{i}") for i, (_, patterns) in enumerate(entries)])
     pairs = F.array(*[F.struct(F.lit(n).alias(name), F.col(f"e{i}").alias(out)) for i, (n, _) in enumerate(entries)])
     return one_row.select(F.inline(pairs))
 
 
-def _runs(text: Column, k: int) -> Column:
-    """The distinct runs of ``k`` characters of a text, in one scan of it; none if it is shorter."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+def flattened(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
-def _hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str]) -> DataFrame:
-    """(id, t1, t2) once for each needle and distinct text that has it; ``hit(raw, flat, needle)`` says so.
-
-    ``needles`` (id, fields with ``needle``) must be cheap to read again. Equal texts are looked at once and known by
-    two hashes; ``_texts`` counts them.
-    """
-    grams = needles.withColumn("gram", F.explode(
-        F.when(F.length("needle") >= GRAM, _runs(F.col("needle"), GRAM)).otherwise(F.array("needle"))))
-    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    keys = grams.join(seen, "gram").groupBy("id", *fields).agg(F.min(F.struct("_n", F.xxhash64("gram"), "gram")).alias("k"))
-    keys = checkpointed(keys.select("id", F.struct("id", *fields).alias("x"), F.col("k.gram").alias("gram")))
-    sizes = sorted(r[0] for r in keys.select(F.length("gram")).distinct().collect())  # GRAM + 1 at most
-    texts = _texts(corpus, text)
-    flat_too = F.when(F.col("raw") == F.col("flat"), F.col("raw")).otherwise(F.concat_ws("\n", "raw", "flat"))
-    runs = [_runs(flat_too, k) for k in sizes] or [F.array().cast("array<string>")]
-    found = texts.select("t1", "t2", F.explode(F.concat(*runs)).alias("gram")).join(keys, "gram").select("t1", "t2", "x").distinct()
-    whole = texts.groupBy("t1", "t2").agg(F.first("raw").alias("raw"), F.first("flat").alias("flat"))
-    return found.join(whole, ["t1", "t2"]).where(hit(F.col("raw"), F.col("flat"), F.col("x"))).select(F.col("x.id").alias("id"), "t1", "t2")
-
-
-def _texts(corpus: DataFrame, text: str) -> DataFrame:
+def distinct_texts(corpus: DataFrame, text: str) -> DataFrame:
+    """(t1, t2, m, raw): the lower-cased texts, equal ones as one row with their number, written once."""
     lowered = F.lower(F.col(text))
-    return corpus.filter(F.col(text).isNotNull()).select(
-        lowered.alias("raw"), F.regexp_replace(lowered, r"(?U)\s+", " ").alias("flat"),
-        F.xxhash64(lowered).alias("t1"), F.xxhash64(F.lit(1), lowered).alias("t2"))
+    rows = corpus.filter(F.col(text).isNotNull()).select(lowered.alias("raw"), F.xxhash64(lowered).alias("t1"), F.xxhash64(F.lit(1), lowered).alias("t2"))
+    return stored(rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("m"), F.first("raw").alias("raw")), "texts")
+
+
+def parts_of(text: Column, more: int) -> Column:
+    """A text in parts of ``PART`` characters, each with ``more`` characters of the next."""
+    last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / F.lit(PART)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * PART + 1, F.lit(PART + more)))
+
+
+def runs_of(text: Column, shape: str) -> Column:
+    """The distinct runs of characters that ``shape`` describes, wherever they begin."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({shape}))"), F.lit(1)))
+
+
+def anchored(needles: DataFrame, texts: DataFrame, view) -> DataFrame:
+    """``needles`` (id, x, needle) with ``gram``: the run of each that the sample of ``texts`` has least often."""
+    needle = F.col("needle")
+    own = F.array(needle)
+    for k in GRAMS:
+        own = F.when(F.length(needle) >= k, runs_of(needle, f".{{{k}}}")).otherwise(own)
+    grams = needles.withColumn("gram", F.explode(own))
+    head = view(F.substring("raw", 1, SAMPLE_CHARS))
+    some = texts.limit(SAMPLE).select(F.explode(F.concat(*[runs_of(head, f".{{{k}}}") for k in GRAMS])).alias("gram"))
+    seen = some.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)), F.xxhash64("gram"), "gram"))
+    return checkpointed(grams.join(seen, "gram", "left").groupBy("id").agg(rarest["gram"].alias("gram"), F.first("x").alias("x")))
+
+
+class Screen:
+    """Which grams may be a needle's: for each length the characters at each place, and a bitmap of hashes of 8 times as many bits as there are
+    needles (4,096 to 4,194,304). That is all the driver reads of them."""
+
+    def __init__(self, keys: DataFrame):
+        shapes = keys.groupBy(F.length("gram").alias("k")).agg(F.count(F.lit(1)).alias("n"), *[
+            F.slice(F.collect_set(F.substring("gram", i + 1, 1)), 1, CLASS + 1).alias(f"c{i}") for i in range(GRAMS[-1])]).collect()
+        self.shapes = {r.k: "".join(self.place(r[f"c{i}"]) for i in range(r.k)) for r in shapes if r.k}
+        self.everywhere = any(r.k == 0 for r in shapes)  # every text has the empty needle
+        self.bits = 12
+        while self.bits < 22 and 1 << self.bits < 8 * sum(r.n for r in shapes):
+            self.bits += 1
+        at = self.number(F.col("gram"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 63).cast("int"))
+        words = dict(keys.groupBy(F.floor(at / 63).alias("w")).agg(F.bit_or(one)).collect())
+        every = ",".join(str(words.get(i, 0)) for i in range((1 << self.bits) // 63 + 1))
+        self.bitmap = F.split(F.lit(every), ",").cast("array<long>")  # a constant to the planner
+
+    def number(self, gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(1 << self.bits))
+
+    @staticmethod
+    def place(chars: list[str]) -> str:
+        return "." if len(chars) > CLASS else "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+
+    def grams(self, text: Column) -> Column:
+        """The distinct grams of a text that may be a needle's."""
+        def may_be(gram):
+            at = self.number(gram)
+            word = F.get(self.bitmap, F.floor(at / 63).cast("int"))
+            return F.call_function("shiftright", word, (at % 63).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+        found = [F.filter(runs_of(text, shape), may_be) for shape in self.shapes.values()]
+        return F.concat(*found, F.array(F.lit("")) if self.everywhere else F.array().cast("array<string>"))
+
+
+def candidates(texts: DataFrame, keys: DataFrame, view) -> DataFrame:
+    """(t1, t2, x): the needles of ``keys`` (x, gram) whose gram a text has."""
+    screen = Screen(keys)
+    part = texts.select("t1", "t2", F.explode(parts_of(view(F.col("raw")), GRAMS[-1] - 1)).alias("part"))
+    grams = part.select("t1", "t2", F.explode(screen.grams(F.col("part"))).alias("gram")).withColumn("slot", F.pmod("t1", F.lit(SLOTS)).cast("int"))
+    spread = keys.select("x", "gram", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    return grams.join(spread, ["gram", "slot"]).select("t1", "t2", "x").distinct()
+
+
+def _hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str], view=lambda raw: raw) -> DataFrame:
+    """(id, m) for each needle and distinct text that has it, m being the copies of the text; ``hit(raw, flat, needle)`` says so.
+
+    ``needles`` (id, fields with ``needle``) must be cheap to read again. ``view`` is how texts and needles are looked at to find
+    candidates: it must keep what a text contains.
+    """
+    texts = distinct_texts(corpus, text)
+    shaped = needles.select("id", F.struct("id", *fields).alias("x"), view(F.col("needle")).alias("needle"))
+    found = candidates(texts, anchored(shaped, texts, view), view).groupBy("t1", "t2").agg(F.collect_list("x").alias("xs"))
+    both = found.join(texts, ["t1", "t2"]).withColumn("flat", view(F.col("raw")))
+    kept = F.filter("xs", lambda x: hit(F.col("raw"), F.col("flat"), x))
+    return both.select("m", F.explode(F.transform(kept, lambda x: x["id"])).alias("id"))
 
 
-def _count_hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str]) -> DataFrame:
+def _count_hits(corpus: DataFrame, text: str, needles: DataFrame, hit, fields: list[str], view=lambda raw: raw) -> DataFrame:
     """(id, n): the texts that have each needle; needles without any are left out."""
-    copies = _texts(corpus, text).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("m"))
-    return _hits(corpus, text, needles, hit, fields).join(copies, ["t1", "t2"]).groupBy("id").agg(F.sum("m").alias("n"))
+    return _hits(corpus, text, needles, hit, fields, view).groupBy("id").agg(F.sum("m").alias("n"))
 
 
 def _holds(raw: Column, flat: Column, x: Column) -> Column:
@@ -123,6 +189,7 @@ def count_catalogue_mentions(corpus: DataFrame, text: str, titles: DataFrame, ti
             .otherwise(F.contains(raw, x["needle"]) & F.rlike(raw, F.concat(F.lit("(?iU)"), x["pattern"])))
         )
 
-    hits = _count_hits(corpus, text, probes, hit, ["kind", "needle", "pattern"])
+    # blanks collapse alike in a text and in what it contains
+    hits = _count_hits(corpus, text, probes, hit, ["kind", "needle", "pattern"], flattened)
     return probes.select("id", "pattern").join(hits, "id", "left").select(
         F.col("id").alias(title), "pattern", F.coalesce("n", F.lit(0)).alias(out))

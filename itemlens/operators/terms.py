@@ -1,14 +1,18 @@
 """Subject terms and named terms."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlens import constants as K
 from itemlens.functions.text import bigrams, collapse_suffix, extract_named_terms, tokenize
 from itemlens.operators.counting import ranked, top_k_per_group
-from itemlens.session import checkpointed
+from itemlens.session import checkpointed, dealt
 
 ALL = "ALL"
+LEAST, LONGEST = 3, 64  # letters of a word, and of the words that are looked for in the order of suffixes
 
 
 def term_counts(items: DataFrame, group: str, subject: str, order: str, min_bigram: int = K.MIN_BIGRAM,
@@ -20,11 +24,10 @@ def term_counts(items: DataFrame, group: str, subject: str, order: str, min_bigr
     means as a substring. ``order`` says which item comes first; where a row stands for
     several items, ``weight`` names their number and ``order`` is the least.
 
-    Containment is an equi-join: each distinct word lists its own substrings with
-    the earliest place that rules them out, and a word looks itself up there.
-    Texts are tokenised and counted once, words and pairs together; what follows
-    works on the vocabulary, which is checkpointed.
+    Containment is read off the sorted suffixes of the vocabulary, see ``earliest_holders``. Texts are dealt out by their
+    place, tokenised and counted once, words and pairs together; what follows works on the vocabulary, which is checkpointed.
     """
+    items = dealt(items.select(*dict.fromkeys([group, order, subject, *([weight] if weight else [])])), order)
     toks = items.select(F.col(group).alias("g"), F.col(order).alias("o"), tokenize(F.col(subject), stopwords).alias("t"),
                         (F.col(weight) if weight else F.lit(1).cast("long")).alias("m"))
     terms = F.concat(
@@ -41,19 +44,95 @@ def term_counts(items: DataFrame, group: str, subject: str, order: str, min_bigr
     holders = words.select("g", "w", F.lit(1).alias("late"), "first").unionByName(in_pair)
     # the earliest holder counts, so each holder word is needed once per group
     holders = holders.groupBy("g", "w").agg(F.min(F.struct("late", "first")).alias("at"))
-    # only substrings as long as some word can be a word; that keeps even a run of thousands of letters cheap
-    lengths = words.agg(F.collect_set(F.length("w"))).scalar()
-    sized = holders.withColumn("_lengths", lengths).select(
-        "g", "w", "at", F.explode(F.filter("_lengths", lambda k: k <= F.length("w"))).alias("k"))
-    starts = F.sequence(F.lit(1), F.length("w") - F.col("k") + 1)
-    parts = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("w"), i, F.col("k"))))
-    inside = sized.select("g", F.explode(parts).alias("w"), "at")
-    ruled = inside.groupBy("g", "w").agg(F.min("at").alias("at"))
+    ruled = earliest_holders(holders, words.select("g", "w"))
     singles = words.join(ruled, ["g", "w"]).filter(
         ~((F.col("at.late") == 0) | (F.col("at.first") < F.col("first")))).select("g", "w", "n")
     return pairs.unionByName(singles).select(F.col("g").alias(group), F.col("w").alias("term"), F.col("n").alias("count"))
 
 
+def earliest_holders(holders: DataFrame, words: DataFrame) -> DataFrame:
+    """(g, w, at): for each of ``words`` (g, w) the least ``at`` of the ``holders`` (g, w, at) of its group that contain it.
+
+    A word that another contains begins one of its suffixes, so in the order of all suffixes its holders stand right after it. The suffixes,
+    one a letter of the vocabulary, are range partitioned and read once, in order, with a stack of the words that begin the
+    one at hand. A word's holders may go on in the next partitions; those that do begin with the first suffix there, and
+    each partition reports the least ``at`` of its leading rows for every beginning of its first suffix.
+    The few words of more than ``LONGEST`` letters are looked up among substrings of their lengths, of holders as long.
+    """
+    suffixes = holders.where(F.length("w") >= LEAST).select("g", "w", "at", F.explode(F.sequence(F.lit(1), F.length("w") - LEAST + 1)).alias("i"))
+    rows = suffixes.select("g", F.expr(f"substring(w, i, {LONGEST})").alias("s"), "at", ((F.col("i") == 1) & (F.length("w") <= LONGEST)).alias("whole"))
+    rows = rows.groupBy("g", "s").agg(F.min("at").alias("at"), F.max("whole").alias("whole")).select(
+        "g", "s", "at.late", F.col("at.first.o").alias("o"), F.col("at.first.p").alias("p"), "whole")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("g", "o", "p")}
+    scanned = rows.repartitionByRange("g", "s").sortWithinPartitions("g", "s").mapInArrow(
+        _scan, f"g {kinds['g']}, w string, late int, o {kinds['o']}, p {kinds['p']}")
+    at = F.struct("late", F.when(F.col("late") == 1, F.struct("o", "p")).alias("first")).alias("at")
+    long = words.where(F.length("w") > LONGEST)
+    lengths = long.agg(F.collect_set(F.length("w"))).scalar()
+    sized = holders.where(F.length("w") > LONGEST).withColumn("_lengths", lengths).select(
+        "g", "w", "at", F.explode(F.filter("_lengths", lambda k: k <= F.length("w"))).alias("k"))
+    starts = F.sequence(F.lit(1), F.length("w") - F.col("k") + 1)
+    parts = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("w"), i, F.col("k"))))
+    found = scanned.select("g", "w", at).unionByName(sized.select("g", F.explode(parts).alias("w"), "at"))
+    return found.groupBy("g", "w").agg(F.min("at").alias("at"))
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, w, late, o, p) from sorted suffixes (g, s, late, o, p, whole): the least place among those that a word begins."""
+    stack, out, first, lead, known, schema = [], [], None, None, 0, None
+
+    def place(late, o, p):
+        return (late, o is not None, o, p) if late else (0,)
+
+    def emit(g, w, at):
+        out.append((g, w, at[0], *(at[2:] if at[0] else (None, None))))
+
+    def pop():
+        g, w, at = stack.pop()
+        emit(g, w, at)
+        if stack:
+            stack[-1][2] = min(stack[-1][2], at)
+
+    def report(down_to):
+        nonlocal known
+        for k in range(known, max(down_to, LEAST - 1), -1):
+            emit(first[0], first[1][:k], lead)
+        known = min(known, down_to)
+
+    def batch_out():
+        columns = list(zip(*out))
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema)], names=["g", "w", "late", "o", "p"])
+
+    for batch in batches:
+        kinds = [f.type for f in batch.schema]
+        schema = [kinds[0], kinds[1], pa.int32(), kinds[3], kinds[4]]
+        for g, s, late, o, p, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            at = place(late, o, p)
+            while stack and not (stack[-1][0] == g and s.startswith(stack[-1][1])):
+                pop()
+            if whole:
+                stack.append([g, s, at])
+            elif stack:
+                stack[-1][2] = min(stack[-1][2], at)
+            if first is None:
+                first, known = (g, s), len(s)
+            if known >= LEAST:
+                same = known if g == first[0] else 0
+                while same and s[:same] != first[1][:same]:
+                    same -= 1
+                report(same)
+                lead = at if lead is None else min(lead, at)
+        if len(out) > 10_000:
+            yield batch_out()
+    while stack:
+        pop()
+    if first is not None:
+        report(LEAST - 1)
+        if out:
+            yield batch_out()
+
+
 def top_terms(items: DataFrame, subject: str, order: str, n: int = 30) -> DataFrame:
     whole = items.select(F.lit(ALL).alias("group"), subject, order)
     return ranked(term_counts(whole, "group", subject, order), "count", "term", limit=n)

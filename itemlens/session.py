@@ -1,6 +1,7 @@
 """Reading the input tables and cutting lineage."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,12 @@ def texts(spark: SparkSession, folder: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by a hash of ``keys``: for texts that a heavy expression reads, whose files may be few or have rows of
+    very different lengths. Moving a text costs little beside such an expression, and equal texts are spread like others by more keys."""
+    return df.repartition(*keys)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder checkpoints go to: the one the session names, if any.
 
@@ -38,3 +45,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back, lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a compressed table below the checkpoint folder and read it back, lineage cut."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
