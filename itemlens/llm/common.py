@@ -45,9 +45,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, share: int = 16) -> DataFrame:
-    """``df``, the small result of a shuffle, in one partition for every ``share`` that was shuffled: fewer files."""
-    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // share))
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a small result, in few partitions: it is made at full width, and bundled by its size when it is there."""
+    return df.hint("rebalance")
 
 
 def blocks(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -88,11 +88,16 @@ def passes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (words[at // 63] >> (at % 63)) & 1 == 1
 
 
+KEPT = 3
+
+
 def kept(key: str, make):
-    """What ``make`` gives, made once in a Python worker and kept there for its next tasks."""
+    """What ``make`` gives, made once in a Python worker and kept there for its next tasks; of other things the oldest goes, so that a
+    worker that has served many stages holds no more than one does."""
     held = sys.__dict__.setdefault("_itemlens_kept", {})
-    if key not in held:
-        held[key] = make()
+    held[key] = held.pop(key) if key in held else make()
+    while len(held) > KEPT:
+        del held[next(iter(held))]
     return held[key]
 
 

@@ -15,19 +15,23 @@ from itemlens.llm.common import BLANKS, blocks, bounded, documents, kept, number
 
 LINES = 2  # rows of the sketch
 BLOCKS = 256  # parts that each row is merged in
-HELD = 1_000_000  # windows that a task holds at a time
+PART = 1_000_000  # windows of a part that is sketched at a time
+HELD = 500_000  # windows that a task looks up at a time
+LONG_WORD = 64  # bytes of a word whose hash is kept
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, a bounded number of them kept."""
+    """64-bit hash of each word; a bounded number of short ones is kept."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -90,7 +94,7 @@ def sketches(docs: DataFrame, words: int, bits: int) -> DataFrame:
 
         for batch in blocks(batches, 1 << 20):
             held.append(window_hashes(strings(batch.column(1)), words)[0])
-            if sum(map(len, held)) >= HELD:
+            if sum(map(len, held)) >= PART:
                 yield flush()
         if sum(map(len, held)):
             yield flush()
@@ -129,24 +133,37 @@ def merged(parts: DataFrame, bits: int) -> DataFrame:
         run, "line int, block int, bitmap binary")
 
 
-def estimate(docs: DataFrame, words: int, bits: int) -> dict[tuple[int, int], bytes]:
-    """The merged sketch by (line, block): is a cell counted twice or more? LINES x 2^bits bits at most, whatever the
-    input, and less as they are kept and sent compressed."""
-    found = merged(sketches(docs, words, bits), bits).collect()
-    return {(line, block): bytes(bitmap) for line, block, bitmap in found}
+class Sketch:
+    """The merged sketch: is a cell counted twice or more? ``data`` are the compressed bitmaps of all blocks one after another, ``at`` where each ends.
+
+    At most LINES x 2^bits bits, whatever the input, and less as they stay compressed.
+    """
+
+    def __init__(self, found: list[tuple[int, int, bytes]], bits: int):
+        ordered = {(line, block): bitmap for line, block, bitmap in found}
+        every = [ordered.get((line, block), b"") for line in range(LINES) for block in range(BLOCKS)]
+        self.bits, self.data, self.at = bits, b"".join(every), np.cumsum([0, *map(len, every)])
 
+    def repeated(self, h: np.ndarray, line: int) -> np.ndarray:
+        """Which of the hashes may be repeated by one row of the sketch: cells are looked up in order, with one block unpacked at a time."""
+        import zstandard
+
+        reader, c, hit = zstandard.ZstdDecompressor(), cells(h, line, self.bits), np.zeros(len(h), bool)
+        order = np.argsort(c)
+        c = c[order]
+        edges = np.searchsorted(c, np.arange(BLOCKS + 1, dtype=np.int64) << (self.bits - 8))
+        for block in range(BLOCKS):
+            a, b, k = edges[block], edges[block + 1], line * BLOCKS + block
+            if a < b and self.at[k] < self.at[k + 1]:
+                bitmap = np.frombuffer(reader.decompress(self.data[self.at[k]:self.at[k + 1]]), np.uint8)
+                own = c[a:b] & np.uint32((1 << (self.bits - 8)) - 1)
+                hit[order[a:b]] = (bitmap[own >> np.uint32(3)] >> (own & np.uint32(7)).astype(np.uint8)) & 1 == 1
+        return hit
 
-def unpack(data: dict[tuple[int, int], bytes], line: int, into: np.ndarray) -> np.ndarray:
-    """One row of the sketch as a bitmap."""
-    import zstandard
 
-    blocks_ = into.reshape(BLOCKS, -1)
-    blocks_[:] = 0
-    reader = zstandard.ZstdDecompressor()
-    for b in range(BLOCKS):
-        if (line, b) in data:
-            blocks_[b] = np.frombuffer(reader.decompress(data[line, b]), np.uint8)
-    return into
+def estimate(docs: DataFrame, words: int, bits: int) -> Sketch:
+    found = merged(sketches(docs, words, bits), bits).collect()
+    return Sketch([(line, block, bytes(bitmap)) for line, block, bitmap in found], bits)
 
 
 def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
@@ -157,14 +174,13 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
     often it occurs, has more rows than there are parts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, held = np.zeros((1 << bits) // 8, np.uint8), []
+        held, size = [], 0
 
         def flush():
             row, doc, h, v, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
             held.clear()
-            for line in range(LINES):  # one row of the sketch in memory at a time
-                seen, c = unpack(sketch.value, line, bitmap), cells(h, line, bits)
-                hit = (seen[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1
+            for line in range(LINES):
+                hit = sketch.value.repeated(h, line)
                 row, doc, h, v, pos = (x[hit] for x in (row, doc, h, v, pos))
             order = np.argsort(h, kind="stable")
             hs, vs, ds = h[order], v[order], doc[order]
@@ -181,8 +197,10 @@ def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
         for batch in blocks(batches, 1 << 20):
             h, v, owner, pos = window_hashes(strings(batch.column(1)), words)
             held.append((batch.column(0).to_numpy()[owner], batch.column(2).to_numpy()[owner], h, v, pos.astype(np.int32)))
-            if sum(len(x[2]) for x in held) >= HELD:
+            size += len(h)
+            if size >= HELD:
                 yield flush()
+                size = 0
         if held:
             yield flush()
 
