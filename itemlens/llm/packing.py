@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,28 @@ def encoding(path: str, special: bool = False):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {})
 
 
+RUN = 100_000  # white space characters in a row that are left to the tokenizer file's own library
+
+
+class Encoder:
+    """Texts to ids. The faster library gives up on some hundred thousand white space characters in a row; texts with such runs go to the other."""
+
+    def __init__(self, path: str, special: bool):
+        self.path, self.special, self.fast, self.slow = path, special, encoding(path, special), None
+        self.long_run = re.compile(r"\s{%d}" % RUN)
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) < RUN or not self.long_run.search(text):
+            return self.fast.encode(text, allowed_special="all")
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.no_truncation()
+            self.slow.encode_special_tokens = not self.special
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, special: bool = False) -> DataFrame:
     """(id, part, before, n, ids): the first pass. ``ids`` are little-endian unsigned 32-bit, ``before`` the ids of the
     same partition ahead of the row."""
@@ -42,9 +65,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = kept(f"packing {path} {special}", lambda: encoding(path, special)), TaskContext.get().partitionId(), 0
+        encoder, part, before = kept(f"packing {path} {special}", lambda: Encoder(path, special)), TaskContext.get().partitionId(), 0
         for batch in blocks(batches):
-            ids = [np.array(encoder.encode(x, allowed_special="all") + [end_id], "<u4") for x in strings(batch.column(1))]
+            ids = [np.array(encoder.encode(x) + [end_id], "<u4") for x in strings(batch.column(1))]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             ends = before + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(

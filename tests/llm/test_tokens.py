@@ -131,3 +131,12 @@ def test_special_tokens_as_the_library_reads_them(spark, docs_of, tmp_path):
     docs_of(pairs).write.parquet(f"{tmp_path}/documents.parquet")
     for rows in (packing.op10_pack(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs_of(pairs), "")):
         assert {r.doc_id: r.doc_tokens for r in rows.collect()} == {i: len(x) for i, x in want.items()}
+
+
+def test_packing_very_long_runs(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    tokenizer, n = Tokenizer.from_file(JSON), 2_000_000
+    pairs = [(k, c * n) for k, c in enumerate([" ", "\n", "x", "7", "!"])] + [(9, "a" + "\u00a0" * n + "<|endoftext|>")]
+    rows = packing.pack(docs_of(pairs, 6), JSON, 1 << 22, special=True).groupBy("doc_id").agg({"doc_tokens": "max"}).collect()
+    assert {r[0]: r[1] for r in rows} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in pairs}
