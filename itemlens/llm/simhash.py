@@ -6,12 +6,14 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlens.llm.common import blocks, bounded, documents, few, kept, lists, number, passes, screen, stored, strings
 from itemlens.llm.components import components
+from itemlens.operators.pairs import block_pairs, with_key_size
 from itemlens.session import checkpointed
 
 
@@ -112,9 +114,8 @@ def first_run(a: Column, b: Column, part: Column, bits: int, groups: int) -> Col
     return out
 
 
-def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2, apart: str | None = None) -> DataFrame:
-    """(a, b), a < b: the distinct fingerprints of ``fps`` (fp) that differ in at most ``max_bits`` bits, and in the
-    column ``apart`` if one is given (which must follow from fp).
+def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2) -> DataFrame:
+    """(a, b), a < b: the distinct fingerprints of ``fps`` (fp) that differ in at most ``max_bits`` bits.
 
     Each fingerprint becomes the vector of its segments' bit counts. The Manhattan distance of two vectors is at most
     the number of differing bits, so of ``max_bits // 3 + 1`` runs of segments one at least is within distance 2. In a run, vectors within 2
@@ -122,17 +123,12 @@ def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2, apart: str
     run, so a pair comes once. The join's condition verifies the bits themselves.
     """
     groups = max_bits // 3 + 1
-    kept_cols = ["fp", apart] if apart else ["fp"]
-    cells = fps.select(*kept_cols).distinct().select(
-        *kept_cols, F.inline(grid_cells(segment_counts(F.col("fp"), segment_bits), segment_bits, groups)))
-    side = lambda s: cells.select("part", "cell", F.col("fp").alias(s), F.col("change").alias(f"c{s}"), F.col("up").alias(f"u{s}"),
-                                  *([F.col(apart).alias(f"of_{s}")] if apart else []))
+    cells = fps.select("fp").distinct().select("fp", F.inline(grid_cells(segment_counts(F.col("fp"), segment_bits), segment_bits, groups)))
+    side = lambda s: cells.select("part", "cell", F.col("fp").alias(s), F.col("change").alias(f"c{s}"), F.col("up").alias(f"u{s}"))
     a, b = side("a"), side("b")
     once = (F.col("ca") == -1) | ((F.col("cb") >= 0) & (
         (F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("ua") != F.col("ub")))))
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    if apart:
-        exact = exact & (F.col("of_a") != F.col("of_b"))
     exact = exact & first_run(F.col("a"), F.col("b"), F.col("part"), segment_bits, groups)
     return a.join(b, ["part", "cell"]).where((F.col("a") < F.col("b")) & exact & once).select("a", "b").distinct()
 
@@ -152,13 +148,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, segment_
     return with_components(fps, nodes, pairs, id_col)
 
 
-def with_components(fps: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, key: str = "fp") -> DataFrame:
+def with_components(fps: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    linked = nodes.join(roots, nodes[key] == roots["node"])
+    linked = nodes.join(roots, nodes["fp"] == roots["node"])
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
-    classes = nodes.join(linked.select(key, "root").join(names, "root").select(key, "name"), key, "left").select(
-        key, F.coalesce("name", "least").alias("component_id"))
-    return fps.join(classes, key).select(id_col, "fp", "component_id")
+    classes = nodes.join(linked.select("fp", "root").join(names, "root").select("fp", "name"), "fp", "left").select(
+        "fp", F.coalesce("name", "least").alias("component_id"))
+    return fps.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
 BANDS, ROWS = 40, 8  # sets of similarity s share no band with probability (1 - s**ROWS)**BANDS: 0.0006 at 0.8
@@ -188,9 +184,15 @@ def set_bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * k:8 * ROWS * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
+def text_marks(text_col: str) -> list[Column]:
+    """Two hashes of a text, 128 bits, which with a row's id tell it from others."""
+    text = F.col(text_col).cast("string")
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, set binary, n int, bands array<long>): the SimHash, name, size and bands of the set of each whole text's shingles."""
-    df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    """(id, t1, t2, set binary, n int, bands array<long>): the name, size and bands of the set of each whole text's shingles."""
+    df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), *text_marks(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,51 +200,97 @@ def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
             found = [np.unique(shingle_hashes(x, words)) for x in strings(batch.column(1))]
             bands = [set_bands(x) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([simhash(x) for x in found], pa.int64()), pa.array([set_name(x) for x in found], pa.binary()),
+                [batch.column(0), batch.column(2), batch.column(3), pa.array([set_name(x) for x in found], pa.binary()),
                  pa.array([len(x) for x in found], pa.int32()), lists(pa.array(np.concatenate(bands)), [len(x) for x in bands])],
-                names=[id_col, "fp", "set", "n", "bands"])
+                names=[id_col, "t1", "t2", "set", "n", "bands"])
 
-    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, fp long, set binary, n int, bands array<long>")
+    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, t1 long, t2 long, set binary, n int, bands array<long>")
 
 
-def sets_that_meet(nodes: DataFrame, first: int, last: int, similarity: float) -> DataFrame:
-    """(a, b), a < b: sets of ``nodes`` (set, n, bands, of) that share a band of ``first`` to ``last - 1``, differ in ``of``, and
-    whose sizes allow the similarity."""
-    cells = nodes.select("set", "n", "of", F.explode(F.slice("bands", first + 1, last - first)).alias("band"))
-    side = lambda s: cells.select("band", F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("of").alias(f"of_{s}"))
-    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
-    return side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits).select("a", "b").distinct()
+def fits(similarity: float) -> Column:
+    return F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, rounds: tuple[int, ...] = (4, 16, BANDS),
-                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): like ``near_duplicates``, but a link is a Jaccard similarity of sets of word shingles.
+def stars(cells: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): in each band of ``cells`` (band, set, n) its least set and each other one whose size allows the similarity."""
+    least = cells.groupBy("band").agg(F.min(F.struct("set", "n")).alias("x"), F.count("*").alias("m")).where("m > 1").select(
+        "band", F.col("x.set").alias("a"), F.col("x.n").alias("n_a"))
+    other = cells.select("band", F.col("set").alias("b"), F.col("n").alias("n_b"))
+    return other.join(least, "band").where((F.col("a") != F.col("b")) & fits(similarity)).select("a", "b").distinct()
 
-    A node is a set of shingles, named by 128 bits of hash: rows of one set are one node, and whatever else two texts have in
-    common, their sets are compared before they are linked. ``fp`` is the SimHash of the set, each shingle once. Sets that
-    share a band of least hash values are candidates, and the sets themselves decide. Rounds take in bands up to the number given,
-    and a round looks only at sets that no link has brought together yet. At a similarity of 0.8 a pair is missed with a probability of
-    0.0006, at 0.85 of less than 0.00001; raise ``BANDS`` for less. Nulls and repeats as in ``near_duplicates``.
+
+def apart(cells: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): sets that share a band of ``cells`` (band, set, n, of), differ in ``of``, and whose sizes allow the similarity.
+
+    Only bands with two ``of`` or more are looked at; a large one is cut into blocks, each pair of which is a join of its own.
     """
+    mixed = cells.groupBy("band").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("band")
+    sized = with_key_size(cells.join(mixed, "band"), "band", "set")
+    pairs = block_pairs(sized, "band", "set", ["n", "of"])
+    return pairs.where((F.col("of_a") != F.col("of_b")) & fits(similarity)).select("a", "b").distinct()
+
+
+def linked_sets(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, t1, t2, set) of every row, (node, root) of the sets that are linked)."""
     sets = stored(shingle_sets(docs, words, id_col, text_col), "sets")
-    nodes = stored(few(sets.groupBy("set").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))), "nodes")
-    links, now, first = None, nodes.withColumn("of", F.col("set")), 0
-    for last in rounds:
-        pairs = checkpointed(few(sets_that_meet(now, first, last, similarity)))
-        new = checkpointed(few(alike(docs, nodes, pairs, words, similarity, id_col, text_col)))
-        links, first = new if links is None else links.union(new), last
-        if last != rounds[-1]:
-            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            now = nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "n", "bands", F.coalesce("root", "set").alias("of"))
-    return with_components(sets, nodes, links, id_col, "set")
-
-
-def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    nodes = stored(sets.groupBy("set").agg(F.min("t1").alias("t1"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    cells = nodes.select("set", "n", F.explode("bands").alias("band"))
+    near = checkpointed(few(stars(cells, similarity)))
+    links = checkpointed(few(alike(docs, nodes, near, words, similarity, text_col)))
+    as_links = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(as_links(links))
+    placed = nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "n", F.explode("bands").alias("band"), F.coalesce("root", "set").alias("of"))
+    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = checkpointed(few(apart(placed, similarity).join(tried, ["a", "b"], "left_anti")))
+    more = alike(docs, nodes, rest, words, similarity, text_col)
+    return sets.drop("n", "bands"), components(as_links(checkpointed(few(links.union(more)))))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t1, t2, component_id, first boolean): like ``near_duplicates``, but a link is a Jaccard similarity of sets of word shingles.
+
+    A node is a set of shingles, named by 128 bits of hash: rows of one set are one node, and whatever else two texts have in
+    common, their sets are compared before they are linked. Sets that share a band of least hash values are candidates, and the sets
+    themselves decide: first each band's least set against its others, which brings a large group of copies together by as many
+    comparisons as it has sets, then all that share a band and are not together yet. At a similarity of 0.8 a pair is missed with a probability of
+    0.0006, at 0.85 of less than 0.00001; raise ``BANDS`` for less.
+    A row is told by its id and its text (hashes ``t1``, ``t2``), so rows that share an id are rows of their own. ``first`` marks the one of
+    least id (null last; of one id, of least hashes) of its component, and all rows equal to it.
+    """
+    rows, roots = linked_sets(docs, words, similarity, id_col, text_col)
+    rows = rows.join(roots, rows["set"] == roots["node"], "left").select(id_col, "t1", "t2", F.coalesce("root", "set").alias("of"))
+    place = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("t1"), F.col("t2"))
+    least = rows.groupBy("of").agg(F.min(place).alias("least"))
+    return rows.join(least, "of").select(id_col, "t1", "t2", F.col(f"least.`{id_col}`").alias("component_id"), (place == F.col("least")).alias("first"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are first of their component (``similar_documents``), once each.
+
+    Only rows that may have to go, told by a bitmap of a fixed size, are dealt out to meet the list of those that stay; the others are not shuffled.
+    """
+    found = stored(similar_documents(docs, words, similarity, id_col, text_col).groupBy(
+        F.col(id_col).alias("#id"), F.col("t1").alias("#t1"), F.col("t2").alias("#t2")).agg(F.max("first").alias("#first"), F.count("*").alias("#n")), "fates")
+    touched = screen(found.where("NOT `#first` OR `#n` > 1").select(number("#id", "#t1", "#t2").alias("at")))
+
+    @F.pandas_udf("boolean")
+    def may_go(at: pd.Series) -> pd.Series:
+        return pd.Series(passes(touched, at.to_numpy()))
+
+    marks = [c.alias(f"#{name}") for c, name in zip(text_marks(text_col), ("t1", "t2"))]
+    rows = docs.select("*", F.col(id_col).alias("#key"), *marks)
+    doubt = may_go(number("#key", "#t1", "#t2"))
+    stays = found.where(F.col("#first")).select("#id", F.col("#t1").alias("#s1"), F.col("#t2").alias("#s2"))
+    met = rows.where(doubt).join(stays, F.col("#key").eqNullSafe(F.col("#id")) & (F.col("#t1") == F.col("#s1")) & (F.col("#t2") == F.col("#s2")), "left_semi")
+    return rows.where(~doubt).unionByName(met.dropDuplicates(["#key", "#t1", "#t2"])).select(*docs.columns)
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs (a, b) of names of sets that have the similarity. Sets are read again from the texts and known by name."""
     ends = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = checkpointed(few(ends.join(nodes, "set").select("set", "least")))
-    wanted_numbers = screen(wanted.select(number("least").alias("at")))
-    texts = docs.select(number(id_col).alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    wanted = checkpointed(few(ends.join(nodes, "set").select("set", "t1")))
+    wanted_numbers = screen(wanted.select(number("t1").alias("at")))
+    texts = docs.select(number(text_marks(text_col)[0]).alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1 << 21):

@@ -101,6 +101,49 @@ def test_a_repeated_line_makes_no_duplicates(spark, docs_of):
     assert got == sorted([(-1, 2), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1), (7, 3)])
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark, docs_of):
+    r = random.Random(13)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(5))
+    near = " ".join([*a.split()[:79], "other"])
+    rows = [(1, a), (7, a), (7, b), (8, c), (8, d), (8, d), (None, e), (None, e), (None, near), (None, c + " more"), (9, None), (10, ""), (None, "")]
+    got = sorted(((x.doc_id or -1, x.text) for x in simhash.without_near_duplicates(docs_of(rows)).collect()), key=repr)
+    assert got == sorted([(1, a), (7, b), (8, c), (8, d), (-1, e), (9, None)], key=repr)
+    assert simhash.without_near_duplicates(docs_of([])).count() == 0
+
+
+def test_groups_against_all_pairs(spark, docs_of):
+    """A large group whose members are not all like its least one, small groups, and texts that share much but too little."""
+    r = random.Random(14)
+    texts = []
+    for group in range(12):
+        base = [f"g{group}w{r.randrange(400)}" for _ in range(120)]
+        for _ in range(60 if group == 0 else 4):
+            own = list(base)
+            for _ in range(r.randrange(6)):
+                own[r.randrange(120)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    pairs = list(enumerate(texts))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    want = {i: top(i) for i in range(len(texts))}
+    assert len({x for x in want.values()}) > 13
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(docs_of(pairs)).collect()}
+    assert got == want
+    left = {x.doc_id for x in simhash.without_near_duplicates(docs_of(pairs)).collect()}
+    assert left == {i for i, t in want.items() if i == t}
+
+
 @pytest.mark.parametrize("same", [178, 182, 190])  # similarities of 0.802, 0.835 and 0.905 of 200 shingles each
 def test_isolated_similar_pairs_are_candidates(same):
     r = np.random.default_rng(same)
