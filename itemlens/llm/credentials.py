@@ -16,9 +16,10 @@ ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee
 BASE = (("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]{16,}", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24))
 # parts that tell nothing alone: a token of letters of both cases and digits, and where something listens
 PARTS = (("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
-         ("endpoint", r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~:@-]+", 0, 8))
+         ("endpoint", r"[a-z][a-z0-9+.-]{0,30}://[A-Za-z0-9._~:@-]+", 0, 8))  # a longer scheme counts by its end, so a run of letters is read once
 ORDER = [x[0] for x in (*BASE, *PARTS)]
 SPAN = "array<struct<start:int,end:int>>"
+SUMS = 256  # numbers that are added up together
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -38,12 +39,23 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
         F.transform(F.split(text, pattern, -1), F.length).alias("gaps"), F.transform(whole, F.length).alias("sizes"),
         F.transform(part, F.length).alias("parts"))
 
-    def total(x: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, b: a + b)
+    def added(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+
+    def summed(x: Column) -> Column:
+        """Sums of each ``SUMS`` neighbours: a place adds up these and less than ``SUMS`` single numbers."""
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / SUMS).cast("int")), lambda b: added(F.slice(x, b * SUMS + 1, F.lit(SUMS))))
+
+    def total(x: Column, sums: Column, n: Column) -> Column:
+        whole = F.floor(n / SUMS).cast("int")
+        return added(F.slice(sums, F.lit(1), whole)) + added(F.slice(x, whole * SUMS + 1, n - whole * SUMS))
 
     def place(x: Column) -> Column:
+        return bound(F.struct(summed(x["gaps"]).alias("gaps"), summed(x["sizes"]).alias("sizes")), lambda sums: placed(x, sums))
+
+    def placed(x: Column, sums: Column) -> Column:
         every = F.transform(F.sequence(F.lit(0), F.size(x["sizes"]) - 1), lambda i: F.struct(
-            (total(x["gaps"], i + 1) + total(x["sizes"], i)).alias("start"), x["sizes"][i].alias("n"), x["parts"][i].alias("part")))
+            (total(x["gaps"], sums["gaps"], i + 1) + total(x["sizes"], sums["sizes"], i)).alias("start"), x["sizes"][i].alias("n"), x["parts"][i].alias("part")))
         return F.transform(F.filter(every, lambda m: m["part"] >= least), lambda m: F.struct(
             m["start"].alias("start"), (m["start"] + m["n"]).alias("end")))
 
@@ -162,7 +174,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({' UNION ALL '.join(_sql_places(*x) for x in BASE)}),
 runs AS ({_sql_places('key', '[A-Za-z0-9+/_-]{20,}={0,2}', 0, 20)}),
 keys AS (SELECT runs.* FROM runs JOIN d USING (doc_id)
-  WHERE (s = 0 OR substr(t, s, 1) <> '=') AND regexp_matches(substr(t, s + 1, e - s), '[0-9]') AND regexp_matches(substr(t, s + 1, e - s), '[A-Z]')
+  WHERE regexp_matches(substr(t, s + 1, e - s), '[0-9]') AND regexp_matches(substr(t, s + 1, e - s), '[A-Z]')
     AND regexp_matches(substr(t, s + 1, e - s), '[a-z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = runs.doc_id AND b.s < runs.e AND runs.s < b.e)),
 ends AS ({_sql_places(*PARTS[1])}),

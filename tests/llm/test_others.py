@@ -316,3 +316,20 @@ def test_held_out_accuracy(spark):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert len(rows) == len(truth) and np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.98
+
+
+def test_secrets_agree_with_their_sql_on_forms_and_long_runs(spark, tmp_path):
+    """Keys right after '=', URL parameters, and very long runs and many matches in one text."""
+    import duckdb
+
+    key = "Ab1" * 12
+    texts = [f"AWS_ACCESS_KEY_ID=AKIA{'Q7' * 9}\nAWS_SECRET_ACCESS_KEY={key}", f"https://host.example/x?sig={key}&y=1", f"k={key}==", "x" * 200_000,
+             "0" * 50_000 + "://h", "https://a.example " + "q" * 60 + "://far.example " + key, "\n".join(f"{k:064x}" for k in range(4000)),
+             "a://" * 3000, "+.-" * 20_000 + "s3://bucket-name " + f"AKIA{'Z' * 16}", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = credentials.op6_secrets(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(credentials.SQL_SECRETS)
+    names = [c[0] for c in want.description]
+    assert sorted(tuple(r[c] for c in names) for r in rows.collect()) == sorted(want.fetchall())
