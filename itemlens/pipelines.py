@@ -37,10 +37,15 @@ def enrich(spark: SparkSession, landed: Landed) -> DataFrame:
     return a.withColumn("raw_name", F.col("member")).unionByName(b.select(*a.columns, "raw_name"))
 
 
-def count_step(items: DataFrame) -> dict[str, DataFrame]:
+def item_cells(items: DataFrame) -> DataFrame:
+    """(chamber, type, party, state, ministry, n_items): the one pass over the items that all counts come from."""
+    return checkpointed(items.groupBy("chamber", "type", "party", "state", "ministry").agg(F.count(F.lit(1)).alias("n_items")))
+
+
+def count_step(items: DataFrame, cells: DataFrame | None = None) -> dict[str, DataFrame]:
     """The counting tables by name. Items are read once for all cells, once for terms and once for unmatched askers."""
     n = "n_items"
-    cells = checkpointed(items.groupBy("chamber", "type", "party", "state", "ministry").agg(F.count(F.lit(1)).alias(n)))
+    cells = item_cells(items) if cells is None else cells
     same = checkpointed(items.groupBy("party", "subject").agg(F.count(F.lit(1)).alias("m"), F.min("ques_no").alias("first")))
     everyone = same.select("subject", "m", "first", F.lit("ALL").alias("party"))
     return {
@@ -77,14 +82,62 @@ def relate_step(items: DataFrame, topics: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def matrix_section(cells: DataFrame, row: str, col: str, cols_name: str, top_cols: int, top_rows: int | None = None, n: str = "n") -> DataFrame:
+    """{columns: [..], rows: [{row, values}]}: the biggest columns, and the rows by their totals over all columns."""
+    cut = checkpointed(C.top_matrix(cells, row, col, n, top_cols, top_rows))
+    return W.nested({
+        cols_name: cut.agg(F.coalesce(F.to_json(F.first("columns")), F.lit("[]")).alias("body")),
+        "rows": W.listed(cut, [-F.col("row_total"), F.col(row)], F.struct(row, "values"))})
+
+
+def counts_document(cells: DataFrame, topics: DataFrame, totals: DataFrame, n: str = "n_items", chambers: dict | None = None) -> DataFrame:
+    """The result document of the counting step. ``cells`` (chamber, type, party, state, ministry, n), ``topics`` (party, term, count) with the row
+    group ALL for everybody, ``totals`` one row."""
+    totalled = C.group_summary(cells, chambers=chambers, total="total", weight=n)
+    count = lambda key: W.listed(C.count_by(cells, key, out="questions", weight=n), [-F.col("questions"), F.col(key)])
+    pair = lambda a, b: C.cell_counts(cells, a, b, weight=n)
+    terms = checkpointed(topics.select("party", "term", F.col("count").cast("long").alias("count")))
+    by_count = [-F.col("count"), F.col("term")]
+    return W.nested({
+        "party_summary": W.listed(totalled, [-F.col("total"), F.col("party")]), "ministry_summary": count("ministry"), "state_summary": count("state"),
+        "party_ministry_matrix": matrix_section(pair("party", "ministry"), "party", "ministry", "ministries", K.DOCUMENT_TARGETS),
+        "state_party_matrix": matrix_section(pair("state", "party"), "state", "party", "parties", K.DOCUMENT_REGIONS, K.DOCUMENT_REGIONS),
+        "state_ministry_matrix": matrix_section(pair("state", "ministry"), "state", "ministry", "ministries", K.DOCUMENT_TARGETS, K.DOCUMENT_REGIONS),
+        "party_type_matrix": matrix_section(C.type_cells(cells, weight=n), "party", "type", "types", K.DOCUMENT_TARGETS),
+        "overall_topics": W.listed(terms.filter(F.col("party") == "ALL").select("term", "count"), by_count),
+        "party_topics": W.lists_by_key(terms.filter(F.col("party") != "ALL"), "party", by_count),
+        "totals": W.single(totals)})
+
+
+def graph_document(stats: DataFrame, lifts: DataFrame, ranks: DataFrame, members: DataFrame, shared: DataFrame, bridges: DataFrame) -> DataFrame:
+    """The result document of the graph step: totals, and the top of each ranking."""
+    top = lambda df, k, order: W.listed(df.orderBy(*order).limit(k), order)
+    return W.nested({
+        "stats": W.single(stats),
+        "signature_ministries": top(lifts, 60, [-F.col("lift"), -F.col("questions"), F.col("party"), F.col("ministry")]),
+        "pagerank_top": top(ranks, 40, [-F.col("pagerank"), F.col("node")]),
+        "party_communities": W.listed(members, [F.col("community"), -F.col("items"), F.col("group")]),
+        "ministry_cooccurrence_top": top(shared, 40, [-F.col("shared_askers"), F.col("target_a"), F.col("target_b")]),
+        "cross_party_bridges_top": top(bridges, 30, [-F.col("joint_items"), F.col("asker_a"), F.col("asker_b")])})
+
+
 def run(spark: SparkSession, landed: Landed, folder: str, graph: bool = True) -> list[str]:
-    """Enrich, count and relate what was landed, write every table below ``folder`` and register it as a view."""
+    """Enrich, count and relate what was landed, write every table and the result documents below ``folder`` and register the tables as views."""
     items = checkpointed(enrich(spark, landed))
-    tables = count_step(items)
+    cells = item_cells(items)
+    tables = count_step(items, cells)
     for name, df in tables.items():
         W.write_table(df, f"{folder}/{W.RESULT_TABLES[name]}")
+    topics = R.read_table(spark, f"{folder}/{W.RESULT_TABLES['topic_keywords']}", R.TOPICS)
+    W.write_document(counts_document(cells, topics, C.corpus_totals(items)), f"{folder}/data.json")
     if graph:
-        topics = R.read_table(spark, f"{folder}/{W.RESULT_TABLES['topic_keywords']}", R.TOPICS)
-        for name, df in relate_step(items, topics).items():
+        related = {name: checkpointed(df) for name, df in relate_step(items, topics).items()}
+        for name, df in related.items():
             W.write_table(df, f"{folder}/{W.RESULT_TABLES[name]}")
+        stats = cells.agg(F.countDistinct("party").alias("parties"), F.countDistinct("ministry").alias("ministries")).select(
+            "*", items.agg(F.countDistinct("member")).scalar().alias("askers"),
+            related["kg_mp_coasking_bridges"].agg(F.count(F.lit(1))).scalar().alias("cross_party_pairs"))
+        W.write_document(graph_document(
+            stats, tables["kg_party_ministry_lift"], related["kg_pagerank"], related["kg_party_communities"],
+            related["kg_ministry_cooccurrence"], related["kg_mp_coasking_bridges"]), f"{folder}/graph.json")
     return W.register_tables(spark, folder)

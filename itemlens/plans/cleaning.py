@@ -330,13 +330,14 @@ def split_node_id(spark, d):
 
 
 @suite.add("""
-SELECT l_suppkey, coalesce(100.0 * s / nullif(s + u, 0), 0)::DOUBLE AS share FROM (
-  SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linenumber = 1) AS s,
-         count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber = 1) AS u FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, l_linestatus, coalesce(100.0 * s / nullif(s + u, 0), 0)::DOUBLE AS share FROM (
+  SELECT l_suppkey, l_linestatus, count(*) FILTER (WHERE l_returnflag = 'A') AS s, count(*) FILTER (WHERE l_returnflag = 'R') AS u
+  FROM lineitem GROUP BY l_suppkey, l_linestatus)
 """)
 def starred_share(spark, d):
-    n = lambda f: F.count_if((F.col("l_returnflag") == f) & (F.col("l_linenumber") == 1))
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(V.starred_share(n("A"), n("R")).alias("share"))
+    """Open lines have neither flag, so each supplier has a share of none."""
+    n = lambda f: F.count_if(F.col("l_returnflag") == f)
+    return table(spark, d, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(V.starred_share(n("A"), n("R")).alias("share"))
 
 
 @suite.add("SELECT o_orderkey, round(o_totalprice * 1000 / 1e7, 0)::DOUBLE AS crore FROM orders")

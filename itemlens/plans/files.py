@@ -1,7 +1,9 @@
 """Landing files and reading them back (S1-S16). Files go below the session's checkpoint folder."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlens import constants as K
@@ -9,12 +11,12 @@ from itemlens import pipelines as P
 from itemlens.operators import graph as G
 from itemlens.operators import matching as M
 from itemlens.operators.comparison import distinct_proposals
-from itemlens.plans.base import ITEMS, Suite, items
+from itemlens.plans.base import CHAMBERS, ITEMS, Suite, item_cells, items
 from itemlens.plans.network import SQL_EDGES, SQL_NODES, SQL_TOPICS, cells, topics
 from itemlens.plans.counting import LAST
 from itemlens.plans.outside import SQL_CATALOGUE, card, entries
-from itemlens.plans.people import SQL_REGISTRY, contacts
-from itemlens.plans.results import brief
+from itemlens.plans.people import SQL_REGISTRY, contacts, listed_code
+from itemlens.plans.results import SQL_BRIEF, brief, brief_text
 from itemlens.session import checkpointed, ensure_checkpoint_dir, table
 from itemlens.sources import readers as R
 from itemlens.sources import writers as W
@@ -85,7 +87,7 @@ def enrich_items_a(spark, d):
     return enriched_a(spark, d).drop("question_text", "answer_text", "answer_pdf_url")
 
 
-# chamber B raw items: the code is the supplier; suppliers with a balance are on the roster
+# chamber B raw items: the code is the supplier; those under a balance are on the roster under a code nobody asks by
 def raw_items_b(spark, d):
     rows = items(spark, d).filter("chamber = 'F'")
     return rows.select(
@@ -116,8 +118,8 @@ def enrich_items_b(spark, d):
 
 
 def roster_b(spark, d):
-    return table(spark, d, "supplier").filter("s_acctbal >= 1000").select(
-        F.col("s_suppkey").cast("int").alias("mpsno"), F.col("s_name").alias("partyCode"),
+    return table(spark, d, "supplier").select(
+        listed_code(1000).cast("int").alias("mpsno"), F.col("s_name").alias("partyCode"),
         F.concat(F.lit("Full "), "s_name").alias("party"), F.lit("Keralam").alias("state"), F.lit(None).cast("string").alias("name"))
 
 
@@ -184,6 +186,24 @@ def read_catalogue(spark, d):
     return R.read_catalogue(spark, paths, post).select("target", "title", "intro")
 
 
+@suite.add(f"SELECT target, title, last_modified || 'T00:00:00' AS modified, 'Outlay of Rs. ' || (page[6:]) || ',000.5 Crore' AS intro, "
+           f"CASE WHEN target = 'NATION_0' THEN page ELSE '' END AS page FROM ({SQL_CATALOGUE})")
+def read_catalogue_dump(spark, d):
+    """Dumps with entries of two shapes by target in one document, a document for every hundred titles or so."""
+    rows = entries(spark, d).withColumn("core", F.col("target") == "NATION_0").withColumn("file", F.floor(F.substring("page", 6, 9).cast("long") / 100))
+    core = F.to_json(F.struct(F.struct(F.col("title").alias("rendered")).alias("title"), "modified", F.struct(
+        F.lit("").alias("l3_introduction"), F.col("intro").alias("introduction")).alias("acf"), F.col("page").alias("link")))
+    post = F.to_json(F.struct(F.col("title").alias("post_title"), F.col("modified").alias("post_modified"), F.struct(
+        F.col("intro").alias("l3_introduction"), F.lit("other").alias("introduction")).alias("acf_data"), F.col("page").alias("post_slug")))
+    lists = rows.groupBy("file", "target").agg(F.array_join(F.collect_list(F.when(F.col("core"), core).otherwise(post)), ",\n").alias("list"))
+    named = F.concat(F.lit('"'), "target", F.lit('": ['), "list", F.lit("]"))
+    dumps = lists.groupBy("file").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(named), ",\n"), F.lit("}")).alias("dump"))
+    path = landing(spark)
+    dumps.write.partitionBy("file").text(path)
+    hooks = {f"NATION_{i}": {"schema": "post_page" if i else "wp_core"} for i in range(4)}  # the last target is told by its entries
+    return R.read_catalogue_dump(spark, f"{path}/*", hooks)
+
+
 @suite.add(f"""
 SELECT l_orderkey::VARCHAR AS proposal_no, 'project ' || l_partkey AS project_name, l_extendedprice AS investment_cost, l_returnflag AS status
 FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in LAST)}, l_returnflag DESC) = 1
@@ -214,20 +234,83 @@ def read_topics(spark, d):
     return R.read_topics(spark, path)
 
 
-@suite.add(f"WITH {ITEMS} SELECT party, count(*) AS total FROM items GROUP BY party HAVING count(*) >= 50")
+@suite.add(SQL_BRIEF)
 def write_payload(spark, d):
+    """The briefs with their nested lists, as read back."""
     path = landing(spark)
-    W.write_payload({"briefs": brief(spark, d)}, path)
-    return spark.read.json(f"{path}/briefs").select("party", F.col("total").cast("long").alias("total"))
+    rows = brief(spark, d)
+    W.write_payload({"briefs": rows}, path)
+    return brief_text(spark.read.schema(rows.schema).json(f"{path}/briefs"))
+
+
+DOCUMENT = """
+    party_summary ARRAY<STRUCT<party: STRING, chamber_a: BIGINT, chamber_b: BIGINT, total: BIGINT>>, ministry_summary ARRAY<STRUCT<ministry: STRING, questions: BIGINT>>,
+    state_summary ARRAY<STRUCT<state: STRING, questions: BIGINT>>,
+    party_ministry_matrix STRUCT<ministries: ARRAY<STRING>, rows: ARRAY<STRUCT<party: STRING, values: ARRAY<BIGINT>>>>,
+    state_party_matrix STRUCT<parties: ARRAY<STRING>, rows: ARRAY<STRUCT<state: STRING, values: ARRAY<BIGINT>>>>,
+    party_topics MAP<STRING, ARRAY<STRUCT<term: STRING, count: BIGINT>>>, totals STRUCT<combined: BIGINT, open: BIGINT>"""
 
 
-@suite.add(f"WITH {ITEMS}, {SQL_TOPICS}, e AS ({SQL_EDGES}), n AS ({SQL_NODES}) SELECT type, count(*) AS n FROM (SELECT type FROM e UNION ALL SELECT type FROM n) GROUP BY type")
+def sql_numbers(section: str, src: str, key: str, n: str) -> str:
+    return f"SELECT '{section}' AS section, (row_number() OVER (ORDER BY {n} DESC, {key}) - 1)::INT AS position, {key} AS name, {n}::VARCHAR AS detail FROM {src}"
+
+
+def sql_matrix(section: str, row: str, col: str) -> str:
+    return f"""
+    SELECT '{section}', (row_number() OVER (ORDER BY total DESC, name) - 1)::INT, name, detail FROM (
+      SELECT r.name, r.total, string_agg(c.name || '=' || coalesce(x.n, 0), ',' ORDER BY c.total DESC, c.name) AS detail
+      FROM (SELECT {row} AS name, count(*) AS total FROM items GROUP BY 1) r, (SELECT {col} AS name, count(*) AS total FROM items GROUP BY 1) c
+      LEFT JOIN (SELECT {row} AS a, {col} AS b, count(*) AS n FROM items GROUP BY ALL) x ON x.a = r.name AND x.b = c.name GROUP BY ALL)"""
+
+
+@suite.add(f"""
+WITH {ITEMS}, {SQL_TOPICS}, g AS (SELECT party, count(*) AS total, count(*) FILTER (WHERE chamber = 'O') || '/' || count(*) FILTER (WHERE chamber = 'F') || '/' || count(*) AS x
+  FROM items GROUP BY party), m AS (SELECT ministry, count(*) AS n FROM items GROUP BY 1), s AS (SELECT state, count(*) AS n FROM items GROUP BY 1)
+SELECT 'party_summary' AS section, (row_number() OVER (ORDER BY total DESC, party) - 1)::INT AS position, party AS name, x AS detail FROM g
+UNION ALL {sql_numbers('ministry_summary', 'm', 'ministry', 'n')} UNION ALL {sql_numbers('state_summary', 's', 'state', 'n')}
+UNION ALL {sql_matrix('party_ministry_matrix', 'party', 'ministry')} UNION ALL {sql_matrix('state_party_matrix', 'state', 'party')}
+UNION ALL SELECT 'party_topics', (row_number() OVER (PARTITION BY party ORDER BY count DESC, term) - 1)::INT, party, term || '=' || count FROM topics
+UNION ALL SELECT 'totals', 0, 'combined', count(*)::VARCHAR FROM items UNION ALL SELECT 'totals', 0, 'open', (count(*) FILTER (WHERE chamber = 'O'))::VARCHAR FROM items
+""")
+def counts_document(spark, d):
+    """The nested result document, written, read back as one value and laid out row by row."""
+    rows = checkpointed(item_cells(spark, d))
+    totals = rows.agg(F.sum("n_items").alias("combined"), F.sum(F.when(F.col("chamber") == "O", F.col("n_items"))).alias("open"))
+    path = landing(spark)
+    W.write_document(P.counts_document(rows, topics(spark, d), totals, chambers=CHAMBERS), path)
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
+    text = lambda c: F.col(c).cast("string")
+
+    def part(section, name, detail):
+        return doc.select(F.lit(section).alias("section"), F.posexplode(section).alias("position", "r")).select("section", "position", name.alias("name"), detail.alias("detail"))
+
+    def matrix(section, row, cols):
+        each = doc.select(F.col(f"{section}.{cols}").alias("c"), F.posexplode(f"{section}.rows").alias("position", "r"))
+        cells = F.array_join(F.zip_with("c", "r.values", lambda c, v: F.concat(c, F.lit("="), v.cast("string"))), ",")
+        return each.select(F.lit(section).alias("section"), "position", F.col(f"r.{row}").alias("name"), cells.alias("detail"))
+
+    by_key = doc.select(F.explode("party_topics").alias("name", "terms")).select("name", F.posexplode("terms").alias("position", "t"))
+    topic_rows = by_key.select(F.lit("party_topics").alias("section"), "position", "name", F.concat(F.col("t.term"), F.lit("="), text("t.count")).alias("detail"))
+    sums = doc.select(F.inline(F.array(*[F.struct(F.lit("totals").alias("section"), F.lit(0).alias("position"), F.lit(c).alias("name"), text(f"totals.{c}").alias("detail"))
+                                         for c in ("combined", "open")])))
+    return reduce(DataFrame.unionByName, [
+        part("party_summary", F.col("r.party"), F.concat_ws("/", text("r.chamber_a"), text("r.chamber_b"), text("r.total"))),
+        part("ministry_summary", F.col("r.ministry"), text("r.questions")), part("state_summary", F.col("r.state"), text("r.questions")),
+        matrix("party_ministry_matrix", "party", "ministries"), matrix("state_party_matrix", "state", "parties"), topic_rows, sums])
+
+
+@suite.add(f"""
+WITH {ITEMS}, {SQL_TOPICS}, e AS ({SQL_EDGES}), n AS ({SQL_NODES})
+SELECT id, type, label, party, state, chamber, NULL::VARCHAR AS dst, NULL::BIGINT AS weight FROM n
+UNION ALL SELECT src, type, NULL, NULL, NULL, NULL, dst, weight FROM e
+""")
 def write_graph(spark, d):
+    """Nodes and edges as read back, row by row."""
     path = landing(spark)
     rows, terms = cells(spark, d), checkpointed(topics(spark, d))
     W.write_graph(G.graph_nodes(rows, terms), G.graph_edges(rows, terms), path)
-    both = spark.read.parquet(f"{path}/nodes").select("type").unionByName(spark.read.parquet(f"{path}/edges").select("type"))
-    return both.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    edges = spark.read.parquet(f"{path}/edges").withColumnRenamed("src", "id")
+    return spark.read.parquet(f"{path}/nodes").unionByName(edges, allowMissingColumns=True)
 
 
 @suite.add(f"WITH {ITEMS} SELECT p.party, p.n AS questions, t.type, t.n AS typed FROM (SELECT party, count(*)::INT AS n FROM items GROUP BY party) p JOIN (SELECT party, type, count(*)::INT AS n FROM items GROUP BY ALL) t USING (party)")

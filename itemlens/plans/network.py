@@ -144,7 +144,7 @@ SQL_LED = """
 led AS (SELECT DISTINCT asker, n_name AS party FROM (
   SELECT l_suppkey AS asker FROM lineitem WHERE l_returnflag = 'N'
   QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) = 1)
-  JOIN supplier ON s_suppkey = asker JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0)
+  JOIN supplier ON CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -s_suppkey END = asker JOIN nation ON n_nationkey = s_nationkey)
 """
 SQL_BRIDGES = f"""
 WITH {SQL_JOINT}, {SQL_LED}
@@ -157,8 +157,10 @@ WHERE coalesce(a.party, 'Unknown') <> coalesce(b.party, 'Unknown')
 def bridges(spark, d):
     led = table(spark, d, "lineitem").filter("l_returnflag = 'N'").groupBy("l_orderkey").agg(
         F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey", "l_partkey")).alias("asker")).select("asker").distinct()
-    paid = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("member"))
-    groups = askers(spark, d).join(paid, "member", "left_semi").select(F.col("member").alias("asker"), "party")
+    # suppliers without a balance are known under a code that nobody signs with
+    code = F.when(F.col("s_acctbal") > 0, F.col("member")).otherwise(-F.col("member"))
+    balance = table(spark, d, "supplier").select(F.col("s_suppkey").alias("member"), "s_acctbal")
+    groups = askers(spark, d).join(balance, "member").select(code.alias("asker"), "party")
     return G.cross_group_bridges(joint_pairs(spark, d), groups.join(led, "asker", "left_semi"), "asker", "party")
 
 
@@ -256,7 +258,7 @@ def communities(spark, d):
 WITH s AS (SELECT source, substr(source, 4)::INT % 4 AS bloc, count(*) AS items FROM documents GROUP BY ALL)
 SELECT min(source) OVER (PARTITION BY bloc) AS community, source AS "group", items, count(*) OVER (PARTITION BY bloc) AS community_size FROM s
 """)
-def communities_by_text(spark, d):
+def communities_of_sources(spark, d):
     """Sources grouped by the topics they publish on, a topic for every fourth source."""
     topic = (F.substring("source", 4, 9).cast("int") % 4).cast("string")
     docs = table(spark, d, "documents").select(F.col("source").alias("party"), topic.alias("ministry"))

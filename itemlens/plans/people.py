@@ -108,15 +108,20 @@ def unmatched_by_name(spark, d):
     return M.unmatched_askers(rows, "chamber", "asker", ["A"])
 
 
-# --- codes: suppliers with a balance form the roster; the others are former askers nobody lists ---
+# --- codes: every supplier is on the roster, but those under a balance are listed under a code that nobody asks by ---
 SQL_CODES = """
 SELECT l_linestatus AS chamber, l_suppkey AS mp_code, s_name AS party, s_name IS NOT NULL AS matched
-FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 1000) ON s_suppkey = l_suppkey
+FROM lineitem LEFT JOIN (SELECT CASE WHEN s_acctbal >= 1000 THEN s_suppkey ELSE -s_suppkey END AS code, s_name FROM supplier) ON code = l_suppkey
 """
 
 
+def listed_code(least: int):
+    """The code a supplier is listed under: its own from a balance of ``least`` on, else one that nobody asks by."""
+    return F.when(F.col("s_acctbal") >= least, F.col("s_suppkey")).otherwise(-F.col("s_suppkey"))
+
+
 def coded(spark, d):
-    listed = table(spark, d, "supplier").filter("s_acctbal >= 1000").select("s_suppkey", F.col("s_name").alias("party"))
+    listed = table(spark, d, "supplier").select(listed_code(1000).alias("s_suppkey"), F.col("s_name").alias("party"))
     rows = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("chamber"), F.col("l_suppkey").alias("mp_code"))
     return M.match_code(rows, listed, "mp_code", "s_suppkey")
 

@@ -41,14 +41,19 @@ def brief(spark, d):
         blocs(spark, d)[1].select(F.col("id").alias("party"), "community"), total="total", starred="A", unstarred="N")
 
 
-@suite.add(SQL_BRIEF)
-def group_brief(spark, d):
+def brief_text(rows):
+    """The briefs with their lists as text."""
     text = lambda c, k, v: F.array_join(F.transform(c, lambda x: F.concat(x[k], F.lit("="), x[v].cast("string"))), ",")
-    return brief(spark, d).withColumns({
+    return rows.withColumns({
         "signature": text("signature", "ministry", "questions"), "topics": text("topics", "term", "count"),
         "starred_share": F.round("starred_share", 6)})
 
 
+@suite.add(SQL_BRIEF)
+def group_brief(spark, d):
+    return brief_text(brief(spark, d))
+
+
 def sql_top(section: str, src: str, k: int, name: str, n: str, detail: str = "NULL") -> str:
     return (f"SELECT '{section}' AS section, (row_number() OVER (ORDER BY {n} DESC, {name}))::INT AS position, {name} AS name, "
             f"{detail}::VARCHAR AS detail, {n} AS n FROM {src} QUALIFY position <= {k}")

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemlens import constants as K
 from itemlens.functions.labels import nullif_blank
 from itemlens.functions.text import strip_html
 
@@ -141,6 +142,28 @@ def read_catalogue(spark: SparkSession, core: dict[str, str], post: dict[str, tu
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_catalogue_dump(spark: SparkSession, path: str, hooks: dict[str, dict] = K.CATALOGUE_HOOKS) -> DataFrame:
+    """Cached dumps ``{target: [entry, ..]}``, one document a file, as the table of ``read_catalogue``.
+
+    Entries have the shape of their target's hook, so a file has two; a target without a hook is told by its entries. Read as VARIANT, no
+    schema is laid over both: a missing, null or odd field is null in its column. Entries of the second shape have no page here.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    lists = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("target"), F.col("value").alias("entries"))
+    each = lists.lateralJoin(spark.tvf.variant_explode(F.col("entries").outer())).select("target", F.col("value").alias("e"))
+    get = lambda at: F.try_variant_get("e", f"$.{at}", "string")
+    shape = F.create_map(*[F.lit(x) for t, h in hooks.items() for x in (t, h["schema"])])[F.col("target")] if hooks else F.lit(None)
+    core = F.coalesce(shape, F.when(get("title").isNotNull(), F.lit("wp_core"))) == "wp_core"
+
+    def field(in_core: str, in_post: str) -> Column:
+        return F.when(core, get(in_core)).otherwise(get(in_post))
+
+    long, short = (nullif_blank(field(f"acf.{n}", f"acf_data.{n}")) for n in ("l3_introduction", "introduction"))
+    return each.select(
+        "target", field("title.rendered", "post_title").alias("title"), field("modified", "post_modified").alias("modified"),
+        strip_html(F.coalesce(long, short), null_on_empty=False).alias("intro"), F.when(core, F.coalesce(get("link"), F.lit(""))).otherwise("").alias("page"))
+
+
 def read_proposals(spark: SparkSession, path: str, envelope: bool = False, multiline: bool = False) -> DataFrame:
     """Landed proposals, plain or in pages ``{status, data}``; ``load_order`` is that of the file, the page and the place in it."""
     if envelope:

@@ -1,6 +1,8 @@
 """Results as files, tables and views."""
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlens.sources.readers import read_table_inferred
@@ -52,6 +54,48 @@ def write_payload(sections: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+# A result document is one nested JSON value put together from sections, each a frame of one row with its ``body``. Sections are results: rankings,
+# tables cut to their top, totals. What has a row per item belongs into a table.
+
+
+def listed(df: DataFrame, order: list[Column], value: Column | None = None) -> DataFrame:
+    """The rows as a list of objects, or of ``value``s, in the given order."""
+    item = F.struct(*df.columns) if value is None else value
+    keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    rows = F.array_sort(F.collect_list(F.struct(*keys, item.alias("item"))))
+    return df.agg(F.to_json(F.transform(rows, lambda r: r["item"]), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def single(df: DataFrame) -> DataFrame:
+    """The only row as an object; null if there is none."""
+    return df.agg(F.coalesce(F.to_json(F.first(F.struct(*df.columns)), {"ignoreNullFields": "false"}), F.lit("null")).alias("body"))
+
+
+def lists_by_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """An object with a list of objects for each key, keys in order."""
+    keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    rows = F.array_sort(F.collect_list(F.struct(*keys, F.struct(*[c for c in df.columns if c != key]).alias("item"))))
+    per_key = df.groupBy(key).agg(F.to_json(F.transform(rows, lambda r: r["item"]), {"ignoreNullFields": "false"}).alias("body"))
+    return _object(per_key.select(F.col(key).alias("at"), F.col(key).alias("name"), "body"))
+
+
+def nested(sections: dict[str, DataFrame]) -> DataFrame:
+    """An object of sections, in their order."""
+    named = [df.select(F.lit(i).alias("at"), F.lit(name).alias("name"), "body") for i, (name, df) in enumerate(sections.items())]
+    return _object(reduce(DataFrame.unionAll, named))
+
+
+def _object(members: DataFrame) -> DataFrame:
+    quoted = F.regexp_extract(F.to_json(F.array("name")), r"(?s)^\[(.*)\]$", 1)
+    every = F.array_sort(F.collect_list(F.struct("at", F.concat(quoted, F.lit(":"), "body").alias("text"))))
+    return members.agg(F.concat(F.lit("{"), F.array_join(F.transform(every, lambda m: m["text"]), ","), F.lit("}")).alias("body"))
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """A document as one file below ``path``, which appears when the job commits; a failed or repeated task leaves none behind."""
+    document.coalesce(1).write.mode("overwrite").text(path)
+
+
 def register_views(spark: SparkSession, frames: dict[str, DataFrame | None]) -> list[str]:
     """Temp views under the given names; a missing input (None) is skipped."""
     names = [n for n, df in frames.items() if df is not None]

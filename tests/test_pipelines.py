@@ -36,3 +36,12 @@ def test_run_on_landed_files(spark, tmp_path):
     assert bridges == {frozenset(("Person Lark", "Person Heron")): 39, frozenset(("Person Lark", "Person Finch")): 1}
     assert rows("kg_party_communities", "group") == [("BLUE",), ("RED",)]
     assert abs(sum(r.pagerank for r in spark.table("kg_pagerank").collect()) - 1) < 1e-3
+    data, relations = (json.loads("".join(f.read_text() for f in (tmp_path / "out" / f"{n}.json").glob("part-*"))) for n in ("data", "graph"))
+    assert data["party_summary"][0] == {"party": "RED", "lok_sabha_questions": 81, "rajya_sabha_questions": 0, "total": 81}
+    assert data["ministry_summary"] == [{"ministry": m, "questions": n} for m, n in (("PORTS", 83), ("ROADS", 80), ("Unknown", 2))]
+    matrix = data["party_ministry_matrix"]
+    assert matrix["ministries"][:2] == ["PORTS", "ROADS"] and matrix["rows"][0] == {"party": "RED", "values": [81, 0] + [0] * (len(matrix["ministries"]) - 2)}
+    assert data["party_topics"]["BLUE"][0]["term"] in ("bridge safety", "toll bridge") and data["overall_topics"][0]["count"] >= 80
+    assert data["totals"]["combined"] == 165
+    assert {frozenset((b["asker_a"], b["asker_b"])): b["joint_items"] for b in relations["cross_party_bridges_top"]} == bridges
+    assert relations["stats"]["cross_party_pairs"] == len(bridges) and relations["pagerank_top"][0].keys() >= {"node", "pagerank"}

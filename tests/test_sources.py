@@ -122,6 +122,39 @@ def test_catalogues_of_both_shapes(spark, tmp_path):
     assert got["Posted"].intro == "Short" and got["Posted"].page.endswith("/details/posted") and got["Bare"].page.endswith("/details/")
 
 
+def test_cached_dump_of_both_shapes(spark, tmp_path):
+    hooks = {"T1": {"schema": "wp_core"}, "T2": {"schema": "post_page"}}
+    dump = {
+        "T1": [{"title": {"rendered": "Plain"}, "modified": "2030-02-03T04:05:06"}, {"title": {"rendered": "Rich"}, "modified": None, "link": "https://c.example/rich",
+                "acf": {"l3_introduction": "", "introduction": "<div>An <b>intro</b></div>"}}],
+        "T2": [{"post_title": "Posted", "post_modified": "2031", "acf_data": {"l3_introduction": "Short", "introduction": "Long"}, "post_slug": "posted"},
+               {"post_title": "Bare", "acf_data": False}],
+        "Other": [{"post_title": "By its shape"}, {"title": {"rendered": "By its title"}, "link": "https://o.example"}, {}], "None here": []}
+    (tmp_path / "dump.json").write_text(json.dumps(dump, indent=2))
+    (tmp_path / "empty.json").write_text("{}")
+    got = {(r.target, r.title): (r.modified, r.intro, r.page) for r in R.read_catalogue_dump(spark, str(tmp_path / "*.json"), hooks).collect()}
+    assert got == {
+        ("T1", "Plain"): ("2030-02-03T04:05:06", "", ""), ("T1", "Rich"): (None, "An intro", "https://c.example/rich"),
+        ("T2", "Posted"): ("2031", "Short", ""), ("T2", "Bare"): (None, "", ""),
+        ("Other", "By its shape"): (None, "", ""), ("Other", "By its title"): (None, "", "https://o.example"), ("Other", None): (None, "", "")}
+
+
+def test_documents(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2, None), ('a "q"', 2, 1.5), ("c", 9, 0.0)], "name STRING, n INT, x DOUBLE")
+    none = rows.filter("n > 99")
+    doc = W.nested({
+        "ranked": W.listed(rows, [-F.col("n"), F.col("name")]), "names": W.listed(rows, [F.col("name")], F.col("name")), "empty": W.listed(none, [F.col("n")]),
+        "by": W.lists_by_key(rows, "name", [F.col("n")]), "one": W.single(rows.agg(F.sum("n").alias("n"))), "no": W.single(none),
+        "deep": W.nested({"inner": W.listed(rows.filter("n > 2"), [F.col("n")])})})
+    W.write_document(doc, str(tmp_path / "doc"))
+    parts = list((tmp_path / "doc").glob("part-*"))
+    assert len(parts) == 1 and (tmp_path / "doc" / "_SUCCESS").exists()
+    assert json.loads(parts[0].read_text()) == {
+        "ranked": [{"name": "c", "n": 9, "x": 0.0}, {"name": 'a "q"', "n": 2, "x": 1.5}, {"name": "b", "n": 2, "x": None}],
+        "names": ['a "q"', "b", "c"], "empty": [], "by": {'a "q"': [{"n": 2, "x": 1.5}], "b": [{"n": 2, "x": None}], "c": [{"n": 9, "x": 0.0}]},
+        "one": {"n": 13}, "no": None, "deep": {"inner": [{"name": "c", "n": 9, "x": 0.0}]}}
+
+
 def test_press_filter_reaches_the_scan(spark, tmp_path, capsys):
     rows = [("2029-12-31", "note"), ("2030-01-01", "note"), ("2030-01-01", "photo"), ("2030-06-01", "note")]
     spark.createDataFrame(rows, "date STRING, kind STRING").write.parquet(str(tmp_path / "press"))
