@@ -79,8 +79,8 @@ def screen(numbers: DataFrame) -> np.ndarray:
     at = F.col(numbers.columns[0])
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 63).cast("int"))
     out = np.zeros((1 << SCREEN) // 63 + 1, np.int64)
-    for word, some in numbers.groupBy(F.floor(at / 63).alias("word")).agg(F.bit_or(one)).collect():
-        out[word] = some
+    found = numbers.groupBy(F.floor(at / 63).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out
 
 

@@ -139,10 +139,14 @@ class Sketch:
     At most LINES x 2^bits bits, whatever the input, and less as they stay compressed.
     """
 
-    def __init__(self, found: list[tuple[int, int, bytes]], bits: int):
-        ordered = {(line, block): bitmap for line, block, bitmap in found}
-        every = [ordered.get((line, block), b"") for line in range(LINES) for block in range(BLOCKS)]
-        self.bits, self.data, self.at = bits, b"".join(every), np.cumsum([0, *map(len, every)])
+    def __init__(self, found: pa.Table, bits: int):
+        """``found`` (line, block, bitmap)."""
+        place = found.column(0).to_numpy() * BLOCKS + found.column(1).to_numpy()
+        bitmaps = found.column(2).combine_chunks()
+        sizes = np.zeros(LINES * BLOCKS, np.int64)
+        sizes[place] = pa.compute.binary_length(bitmaps).to_numpy(zero_copy_only=False)
+        self.bits, self.at = bits, np.append(0, np.cumsum(sizes))
+        self.data = b"".join(bitmaps[k].as_py() for k in np.argsort(place).tolist())
 
     def repeated(self, h: np.ndarray, line: int) -> np.ndarray:
         """Which of the hashes may be repeated by one row of the sketch: cells are looked up in order, with one block unpacked at a time."""
@@ -162,8 +166,7 @@ class Sketch:
 
 
 def estimate(docs: DataFrame, words: int, bits: int) -> Sketch:
-    found = merged(sketches(docs, words, bits), bits).collect()
-    return Sketch([(line, block, bytes(bitmap)) for line, block, bitmap in found], bits)
+    return Sketch(merged(sketches(docs, words, bits), bits).toArrow(), bits)
 
 
 def candidates(docs: DataFrame, words: int, bits: int, sketch) -> DataFrame:
@@ -256,6 +259,7 @@ def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 29, id_col: str
     starts = stored(sent.withColumn("first", first).where((F.col("tail") < 0) | (F.col("id") > F.col("first"))).groupBy(
         F.col("row").alias("#r"), F.col("id").alias("#i")).agg(F.sort_array(F.collect_list(
             F.col("tail").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias("#starts")), "repeats")
+    sketch.destroy()  # what was looked up in it is written
     # most documents lose nothing: only those that may are dealt out to meet their windows
     touched = screen(starts.select(number("#r").alias("at")))
 
