@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from itemlens import constants as K
 from itemlens.functions.values import node_id
-from itemlens.operators.counting import count_by, first_by, last_by, lift_of_cells, ranked
-from itemlens.operators.pairs import block_pairs, pair_counts, with_key_size
+from itemlens.operators.counting import count_by, first_by, last_by, lift_of_cells
+from itemlens.operators.pairs import block_pairs, pair_counts, top_pair_counts, with_key_size
 from itemlens.session import checkpointed
 
 # node kinds and the prefix of their ids
@@ -84,7 +84,8 @@ def cooccurring_targets(items: DataFrame, asker: str = "member", target: str = "
 
 def top_cooccurring_targets(items: DataFrame, asker: str = "member", target: str = "ministry",
                             out: str = "shared_askers", k: int = K.TOP_COOCCURRENCE) -> DataFrame:
-    return ranked(cooccurring_targets(items, asker, target, out), out, "target_a", "target_b", limit=k)
+    """The ``k`` pairs of targets that most askers asked both of; pairs that cannot be among them are not made."""
+    return top_pair_counts(items, asker, target, k, out, "target_a", "target_b")
 
 
 def last_joint_item(items: DataFrame, keys: list[str], order: list[str], askers: str = "askers") -> DataFrame:

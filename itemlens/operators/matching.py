@@ -14,7 +14,7 @@ from itemlens.functions.labels import (
 )
 from itemlens.functions.text import strip_html
 from itemlens.functions.values import join_askers, lead_asker
-from itemlens.operators.counting import dedupe_last
+from itemlens.operators.counting import count_by, dedupe_last
 from itemlens.session import checkpointed
 
 # a token in more than 1/HOT_SHARE of all name tokens is hot; at most HOT_SHARE tokens can be
@@ -160,10 +160,10 @@ def match_code(items: DataFrame, roster: DataFrame, code: str, roster_code: str)
 
 
 def unmatched_askers(items: DataFrame, chamber: str, name: str, need_name: list[str],
-                     matched: str = "matched", out: str = "count") -> DataFrame:
-    """Items per asker without a roster hit; chambers in ``need_name`` skip items with no asker."""
+                     matched: str = "matched", out: str = "count", weight: str | None = None) -> DataFrame:
+    """Items per asker without a roster hit; chambers in ``need_name`` skip items with no asker. ``weight``: how many items a row stands for."""
     missing = ~F.col(matched) & (nullif_blank(F.col(name)).isNotNull() | ~F.col(chamber).isin(need_name))
-    return items.filter(missing).groupBy(chamber, F.col(name).alias("name")).agg(F.count(F.lit(1)).alias(out))
+    return count_by(items.filter(missing), chamber, F.col(name).alias("name"), out=out, weight=weight)
 
 
 def enrich_items_a(raw: DataFrame, index: DataFrame, chamber: str = K.CHAMBER_A) -> DataFrame:

@@ -35,6 +35,32 @@ def pair_counts(df: DataFrame, key: str, item: str, out: str = "n",
     )
 
 
+def top_pair_counts(df: DataFrame, key: str, item: str, k: int, out: str = "n", a: str = "a", b: str = "b") -> DataFrame:
+    """The ``k`` pairs of ``pair_counts`` with the greatest numbers, ties to the smaller pair, without making all pairs.
+
+    A pair occurs at most as often as the rarer of its items. The pairs of the few most frequent items give a bound from below for the k-th
+    number; items that occur less often than that are in no pair of the result, so the second round, if one is needed at all, counts the
+    pairs of the others only. The driver reads two numbers.
+    """
+    members = checkpointed(df.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct())
+    seen = checkpointed(members.groupBy("i").agg(F.count(F.lit(1)).alias("f")))
+    some = 2
+    while some * (some - 1) < 4 * k:
+        some += 1
+    least = seen.orderBy(F.col("f").desc(), "i").limit(some).agg(F.min("f")).first()[0] or 1
+
+    def counted(bound: int) -> DataFrame:
+        often = seen.filter(F.col("f") >= bound).select("i")
+        return checkpointed(pair_counts(members.join(often, "i", "left_semi"), "k", "i", "n").orderBy(F.col("n").desc(), "a", "b").limit(k))
+
+    top = counted(least)
+    found = top.agg(F.count(F.lit(1)), F.min("n")).first()
+    safe = found[1] if found[0] == k else 1
+    if safe < least:
+        top = counted(safe)
+    return top.withColumnsRenamed({"n": out, "a": a, "b": b}).orderBy(F.col(out).desc(), a, b)
+
+
 def with_key_size(members: DataFrame, key: str, item: str = "i", slots: int = SLOTS) -> DataFrame:
     """Members with the size of their key. Counts come per slot of a key, and members meet them slot by slot, so a key
     with very many members is never in one task."""

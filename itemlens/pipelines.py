@@ -37,16 +37,30 @@ def enrich(spark: SparkSession, landed: Landed) -> DataFrame:
     return a.withColumn("raw_name", F.col("member")).unionByName(b.select(*a.columns, "raw_name"))
 
 
-def item_cells(items: DataFrame) -> DataFrame:
-    """(chamber, type, party, state, ministry, n_items): the one pass over the items that all counts come from."""
-    return checkpointed(items.groupBy("chamber", "type", "party", "state", "ministry").agg(F.count(F.lit(1)).alias("n_items")))
-
-
-def count_step(items: DataFrame, cells: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The counting tables by name. Items are read once for all cells, once for terms and once for unmatched askers."""
+CELLS = ["chamber", "type", "party", "state", "ministry"]
+SETS = {"cells": CELLS, "subjects": ["party", "subject"], "names": ["chamber", "matched", "raw_name"]}
+
+
+def item_counts(items: DataFrame) -> dict[str, DataFrame]:
+    """What all counting tables come from, by one pass over the items and one shuffle of their counts: ``cells`` (chamber, type, party, state,
+    ministry, n_items), ``subjects`` (party, subject, n_items, first) and ``names`` (chamber, matched, raw_name, n_items)."""
+    columns = list(dict.fromkeys(c for own in SETS.values() for c in own))
+    sets = [[F.col(c) for c in own] for own in SETS.values()]
+    # the bits say which columns a row's set leaves out, so a null value is not taken for one
+    counted = checkpointed(items.groupingSets(sets, *columns).agg(
+        F.count(F.lit(1)).alias("n_items"), F.min("ques_no").alias("first"), F.grouping_id(*columns).alias("set")))
+    out = {}
+    for name, own in SETS.items():
+        bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in own)
+        out[name] = counted.filter(F.col("set") == bits).select(*own, "n_items", *(["first"] if name == "subjects" else []))
+    return out
+
+
+def count_step(items: DataFrame, counts: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The counting tables by name, all from ``item_counts``."""
     n = "n_items"
-    cells = item_cells(items) if cells is None else cells
-    same = checkpointed(items.groupBy("party", "subject").agg(F.count(F.lit(1)).alias("m"), F.min("ques_no").alias("first")))
+    counts = counts or item_counts(items)
+    cells, same = counts["cells"], counts["subjects"].withColumnRenamed(n, "m")
     everyone = same.select("subject", "m", "first", F.lit("ALL").alias("party"))
     return {
         "party_summary": C.group_summary(cells, weight=n),
@@ -58,7 +72,7 @@ def count_step(items: DataFrame, cells: DataFrame | None = None) -> dict[str, Da
         "state_ministry_matrix_wide": C.cross_tab(C.cell_counts(cells, "state", "ministry", weight=n), "state", "ministry"),
         "topic_keywords": top_terms_by_group(everyone, "party", "subject", "first", 30, "m").drop("rank").unionByName(
             top_terms_by_group(same, "party", "subject", "first", weight="m").drop("rank")),
-        "unmatched_members": M.unmatched_askers(items, "chamber", "raw_name", [K.CHAMBER_A]),
+        "unmatched_members": M.unmatched_askers(counts["names"], "chamber", "raw_name", [K.CHAMBER_A], weight=n),
         "kg_party_ministry_lift": C.lift(cells, weight=n).filter(F.col("questions") >= K.MIN_LIFT_ITEMS),
     }
 
@@ -124,8 +138,9 @@ def graph_document(stats: DataFrame, lifts: DataFrame, ranks: DataFrame, members
 def run(spark: SparkSession, landed: Landed, folder: str, graph: bool = True) -> list[str]:
     """Enrich, count and relate what was landed, write every table and the result documents below ``folder`` and register the tables as views."""
     items = checkpointed(enrich(spark, landed))
-    cells = item_cells(items)
-    tables = count_step(items, cells)
+    counts = item_counts(items)
+    cells = counts["cells"]
+    tables = count_step(items, counts)
     for name, df in tables.items():
         W.write_table(df, f"{folder}/{W.RESULT_TABLES[name]}")
     topics = R.read_table(spark, f"{folder}/{W.RESULT_TABLES['topic_keywords']}", R.TOPICS)

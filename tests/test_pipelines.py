@@ -45,3 +45,17 @@ def test_run_on_landed_files(spark, tmp_path):
     assert data["totals"]["combined"] == 165
     assert {frozenset((b["asker_a"], b["asker_b"])): b["joint_items"] for b in relations["cross_party_bridges_top"]} == bridges
     assert relations["stats"]["cross_party_pairs"] == len(bridges) and relations["pagerank_top"][0].keys() >= {"node", "pagerank"}
+
+
+def test_counts_come_from_one_shuffle_of_the_items(spark, capsys):
+    rows = [("A", "t", "P", "N", "M", "sub", True, "x", 4), ("A", None, "P", None, "M", None, False, None, 2), ("A", "t", "P", "N", "M", "sub", False, "y", 1)]
+    items = spark.createDataFrame(rows, "chamber STRING, type STRING, party STRING, state STRING, ministry STRING, subject STRING, matched BOOLEAN, raw_name STRING, ques_no INT")
+    counts = P.item_counts(items)
+    get = lambda n: sorted((tuple(r) for r in counts[n].collect()), key=repr)
+    assert get("cells") == sorted([("A", "t", "P", "N", "M", 2), ("A", None, "P", None, "M", 1)], key=repr)
+    assert get("subjects") == sorted([("P", "sub", 2, 1), ("P", None, 1, 2)], key=repr)
+    assert get("names") == sorted([("A", True, "x", 1), ("A", False, None, 1), ("A", False, "y", 1)], key=repr)
+    columns = ["chamber", "type", "party", "state", "ministry", "subject", "matched", "raw_name"]
+    items.groupingSets([[P.F.col(c) for c in own] for own in P.SETS.values()], *columns).agg(P.F.count(P.F.lit(1))).explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Expand" in plan
