@@ -54,4 +54,5 @@ def in_order(df: DataFrame, key: Column, before: bool = False, ring: bool = Fals
     if before:
         seats.append(F.when((F.col("#key") == F.col("last")) & (F.col("#at") < last), seat(F.col("#at") + 1, -1)).otherwise(none))
     out = placed.select(*[f"`{c}`" for c in df.columns], "`#key`", F.inline(F.filter(F.array(*seats), lambda x: x.isNotNull())))
-    return out.repartition(count, "#bucket").sortWithinPartitions("#bucket", "#ghost", "#key")
+    # a bucket a partition: by a hash some would get several and some none
+    return out.repartitionById(count, "#bucket").sortWithinPartitions("#bucket", "#ghost", "#key")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 import zlib
 
@@ -242,6 +243,26 @@ def test_names_around_and_in_the_article():
     assert kept('<article><p>a<svg viewBox="0 0 1 1"/></p><math/><p>b</p><svg><text>no</text></svg><p>c</p></article>') == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<p>Hello <span class="ad">x</span> world</p>', ["Hello world"]), ("<p>Click <svg><g><svg></svg></g><text>t</text></svg> here</p>", ["Click here"]),
+    ("<p>one<script>a < b; '</p>'</script> two</p>", ["one two"]), ("<p>one <input type=text> two<wbr>three</p>", ["one twothree"]),
+    ("<p><ruby>kan<rt>ji</rt></ruby> <x-card>own</x-card> end</p>", ["kanji own end"]), ("<p>a<br>b</p>c<hr>d", ["a b", "c", "d"]),
+    ("<article><h2 id=cookies>Cookies</h2><h2 id='comments'>Comments</h2><p id=share class=x>Share</p><div id=comments>no</div></article>", ["Cookies", "Comments", "Share"]),
+    ("<a title=it's>Hello world</a> we don't know", ["Hello world we don't know"]), ('<p title="x>y">b</p>', ["b"]), ('<p title="x>b</p> c', ["b", "c"]),
+    ("<p>a <object data=x> b</p><p>c</p>", ["a b", "c"]), ("<p>a <button>no <i>no</i></button> b<select><option>x</select></p>", ["a b"]),
+    ("a <b", ["a <b"]), ("a <!-- > b", ["a"]), ("x < y > z &lt;", ["x < y > z <"]), ("<p>a<span class=ad><div>no</div></span>b</p>", ["a", "b"]),
+])
+def test_lines_end_at_block_elements_only(page, want):
+    assert [x for x, m in html_text.text_lines(page) if m != html_text.LEFT_OUT] == want
+
+
+def test_long_broken_pages_take_no_long_time():
+    for page in ("<a " * 300_000, "<p title=" * 100_000, '<p a="b" ' * 100_000, "<" * 1_000_000, "<div>" * 200_000, "<svg>" * 20_000, "x" * 5_000_000, "<!--" * 200_000, '="' * 500_000):
+        start = time.time()
+        html_text.text_lines(page)
+        assert time.time() - start < 20, page[:20]
+
+
 # --- nearest codes
 
 @pytest.mark.parametrize("n,k", [(3, 5), (400, 10), (6000, 4)])
