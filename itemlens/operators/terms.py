@@ -60,11 +60,11 @@ def earliest_holders(holders: DataFrame, words: DataFrame) -> DataFrame:
     The few words of more than ``LONGEST`` letters are looked up among substrings of their lengths, of holders as long.
     """
     suffixes = holders.where(F.length("w") >= LEAST).select("g", "w", "at", F.explode(F.sequence(F.lit(1), F.length("w") - LEAST + 1)).alias("i"))
-    rows = suffixes.select("g", F.expr(f"substring(w, i, {LONGEST})").alias("s"), "at", ((F.col("i") == 1) & (F.length("w") <= LONGEST)).alias("whole"))
-    rows = rows.groupBy("g", "s").agg(F.min("at").alias("at"), F.max("whole").alias("whole")).select(
-        "g", "s", "at.late", F.col("at.first.o").alias("o"), F.col("at.first.p").alias("p"), "whole")
+    whole = (F.col("i") == 1) & (F.length("w") <= LONGEST)
+    rows = suffixes.select("g", F.expr(f"substring(w, i, {LONGEST})").alias("s"), "at.late", F.col("at.first.o").alias("o"), F.col("at.first.p").alias("p"),
+                           whole.alias("whole"))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("g", "o", "p")}
-    scanned = rows.repartitionByRange("g", "s").sortWithinPartitions("g", "s").mapInArrow(
+    scanned = rows.repartitionByRange("g", "s").sortWithinPartitions("g", "s", F.col("whole").desc()).mapInArrow(
         _scan, f"g {kinds['g']}, w string, late int, o {kinds['o']}, p {kinds['p']}")
     at = F.struct("late", F.when(F.col("late") == 1, F.struct("o", "p")).alias("first")).alias("at")
     long = words.where(F.length("w") > LONGEST)
@@ -78,7 +78,7 @@ def earliest_holders(holders: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, w, late, o, p) from sorted suffixes (g, s, late, o, p, whole): the least place among those that a word begins."""
+    """(g, w, late, o, p) from sorted suffixes (g, s, late, o, p, whole), a word before equal suffixes of others: the least place among those that it begins."""
     stack, out, first, lead, known, schema = [], [], None, None, 0, None
 
     def place(late, o, p):
