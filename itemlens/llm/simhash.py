@@ -167,12 +167,16 @@ def set_name(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def set_bands(found: np.ndarray) -> np.ndarray:
-    """For each band a hash of the set's least values under ``ROWS`` hash functions of its own; an empty set has none."""
+SKETCH = BANDS * ROWS // 16  # words of four bits for each hash function
+
+
+def set_sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, sketch): for each band a hash of the set's least values under ``ROWS`` hash functions of its own, and four bits of each of
+    these values; an empty set has no bands."""
     import xxhash
 
     if not len(found):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(SKETCH, np.int64)
     by, plus = kept("simhash bands", lambda: [np.array(
         [xxhash.xxh64_intdigest(str(k), seed) | 1 for k in range(BANDS * ROWS)], np.uint64)[:, None] for seed in (1, 2)])
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
@@ -181,7 +185,23 @@ def set_bands(found: np.ndarray) -> np.ndarray:
         some += plus
         np.minimum(least, some.min(axis=1), out=least)
     raw = least.tobytes()
-    return np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * k:8 * ROWS * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
+    bands = np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * k:8 * ROWS * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
+    bits = (least >> np.uint64(32) & np.uint64(15)).reshape(SKETCH, 16)  # the highest ones are 0 in all least values
+    return bands, (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """May sets of these sketches be that similar? Of the hash functions a share as large as the similarity gives both sets one value, and of the
+    others a sixteenth the same four bits; 3.4 standard deviations below that are let through, so one pair in 3,000 at the similarity itself is not."""
+    n, p = 16 * SKETCH, similarity + (1 - similarity) / 16
+    least = int(n * p - 3.4 * (n * p * (1 - p)) ** 0.5)
+    differ = F.lit(0)
+    for i in range(SKETCH):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for by in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(n) - differ >= least
 
 
 def text_marks(text_col: str) -> list[Column]:
@@ -191,20 +211,20 @@ def text_marks(text_col: str) -> list[Column]:
 
 
 def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t1, t2, set binary, n int, bands array<long>): the name, size and bands of the set of each whole text's shingles."""
+    """(id, t1, t2, set binary, n int, bands array<long>, sketch array<long>): the name, size, bands and sketch of the set of each whole text's shingles."""
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), *text_marks(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1 << 21):
             found = [np.unique(shingle_hashes(x, words)) for x in strings(batch.column(1))]
-            bands = [set_bands(x) for x in found]
+            bands, sketch = zip(*(set_sketch(x) for x in found)) if found else ([], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array([set_name(x) for x in found], pa.binary()),
-                 pa.array([len(x) for x in found], pa.int32()), lists(pa.array(np.concatenate(bands)), [len(x) for x in bands])],
-                names=[id_col, "t1", "t2", "set", "n", "bands"])
+                 pa.array([len(x) for x in found], pa.int32()), *[lists(pa.array(np.concatenate(y)), [len(x) for x in y]) for y in (bands, sketch)]],
+                names=[id_col, "t1", "t2", "set", "n", "bands", "sketch"])
 
-    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, t1 long, t2 long, set binary, n int, bands array<long>")
+    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, t1 long, t2 long, set binary, n int, bands array<long>, sketch array<long>")
 
 
 def fits(similarity: float) -> Column:
@@ -219,21 +239,23 @@ def stars(cells: DataFrame, similarity: float) -> DataFrame:
     return other.join(least, "band").where((F.col("a") != F.col("b")) & fits(similarity)).select("a", "b").distinct()
 
 
-def apart(cells: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): sets that share a band of ``cells`` (band, set, n, of), differ in ``of``, and whose sizes allow the similarity.
+def apart(cells: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): sets that share a band of ``cells`` (band, set, n, of), differ in ``of``, and whose sizes and ``sketches`` (set, sketch) allow the similarity.
 
-    Only bands with two ``of`` or more are looked at; a large one is cut into blocks, each pair of which is a join of its own.
+    Only bands with two ``of`` or more are looked at; a large one is cut into blocks, each pair of which is a join of its own. Sketches are
+    compared in the join, so a large group of texts that are somewhat alike, but not enough, makes few pairs.
     """
     mixed = cells.groupBy("band").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("band")
-    sized = with_key_size(cells.join(mixed, "band"), "band", "set")
-    pairs = block_pairs(sized, "band", "set", ["n", "of"])
-    return pairs.where((F.col("of_a") != F.col("of_b")) & fits(similarity)).select("a", "b").distinct()
+    sized = with_key_size(cells.join(mixed, "band").join(sketches, "set"), "band", "set")
+    pairs = block_pairs(sized, "band", "set", ["n", "of", "sketch"])
+    possible = (F.col("of_a") != F.col("of_b")) & fits(similarity) & may_be_alike("sketch_a", "sketch_b", similarity)
+    return pairs.where(possible).select("a", "b").distinct()
 
 
 def linked_sets(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """((id, t1, t2, set) of every row, (node, root) of the sets that are linked)."""
     sets = stored(shingle_sets(docs, words, id_col, text_col), "sets")
-    nodes = stored(sets.groupBy("set").agg(F.min("t1").alias("t1"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(sets.groupBy("set").agg(F.min("t1").alias("t1"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     cells = nodes.select("set", "n", F.explode("bands").alias("band"))
     near = checkpointed(few(stars(cells, similarity)))
     links = checkpointed(few(alike(docs, nodes, near, words, similarity, text_col)))
@@ -241,9 +263,9 @@ def linked_sets(docs: DataFrame, words: int, similarity: float, id_col: str, tex
     roots = components(as_links(links))
     placed = nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "n", F.explode("bands").alias("band"), F.coalesce("root", "set").alias("of"))
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checkpointed(few(apart(placed, similarity).join(tried, ["a", "b"], "left_anti")))
+    rest = checkpointed(few(apart(placed, nodes.select("set", "sketch"), similarity).join(tried, ["a", "b"], "left_anti")))
     more = alike(docs, nodes, rest, words, similarity, text_col)
-    return sets.drop("n", "bands"), components(as_links(checkpointed(few(links.union(more)))))
+    return sets.drop("n", "bands", "sketch"), components(as_links(checkpointed(few(links.union(more)))))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +275,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     common, their sets are compared before they are linked. Sets that share a band of least hash values are candidates, and the sets
     themselves decide: first each band's least set against its others, which brings a large group of copies together by as many
     comparisons as it has sets, then all that share a band and are not together yet. At a similarity of 0.8 a pair is missed with a probability of
-    0.0006, at 0.85 of less than 0.00001; raise ``BANDS`` for less.
+    0.0009, at 0.85 of less than 0.00001; raise ``BANDS`` for less.
     A row is told by its id and its text (hashes ``t1``, ``t2``), so rows that share an id are rows of their own. ``first`` marks the one of
     least id (null last; of one id, of least hashes) of its component, and all rows equal to it.
     """

@@ -151,10 +151,27 @@ def test_isolated_similar_pairs_are_candidates(same):
     for _ in range(300):
         x = r.integers(0, 2**64, 400 - same, dtype=np.uint64)
         a, b = np.unique(x[:200]), np.unique(np.append(x[:same], x[200:]))
-        met += bool((simhash.set_bands(a) == simhash.set_bands(b)).any())
+        met += bool((simhash.set_sketch(a)[0] == simhash.set_sketch(b)[0]).any())
     assert met >= 298
 
 
+def test_sketches_let_similar_sets_through(spark):
+    """All but a few in a thousand at the similarity, hardly any of a much smaller one."""
+    r = np.random.default_rng(5)
+
+    def through(shared, count=300):
+        rows = []
+        for _ in range(count):
+            x = r.integers(0, 2**64, 400 - shared, dtype=np.uint64)
+            a, b = np.unique(x[:200]), np.unique(np.append(x[:shared], x[200:]))
+            rows.append((simhash.set_sketch(a)[1].tolist(), simhash.set_sketch(b)[1].tolist()))
+        frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+        return frame.where(simhash.may_be_alike("a", "b", 0.8)).count()
+
+    assert through(178) >= 298 and through(190) == 300  # similarities of 0.802 and 0.905
+    assert through(150) < 10 and through(100) == 0  # of 0.6 and 0.333
+
+
 def plain_repeats(pairs, n):
     own, top = {}, 1 << 62
     for i, t in pairs:
