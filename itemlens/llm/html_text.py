@@ -230,27 +230,26 @@ def told_apart(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
 
 
 def _copies(a: tuple, b: tuple) -> bool:
-    if KEPT in a[2] and KEPT in b[2]:  # neither is told by its neighbours
-        return False
     return aligned(*([x[1][k] for k, m in enumerate(x[2]) if m != LEFT_OUT] for x in (a, b)))[1]
 
 
 def deleted(lines: list[str], marks: list[int], others: list[tuple[list[str], list[int]]]) -> str:
     """The text without lines that a neighbour has at the same turn of the page.
 
-    Where a page has a main element its lines are the text, as articles may quote each other. Otherwise all lines that are not
-    left out are aligned, and shared ones go, however many they are; a copy tells nothing about a template.
+    All lines that are not left out are aligned, and shared ones go, however many they are; a copy tells nothing about a template.
+    Lines of a main element stay even so, as articles may quote each other. Beside a main element a line of the page's own stays where a
+    neighbour shows the template around it, by having a line outside the main element too; where none does, the main element is the text.
     """
     own = [k for k, m in enumerate(marks) if m != LEFT_OUT]
-    if KEPT in marks:
-        return "\n".join(lines[k] for k in own if marks[k] == KEPT)
+    main = {k for k in own if marks[k] == KEPT}
     gone: set[int] = set()
     a = [lines[k] for k in own]
     for theirs, their_marks in others:
         pairs, copies = aligned(a, [x for x, m in zip(theirs, their_marks) if m != LEFT_OUT])
         if not copies:
             gone.update(own[i] for i, _ in pairs)
-    return "\n".join(lines[k] for k in own if k not in gone)
+    told = not main or not gone <= main
+    return "\n".join(lines[k] for k in own if k in main or (told and k not in gone))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -259,7 +258,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A page is read into lines, one a block, marked by the elements they stand in. Pages of a host are ordered by path;
     a page is aligned with the nearest pages before and after it that are not copies of it, and lines shared with one go, as do the
     parts that their elements or names call menus, headers, footers, sidebars, notices, adverts, forms or comments. Where a
-    page has an article or main element its lines are the text, and outside ones go whether shared or not. Past the bounds of a
+    page has an article or main element its lines stay, shared or not, and with them lines outside that the page has for itself, if a
+    neighbour shows the template there. Past the bounds of a
     task one page is seen to either side: if that is a copy too, the other side alone tells.
 
     A null or empty page has an empty text. A null URL counts as the empty host and path; pages of one URL follow by id

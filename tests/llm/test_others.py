@@ -222,6 +222,18 @@ def test_short_articles_lose_a_large_template(spark):
     assert got == want
 
 
+def test_differencing_decides_outside_of_the_article_too(spark):
+    page = lambda k, quote="": f"<div>Site name</div><div>Headline {k}</div><article><p>Story number {k}</p>{quote}</article><div>All rights</div>"
+    quote = "<p>A sentence that both articles quote</p>"
+    rows = [(1, "http://h.example/1", page(1, quote)), (2, "http://h.example/2", page(2, quote)), (3, "http://lone.example/3", page(3)),
+            (4, "http://c.example/1", page(4)), (5, "http://c.example/2", page(4)), (6, "http://d.example/1", "<div>Own</div><article><p>a</p></article>"),
+            (7, "http://d.example/2", "<div>Other</div><article><p>b</p></article>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Headline 1\nStory number 1\nA sentence that both articles quote"
+    assert got[2] == "Headline 2\nStory number 2\nA sentence that both articles quote"
+    assert got[3] == "Story number 3" and got[4] == got[5] == "Story number 4" and got[6] == "a" and got[7] == "b"  # nothing tells a template
+
+
 @pytest.mark.parametrize("others", [["c", "d", "d"], ["d", "c"], ["c", "c", "c", "d"]])
 def test_copies_are_passed_over(others):
     lines = {"c": ["menu", "a story that was copied", "foot"], "d": ["menu", "another story altogether", "foot"]}
