@@ -52,10 +52,7 @@ GROUP BY pair HAVING count(*) >= 3
 
 @suite.add(SQL_PAIRS)
 def frequent_bigrams(spark, d):
-    from itemlens.functions.text import bigrams, tokenize
-
-    pairs = texts(spark, d, "documents").select(F.explode(bigrams(tokenize(F.col("text")))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return T.frequent_bigrams(texts(spark, d, "documents", "doc_id", "text"), "text", "doc_id")
 
 
 # the first variant of a term is the one whose place (document, pattern, place) comes first
