@@ -27,7 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by five-word shingles of similarity 0.8 or more the one of least id stays; rows of one id are told apart by their texts."""
+    """Candidates by SimHash and by bands of least hashes are compared; of rows linked by five-word shingles of similarity 0.8 or more the one of
+    least id stays. Rows of one id are told apart by their texts."""
     return simhash.without_near_duplicates(docs.select(*COLUMNS))
 
 

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked by a range join on segment bit counts."""
+"""SimHash near-duplicates: fingerprints of word shingles, linked by a range join on segment bit counts; with a check of the shingles' similarity besides."""
 
 from __future__ import annotations
 
@@ -211,7 +211,8 @@ def text_marks(text_col: str) -> list[Column]:
 
 
 def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t1, t2, set binary, n int, bands array<long>, sketch array<long>): the name, size, bands and sketch of the set of each whole text's shingles."""
+    """(id, t1, t2, set binary, n int, fp long, bands array<long>, sketch array<long>): the name, size, SimHash, bands and sketch of the set of each
+    whole text's shingles. Each shingle counts once for the SimHash, so a much repeated line weighs no more than another."""
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), *text_marks(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -221,16 +222,37 @@ def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
             bands, sketch = zip(*(set_sketch(x) for x in found)) if found else ([], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array([set_name(x) for x in found], pa.binary()),
-                 pa.array([len(x) for x in found], pa.int32()), *[lists(pa.array(np.concatenate(y)), [len(x) for x in y]) for y in (bands, sketch)]],
-                names=[id_col, "t1", "t2", "set", "n", "bands", "sketch"])
+                 pa.array([len(x) for x in found], pa.int32()), pa.array([simhash(x) for x in found], pa.int64()),
+                 *[lists(pa.array(np.concatenate(y)), [len(x) for x in y]) for y in (bands, sketch)]],
+                names=[id_col, "t1", "t2", "set", "n", "fp", "bands", "sketch"])
 
-    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, t1 long, t2 long, set binary, n int, bands array<long>, sketch array<long>")
+    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, t1 long, t2 long, set binary, n int, fp long, bands array<long>, sketch array<long>")
 
 
 def fits(similarity: float) -> Column:
     return F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
 
 
+def near_sets(nodes: DataFrame, similarity: float, max_bits: int) -> DataFrame:
+    """(a, b): sets of ``nodes`` (set, n, fp) whose fingerprints differ in at most ``max_bits`` bits (``near_pairs``) and whose sizes allow the similarity.
+
+    Sets of one fingerprint are paired with the least of them, which stands for them beside other fingerprints.
+    """
+    least = checkpointed(few(nodes.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("x")).select("fp", F.col("x.set").alias("a"), F.col("x.n").alias("n_a"))))
+    same = nodes.select("fp", F.col("set").alias("b"), F.col("n").alias("n_b")).join(least, "fp").where(F.col("a") != F.col("b")).select("a", "b", "n_a", "n_b")
+    other = least.select(F.col("fp").alias("fp_b"), F.col("a").alias("b"), F.col("n_a").alias("n_b"))
+    near = near_pairs(least, max_bits).toDF("fp", "fp_b").join(least, "fp").join(other, "fp_b").select("a", "b", "n_a", "n_b")
+    return same.union(near).where(fits(similarity)).select("a", "b")
+
+
+def shared_cells(nodes: DataFrame) -> DataFrame:
+    """(band, set, n): the bands of ``nodes`` (set, n, bands) that several sets have. Most bands have one set, and are shuffled by two numbers only."""
+    key = F.xxhash64("set").alias("key")
+    cells = nodes.select(key, F.explode("bands").alias("band"))
+    several = cells.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+    return cells.join(several, "band", "left_semi").join(nodes.select(key, "set", "n"), "key").select("band", "set", "n")
+
+
 def stars(cells: DataFrame, similarity: float) -> DataFrame:
     """(a, b): in each band of ``cells`` (band, set, n) its least set and each other one whose size allows the similarity."""
     least = cells.groupBy("band").agg(F.min(F.struct("set", "n")).alias("x"), F.count("*").alias("m")).where("m > 1").select(
@@ -252,30 +274,31 @@ def apart(cells: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame
     return pairs.where(possible).select("a", "b").distinct()
 
 
-def linked_sets(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, max_bits: int = 4) -> tuple[DataFrame, DataFrame]:
     """((id, t1, t2, set) of every row, (node, root) of the sets that are linked)."""
     sets = stored(shingle_sets(docs, words, id_col, text_col), "sets")
-    nodes = stored(sets.groupBy("set").agg(F.min("t1").alias("t1"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    cells = nodes.select("set", "n", F.explode("bands").alias("band"))
-    near = checkpointed(few(stars(cells, similarity)))
+    nodes = stored(sets.groupBy("set").agg(F.min("t1").alias("t1"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch")]), "nodes")
+    cells = stored(shared_cells(nodes), "cells")
+    first = near_sets(nodes, similarity, max_bits).union(stars(cells, similarity))
+    near = checkpointed(few(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     links = checkpointed(few(alike(docs, nodes, near, words, similarity, text_col)))
     as_links = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(as_links(links))
-    placed = nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "n", F.explode("bands").alias("band"), F.coalesce("root", "set").alias("of"))
-    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checkpointed(few(apart(placed, nodes.select("set", "sketch"), similarity).join(tried, ["a", "b"], "left_anti")))
+    placed = cells.join(roots, cells["set"] == roots["node"], "left").select("set", "n", "band", F.coalesce("root", "set").alias("of"))
+    rest = checkpointed(few(apart(placed, nodes.select("set", "sketch"), similarity).join(near, ["a", "b"], "left_anti")))
     more = alike(docs, nodes, rest, words, similarity, text_col)
-    return sets.drop("n", "bands", "sketch"), components(as_links(checkpointed(few(links.union(more)))))
+    return sets.select(id_col, "t1", "t2", "set"), components(as_links(checkpointed(few(links.union(more)))))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t1, t2, component_id, first boolean): like ``near_duplicates``, but a link is a Jaccard similarity of sets of word shingles.
 
     A node is a set of shingles, named by 128 bits of hash: rows of one set are one node, and whatever else two texts have in
-    common, their sets are compared before they are linked. Sets that share a band of least hash values are candidates, and the sets
-    themselves decide: first each band's least set against its others, which brings a large group of copies together by as many
+    common, their sets are compared before they are linked. Sets whose SimHashes ``near_pairs`` finds at 4 or fewer differing bits are
+    candidates, and as these are only some of those of the similarity, so are sets that share a band of least hash values; the sets
+    themselves decide: first the SimHashes' pairs and each band's least set against its others, which brings a large group of copies together by as many
     comparisons as it has sets, then all that share a band and are not together yet. At a similarity of 0.8 a pair is missed with a probability of
-    0.0009, at 0.85 of less than 0.00001; raise ``BANDS`` for less.
+    0.0009 at most, at 0.85 of less than 0.00001; raise ``BANDS`` for less.
     A row is told by its id and its text (hashes ``t1``, ``t2``), so rows that share an id are rows of their own. ``first`` marks the one of
     least id (null last; of one id, of least hashes) of its component, and all rows equal to it.
     """

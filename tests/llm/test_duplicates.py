@@ -111,6 +111,26 @@ def test_rows_that_share_an_id_are_rows_of_their_own(spark, docs_of):
     assert simhash.without_near_duplicates(docs_of([])).count() == 0
 
 
+def test_simhashes_link_similar_documents(spark, docs_of, monkeypatch):
+    """Without any pair from the bands, texts whose SimHashes are near are compared and linked, those of one SimHash too, and sets decide."""
+    r = random.Random(21)
+    rows, want = [], {}
+    for group in range(8):
+        words = [f"g{group}w{r.randrange(10**6)}" for _ in range(900)]
+        near = [*words[:899], "other"]
+        a, b = (simhash.simhash(np.unique(simhash.shingle_hashes(" ".join(x), 5))) for x in (words, near))
+        assert ((a ^ b) % (1 << 64)).bit_count() <= 4
+        rows += [(3 * group, " ".join(words)), (3 * group + 1, " ".join(near)), (3 * group + 2, " ".join(words[:300]))]  # a third is too little
+        want |= {3 * group: 3 * group, 3 * group + 1: 3 * group, 3 * group + 2: 3 * group + 2}
+    none = spark.createDataFrame([], "a binary, b binary")
+    monkeypatch.setattr(simhash, "stars", lambda *a: none)
+    monkeypatch.setattr(simhash, "apart", lambda *a: none)
+    assert {x.doc_id: x.component_id for x in simhash.similar_documents(docs_of(rows)).collect()} == want
+    same = spark.createDataFrame([(b"c", 10, 5), (b"a", 10, 5), (b"b", 10, 5), (b"d", 100, 5), (b"e", 9, 7), (b"f", 10, -1)], "set binary, n int, fp long")
+    found = {tuple(sorted(bytes(v).decode() for v in x)) for x in simhash.near_sets(same, 0.8, 4).collect()}
+    assert found == {("a", "b"), ("a", "c"), ("a", "e")}
+
+
 def test_groups_against_all_pairs(spark, docs_of):
     """A large group whose members are not all like its least one, small groups, and texts that share much but too little."""
     r = random.Random(14)
