@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from itemlens.operators import comparison as O
 from itemlens.operators import counting as C
 from itemlens.operators.mentions import count_pattern_mentions
-from itemlens.plans.base import ITEMS, Suite, items
+from itemlens.plans.base import ITEMS, Suite, askers, items
 from itemlens.plans.cleaning import SQL_COMPANY, SQL_PROJECT, project_name, sql_title_words
 from itemlens.plans.counting import LAST
 from itemlens.plans.people import SQL_REGISTRY, registry
@@ -53,8 +53,9 @@ LEFT JOIN reg ON reg.ministry = t.ministry
 """
 
 
-def graded(spark, d):
-    return O.join_report_card(schemes(spark, d), card(spark, d), registry(spark, d))
+def graded(spark, d, targets=None):
+    """``targets``: the registry, if it is at hand."""
+    return O.join_report_card(schemes(spark, d), card(spark, d), registry(spark, d) if targets is None else targets)
 
 
 @suite.add(SQL_GRADED)
@@ -172,8 +173,11 @@ def proposals_by_region(spark, d):
 def region_volumes(spark, d):
     # one region goes by a name that the proposals do not have
     name = F.when(F.col("state") == "ASIA", F.lit("FAR EAST")).otherwise(F.col("state"))
-    rows = items(spark, d).filter(F.col("ministry") == "Brand#7")
-    return C.count_by(rows.select(name.alias("region")), "region", out="items")
+    # the target's lines are counted by asker, and counts added up by region
+    of = table(spark, d, "part").filter(F.col("p_brand") == "Brand#7").select(F.col("p_partkey").alias("l_partkey"))
+    lines = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("member")).join(of, "l_partkey")
+    rows = C.count_by(lines, "member").join(askers(spark, d), "member")
+    return C.count_by(rows.select(name.alias("region"), "n"), "region", out="items", weight="n")
 
 
 SQL_REGIONS = f"""
@@ -223,8 +227,9 @@ SELECT proposal_no, project_name, coalesce(company, '') AS company, region, inve
 """
 
 
-def spotcheck(spark, d):
-    return O.proposal_spotcheck(proposals(spark, d), part_texts(spark, d), "text")
+def spotcheck(spark, d, rows=None):
+    """``rows``: the proposals, if they are at hand."""
+    return O.proposal_spotcheck(proposals(spark, d) if rows is None else rows, part_texts(spark, d), "text")
 
 
 @suite.add(SQL_SPOT)

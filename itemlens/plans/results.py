@@ -14,7 +14,7 @@ from itemlens.plans.outside import (
 )
 from itemlens.plans.people import SQL_RATIO, registry
 from itemlens.plans.texts import press_comparison, sql_side
-from itemlens.session import checkpointed
+from itemlens.session import checkpointed, stored
 
 suite = Suite()
 
@@ -99,14 +99,16 @@ UNION ALL SELECT 'proposals', (row_number() OVER (ORDER BY investment_cost DESC,
   round(investment_cost / 1e7, 0) FROM spot QUALIFY position <= 10
 """)
 def overview_external(spark, d):
-    ratios = release_comparison(registry(spark, d)).select(
+    targets = checkpointed(registry(spark, d))  # a row a target; orders and press items are read once
+    rows = stored(proposals(spark, d).drop("other_property"), "proposals")  # the last line of each order, looked for once
+    ratios = release_comparison(targets).select(
         F.col("ministry").alias("name"), F.col("items_per_press_item").alias("value"))
     named = press_comparison(spark, d).withColumnRenamed("term", "name")
     catalogue = scrutiny(spark, d).select(
         F.col("title").alias("name"), "target", "mentions", F.col("months_since_update").alias("months"))
-    regions = O.compare_by_region(region_volumes(spark, d), O.proposals_by_region(proposals(spark, d))).select(
+    regions = O.compare_by_region(region_volumes(spark, d), O.proposals_by_region(rows)).select(
         F.col("region").alias("name"), F.col("proposals").alias("n"))
-    spot = spotcheck(spark, d).select(F.col("proposal_no").cast("string").alias("name"), F.col("investment_cost").alias("value"))
-    marks = graded(spark, d).select(
+    spot = spotcheck(spark, d, rows).select(F.col("proposal_no").cast("string").alias("name"), F.col("investment_cost").alias("value"))
+    marks = graded(spark, d, targets).select(
         F.col("scheme").alias("name"), F.col("grade_order").alias("order"), F.coalesce("disbursed_pct", F.lit(0.0)).alias("value"))
     return R.overview_external(ratios, named, catalogue, regions, spot, marks)
