@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: every node hands its neighbours to the least one it knows, until nothing
     changes. The number of links never grows, rounds are logarithmic, and a hub is a count-like minimum (merged before
-    the shuffle) joined back, never a list. The driver sees three numbers a round. Null ends, loops and repeated links
+    the shuffle) joined back, never a list. Both steps of a round are cut off, so that a plan stays small. The driver sees three numbers a round. Null ends, loops and repeated links
     are ignored.
     """
     now = checkpointed(few(links.where("u <> v").select(
@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = checkpointed(few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpointed(few(small.union(least.select("u", F.col("m").alias("v"))).distinct()))

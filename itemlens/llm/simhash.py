@@ -241,7 +241,7 @@ def near_sets(nodes: DataFrame, similarity: float, max_bits: int) -> DataFrame:
     least = checkpointed(few(nodes.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("x")).select("fp", F.col("x.set").alias("a"), F.col("x.n").alias("n_a"))))
     same = nodes.select("fp", F.col("set").alias("b"), F.col("n").alias("n_b")).join(least, "fp").where(F.col("a") != F.col("b")).select("a", "b", "n_a", "n_b")
     other = least.select(F.col("fp").alias("fp_b"), F.col("a").alias("b"), F.col("n_a").alias("n_b"))
-    near = near_pairs(least, max_bits).toDF("fp", "fp_b").join(least, "fp").join(other, "fp_b").select("a", "b", "n_a", "n_b")
+    near = checkpointed(few(near_pairs(least, max_bits))).toDF("fp", "fp_b").join(least, "fp").join(other, "fp_b").select("a", "b", "n_a", "n_b")
     return same.union(near).where(fits(similarity)).select("a", "b")
 
 
@@ -268,7 +268,8 @@ def apart(cells: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame
     compared in the join, so a large group of texts that are somewhat alike, but not enough, makes few pairs.
     """
     mixed = cells.groupBy("band").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("band")
-    sized = with_key_size(cells.join(mixed, "band").join(sketches, "set"), "band", "set")
+    met = stored(cells.join(mixed, "band"), "mixed")
+    sized = stored(with_key_size(met, "band", "set").join(sketches, "set"), "sized")  # each is read several times below: a plan of its own keeps the driver's plans small
     pairs = block_pairs(sized, "band", "set", ["n", "of", "sketch"])
     possible = (F.col("of_a") != F.col("of_b")) & fits(similarity) & may_be_alike("sketch_a", "sketch_b", similarity)
     return pairs.where(possible).select("a", "b").distinct()
@@ -284,7 +285,7 @@ def linked_sets(docs: DataFrame, words: int, similarity: float, id_col: str, tex
     links = checkpointed(few(alike(docs, nodes, near, words, similarity, text_col)))
     as_links = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(as_links(links))
-    placed = cells.join(roots, cells["set"] == roots["node"], "left").select("set", "n", "band", F.coalesce("root", "set").alias("of"))
+    placed = stored(cells.join(roots, cells["set"] == roots["node"], "left").select("set", "n", "band", F.coalesce("root", "set").alias("of")), "placed")
     rest = checkpointed(few(apart(placed, nodes.select("set", "sketch"), similarity).join(near, ["a", "b"], "left_anti")))
     more = alike(docs, nodes, rest, words, similarity, text_col)
     return sets.select(id_col, "t1", "t2", "set"), components(as_links(checkpointed(few(links.union(more)))))

@@ -131,6 +131,31 @@ def test_simhashes_link_similar_documents(spark, docs_of, monkeypatch):
     assert found == {("a", "b"), ("a", "c"), ("a", "e")}
 
 
+def test_no_plan_of_the_stage_is_large(spark, docs_of, monkeypatch, capsys):
+    """The driver holds a plan, its stages and their metrics in memory: what is read several times is written first, not planned again and again."""
+    r = random.Random(17)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = [(k, " ".join([*base[:k], *(f"x{k}y{j}" for j in range(3)), *base[k:]])) for k in range(0, 120, 10)] + [(200, "alone"), (201, None)]
+    lines = {}
+
+    def seen(of, name):
+        run = getattr(of, name)
+
+        def planned(df, *args):
+            capsys.readouterr()
+            df.explain()
+            lines[f"{name} {len(lines)} {args}"] = capsys.readouterr().out.count("\n")
+            return run(df, *args)
+        monkeypatch.setattr(of, name, planned)
+
+    for of in (simhash, components):
+        seen(of, "checkpointed")
+    seen(simhash, "stored")
+    kept = simhash.without_near_duplicates(docs_of(rows))
+    assert {x.doc_id for x in kept.collect()} == {0, 200, 201}
+    assert len(lines) > 12 and max(lines.values()) <= 110, lines
+
+
 def test_groups_against_all_pairs(spark, docs_of):
     """A large group whose members are not all like its least one, small groups, and texts that share much but too little."""
     r = random.Random(14)
