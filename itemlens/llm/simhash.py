@@ -204,6 +204,22 @@ def may_be_alike(a: str, b: str, similarity: float) -> Column:
     return F.lit(n) - differ >= least
 
 
+PARITY = 1024  # bits
+
+
+def set_parity(found: np.ndarray) -> np.ndarray:
+    """``PARITY`` bits: whether the number of the set's hashes with these last ten bits is odd. Where two sets' bits differ, a hash is in one of them only."""
+    odd = np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differ_little(a: str, b: str, similarity: float) -> Column:
+    """Do the parities ``a`` and ``b`` of sets of ``n_a`` and ``n_b`` hashes differ in no more bits than sets of that similarity can? Each bit is a hash of its own
+    that one set lacks, so no similar pair is left out; of sets of up to a thousand hashes hardly any others are let through."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY // 64)), F.lit(0))
+    return differ <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+
+
 def text_marks(text_col: str) -> list[Column]:
     """Two hashes of a text, 128 bits, which with a row's id tell it from others."""
     text = F.col(text_col).cast("string")
@@ -211,7 +227,7 @@ def text_marks(text_col: str) -> list[Column]:
 
 
 def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t1, t2, set binary, n int, fp long, bands array<long>, sketch array<long>): the name, size, SimHash, bands and sketch of the set of each
+    """(id, t1, t2, set binary, n int, fp long, bands, sketch, parity array<long>): the name, size, SimHash, bands, sketch and parity of the set of each
     whole text's shingles. Each shingle counts once for the SimHash, so a much repeated line weighs no more than another."""
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), *text_marks(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -223,10 +239,10 @@ def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array([set_name(x) for x in found], pa.binary()),
                  pa.array([len(x) for x in found], pa.int32()), pa.array([simhash(x) for x in found], pa.int64()),
-                 *[lists(pa.array(np.concatenate(y)), [len(x) for x in y]) for y in (bands, sketch)]],
-                names=[id_col, "t1", "t2", "set", "n", "fp", "bands", "sketch"])
+                 *[lists(pa.array(np.concatenate(y)), [len(x) for x in y]) for y in (bands, sketch, [set_parity(x) for x in found])]],
+                names=[id_col, "t1", "t2", "set", "n", "fp", "bands", "sketch", "parity"])
 
-    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, t1 long, t2 long, set binary, n int, fp long, bands array<long>, sketch array<long>")
+    return bounded(df).mapInArrow(run, f"`{id_col}` {kind}, t1 long, t2 long, set binary, n int, fp long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def fits(similarity: float) -> Column:
@@ -246,39 +262,40 @@ def near_sets(nodes: DataFrame, similarity: float, max_bits: int) -> DataFrame:
 
 
 def shared_cells(nodes: DataFrame) -> DataFrame:
-    """(band, set, n): the bands of ``nodes`` (set, n, bands) that several sets have. Most bands have one set, and are shuffled by two numbers only."""
+    """(band, set, n, parity): the bands of ``nodes`` (set, n, bands, parity) that several sets have. Most bands have one set, and are shuffled by two numbers only."""
     key = F.xxhash64("set").alias("key")
     cells = nodes.select(key, F.explode("bands").alias("band"))
     several = cells.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    return cells.join(several, "band", "left_semi").join(nodes.select(key, "set", "n"), "key").select("band", "set", "n")
+    return cells.join(several, "band", "left_semi").join(nodes.select(key, "set", "n", "parity"), "key").select("band", "set", "n", "parity")
 
 
 def stars(cells: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): in each band of ``cells`` (band, set, n) its least set and each other one whose size allows the similarity."""
-    least = cells.groupBy("band").agg(F.min(F.struct("set", "n")).alias("x"), F.count("*").alias("m")).where("m > 1").select(
-        "band", F.col("x.set").alias("a"), F.col("x.n").alias("n_a"))
-    other = cells.select("band", F.col("set").alias("b"), F.col("n").alias("n_b"))
-    return other.join(least, "band").where((F.col("a") != F.col("b")) & fits(similarity)).select("a", "b").distinct()
+    """(a, b): in each band of ``cells`` (band, set, n, parity) its least and its greatest set, and each other one whose size and parity allow the similarity."""
+    one = F.struct("set", "n", "parity")
+    ends = cells.groupBy("band").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.set <> y.set").select("band", F.explode(F.array("x", "y")).alias("x")).select(
+        "band", F.col("x.set").alias("a"), F.col("x.n").alias("n_a"), F.col("x.parity").alias("parity_a"))
+    other = cells.select("band", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
+    return other.join(ends, "band").where((F.col("a") != F.col("b")) & fits(similarity) & differ_little("parity_a", "parity_b", similarity)).select("a", "b").distinct()
 
 
 def apart(cells: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): sets that share a band of ``cells`` (band, set, n, of), differ in ``of``, and whose sizes and ``sketches`` (set, sketch) allow the similarity.
+    """(a, b): sets that share a band of ``cells`` (band, set, n, of), differ in ``of``, and whose sizes and ``sketches`` (set, sketch, parity) allow the similarity.
 
-    Only bands with two ``of`` or more are looked at; a large one is cut into blocks, each pair of which is a join of its own. Sketches are
+    Only bands with two ``of`` or more are looked at; a large one is cut into blocks, each pair of which is a join of its own. Parities and sketches are
     compared in the join, so a large group of texts that are somewhat alike, but not enough, makes few pairs.
     """
     mixed = cells.groupBy("band").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("band")
     met = stored(cells.join(mixed, "band"), "mixed")
     sized = stored(with_key_size(met, "band", "set").join(sketches, "set"), "sized")  # each is read several times below: a plan of its own keeps the driver's plans small
-    pairs = block_pairs(sized, "band", "set", ["n", "of", "sketch"])
-    possible = (F.col("of_a") != F.col("of_b")) & fits(similarity) & may_be_alike("sketch_a", "sketch_b", similarity)
+    pairs = block_pairs(sized, "band", "set", ["n", "of", "parity", "sketch"])
+    possible = (F.col("of_a") != F.col("of_b")) & fits(similarity) & differ_little("parity_a", "parity_b", similarity) & may_be_alike("sketch_a", "sketch_b", similarity)
     return pairs.where(possible).select("a", "b").distinct()
 
 
 def linked_sets(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, max_bits: int = 4) -> tuple[DataFrame, DataFrame]:
     """((id, t1, t2, set) of every row, (node, root) of the sets that are linked)."""
     sets = stored(shingle_sets(docs, words, id_col, text_col), "sets")
-    nodes = stored(sets.groupBy("set").agg(F.min("t1").alias("t1"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch")]), "nodes")
+    nodes = stored(sets.groupBy("set").agg(F.min("t1").alias("t1"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch", "parity")]), "nodes")
     cells = stored(shared_cells(nodes), "cells")
     first = near_sets(nodes, similarity, max_bits).union(stars(cells, similarity))
     near = checkpointed(few(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
@@ -286,9 +303,10 @@ def linked_sets(docs: DataFrame, words: int, similarity: float, id_col: str, tex
     as_links = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(as_links(links))
     placed = stored(cells.join(roots, cells["set"] == roots["node"], "left").select("set", "n", "band", F.coalesce("root", "set").alias("of")), "placed")
-    rest = checkpointed(few(apart(placed, nodes.select("set", "sketch"), similarity).join(near, ["a", "b"], "left_anti")))
+    rest = checkpointed(few(apart(placed, nodes.select("set", "sketch", "parity"), similarity).join(near, ["a", "b"], "left_anti")))
     more = alike(docs, nodes, rest, words, similarity, text_col)
-    return sets.select(id_col, "t1", "t2", "set"), components(as_links(checkpointed(few(links.union(more)))))
+    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))  # as good as all links found before, and fewer
+    return sets.select(id_col, "t1", "t2", "set"), components(checkpointed(few(known.union(as_links(more)))))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,8 +315,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     A node is a set of shingles, named by 128 bits of hash: rows of one set are one node, and whatever else two texts have in
     common, their sets are compared before they are linked. Sets whose SimHashes ``near_pairs`` finds at 4 or fewer differing bits are
     candidates, and as these are only some of those of the similarity, so are sets that share a band of least hash values; the sets
-    themselves decide: first the SimHashes' pairs and each band's least set against its others, which brings a large group of copies together by as many
-    comparisons as it has sets, then all that share a band and are not together yet. At a similarity of 0.8 a pair is missed with a probability of
+    themselves decide: first the SimHashes' pairs and each band's least and greatest set against its others, which brings a large group of copies together by about
+    as many comparisons as it has sets, then all that share a band and are not together yet. At a similarity of 0.8 a pair is missed with a probability of
     0.0009 at most, at 0.85 of less than 0.00001; raise ``BANDS`` for less.
     A row is told by its id and its text (hashes ``t1``, ``t2``), so rows that share an id are rows of their own. ``first`` marks the one of
     least id (null last; of one id, of least hashes) of its component, and all rows equal to it.

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from itemlens.llm import components, simhash, substrings
 from tests.llm.conftest import ODD
@@ -217,6 +218,60 @@ def test_sketches_let_similar_sets_through(spark):
     assert through(150) < 10 and through(100) == 0  # of 0.6 and 0.333
 
 
+def sets_like(r, shared, count):
+    """Sets of 200 hashes each of which has ``shared`` in common with every other one."""
+    common = r.integers(0, 2**64, shared, dtype=np.uint64)
+    return [np.unique(np.append(common, r.integers(0, 2**64, 200 - shared, dtype=np.uint64))) for _ in range(count)]
+
+
+def as_cells(spark, sets):
+    """All sets in band 1, as ``apart`` and ``stars`` take them, and their sketches."""
+    rows = [(1, simhash.set_name(x), len(x), simhash.set_parity(x).tolist(), simhash.set_sketch(x)[1].tolist()) for x in sets]
+    frame = spark.createDataFrame(rows, "band long, set binary, n int, parity array<long>, sketch array<long>")
+    return frame.select("band", "set", "n", "parity"), frame.select("set", "sketch", "parity")
+
+
+def test_a_group_not_alike_enough_makes_few_pairs(spark):
+    """Of 1,770 pairs of a similarity of 0.75 sketches alone let most through; of 0.81 hardly one is missed."""
+    r = np.random.default_rng(6)
+    for shared, least, most in ((171, 0, 18), (179, 1765, 1770)):
+        cells, sketches = as_cells(spark, sets_like(r, shared, 60))
+        assert cells.join(sketches.toDF("b", "sketch_b", "p"), cells["set"] < F.col("b")).join(sketches.select("set", "sketch"), "set").where(
+            simhash.may_be_alike("sketch", "sketch_b", 0.8)).count() > 1000
+        assert least <= simhash.apart(cells.select("band", "set", "n", F.col("set").alias("of")), sketches, 0.8).count() <= most
+
+
+def test_least_and_greatest_set_of_a_band_meet_the_others(spark):
+    sets = sets_like(np.random.default_rng(8), 185, 20)
+    cells, _ = as_cells(spark, sets)
+    names = sorted(simhash.set_name(x) for x in sets)
+    want = {frozenset((end, x)) for end in (names[0], names[-1]) for x in names if x != end}
+    assert {frozenset((bytes(x.a), bytes(x.b))) for x in simhash.stars(cells, 0.8).collect()} == want
+
+
+def test_parities_leave_no_similar_set_out(spark):
+    """Sets of many sizes, right at the similarity, above and far below it, empty ones too."""
+    r = np.random.default_rng(9)
+    rows = []
+    for _ in range(400):
+        n = int(r.integers(0, 2500))
+        m = n + int(r.integers(0, 1 + n // 8))
+        both = n - int(r.integers(0, 1 + n // (6 if r.integers(2) else 1)))
+        x = r.integers(0, 2**64, n + m - both, dtype=np.uint64)
+        a, b = np.unique(x[:n]), np.unique(np.append(x[:both], x[n:]))
+        alike = both >= 0.8 * (len(a) + len(b) - both)
+        rows.append((len(a), len(b), simhash.set_parity(a).tolist(), simhash.set_parity(b).tolist(), bool(alike), both / max(1, n + m - both)))
+    for n in (5, 45, 450, 900):  # the bound is met exactly: 8 of 10 parts in common
+        x = r.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        a, b = np.unique(x[:9 * n // 5]), np.unique(x[n // 5:])
+        rows.append((len(a), len(b), simhash.set_parity(a).tolist(), simhash.set_parity(b).tolist(), True, 0.8))
+    got = spark.createDataFrame(rows, "n_a int, n_b int, a array<long>, b array<long>, alike boolean, s double").select(
+        "alike", "n_a", "n_b", "s", simhash.differ_little("a", "b", 0.8).alias("passes")).collect()
+    assert sum(x.alike for x in got) > 30 and all(x.passes for x in got if x.alike)
+    far = [x for x in got if x.s < 0.6 and 100 < x.n_a < 1000 and 100 < x.n_b < 1000]
+    assert len(far) > 10 and not any(x.passes for x in far)
+
+
 def plain_repeats(pairs, n):
     own, top = {}, 1 << 62
     for i, t in pairs:
