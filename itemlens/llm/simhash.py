@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from itemlens.llm.common import blocks, bounded, documents, few, kept, lists, number, passes, screen, stored, strings
 from itemlens.llm.components import components
 from itemlens.operators.pairs import block_pairs, with_key_size
-from itemlens.session import checkpointed
+from itemlens.session import checkpointed, shuffled
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -120,7 +120,7 @@ def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2) -> DataFram
     Each fingerprint becomes the vector of its segments' bit counts. The Manhattan distance of two vectors is at most
     the number of differing bits, so of ``max_bits // 3 + 1`` runs of segments one at least is within distance 2. In a run, vectors within 2
     meet in a grid cell that is at most one step from each; which of their common cells counts is fixed, and so is the
-    run, so a pair comes once. The join's condition verifies the bits themselves.
+    run, so a pair comes once. The join's condition verifies the bits themselves. Each fingerprint has some fifty cells, so both sides are shuffled at any size.
     """
     groups = max_bits // 3 + 1
     cells = fps.select("fp").distinct().select("fp", F.inline(grid_cells(segment_counts(F.col("fp"), segment_bits), segment_bits, groups)))
@@ -130,7 +130,7 @@ def near_pairs(fps: DataFrame, max_bits: int, segment_bits: int = 2) -> DataFram
         (F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("ua") != F.col("ub")))))
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     exact = exact & first_run(F.col("a"), F.col("b"), F.col("part"), segment_bits, groups)
-    return a.join(b, ["part", "cell"]).where((F.col("a") < F.col("b")) & exact & once).select("a", "b").distinct()
+    return shuffled(a).join(b, ["part", "cell"]).where((F.col("a") < F.col("b")) & exact & once).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, segment_bits: int = 2,
@@ -150,11 +150,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, segment_
 
 def with_components(fps: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"])
+    linked = shuffled(nodes).join(roots, nodes["fp"] == roots["node"])
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
     classes = nodes.join(linked.select("fp", "root").join(names, "root").select("fp", "name"), "fp", "left").select(
         "fp", F.coalesce("name", "least").alias("component_id"))
-    return fps.join(classes, "fp").select(id_col, "fp", "component_id")
+    return shuffled(fps).join(classes, "fp").select(id_col, "fp", "component_id")
 
 
 BANDS, ROWS = 40, 8  # sets of similarity s share no band with probability (1 - s**ROWS)**BANDS: 0.0006 at 0.8

@@ -56,6 +56,23 @@ def test_range_join_finds_every_pair_once(spark, bits, segment):
     assert len(got) == len(want) and set(got) == want
 
 
+def plan(df):
+    """The plan that ``df`` was run by, with what Spark changed on the way."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_fingerprints_are_never_broadcast(spark, tmp_path):
+    """Spark takes the fifty cells of a fingerprint for one row: a table that it calls small may be more than the driver holds."""
+    spark.createDataFrame([(k, k * 0x9E3779B97F4A7C15 % 2**62) for k in range(300)], "doc_id long, fp long").write.parquet(f"{tmp_path}/fps")
+    fps = spark.read.parquet(f"{tmp_path}/fps")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    pairs = simhash.near_pairs(nodes, 4)
+    assert "Generate" in plan(pairs) and "Broadcast" not in plan(pairs)
+    joins = [x for x in plan(simhash.with_components(fps, nodes, pairs, "doc_id")).splitlines() if "Join" in x]
+    assert "SortMergeJoin [fp" in joins[0], joins  # rows with their classes
+
+
 def test_near_duplicates_by_brute_force(spark, docs_of):
     r = random.Random(11)
     words = [f"w{i}" for i in range(300)]
