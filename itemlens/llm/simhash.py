@@ -266,7 +266,8 @@ def shared_cells(nodes: DataFrame) -> DataFrame:
     key = F.xxhash64("set").alias("key")
     cells = nodes.select(key, F.explode("bands").alias("band"))
     several = cells.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    return cells.join(several, "band", "left_semi").join(nodes.select(key, "set", "n", "parity"), "key").select("band", "set", "n", "parity")
+    met = cells.join(shuffled(several), "band", "left_semi")
+    return shuffled(met).join(nodes.select(key, "set", "n", "parity"), "key").select("band", "set", "n", "parity")
 
 
 def stars(cells: DataFrame, similarity: float) -> DataFrame:
@@ -275,7 +276,7 @@ def stars(cells: DataFrame, similarity: float) -> DataFrame:
     ends = cells.groupBy("band").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.set <> y.set").select("band", F.explode(F.array("x", "y")).alias("x")).select(
         "band", F.col("x.set").alias("a"), F.col("x.n").alias("n_a"), F.col("x.parity").alias("parity_a"))
     other = cells.select("band", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
-    return other.join(ends, "band").where((F.col("a") != F.col("b")) & fits(similarity) & differ_little("parity_a", "parity_b", similarity)).select("a", "b").distinct()
+    return shuffled(other).join(ends, "band").where((F.col("a") != F.col("b")) & fits(similarity) & differ_little("parity_a", "parity_b", similarity)).select("a", "b").distinct()
 
 
 def apart(cells: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -285,8 +286,8 @@ def apart(cells: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame
     compared in the join, so a large group of texts that are somewhat alike, but not enough, makes few pairs.
     """
     mixed = cells.groupBy("band").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("band")
-    met = stored(cells.join(mixed, "band"), "mixed")
-    sized = stored(with_key_size(met, "band", "set").join(sketches, "set"), "sized")  # each is read several times below: a plan of its own keeps the driver's plans small
+    met = stored(shuffled(cells).join(mixed, "band"), "mixed")
+    sized = stored(with_key_size(shuffled(met), "band", "set").join(sketches, "set"), "sized")  # each is read several times below: a plan of its own keeps the driver's plans small
     pairs = block_pairs(sized, "band", "set", ["n", "of", "parity", "sketch"])
     possible = (F.col("of_a") != F.col("of_b")) & fits(similarity) & differ_little("parity_a", "parity_b", similarity) & may_be_alike("sketch_a", "sketch_b", similarity)
     return pairs.where(possible).select("a", "b").distinct()
@@ -345,7 +346,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
     rows = docs.select("*", F.col(id_col).alias("#key"), *marks)
     doubt = may_go(number("#key", "#t1", "#t2"))
     stays = found.where(F.col("#first")).select("#id", F.col("#t1").alias("#s1"), F.col("#t2").alias("#s2"))
-    met = rows.where(doubt).join(stays, F.col("#key").eqNullSafe(F.col("#id")) & (F.col("#t1") == F.col("#s1")) & (F.col("#t2") == F.col("#s2")), "left_semi")
+    met = rows.where(doubt).join(shuffled(stays), F.col("#key").eqNullSafe(F.col("#id")) & (F.col("#t1") == F.col("#s1")) & (F.col("#t2") == F.col("#s2")), "left_semi")
     return rows.where(~doubt).unionByName(met.dropDuplicates(["#key", "#t1", "#t2"])).select(*docs.columns)
 
 
@@ -366,6 +367,7 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, simil
 
     found = texts.mapInArrow(sets, "set binary, hashes array<long>")
     found = stored(found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), "shingles")
+    found = shuffled(found)
     both = pairs.join(found.select(F.col("set").alias("a"), F.col("hashes").alias("set_a")), "a").join(
         found.select(F.col("set").alias("b"), F.col("hashes").alias("set_b")), "b")
 

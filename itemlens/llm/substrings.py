@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemlens.llm.common import BLANKS, blocks, bounded, documents, kept, number, passes, screen, stored, strings
+from itemlens.session import shuffled
 
 LINES = 2  # rows of the sketch
 BLOCKS = 256  # parts that each row is merged in
@@ -269,7 +270,7 @@ def remove_repeats(docs: DataFrame, words: int = 13, bits: int = 29, id_col: str
 
     held = keyed.withColumn("#id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)))
     joined = held.where(may_lose(number("#row"))).join(
-        starts, (F.col("#row") == F.col("#r")) & (F.col("#id") == F.col("#i")), "left").drop("#r", "#i", "#row", "#id")
+        shuffled(starts), (F.col("#row") == F.col("#r")) & (F.col("#id") == F.col("#i")), "left").drop("#r", "#i", "#row", "#id")
     whole = held.where(~may_lose(number("#row"))).drop("#row", "#id").withColumn("#starts", F.lit(None).cast("array<int>"))
     names = [c for c in joined.columns if c != "#starts"]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names) + ", n_words long, n_removed long"

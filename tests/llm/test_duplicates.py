@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from itemlens.llm import components, simhash, substrings
+from itemlens.llm import components, credentials, simhash, substrings
 from tests.llm.conftest import ODD
 
 
@@ -266,6 +266,29 @@ def test_least_and_greatest_set_of_a_band_meet_the_others(spark):
     assert {frozenset((bytes(x.a), bytes(x.b))) for x in simhash.stars(cells, 0.8).collect()} == want
 
 
+def test_bands_are_never_broadcast(spark, tmp_path):
+    """Spark takes the bands of a set for one row, and a stored table for its files, which a set that stands in many rows hardly adds to."""
+    sets = sets_like(np.random.default_rng(8), 185, 20)
+    rows = [(simhash.set_name(x), len(x), simhash.set_sketch(x)[0].tolist(), simhash.set_parity(x).tolist(), simhash.set_sketch(x)[1].tolist()) for x in sets]
+    spark.createDataFrame(rows, "set binary, n int, bands array<long>, parity array<long>, sketch array<long>").write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    cells = simhash.shared_cells(nodes)
+    assert "Generate" in plan(cells) and "Broadcast" not in plan(cells)
+    cells.write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")
+    assert "Broadcast" not in plan(simhash.stars(cells, 0.8))
+    pairs = simhash.apart(cells.select("band", "set", "n", F.col("set").alias("of")), nodes.select("set", "sketch", "parity"), 0.8)
+    assert pairs.count() == 190 and "Broadcast" not in plan(pairs)
+
+
+def test_rows_that_meet_places_are_never_broadcast(spark, docs_of):
+    """What later stages of the pipeline store and look up has some numbers or lists of them for a row of the documents."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = docs_of([(1, text), (2, text + " more"), (3, text + " key AKIA" + "Q" * 16 + " Abcdefghijklmnopqrst12"), (4, None), (5, "alone")])
+    for df in (simhash.without_near_duplicates(docs), substrings.remove_repeats(docs, bits=12), credentials.scan(docs)):
+        assert "Join" in plan(df) and "Broadcast" not in plan(df)
+
+
 def test_parities_leave_no_similar_set_out(spark):
     """Sets of many sizes, right at the similarity, above and far below it, empty ones too."""
     r = np.random.default_rng(9)
